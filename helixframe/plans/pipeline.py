@@ -1,0 +1,41 @@
+"""End-to-end plans, from files to tables. Stages meet in Parquet; CSV is for the edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..config import PipelineConfig
+from ..operators import manifests, occupancy, topology
+from ..operators.atlas import build_atlas
+from ..sources import classifications as c
+from ..sources import coordinates, downloads, tables
+
+
+def map_domains(spark: SparkSession, folder: str, config: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
+    """Mapping and counters of the five classification files in a folder."""
+    return c.domain_mapping(c.read_scope_cla(spark, f"{folder}/scope_cla.txt"), c.read_scope_des(spark, f"{folder}/scope_des.txt"), c.read_fasta_lengths(spark, f"{folder}/scope_astral_40.fa"), c.read_cath(spark, f"{folder}/cath_domain_list.txt"), c.read_ecod(spark, f"{folder}/ecod_domains.txt"), config)
+
+
+def plan_downloads(spark: SparkSession, mapping: DataFrame, folder: str, config: PipelineConfig = PipelineConfig()) -> DataFrame:
+    return downloads.pending(mapping, tables.structure_files(spark, folder).select("path", "length"), config)
+
+
+def ingest(spark: SparkSession, root: str, parsed_path: str) -> dict[str, DataFrame]:
+    """Parses each file once, into Parquet at ``parsed_path``, and gives the manifests, failures and atoms."""
+    files = tables.structure_files(spark, root)
+    if files.isEmpty():
+        raise FileNotFoundError(f"no structure files below {root}")
+    coordinates.scan_structures(spark, root).write.mode("overwrite").parquet(parsed_path)
+    parsed = spark.read.parquet(parsed_path)
+    atoms = coordinates.atoms_of(parsed)
+    return {"structures": manifests.structure_manifest(parsed, atoms), "chains": manifests.chain_manifest(atoms), "failures": manifests.ingest_failures(parsed), "atoms": atoms}
+
+
+def topologies(found: dict[str, DataFrame], config: PipelineConfig = PipelineConfig()) -> DataFrame:
+    return topology.chain_topology(topology.residues(found["atoms"], config), found["chains"], config)
+
+
+def atlas(mapping: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The atlas with its tiers, and the join failures."""
+    full, failed = build_atlas(mapping, chains)
+    return occupancy.with_tiers(full), failed
