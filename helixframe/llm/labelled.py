@@ -25,5 +25,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]
     chosen = stash(parts[0].union(parts[1]), "sample")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= LONGEST)
     # the sample has sum(most) rows at most
-    found = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id").toArrow().to_pandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     return found[["doc_id", "text", "y"]].reset_index(drop=True), (totals.get(0, 0), totals.get(1, 0))
