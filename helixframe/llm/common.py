@@ -28,15 +28,23 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str = "stash") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives the loss of executors."""
+def stash(df: DataFrame, name: str = "stash", within: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (or to ``within``, a folder there) and read it back: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = fresh_dir(spark, name)
+    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else fresh_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of stashes that later ones replace, and let Spark drop the shuffles of plans that are done."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
+
+
 def text_bytes(df: DataFrame, text: str = "text"):
     """Column: UTF-8 length of a text, 0 for null."""
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
