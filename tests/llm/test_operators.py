@@ -81,6 +81,28 @@ def test_regions_split_by_pivots(docs, rows, monkeypatch):
     assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=repr) == want
 
 
+def test_loose_copies_of_one_text(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 4)):
+            w[at] = f"x{rng.randint(0, 400)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    low = list(range(len(texts)))
+    linked = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in linked:
+            low[i] = low[j] = min(low[i], low[j])
+    assert 1 < len(set(low)) < len(texts)
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "WIDER", 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == dict(enumerate(low))
+
+
 def test_decontamination(spark, empty):
     r = random.Random(2)
     items = [(i, prose(n, r)) for i, n in enumerate([40, 25, 16, 12, 9, 6, 4, 3])] + [(50, None), (51, ""), (0, None)]
