@@ -1,18 +1,23 @@
-"""Toxicity by nearest labelled examples, under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples, under exact TF-IDF cosine over all words.
 
-Terms are the words of the examples that are told apart by the label (see ``choose_terms``), TERMS at most; their
-document frequencies are counted over all documents. Documents and examples are TF-IDF vectors of these terms. The
-examples' inverted index is cut into blocks of similar examples and posts, for each term and block, the largest weight
+Every word of a text counts, in documents and examples. Its weight is (1 + log of its frequency) x IDF, the IDF being over
+all documents; words that the label does not tell apart (see ``choose_terms``) weigh PLAIN of that, as topic words would
+else govern the cosine of long texts. A word in fewer than one in RARE documents has the IDF of one in RARE, which bounds
+the table of counts; words that no example holds count in a document's length as any other.
+
+The examples' inverted index is cut into blocks of similar examples and posts, for each term and block, the largest weight
 in the block. A query sums these bounds by block, visits blocks from the highest bound down, and stops when the bound is
-below its k-th best cosine. So its K nearest are exact, ties going to the earlier example.
+below its k-th best cosine; where VISITS blocks do not suffice, it adds up the postings of all examples. So its K nearest
+are exact, ties going to the earlier example.
 
 Neighbours vote with weights falling by cosine distance, each counting for as many labelled rows as it stands for in
 its class's sample; a prior of one vote keeps scores calibrated. Evidence is the neighbours' ids, nearest first.
-Documents without any term have no neighbours at a distance below 1, and score as the examples without terms do.
+Documents without any word of an example have no neighbours, and score as the examples without words do.
 
-Examples are at most SAMPLE texts a class. Scoring is one pass over the documents, without a shuffle of texts.
+Examples are at most SAMPLE texts a class. Scoring is one pass over the documents, without a shuffle of texts; counting
+shuffles a row for each word and part of a task.
 
-Defined cases: null and empty texts hold no terms; repeated rows return repeated rows; null ids are kept and not held
+Defined cases: null and empty texts hold no words; repeated rows return repeated rows; null ids are kept and not held
 out; without labels of both kinds, all scores are the labels' mean, or 0 without any; other columns are ignored; an
 empty table gives no rows.
 """
@@ -20,19 +25,23 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 from .labelled import held_out, sample
 from .text import ALNUM, groups, utf8, words
 
 SAMPLE = (6000, 3000)
-TERMS, K, BLOCK = 512, 15, 64
-_LOOK = 22
+TERMS, K, BLOCK, VISITS = 512, 15, 64, 8
+PLAIN, RARE = 1 / 16, 1 << 14
+#: A task counts words over so many distinct ones of its texts before it hands them on.
+PART = 4_000_000
 
 
 def _rows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,77 +75,105 @@ def choose_terms(h: np.ndarray, row: np.ndarray, y: np.ndarray, most: int = TERM
     return np.sort(terms[best])
 
 
-class Terms:
-    """Looks up the vocabulary in a stream of word hashes."""
-
-    def __init__(self, known: np.ndarray):
-        self.known = known
-        self.look = np.zeros(1 << _LOOK, bool)
-        self.look[known >> np.uint64(64 - _LOOK)] = True
-
-    def find(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and term numbers of the words that are terms."""
-        if not len(self.known) or not len(h):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        i = np.flatnonzero(self.look[h >> np.uint64(64 - _LOOK)])
-        at = np.minimum(np.searchsorted(self.known, h[i]), len(self.known) - 1)
-        ok = self.known[at] == h[i]
-        return row[i[ok]], at[ok]
+def unit_rows(row: np.ndarray, count: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """Weights of unit TF-IDF vectors, term frequencies by 1 + log."""
+    w = (1 + np.log(count)) * weight
+    norm = np.sqrt(np.bincount(row, w * w, rows))
+    return w / norm[row]
 
 
-def vectors(row: np.ndarray, term: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors, term frequencies by 1 + log; zero without terms."""
-    v = np.zeros((rows, len(idf)))
-    np.add.at(v, (row, term), 1.0)
-    v = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0) * idf
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places from each start up to its end."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class BlockMax:
-    """Inverted index over unit vectors with the largest weight of each term and block."""
+    """Inverted index over unit vectors with the largest weight of each term and block; takes a matrix, or (row, term, weight, shape) of what is not zero."""
 
-    def __init__(self, v: np.ndarray, block: int = BLOCK):
-        self.rows = np.flatnonzero(v.any(1))
-        v = v[self.rows]
+    def __init__(self, v, block: int = BLOCK):
+        row, term, weight, (rows, terms) = v if isinstance(v, tuple) else (*np.nonzero(v), v[np.nonzero(v)], v.shape)
         # examples whose heaviest terms agree stand together, so that blocks differ in their bounds
-        order = np.lexsort(tuple(np.argsort(-v, axis=1)[:, :2].T[::-1])) if len(v) else np.empty(0, np.int64)
-        self.rows, v = self.rows[order], v[order]
-        self.blocks = [slice(i, min(i + block, len(v))) for i in range(0, len(v), block)]
-        self.bound = np.array([v[b].max(0) for b in self.blocks]) if len(v) else np.zeros((0, v.shape[1]))
-        self.v = v
-
-    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the ``k`` nearest with a positive cosine."""
-        t = np.flatnonzero(q)
-        weight = q[t]
-        bounds = self.bound[:, t] @ weight
-        order = np.argsort(-bounds, kind="stable")
+        by = np.lexsort((term, -weight, row))
+        start = np.searchsorted(row[by], np.arange(rows + 1))
+        some = np.flatnonzero(np.diff(start))
+        lead = [term[by[np.minimum(start[some] + i, start[some + 1] - 1)]] for i in (0, 1)]
+        self.rows = some[np.lexsort((some, lead[1], lead[0]))]
+        place = np.zeros(rows, np.int32)
+        place[self.rows] = np.arange(len(self.rows))
+        at = place[row]
+        by = np.lexsort((term, at))
+        self.words, self.weights = term[by].astype(np.int32), weight[by]
+        self.first = np.searchsorted(at[by], np.arange(len(self.rows) + 1))
+        by = np.lexsort((at, term))
+        self.at, self.post = at[by], weight[by]
+        self.start = np.searchsorted(term[by], np.arange(terms + 1))
+        self.edges = np.append(np.arange(0, len(self.rows), block), len(self.rows))
+        key = term[by].astype(np.int64) * len(self.edges) + self.at // block
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block = (key[new] % len(self.edges)).astype(np.int32)
+        self.bound = np.maximum.reduceat(self.post, new) if len(new) else np.empty(0)
+        self.block_start = np.searchsorted(key[new] // len(self.edges), np.arange(terms + 1))
+        self.q = np.zeros(terms)
+
+    def nearest(self, q, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Example numbers and cosines of the ``k`` nearest with a positive cosine, to a vector or (terms, weights)."""
+        t, weight = q if isinstance(q, tuple) else (np.flatnonzero(q), q[np.flatnonzero(q)])
         ids, scores, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in order:
+        lo, hi = self.block_start[t], self.block_start[t + 1]
+        each = spans(lo, hi)
+        bounds = np.bincount(self.block[each], np.repeat(weight, hi - lo) * self.bound[each], len(self.edges) - 1)
+        self.q[t] = weight
+        for i, b in enumerate(np.argsort(-bounds, kind="stable")):
             if bounds[b] <= 0 or (len(ids) == k and bounds[b] < kth - 1e-12):
                 break
-            part = self.v[self.blocks[b]][:, t] @ weight
-            ids = np.concatenate([ids, self.rows[self.blocks[b]][part > 0]])
-            scores = np.concatenate([scores, np.round(part[part > 0], 12)])
-            top = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[top], scores[top]
+            if i == VISITS:
+                ids, scores = self._best(self.rows, self._all(t, weight), k)
+                break
+            lo, hi = self.edges[b], self.edges[b + 1]
+            x = self.first[lo : hi + 1]
+            part = np.add.reduceat(self.weights[x[0] : x[-1]] * self.q[self.words[x[0] : x[-1]]], x[:-1] - x[0])
+            more, cos = self._best(self.rows[lo:hi], part, k)
+            ids, scores = self._best(np.concatenate([ids, more]), np.concatenate([scores, cos]), k)
             kth = scores[-1] if len(scores) == k else 0.0
+        self.q[t] = 0
         return ids, scores
 
+    def _all(self, t: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        s = np.zeros(len(self.rows))
+        for a, b, w in zip(self.start[t].tolist(), self.start[t + 1].tolist(), weight.tolist()):
+            s[self.at[a:b]] += w * self.post[a:b]
+        return s
+
+    @staticmethod
+    def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = np.round(scores, 12)
+        keep = np.flatnonzero(scores > 0)
+        if len(keep) > k:
+            keep = keep[scores[keep] >= np.partition(scores[keep], -k)[-k]]
+        top = keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
+        return ids[top], scores[top]
+
 
 class Model:
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, v: np.ndarray, y: np.ndarray, ids: np.ndarray, totals: tuple[int, int], k: int = K):
-        self.terms, self.idf, self.index, self.y, self.ids, self.k = Terms(terms), idf, BlockMax(v), y, ids, k
+    """``known``: sorted hashes of the words of examples, and of all that are not rare; ``weight`` of each, and ``rare`` of any other. ``examples``: (row, term, weight) of the y's unit vectors."""
+
+    def __init__(self, known: np.ndarray, weight: np.ndarray, rare: float, examples: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, ids: np.ndarray, totals: tuple[int, int], k: int = K):
+        self.known, self.weight, self.rare, self.examples, self.y, self.ids, self.k = known, weight, rare, examples, y, ids, k
         ones, zeros = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
         self.stands = np.where(y == 1, totals[1] / ones, totals[0] / zeros)
         self.prior = totals[1] / max(1, sum(totals))
-        bare = ~v.any(1)
+        bare = np.bincount(examples[0], minlength=len(y)) == 0
         self.bare = (self.stands[bare & (y == 1)].sum() + self.prior) / (self.stands[bare].sum() + 1)
         self.unit = float(self.stands.min()) if len(y) else 1.0
 
-    def vote(self, q: np.ndarray) -> tuple[float, list[int]]:
-        near, cos = self.index.nearest(q, self.k)
+    @cached_property
+    def index(self) -> BlockMax:
+        """Made where it is used, so that only the vectors are sent."""
+        return BlockMax((*self.examples, (len(self.y), len(self.known))))
+
+    def vote(self, t: np.ndarray, weight: np.ndarray) -> tuple[float, list[int]]:
+        near, cos = self.index.nearest((t, weight), self.k)
         if not len(near):
             return self.bare, []
         w = self.stands[near] / (1.02 - np.minimum(cos, 1))
@@ -144,34 +181,43 @@ class Model:
 
     def score(self, data: np.ndarray, offsets: np.ndarray, known: dict[bytes, tuple[float, list[int]]]) -> tuple[np.ndarray, list[list[int]]]:
         n = len(offsets) - 1
-        row, term = self.terms.find(*_rows_of(data, offsets))
+        h, row, count = _distinct(*_rows_of(data, offsets))
         score, evidence = np.full(n, self.bare), [[] for _ in range(n)]
-        some, at = np.unique(row, return_inverse=True)
-        for i, q in zip(some, vectors(at, term, len(some), self.idf)):
-            key = np.round(q, 12).tobytes()
+        term = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        hit = self.known[term] == h
+        weight = unit_rows(row, count, np.where(hit, self.weight[term], self.rare), n)
+        start = np.searchsorted(row, np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(start)):
+            own = slice(start[i], start[i + 1])
+            key = blake2b(h[own].tobytes() + count[own].tobytes(), digest_size=16).digest()
             if key not in known:
                 if len(known) > 50_000:
                     known.clear()
-                known[key] = self.vote(q)
+                known[key] = self.vote(term[own][hit[own]], weight[own][hit[own]])
             score[i], evidence[i] = known[key]
         return score, evidence
 
 
-def _counter(shared):
-    """Documents of this task that hold each term: a row a term at most."""
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of this task that hold each word, by its hash; how many there are, without one."""
+    rows, held, size = 0, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value)
-        n, rows = np.zeros(len(shared.value), np.int64), 0
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            rows += batch.num_rows
-            for lo, hi in groups(offsets):
-                row, term = terms.find(*_rows_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-                n += np.bincount(np.unique(row * len(n) + term) % max(1, len(n)), minlength=len(n)) if len(row) else 0
-        yield pa.record_batch([pa.array([*range(len(n)), -1], pa.int64()), pa.array([*n.tolist(), rows], pa.int64())], ["term", "n"])
+    def part() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
-    return run
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        rows += batch.num_rows
+        for lo, hi in groups(offsets):
+            h, _, _ = _distinct(*_rows_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+            held.append(h)
+            size += len(h)
+            if size > PART:
+                yield part()
+                held, size = [], 0
+    yield part()
+    yield pa.record_batch([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], ["h", "n"])
 
 
 def _scorer(shared):
@@ -193,21 +239,29 @@ def _scorer(shared):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
-    spark = docs.sparkSession
     seen, totals = sample(docs, labels, "toxic", SAMPLE)
     seen = seen.drop_duplicates("text").reset_index(drop=True)
     y = seen["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return totals[1] / sum(totals) if sum(totals) else 0.0
-    h, row = _rows_of(*utf8(pa.array(seen["text"], pa.large_string())))
-    dh, drow, _ = _distinct(h, row)
-    terms = choose_terms(dh, drow, y)
-    shared = spark.sparkContext.broadcast(terms)
-    counted = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_counter(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    n = {r["term"]: r["n"] for r in counted}
-    idf = np.log((n.get(-1, 0) + 1) / (np.array([n.get(i, 0) for i in range(len(terms))]) + 1)) + 1
-    row, term = Terms(terms).find(h, row)
-    return Model(terms, idf, vectors(row, term, len(seen), idf), y, seen["doc_id"].to_numpy(), totals)
+    h, row, count = _distinct(*_rows_of(*utf8(pa.array(seen["text"], pa.large_string()))))
+    ids = seen["doc_id"].to_numpy()
+    del seen
+    if not len(h):
+        return totals[1] / sum(totals)
+    counts = stash(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_counter, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    total = counts.filter("h is null").first()["n"]
+    usual = counts.filter(F.col("h").isNotNull() & (F.col("n") * RARE > total)).toArrow()
+    words_, n = usual.column("h").to_numpy().view(np.uint64), usual.column("n").to_numpy()
+    known = np.union1d(words_, h)
+    weight = np.full(len(known), max(1.0, total / RARE))
+    weight[np.searchsorted(known, words_)] = n
+    idf = lambda n: np.log((total + 1) / (n + 1)) + 1
+    weight = PLAIN * idf(weight)
+    weight[np.searchsorted(known, choose_terms(h, row, y))] /= PLAIN
+    term = np.searchsorted(known, h).astype(np.int32)
+    vectors = row.astype(np.int32), term, unit_rows(row, count, weight[term], len(y))
+    return Model(known, weight, PLAIN * idf(max(1.0, total / RARE)), vectors, y, ids, totals)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

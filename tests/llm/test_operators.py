@@ -239,6 +239,35 @@ def test_toxicity(spark, docs, empty):
     assert {x["score"] for x in toxicity.toxicity_scores(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_over_all_words(spark):
+    r = random.Random(4)
+    rows = [(i, prose(r.randrange(5, 60), r), int(i % 9 == 0)) for i in range(300)]  # no word is told apart by the label
+    new = [f"only{i} {prose(20, r)}" for i in range(20)]  # with words that no example holds
+    learned = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5]
+    copies = [(1000 + i, t) for i, t, y in learned if y]
+    df = spark.createDataFrame([x[:2] for x in rows] + copies + [(2000 + i, t) for i, t in enumerate(new)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    found = {x["doc_id"]: x for x in toxicity.toxicity_scores(df, labels).collect()}
+    assert copies and all(found[i]["evidence"][0] == i - 1000 and found[i]["predicted"] for i, _ in copies)
+    texts = {x["doc_id"]: x["text"].split() for x in df.collect()}
+    df_of = Counter(w for t in texts.values() for w in set(t))
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * (math.log((len(texts) + 1) / (df_of[w] + 1)) + 1) for w, n in Counter(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    of = {i: vector(texts[i]) for i in texts}
+    for i, x in found.items():
+        cos = {j: sum(a * of[j].get(w, 0) for w, a in of[i].items()) for j, _, _ in learned}
+        best = sorted((c for c in cos.values() if c > 0), reverse=True)[:15]
+        assert np.allclose([cos[j] for j in x["evidence"]], best, atol=1e-9)
+        w = [1 / (1.02 - min(1, cos[j])) for j in x["evidence"]]
+        toxic = sum(a for a, j in zip(w, x["evidence"]) if j % 9 == 0)
+        prior = sum(y for *_, y in learned) / len(learned)
+        assert math.isclose(x["score"], (toxic + prior) / (sum(w) + 1), abs_tol=1e-6)
+
+
 def test_token_cache(spark, docs, rows, empty, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
