@@ -75,6 +75,17 @@ def test_jaccard_components(docs, rows, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_one_of_each_by_row(spark):
+    r = random.Random(12)
+    a, b, c, d, e = (prose(40, r) for _ in range(5))
+    rows = [(1, a), (1, b), (2, a), (4, c), (5, c), (5, d), (5, d)]  # unlinked texts that share an id stay, linked ones go
+    rows += [(None, e)] * 3 + [(None, None), (None, None), (None, " "), (7, None), (7, None), (7, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(map(tuple, jaccard_join.one_of_each(docs, jaccard_join.jaccard_components(docs)).collect()))
+    want = [(1, a), (1, b), (4, c), (5, d), (None, e), (None, None), (None, None), (None, " "), (7, None), (7, ""), (8, "")]
+    assert found == Counter(want)
+
+
 def test_regions_split_by_pivots(docs, rows, monkeypatch):
     want = sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=repr)
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
