@@ -146,23 +146,45 @@ def _searcher(shared):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document and benchmark item found in it."""
-    spark = docs.sparkSession
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+def _cleaner(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value)
+        for batch in batches:
+            data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
+            clean = np.ones(batch.num_rows, bool)
+            for lo, hi in groups(offsets):
+                h, row, _, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM)
+                clean[[lo + d for d, *_ in search(index, h, row, hi - lo)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """Broadcast blocks of (item id, text)."""
+    spark = benchmark.sparkSession
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).filter("text <> ''").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     # by id, so that an item's rows share a block; half full on average, as hashing fills blocks unevenly
     blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
-    found = []
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block])
-        found.append(slim.mapInArrow(_searcher(shared), _SCHEMA))
-    return reduce(DataFrame.unionAll, found)
+        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each document and benchmark item found in it."""
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return reduce(DataFrame.unionAll, [slim.mapInArrow(_searcher(shared), _SCHEMA) for shared in _blocks(benchmark, block_bytes)])
+
+
+def of_no_leak(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, whatever their ids; one pass a block, and no join."""
+    return reduce(lambda rows, shared: rows.mapInArrow(_cleaner(shared), docs.schema), _blocks(benchmark, block_bytes), docs)
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not among those of ``leaks``: rows that share such an id go, and rows without an id stay. ``of_no_leak`` goes by the rows themselves."""
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -137,6 +137,22 @@ def test_decontamination(spark, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_row(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    items = [(i, prose(20, r)) for i in range(4)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    leaking = [(i, f"{prose(30, r)} {t}", "s") for i, t in [(None, items[0][1]), (1, items[1][1]), (2, items[2][1]), (None, items[3][1])]]
+    clean = [(None, prose(50, r), "s"), (1, prose(50, r), "s"), (3, None, None), (None, None, "s"), (4, "", "s")]
+    docs = spark.createDataFrame(leaking + clean, "doc_id long, text string, source string")
+    for size in (1 << 20, 200):
+        assert Counter(map(tuple, decontaminate.of_no_leak(docs, bench, size).collect())) == Counter(clean)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(corpus_pipeline, "table", lambda *_: bench)
+        assert Counter(map(tuple, corpus_pipeline.decontamination(spark, docs, "").collect())) == Counter(clean)
+
+
 def test_sharding(docs, rows, empty):
     found = sharding.shard_documents(docs, 7).collect()
     key = lambda i, t: (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
