@@ -5,7 +5,7 @@ byte are learned, over the whole document, in overlapping chunks. Each filter is
 and the mean of its chunk maxima over all chunks are the features, so that long documents weigh no less by their end
 than by their start. A hidden layer combines them into one probability.
 
-It is trained on the driver by Adam, on at most SAMPLE labelled texts a class (and of LONGEST bytes); the share of the
+It is trained on the driver by Adam, on at most SAMPLE labelled texts a class, of any length; the share of the
 labels among all labelled rows then corrects the probability for the sample's balance. Scoring is one pass over the
 documents without any shuffle.
 

@@ -1,14 +1,15 @@
 """Toxicity by nearest labelled examples, under exact TF-IDF cosine over all words.
 
 Every word of a text counts, in documents and examples. Its weight is (1 + log of its frequency) x IDF, the IDF being over
-all documents; words that the label does not tell apart (see ``choose_terms``) weigh PLAIN of that, as topic words would
+all documents; words that the label does not tell apart (see ``telling_terms``) weigh PLAIN of that, as topic words would
 else govern the cosine of long texts. A word in fewer than one in RARE documents has the IDF of one in RARE, which bounds
 the table of counts; words that no example holds count in a document's length as any other.
 
 The examples' inverted index is cut into blocks of similar examples and posts, for each term and block, the largest weight
-in the block. A query sums these bounds by block, visits blocks from the highest bound down, and stops when the bound is
-below its k-th best cosine; where VISITS blocks do not suffice, it adds up the postings of all examples. So its K nearest
-are exact, ties going to the earlier example.
+in the block. A query sums these bounds by block. The VISITS blocks with the highest bounds are added up first and give a
+k-th best cosine; then every block whose bound reaches it. So its K nearest are exact, ties going to the earlier example.
+Queries are looked up in batches, so that the sums are matrix products for the terms with the longest postings and a few
+passes over arrays for all others.
 
 Neighbours vote with weights falling by cosine distance, each counting for as many labelled rows as it stands for in
 its class's sample; a prior of one vote keeps scores calibrated. Evidence is the neighbours' ids, nearest first.
@@ -38,8 +39,10 @@ from .labelled import held_out, sample
 from .text import ALNUM, groups, utf8, words
 
 SAMPLE = (6000, 3000)
-TERMS, K, BLOCK, VISITS = 512, 15, 64, 8
+K, BLOCK, VISITS = 15, 64, 2
 PLAIN, RARE = 1 / 16, 1 << 14
+#: Terms posted as whole rows, queries that are looked up together, and texts whose scores a task keeps.
+DENSE, QUERIES, KNOWN = 384, 64, 50_000
 #: A task counts words over so many distinct ones of its texts before it hands them on.
 PART = 4_000_000
 
@@ -59,8 +62,8 @@ def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return h[at], row[at], np.diff(np.append(at, len(h)))
 
 
-def choose_terms(h: np.ndarray, row: np.ndarray, y: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """Sorted hashes of the terms with the highest likelihood-ratio statistic, of those in enough examples (1 %, 4 at least) of a class, and four times as usual there as in the other."""
+def telling_terms(h: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sorted hashes of all terms that the label tells apart: in 1 % (4 at least) of a class's examples, four times as usual there as in the other, and with a likelihood-ratio statistic above 8."""
     terms, at = np.unique(h, return_inverse=True)
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     a = np.bincount(at, weights=y[row], minlength=len(terms))
@@ -70,9 +73,7 @@ def choose_terms(h: np.ndarray, row: np.ndarray, y: np.ndarray, most: int = TERM
     g = a * np.log(p / all_) + b * np.log(q / all_) + (n1 - a) * np.log((1 - p) / (1 - all_)) + (n0 - b) * np.log((1 - q) / (1 - all_))
     fit = ((p > 4 * q) & (a >= max(4, n1 / 100))) | ((q > 4 * p) & (b >= max(4, n0 / 100)))
     fit &= g > 8
-    best = np.flatnonzero(fit)
-    best = best[np.lexsort((terms[best], -g[best]))][:most]
-    return np.sort(terms[best])
+    return terms[fit]
 
 
 def unit_rows(row: np.ndarray, count: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
@@ -89,9 +90,14 @@ def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class BlockMax:
-    """Inverted index over unit vectors with the largest weight of each term and block; takes a matrix, or (row, term, weight, shape) of what is not zero."""
+    """Inverted index over unit vectors, cut into blocks of similar examples.
 
-    def __init__(self, v, block: int = BLOCK):
+    ``v`` is a matrix, or (row, term, weight, shape) of what is not zero. Postings stand by term, then block, and each run
+    of a term in a block has its largest weight. Terms with the longest postings (DENSE at most) are posted as whole rows,
+    so that their part of the sums is a matrix product.
+    """
+
+    def __init__(self, v, block: int = BLOCK, dense: int = DENSE):
         row, term, weight, (rows, terms) = v if isinstance(v, tuple) else (*np.nonzero(v), v[np.nonzero(v)], v.shape)
         # examples whose heaviest terms agree stand together, so that blocks differ in their bounds
         by = np.lexsort((term, -weight, row))
@@ -99,60 +105,75 @@ class BlockMax:
         some = np.flatnonzero(np.diff(start))
         lead = [term[by[np.minimum(start[some] + i, start[some + 1] - 1)]] for i in (0, 1)]
         self.rows = some[np.lexsort((some, lead[1], lead[0]))]
-        place = np.zeros(rows, np.int32)
+        place = np.zeros(rows, np.int64)
         place[self.rows] = np.arange(len(self.rows))
         at = place[row]
-        by = np.lexsort((term, at))
-        self.words, self.weights = term[by].astype(np.int32), weight[by]
-        self.first = np.searchsorted(at[by], np.arange(len(self.rows) + 1))
-        by = np.lexsort((at, term))
-        self.at, self.post = at[by], weight[by]
-        self.start = np.searchsorted(term[by], np.arange(terms + 1))
         self.edges = np.append(np.arange(0, len(self.rows), block), len(self.rows))
-        key = term[by].astype(np.int64) * len(self.edges) + self.at // block
-        new = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block = (key[new] % len(self.edges)).astype(np.int32)
-        self.bound = np.maximum.reduceat(self.post, new) if len(new) else np.empty(0)
-        self.block_start = np.searchsorted(key[new] // len(self.edges), np.arange(terms + 1))
-        self.q = np.zeros(terms)
-
-    def nearest(self, q, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the ``k`` nearest with a positive cosine, to a vector or (terms, weights)."""
-        t, weight = q if isinstance(q, tuple) else (np.flatnonzero(q), q[np.flatnonzero(q)])
-        ids, scores, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        lo, hi = self.block_start[t], self.block_start[t + 1]
-        each = spans(lo, hi)
-        bounds = np.bincount(self.block[each], np.repeat(weight, hi - lo) * self.bound[each], len(self.edges) - 1)
-        self.q[t] = weight
-        for i, b in enumerate(np.argsort(-bounds, kind="stable")):
-            if bounds[b] <= 0 or (len(ids) == k and bounds[b] < kth - 1e-12):
-                break
-            if i == VISITS:
-                ids, scores = self._best(self.rows, self._all(t, weight), k)
-                break
-            lo, hi = self.edges[b], self.edges[b + 1]
-            x = self.first[lo : hi + 1]
-            part = np.add.reduceat(self.weights[x[0] : x[-1]] * self.q[self.words[x[0] : x[-1]]], x[:-1] - x[0])
-            more, cos = self._best(self.rows[lo:hi], part, k)
-            ids, scores = self._best(np.concatenate([ids, more]), np.concatenate([scores, cos]), k)
-            kth = scores[-1] if len(scores) == k else 0.0
-        self.q[t] = 0
-        return ids, scores
-
-    def _all(self, t: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        s = np.zeros(len(self.rows))
-        for a, b, w in zip(self.start[t].tolist(), self.start[t + 1].tolist(), weight.tolist()):
-            s[self.at[a:b]] += w * self.post[a:b]
-        return s
+        held = np.bincount(term, minlength=terms)
+        usual = np.flatnonzero(held > len(self.rows) // 100)
+        usual = usual[np.argsort(-held[usual], kind="stable")][:dense]
+        self.column = np.full(terms, -1)
+        self.column[usual] = np.arange(len(usual))
+        column = self.column[term]
+        full = column >= 0
+        self.full = np.zeros((len(usual), len(self.rows)))
+        self.full[column[full], at[full]] = weight[full]
+        blocks = len(self.edges) - 1
+        self.full_bound = np.maximum.reduceat(self.full, self.edges[:-1], 1) if blocks else np.zeros((len(usual), 0))
+        term, at, weight = term[~full], at[~full], weight[~full]
+        by = np.lexsort((at, term))
+        term, self.at, self.post = term[by], at[by], weight[by]
+        key = term.astype(np.int64) * max(1, blocks) + self.at // block
+        run = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block = self.at[run] // block
+        self.bound = np.maximum.reduceat(self.post, run) if len(run) else np.empty(0)
+        self.run = np.append(run, len(key))
+        self.start = np.searchsorted(term[run], np.arange(terms + 1))
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each of ``n`` query vectors (given as the examples' are), the example numbers and cosines of the ``k`` nearest with a positive cosine; ties go to the earlier example."""
+        blocks, size = len(self.edges) - 1, len(self.rows)
+        if not blocks:
+            return [(np.empty(0, np.int64), np.empty(0))] * n
+        column = self.column[term]
+        full = column >= 0
+        q = np.zeros((n, len(self.full)))
+        q[row[full], column[full]] = weight[full]
+        row, term, weight = row[~full], term[~full], weight[~full]
+        lo, hi = self.start[term], self.start[term + 1]
+        runs, row, weight = spans(lo, hi), np.repeat(row, hi - lo), np.repeat(weight, hi - lo)
+        cell = row * blocks + self.block[runs]
+        bound = q @ self.full_bound + np.bincount(cell, weight * self.bound[runs], n * blocks).reshape(n, blocks)
+        score = np.zeros((n, size))
+
+        def visit(chosen: np.ndarray) -> None:
+            """Add up whole scores of the chosen (query, block) cells."""
+            for b in np.flatnonzero(chosen.any(0)):
+                i = np.flatnonzero(chosen[:, b])
+                score[i, self.edges[b] : self.edges[b + 1]] = q[i] @ self.full[:, self.edges[b] : self.edges[b + 1]]
+            live = np.flatnonzero(chosen.ravel()[cell])
+            lo, hi = self.run[runs[live]], self.run[runs[live] + 1]
+            each = spans(lo, hi)
+            to = np.repeat(row[live] * size, hi - lo) + self.at[each]
+            score.ravel()[:] += np.bincount(to, np.repeat(weight[live], hi - lo) * self.post[each], n * size)
+
+        # the blocks of the highest bounds give a k-th cosine; then every block whose bound reaches it
+        first = np.zeros((n, blocks), bool)
+        best = np.argsort(-bound, 1, kind="stable")[:, : max(VISITS, -(-k // max(1, int(np.diff(self.edges).min()))))]
+        np.put_along_axis(first, best, True, 1)
+        visit(first & (bound > 0))
+        kth = np.partition(score, size - k, 1)[:, size - k] if size > k else np.zeros(n)
+        visit(~first & (bound > 0) & (bound >= kth[:, None] - 1e-9))
+        return [self._best(self.rows, x, k) for x in score]
 
     @staticmethod
     def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        scores = np.round(scores, 12)
         keep = np.flatnonzero(scores > 0)
         if len(keep) > k:
-            keep = keep[scores[keep] >= np.partition(scores[keep], -k)[-k]]
-        top = keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
-        return ids[top], scores[top]
+            keep = keep[scores[keep] >= np.partition(scores[keep], -k)[-k] - 1e-11]
+        scores = np.round(scores[keep], 12)
+        top = np.lexsort((ids[keep], -scores))[:k]
+        return ids[keep[top]], scores[top]
 
 
 class Model:
@@ -172,30 +193,35 @@ class Model:
         """Made where it is used, so that only the vectors are sent."""
         return BlockMax((*self.examples, (len(self.y), len(self.known))))
 
-    def vote(self, t: np.ndarray, weight: np.ndarray) -> tuple[float, list[int]]:
-        near, cos = self.index.nearest((t, weight), self.k)
+    def vote(self, near: np.ndarray, cos: np.ndarray) -> tuple[float, list[int]]:
         if not len(near):
             return self.bare, []
         w = self.stands[near] / (1.02 - np.minimum(cos, 1))
         return float((w[self.y[near] == 1].sum() + self.unit * self.prior) / (w.sum() + self.unit)), self.ids[near].tolist()
 
     def score(self, data: np.ndarray, offsets: np.ndarray, known: dict[bytes, tuple[float, list[int]]]) -> tuple[np.ndarray, list[list[int]]]:
+        """Scores and evidence of each text; ``known`` holds those of texts that the task has met, by a digest of their words."""
         n = len(offsets) - 1
         h, row, count = _distinct(*_rows_of(data, offsets))
-        score, evidence = np.full(n, self.bare), [[] for _ in range(n)]
         term = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         hit = self.known[term] == h
         weight = unit_rows(row, count, np.where(hit, self.weight[term], self.rare), n)
         start = np.searchsorted(row, np.arange(n + 1))
-        for i in np.flatnonzero(np.diff(start)):
-            own = slice(start[i], start[i + 1])
-            key = blake2b(h[own].tobytes() + count[own].tobytes(), digest_size=16).digest()
-            if key not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                known[key] = self.vote(term[own][hit[own]], weight[own][hit[own]])
-            score[i], evidence[i] = known[key]
-        return score, evidence
+        keys = [blake2b(h[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest() for a, b in zip(start[:-1], start[1:])]
+        first = {key: i for i, key in reversed(list(enumerate(keys))) if key not in known}
+        new = np.sort(np.fromiter(first.values(), np.int64, len(first)))
+        found = {key: known[key] for key in keys if key in known}
+        for lo in range(0, len(new), QUERIES):
+            part = new[lo : lo + QUERIES]
+            at = spans(start[part], start[part + 1])
+            to = np.repeat(np.arange(len(part)), start[part + 1] - start[part])[hit[at]]
+            at = at[hit[at]]
+            for i, near in zip(part, self.index.nearest(to, term[at], weight[at], len(part), self.k)):
+                found[keys[i]] = self.vote(*near)
+        if len(known) > KNOWN:
+            known.clear()
+        known.update(found)
+        return np.array([found[key][0] for key in keys]), [found[key][1] for key in keys]
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     weight[np.searchsorted(known, words_)] = n
     idf = lambda n: np.log((total + 1) / (n + 1)) + 1
     weight = PLAIN * idf(weight)
-    weight[np.searchsorted(known, choose_terms(h, row, y))] /= PLAIN
+    weight[np.searchsorted(known, telling_terms(h, row, y))] /= PLAIN
     term = np.searchsorted(known, h).astype(np.int32)
     vectors = row.astype(np.int32), term, unit_rows(row, count, weight[term], len(y))
     return Model(known, weight, PLAIN * idf(max(1.0, total / RARE)), vectors, y, ids, totals)
