@@ -1,24 +1,34 @@
-"""What the corpus operators share: durable intermediate tables and table access."""
+"""What the corpus operators share: durable intermediate tables, row keys, bitmaps and table access."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys up to which ``rows_without`` sends them to all tasks (8 bytes each).
+FEW_KEYS = 200_000
+#: Bits of a bitmap that is sent to all tasks, at most.
+BITMAP_BITS = 1 << 27
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one is set for the session."""
+    """The folder of ``spark.checkpoint.dir``, or that of ``setCheckpointDir``. Where neither is set, a local master gets a
+    temporary one for the session; on a cluster, where its members would not share it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("helixframe.scratch", None)
+        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = of_context.get() if of_context.isDefined() else spark.conf.get("helixframe.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("helixframe.scratch", found)
     return found.rstrip("/")
@@ -48,3 +58,48 @@ def discard(spark: SparkSession, folder: str) -> None:
 def text_bytes(df: DataFrame, text: str = "text"):
     """Column: UTF-8 length of a text, 0 for null."""
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+
+
+def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> F.Column:
+    """A hash of id and text; a null differs from any value."""
+    return F.xxhash64(docs[doc_id].cast("long"), docs[text].cast("string"))
+
+
+def bitmap(keys: DataFrame, column: str, most: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of hashes, with 16 bits for each, but ``most`` at most; gathered as numbers of 64 bits."""
+    bits = min(most, 1 << max(16, (16 * max(1, keys.count()) - 1).bit_length()))
+    word = F.shiftright(F.col(column).bitwiseAND(F.lit(bits - 1)), 6)
+    one = F.expr(f"bit_or(shiftleft(1L, cast(`{column}` & 63L as int)))")
+    rows = keys.groupBy(word.alias("word")).agg(one.alias("held")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("held").to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the (unsigned) hashes may be in a bitmap."""
+    slot = h & np.uint64(8 * len(bits) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def rows_without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is not in ``keys``. Few keys are sent to all tasks; of many, a bitmap is, so
+    that the rows that it clears are not shuffled."""
+    spark, key = docs.sparkSession, uuid.uuid4().hex
+    keyed = docs.withColumn(key, row_key(docs))
+    gone = keys.select(F.col("row_key").alias(key))
+    if keys.count() <= FEW_KEYS:
+        return keyed.join(F.broadcast(gone), key, "left_anti").select(docs.columns)
+    bits = spark.sparkContext.broadcast(bitmap(keys, "row_key"))
+
+    def split(held: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                h = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield batch.filter(pa.array(in_bitmap(bits.value, h) == held))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    return split(False).union(split(True).join(gone, key, "left_anti").select(keyed.columns)).select(docs.columns)

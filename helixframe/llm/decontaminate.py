@@ -1,191 +1,224 @@
 """Benchmark decontamination with spaced seeds.
 
 A mask picks some of the word positions in a short span and ignores the others, so its hash survives substitutions at
-the ignored ones. The benchmark's hashes, under every mask, make a sorted index; each document's hashes are joined with
-it where the document is, and each hit names an item and a diagonal (the item's offset in the document). The overlap of
-document and item along the diagonal is then verified word by word: the best-scoring stretch (a match counts 1, a
-mismatch -MISMATCH) must have enough matches. Stretches of one item on several diagonals (words inserted or dropped)
-count together.
-
-An item is found in a document if ``need(item words)`` of its words are matched: half of them, but 8 at least and 13 at
-most; items under 8 words must occur whole, and those under 4 are not searched for.
-
-The index is made of blocks of benchmark items of at most BLOCK_BYTES of text, and each block is one pass over the
-documents; so what is sent to the executors has a fixed bound however large the benchmark. No document text is shuffled.
+the ignored ones. Items that are equal word by word are searched once. Their hashes under every mask are a table, the
+test hashes; the documents' hashes are the training hashes, and the two are joined. Each hit names an item and a diagonal
+(the item's offset in the document).
+
+A bitmap of the test hashes, of LOOK_BITS bits at most, spares most training hashes the shuffle: a document that holds
+none of them is not sent. Of the others the stretches around hits are sent, as far as an item can reach; so a long
+document with one hit does not travel whole. A hash that many documents hold is split by a salt where the table of
+items is too large to be sent to the tasks.
+
+Overlaps around hits are verified word by word. Along a diagonal, a run is a best-scoring piece (a match counts 1, a
+mismatch -MISMATCH) with LEAST_RUN matches at least. Runs of one item on neighbouring diagonals (SHIFT words inserted or
+dropped at most) and near each other in the document (WINDOW words between them at most) make a chain. An item is found
+in a document if a chain matches ``need(item words)`` of its words: half of them, but 8 at least and 13 at most; items
+under 8 words must occur whole, and those under 4 are not searched for. ``span_words`` is the length of the best chain,
+so it is never below ``matched_words``.
 
 Defined cases: null and empty texts match nothing, nor do null and empty items; repeated documents return repeated rows,
-repeated items one row an item id; a null doc_id or item_id is kept as null; other columns are ignored.
+repeated items one row an item id; a null doc_id or item_id is kept as null; of chains with equal matches the first in
+the document is told; other columns are ignored, and kept by ``of_no_leak``; an empty table on either side finds nothing.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bitmap, in_bitmap, row_key, rows_without, stash, table
 from .text import ALNUM, combine, groups, utf8, words
 
 #: Seeds: 1 is compared, 0 is ignored.
 MASKS = ("1101101011", "1110010111", "1011110101", "11111")
 MISMATCH = 1.5
 LEAST_RUN = 5
-BLOCK_BYTES = 8 << 20
-_LOOK = 1 << 22
+SHIFT, WINDOW = 8, 16
+LOOK_BITS = 1 << 26
+#: Parts of a training hash that many documents hold.
+SALTS = 16
 
 
 def need(n: int) -> int:
     return n if n < 8 else max(8, min(13, -(-n // 2)))
 
 
-class Index:
-    """Seeds of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids = [i for i, _ in items]
-        data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
-        h, row, _, _ = words(data, offsets, ALNUM)
-        bounds = np.searchsorted(row, np.arange(len(items) + 1))
-        self.items = [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        self.tables = []
-        for m, mask in enumerate(MASKS):
-            at = [i for i, x in enumerate(mask) if x == "1"]
-            s = combine(h, at, m + 1)
-            pos = np.arange(len(h) - max(at)) if len(s) else np.empty(0, np.int64)
-            ok = row[pos] == row[pos + max(at)] if len(s) else np.empty(0, bool)
-            self.tables.append(self._table(at, s[ok], row[pos[ok]], pos[ok] - bounds[row[pos[ok]]]))
-        # items too short for every mask are one seed of all their words
-        for n in range(4, min(len(x) for x in MASKS)):
-            short = [i for i, x in enumerate(self.items) if len(x) == n]
-            if short:
-                s = np.array([combine(self.items[i], range(n), 100 + n)[0] for i in short], np.uint64)
-                self.tables.append(self._table(list(range(n)), s, np.array(short), np.zeros(len(short), np.int64), 100 + n))
-
-    def _table(self, at, s, item, pos, salt=None):
-        order = np.argsort(s, kind="stable")
-        look = np.zeros(_LOOK >> 3, np.uint8)
-        slot = s >> np.uint64(42)
-        np.bitwise_or.at(look, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
-        return at, s[order], item[order], pos[order], look, len(self.tables) + 1 if salt is None else salt
-
-    def hits(self, h: np.ndarray, row: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, item, diagonal) of every seed that a document shares with an item."""
-        found: set[tuple[int, int, int]] = set()
-        for at, known, item, pos, look, salt in self.tables:
-            s = combine(h, at, salt)
-            if not len(s) or not len(known):
-                continue
-            slot = s >> np.uint64(42)
-            i = np.flatnonzero(look[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-            i = i[row[i] == row[i + max(at)]]
-            lo, hi = np.searchsorted(known, s[i], "left"), np.searchsorted(known, s[i], "right")
-            n = hi - lo
-            i, lo, n = i[n > 0], lo[n > 0], n[n > 0]
-            each = np.repeat(np.arange(len(i)), n)
-            k = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            d = row[i[each]]
-            found.update(zip(d.tolist(), item[k].tolist(), (i[each] - first[d] - pos[k]).tolist()))
-        return found
-
-
-def stretch(same: np.ndarray) -> tuple[int, int]:
-    """Bounds of the best-scoring stretch of matches and mismatches."""
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -MISMATCH))])
-    low = np.minimum.accumulate(score)
-    hi = int(np.argmax(score - low))
-    return int(np.argmin(score[: hi + 1])), hi
-
-
-def search(index: Index, h: np.ndarray, row: np.ndarray, rows: int) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, matched, first word, words spanned) of found items."""
-    first = np.searchsorted(row, np.arange(rows + 1))
-    covered: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = defaultdict(list)
-    for d, item, diagonal in index.hits(h, row, first[:-1]):
-        x, y = index.items[item], h[first[d] : first[d + 1]]
-        lo, hi = max(0, -diagonal), min(len(x), len(y) - diagonal)
-        same = x[lo:hi] == y[lo + diagonal : hi + diagonal]
-        a, b = stretch(same)
-        if np.count_nonzero(same[a:b]) >= min(LEAST_RUN, len(x)):
-            covered[d, item].append((lo + a + diagonal, lo + b + diagonal, np.flatnonzero(same[a:b]) + lo + a))
-    out = []
-    for (d, item), parts in covered.items():
-        matched = len(np.unique(np.concatenate([p for _, _, p in parts])))
-        if matched >= need(len(index.items[item])):
-            start, end, _ = max(parts, key=lambda p: (len(p[2]), -p[0]))
-            out.append((d, item, matched, start, end - start))
-    return sorted(out)
+def seeds_of(h: np.ndarray, short: bool = True) -> Iterator[tuple[np.ndarray, int]]:
+    """Hashes at every word where a mask fits, mask by mask, and the number of words it spans; ``short``: also of 4 words."""
+    for m, mask in enumerate(MASKS):
+        yield combine(h, [i for i, x in enumerate(mask) if x == "1"], m + 1), len(mask)
+    if short:
+        yield combine(h, range(4), 104), 4
 
 
-_SCHEMA = "doc_id long, item_id long, matched_words int, item_words int, first_word int, span_words int"
+_ITEMS = "item long, item_id long, words array<long>, seeds array<long>, places array<int>"
 
 
-def _searcher(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            ids = batch.column("doc_id")
-            out: dict[str, list] = {k.split()[0]: [] for k in _SCHEMA.split(", ")}
-            for lo, hi in groups(offsets):
-                h, row, _, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM)
-                best: dict[tuple, tuple] = {}
-                for d, item, matched, start, span in search(index, h, row, hi - lo):
-                    key = d, index.ids[item]
-                    best[key] = max(best.get(key, (0,)), (matched, -start, len(index.items[item]), start, span))
-                for (d, item), (matched, _, n, start, span) in best.items():
-                    for k, v in zip(out, (ids[lo + d].as_py(), item, matched, n, start, span)):
-                        out[k].append(v)
-            types = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's words and test hashes; ``item`` is a hash of all its words. Items under 4 words are left out."""
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        out: list[list] = [[] for _ in types]
+        for i, item_id in enumerate(batch.column("item_id").to_pylist()):
+            h, _, _, _ = words(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), ALNUM)
+            if len(h) < 4:
+                continue
+            # an item that no mask of five words fits is one seed of its four
+            found = [(s, p) for hashes, _ in seeds_of(h, len(h) < 5) for p, s in enumerate(hashes)]
+            key = combine(h, [0], 7)
+            whole = np.bitwise_xor.reduce(combine(key + np.arange(len(key), dtype=np.uint64), [0], 9)) + np.uint64(len(h))
+            row = (int(whole.view(np.int64)), item_id, h.view(np.int64), [int(s.view(np.int64)) for s, _ in found], [p for _, p in found])
+            for column, value in zip(out, row):
+                column.append(value)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], [x.split()[0] for x in _ITEMS.split(", ")])
 
-    return run
+
+_STRETCH = "doc_id long, row_key long, row long, first int, words array<long>, seeds array<long>, places array<int>"
 
 
-def _cleaner(shared):
+def _stretches(look, reach: int, short: bool):
+    """Of each document that may hold test hashes, the stretches of words around them: their first word's place, words and hits."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        bits = look.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
-            clean = np.ones(batch.num_rows, bool)
+            data, offsets = utf8(batch.column("text"))
+            ids, keys = batch.column("doc_id"), batch.column("row_key")
             for lo, hi in groups(offsets):
-                h, row, _, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM)
-                clean[[lo + d for d, *_ in search(index, h, row, hi - lo)]] = False
-            yield batch.filter(pa.array(clean))
+                h, at, _, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM)
+                seeds, places = [], []
+                for s, n in seeds_of(h, short):
+                    i = np.flatnonzero(in_bitmap(bits, s))
+                    i = i[at[i] == at[i + n - 1]]
+                    seeds.append(s[i])
+                    places.append(i)
+                seed, place = np.concatenate(seeds), np.concatenate(places)
+                order = np.argsort(place, kind="stable")
+                seed, place = seed[order], place[order]
+                first = np.searchsorted(at, np.arange(hi - lo + 1))
+                out: list[list] = [[] for _ in types]
+                # a stretch ends where the next hit is in another document, or out of reach of any item
+                cut = np.flatnonzero((np.diff(place) > 2 * reach) | (at[place[1:]] != at[place[:-1]])) + 1 if len(place) else []
+                for part_seed, part in zip(np.split(seed, cut), np.split(place, cut)):
+                    if not len(part):
+                        continue
+                    d = at[part[0]]
+                    a, b = max(first[d], part[0] - reach), min(first[d + 1], part[-1] + reach)
+                    value = (ids[int(lo + d)].as_py(), keys[int(lo + d)].as_py(), row + lo + int(d), a - first[d], h[a:b].view(np.int64), part_seed.view(np.int64), (part - a).astype(np.int32))
+                    for column, x in zip(out, value):
+                        column.append(x)
+                if out[0]:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], [x.split()[0] for x in _STRETCH.split(", ")])
+            row += batch.num_rows
 
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
-    """Broadcast blocks of (item id, text)."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).filter("text <> ''").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    # by id, so that an item's rows share a block; half full on average, as hashing fills blocks unevenly
-    blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        yield spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block])
+def runs(same: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the best-scoring pieces of matches and mismatches with LEAST_RUN matches (all, if there are fewer)."""
+    out, least = [], min(LEAST_RUN, len(same))
+    todo = [(0, len(same))]
+    while todo:
+        lo, hi = todo.pop()
+        part = same[lo:hi]
+        if np.count_nonzero(part) < max(1, least):
+            continue
+        score = np.concatenate([[0.0], np.cumsum(np.where(part, 1.0, -MISMATCH))])
+        end = int(np.argmax(score - np.minimum.accumulate(score)))
+        start = int(np.argmin(score[: end + 1]))
+        if np.count_nonzero(part[start:end]) >= least:
+            out.append((lo + start, lo + end))
+            todo += [(lo, lo + start), (lo + end, hi)]
+    return sorted(out)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def best_chain(x: np.ndarray, y: np.ndarray, diagonals: list[int]) -> tuple[int, int, int] | None:
+    """(matched, first word, words spanned) of the chain with the most matches of item ``x`` in ``y``; None below its need."""
+    found = []
+    for diagonal in sorted(set(diagonals)):
+        lo, hi = max(0, -diagonal), min(len(x), len(y) - diagonal)
+        if lo >= hi:
+            continue
+        same = x[lo:hi] == y[lo + diagonal : hi + diagonal]
+        for a, b in runs(same):
+            found.append((lo + a + diagonal, lo + b + diagonal, diagonal, np.flatnonzero(same[a:b]) + lo + a))
+    found.sort(key=lambda f: f[:3])
+    best = None
+    chains: list[list] = []
+    for f in found:
+        # the latest chain that this run continues
+        for chain in reversed(chains):
+            if abs(f[2] - chain[-1][2]) <= SHIFT and f[0] <= max(c[1] for c in chain) + WINDOW:
+                chain.append(f)
+                break
+        else:
+            chains.append([f])
+    for chain in chains:
+        at = np.unique(np.concatenate([f[3] for f in chain]))
+        there = np.unique(np.concatenate([f[3] + f[2] for f in chain]))
+        matched = min(len(at), len(there))
+        if matched >= need(len(x)) and (best is None or matched > best[0]):
+            best = matched, int(there[0]), int(there[-1] - there[0]) + 1
+    return best
+
+
+_FOUND = "doc_id long, row_key long, row long, item long, matched_words int, item_words int, first_word int, span_words int"
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    for batch in batches:
+        rows = []
+        for i, (first, shift) in enumerate(zip(batch.column("first").to_pylist(), batch.column("diagonals").to_pylist())):
+            x, y = (batch.column(c)[i].values.to_numpy() for c in ("item_words", "words"))
+            best = best_chain(x, y, shift)
+            if best:
+                rows.append((i, best[0], len(x), first + best[1], best[2]))
+        at = pa.array([r[0] for r in rows], pa.int64())
+        own = [batch.column(c).take(at) for c in names[:4]]
+        yield pa.record_batch([*own, *[pa.array([r[k] for r in rows], pa.int32()) for k in range(1, 5)]], names)
+
+
+def _search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows (doc_id, row_key, item_id, matched_words, item_words, first_word, span_words), one for each row of ``docs`` and item id."""
+    spark = docs.sparkSession
+    texts = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text"))
+    items = stash(texts.filter("text <> ''").distinct().mapInArrow(_items, _ITEMS), "items")
+    named = items.select("item", "item_id").distinct()
+    known = stash(items.select("item", "words", "seeds", "places").dropDuplicates(["item"]), "known")
+    tests = stash(known.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("seed"), "item", F.col("s.places").alias("at")), "tests")
+    facts = known.agg(F.coalesce(F.max(F.size("words")), F.lit(0)).alias("reach"), F.coalesce(F.min(F.size("words")), F.lit(9)).alias("least")).first()
+    look = spark.sparkContext.broadcast(bitmap(tests.select("seed"), "seed", LOOK_BITS))
+
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("row_key"), docs["text"].cast("string").alias("text"))
+    held = stash(slim.mapInArrow(_stretches(look, facts["reach"] + SHIFT + 1, facts["least"] < 5), _STRETCH).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
+    hits = held.select("stretch", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("stretch", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"), F.pmod("stretch", F.lit(SALTS)).cast("int").alias("salt"))
+    salted = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = hits.join(salted, ["seed", "salt"]).groupBy("stretch", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
+    sides = near.join(known.select("item", F.col("words").alias("item_words")), "item").join(held.select("stretch", "doc_id", "row_key", "row", "first", "words"), "stretch")
+    found = sides.mapInArrow(_verified, _FOUND)
+    best = found.groupBy("row", "item").agg(F.max(F.struct("matched_words", (-F.col("first_word")).alias("before"), "span_words", "item_words", "doc_id", "row_key")).alias("b"))
+    out = best.join(named, "item").groupBy("row", "item_id").agg(F.max("b").alias("b"))
+    return out.select("b.doc_id", "b.row_key", "item_id", "b.matched_words", "b.item_words", (-F.col("b.before")).alias("first_word"), "b.span_words")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item found in it."""
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return reduce(DataFrame.unionAll, [slim.mapInArrow(_searcher(shared), _SCHEMA) for shared in _blocks(benchmark, block_bytes)])
-
-
-def of_no_leak(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, whatever their ids; one pass a block, and no join."""
-    return reduce(lambda rows, shared: rows.mapInArrow(_cleaner(shared), docs.schema), _blocks(benchmark, block_bytes), docs)
+    return _search(docs, benchmark).drop("row_key")
 
 
-def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among those of ``leaks``: rows that share such an id go, and rows without an id stay. ``of_no_leak`` goes by the rows themselves."""
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def of_no_leak(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found: rows are told apart by id and text, so those without an id, or that share one, are judged by their own text."""
+    return rows_without(docs, stash(_search(docs, benchmark).select("row_key").distinct(), "leaks"))
 
 
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
