@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from helixframe.llm import ann, decontaminate, jaccard_join, labelled, licenses, mixing, quality, sharding, token_cache, toxicity, warc
+from helixframe.llm import ann, common, decontaminate, jaccard_join, labelled, licenses, mixing, quality, sharding, token_cache, toxicity, warc
 
 DOCS = "doc_id long, text string, source string, lang string, size long, n long, draw string, score double, shard int"
 R = random.Random(5)
@@ -114,9 +114,72 @@ def test_loose_copies_of_one_text(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == dict(enumerate(low))
 
 
+def plain_leaks(docs, items):
+    """The definition of an overlap, word by word: every pair of places is compared under every mask, without a hash or an index."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII))
+    out = []
+    for d, text in docs:
+        y = split(text)
+        for i, item in items:
+            x = split(item)
+            if len(x) < 4:
+                continue
+            masks = decontaminate.MASKS if len(x) > 4 else ("1111",)
+            diagonals = {
+                q - p
+                for m in masks
+                for p in range(len(x) - len(m) + 1)
+                for q in range(len(y) - len(m) + 1)
+                if all(x[p + k] == y[q + k] for k, bit in enumerate(m) if bit == "1")
+            }
+            pieces = []
+            for g in diagonals:
+                places = [k for k in range(len(x)) if 0 <= k + g < len(y)]
+                todo = [places]
+                while todo:  # the best-scoring piece, then what is left on both sides of it
+                    part = todo.pop()
+                    least = min(5, len(places))
+                    best = (0, None)
+                    for lo in range(len(part)):
+                        total = 0.0
+                        for hi in range(lo, len(part)):
+                            total += 1 if x[part[hi]] == y[part[hi] + g] else -1.5
+                            if total > best[0] + 1e-9:
+                                best = (total, (lo, hi + 1))
+                    if best[1] is None:
+                        continue
+                    lo, hi = best[1]
+                    same = [k for k in part[lo:hi] if x[k] == y[k + g]]
+                    if len(same) >= least:
+                        pieces.append((part[lo] + g, part[hi - 1] + g + 1, g, same))
+                        todo += [part[:lo], part[hi:]]
+            chains = []
+            for piece in sorted(pieces, key=lambda f: f[:3]):
+                for c in reversed(chains):
+                    if abs(piece[2] - c[-1][2]) <= 8 and piece[0] <= max(f[1] for f in c) + 16:
+                        c.append(piece)
+                        break
+                else:
+                    chains.append([piece])
+            found = []
+            for c in chains:
+                there = {k + f[2] for f in c for k in f[3]}
+                n = min(len({k for f in c for k in f[3]}), len(there))
+                if n >= decontaminate.need(len(x)):
+                    found.append((n, -min(there), max(there) - min(there) + 1))
+            if found:
+                n, first, span = max(found)
+                out.append((d, i, n, len(x), -first, span))
+    return Counter(out)
+
+
+def told(found):
+    return Counter(tuple(x[c] for c in ("doc_id", "item_id", "matched_words", "item_words", "first_word", "span_words")) for x in found.collect())
+
+
 def test_decontamination(spark, empty):
     r = random.Random(2)
-    items = [(i, prose(n, r)) for i, n in enumerate([40, 25, 16, 12, 9, 6, 4, 3])] + [(50, None), (51, ""), (0, None)]
+    items = [(i, prose(n, r)) for i, n in enumerate([40, 25, 16, 12, 9, 6, 4, 3, 200])] + [(50, None), (51, ""), (0, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows, want = [], set()
     for i, t in items[:7]:
@@ -127,17 +190,51 @@ def test_decontamination(spark, empty):
         w[k] = "zzz"
     rows.append((200, prose(10, r) + " " + " ".join(w)))  # substitutions
     rows.append((201, " ".join(items[1][1].split()[:15] + ["zzz"] + items[1][1].split()[15:])))  # an insertion
-    want |= {(200, 0), (201, 1)}
+    long = items[8][1].split()
+    rows.append((202, " ".join([*long[20:26], "zzz", "yyy", *long[26:34]])))  # two runs side by side
+    want |= {(200, 0), (201, 1), (202, 8)}
     rows += [(300 + k, prose(200, r)) for k in range(20)] + [(400, None), (401, ""), (402, items[7][1]), (403, " ".join(items[0][1].split()[:6]))]
+    # fragments of one item far apart are no overlap, neither in one stretch nor in two, nor on distant diagonals
+    rows.append((404, " ".join([*long[:6], *prose(60, r).split(), *long[66:74]])))
+    rows.append((405, " ".join([*long[:6], *prose(2000, r).split(), *long[100:108]])))
+    rows.append((406, " ".join([*long[:6], *long[150:157]])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for size in (1 << 20, 200):  # one block of items, and several
-        found = decontaminate.find_leaks(docs, bench, size)
-        assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want
-    assert decontaminate.without_leaks(docs, found).count() == len(rows) - len({d for d, _ in want})
+    found = decontaminate.find_leaks(docs, bench)
+    assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want
+    assert all(x["matched_words"] <= x["span_words"] for x in found.collect())
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
-
-
-def test_decontamination_by_row(spark):
+    assert decontaminate.of_no_leak(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_decontamination_equals_definition(spark):
+    r = random.Random(21)
+    some = lambda n: " ".join(r.choices(VOCAB[:25], k=n))
+    items = [(i, some(r.randrange(3, 40))) for i in range(12)]
+    items += [(100, items[3][1]), (100, items[3][1]), (None, items[4][1]), (3, items[5][1])]  # ties, repeated and null ids
+    docs = []
+    for i in range(80):
+        w = some(r.randrange(0, 60)).split()
+        for _ in range(r.randrange(0, 5)):
+            x = r.choice(items)[1].split()
+            lo = r.randrange(-(-len(x) // 2))
+            part = [r.choice(VOCAB) if r.random() < 0.1 else y for y in x[lo : lo + r.randrange(6, 40)]]
+            at = r.randrange(len(w) + 1)
+            w[at:at] = part
+        docs.append((i, " ".join(w)))
+    docs += [(5, docs[5][1]), (None, docs[6][1]), (None, docs[6][1]), (7, docs[8][1]), (9, None), (9, "")]
+    text = "item_id long, text string"
+    shared = spark.createDataFrame([(*x, 1, "a", 3) for x in docs], "doc_id long, text string, seed int, words string, item long")
+    want = Counter()
+    for d, t in docs:  # of an id that names two texts, the better overlap
+        best = {}
+        for key in plain_leaks([(d, t)], list(dict.fromkeys(items))):
+            best[key[1]] = max(best.get(key[1], key), key, key=lambda k: (k[2], -k[4], k[5], k[3]))
+        want.update(best.values())
+    assert sum(want.values()) > 40
+    assert told(decontaminate.find_leaks(shared, spark.createDataFrame(items, text))) == want
+
+
+def test_decontamination_by_row(spark, monkeypatch):
     import corpus_pipeline
 
     r = random.Random(6)
@@ -145,32 +242,94 @@ def test_decontamination_by_row(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     leaking = [(i, f"{prose(30, r)} {t}", "s") for i, t in [(None, items[0][1]), (1, items[1][1]), (2, items[2][1]), (None, items[3][1])]]
     clean = [(None, prose(50, r), "s"), (1, prose(50, r), "s"), (3, None, None), (None, None, "s"), (4, "", "s")]
-    docs = spark.createDataFrame(leaking + clean, "doc_id long, text string, source string")
-    for size in (1 << 20, 200):
-        assert Counter(map(tuple, decontaminate.of_no_leak(docs, bench, size).collect())) == Counter(clean)
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(corpus_pipeline, "table", lambda *_: bench)
-        assert Counter(map(tuple, corpus_pipeline.decontamination(spark, docs, "").collect())) == Counter(clean)
+    docs = spark.createDataFrame(leaking + clean, "doc_id long, text string, row_key string")
+    for few in (100, 0):  # keys are sent to all tasks, or a bitmap of them is
+        monkeypatch.setattr(common, "FEW_KEYS", few)
+        assert Counter(map(tuple, decontaminate.of_no_leak(docs, bench).collect())) == Counter(clean)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(corpus_pipeline, "table", lambda *_: bench)
+            assert Counter(map(tuple, corpus_pipeline.decontamination(spark, docs, "").collect())) == Counter(clean)
 
 
-def test_sharding(docs, rows, empty):
+def test_sharding(spark, docs, rows, empty):
     found = sharding.shard_documents(docs, 7).collect()
     key = lambda i, t: (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == Counter(key(r[0], r[1]) for r in rows)
-    by = defaultdict(list)
+    by, load, shards = defaultdict(list), Counter(r["label"] for r in found), defaultdict(set)
     for r in found:
         by[r["shard"]].append(r["slot"])
+        shards[r["node"]].add(r["shard"])
     assert set(by) == set(range(7)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    full = sharding.with_shards(docs, 7)
-    assert full.count() == len(rows) and full.select("shard", "slot").distinct().count() == len(rows)
-    assert sharding.shard_documents(empty).count() == 0
+    # no row moves but a label's surplus, and equal texts stay together
+    assert sum(r["shard"] != r["label"] for r in found) == sum(max(0, load[a] - len(by[a])) for a in range(7))
+    # but for groups in labels with more repeated rows than their shard holds
+    copies, of = Counter(r["node"] for r in found), {r["node"]: r["label"] for r in found}
+    repeated = Counter(r["label"] for r in found if copies[r["node"]] > 1)
+    assert all(len(x) == 1 or repeated[of[n]] > len(by[of[n]]) for n, x in shards.items())
+    assert sharding.shard_documents(empty).count() == 0 and sharding.with_shards(empty).count() == 0
+    few = sharding.shard_documents(docs.limit(3), 7).collect()
+    assert sorted((r["slot"]) for r in few) == [0, 0, 0] and len({r["shard"] for r in few}) == 3
+
+
+def test_with_shards_keeps_columns(spark, rows):
+    names = "doc_id long, text string, shard string, Slot long, input_shard long, uid string, crc long, row int"
+    data = [(r[0], r[1], f"old{k}", k, k, "u", 2, 3) for k, r in enumerate(rows)]
+    full = sharding.with_shards(spark.createDataFrame(data, names), 7)
+    assert full.columns == ["doc_id", "text", "input_shard_", "input_slot", "input_shard", "uid", "crc", "row", "shard", "slot"]
+    assert Counter(map(tuple, full.drop("shard", "slot").collect())) == Counter(data)
+    assert full.select("shard", "slot").distinct().count() == len(rows)
+    plain = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_documents(spark.createDataFrame(data, names), 7).collect()}
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in full.collect()} == plain
+
+
+def test_propagation_lowers_the_cut(spark):
+    r = random.Random(31)
+    texts = []
+    for _ in range(25):  # groups of near copies of many sizes; one is larger than a shard
+        base = prose(40, r).split()
+        for _ in range(r.choice([1, 1, 2, 3, 9])):
+            w = list(base)
+            for _ in range(r.randrange(0, 6)):
+                w[r.randrange(40)] = r.choice(VOCAB)
+            texts.append(" ".join(w))
+    texts += [" ".join([*base[:39], x]) for x in VOCAB[:60]] + texts[:30] * 2 + [prose(30, r) for _ in range(150)]
+    slim = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "doc_id as uid", "text")
+    facts = slim.mapInArrow(sharding._facts, sharding._FACTS)
+    found, cuts = sharding.propagate(facts, 6)
+    label = {x["node"]: x["label"] for x in found.collect()}
+    weight, hubs = Counter(), defaultdict(dict)
+    for x in facts.collect():
+        weight[x["node"]] += 1
+        for k in range(sharding.HUBS):
+            if x[f"hub{k}"] is not None:
+                hubs[k, x[f"hub{k}"]][x["node"]] = 1
+
+    def cut(of):
+        out = 0
+        for nodes in hubs.values():
+            out += sum(weight[a] * weight[b] for a, b in itertools.combinations(nodes, 2) if of[a] != of[b])
+        return out
+
+    everything = cut({n: n for n in label})
+    assert cuts[0][1] == everything and min(c for c, _ in cuts) == cut(label) and cut(label) < cuts[0][0]
+    by_hash = sum(cut({n: r.randrange(6) for n in label}) for _ in range(5)) / 5
+    assert cut(label) < 0.5 * by_hash
+    shards = sharding._assigned(slim, 6).collect()
+    of, sizes = {}, Counter(x["shard"] for x in shards)
+    for x in shards:
+        of.setdefault(x["node"], x["shard"])
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and cut(of) < 0.7 * by_hash
 
 
 def test_quotas():
-    flows = [{"label": 0, "want": 1, "w": 100}, {"label": 1, "want": 0, "w": 40}, {"label": 2, "want": 1, "w": 60}]
-    part = {(a, b): p for a, b, p in sharding._granted(flows, {0: 100, 1: 100, 2: 100}, 110)}
+    flow = lambda a, b, w, f=False: {"label": a, "want": b, "w": w, "forced": f}
+    flows = [flow(0, 1, 100), flow(1, 0, 40), flow(2, 1, 60)]
+    part = {(a, b): p for a, b, _, p in sharding._granted(flows, {0: 100, 1: 100, 2: 100}, 110)}
     assert part[1, 0] == 1 and math.isclose(part[0, 1], (40 + 60 * 10 / 120) / 100) and math.isclose(part[2, 1], 10 / 120)
+    forced = {(a, b): p for a, b, f, p in sharding._granted([flow(0, 1, 50, True), flow(0, 2, 50, True)], {0: 120, 1: 95, 2: 0}, 100)}
+    assert math.isclose(forced[0, 2], 0.2) and math.isclose(forced[0, 1], 0.2 * 5 / 10)  # an excess of 20, and room for 5 in 1
+    assert sharding._dealt({0: 5, 2: 1}, 3) == [(0, 0, 2, 0), (1, 5, 2, 3), (2, 5, 2, 3)]
 
 
 def test_nearest(spark):
@@ -245,14 +404,20 @@ def test_toxicity_index_is_exact():
     v[100:200] = v[100]
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-    index = toxicity.BlockMax(v, 16)
-    for q in v[:60]:
-        if q.any():
-            ids, cos = index.nearest(q, 15)
+    queries = np.vstack([v[:60], r.random((5, 30)), np.zeros((1, 30))])
+    for dense, visits in ((0, 1), (7, 2), (30, 50)):  # postings alone, both kinds of terms, whole rows alone
+        index = toxicity.BlockMax(v, 16, dense)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(toxicity, "VISITS", visits)
+            row, term = np.nonzero(queries)
+            found = index.nearest(row, term, queries[row, term], len(queries), 15)
+        for q, (ids, cos) in zip(queries, found):
             s = np.round(v @ q, 12)
             want = sorted((-s[i], i) for i in range(500) if s[i] > 0)[:15]
             assert np.allclose([-a for a, _ in want], cos, atol=1e-11)
             assert {i for a, i in want if -a > cos[-1] + 1e-9} <= set(ids)
+    none = toxicity.BlockMax(np.zeros((3, 4))).nearest(np.array([0]), np.array([1]), np.ones(1), 2, 5)
+    assert [len(ids) for ids, _ in none] == [0, 0]
 
 
 def test_toxicity(spark, docs, empty):
