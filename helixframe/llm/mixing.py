@@ -5,15 +5,14 @@ sizes; a target stops at ``most`` times its source's size, and the excess is sha
 until none is above. That is a water level: with sources by cap / weight, the level is what is left after the caps
 below it, over the weights above it.
 
-A source's rate is target / size. Each document is emitted floor(rate) times, plus one copy by a Bernoulli draw with the
-probability of the fraction: its hash is compared with a threshold. As single documents can be large, the threshold is
-the size-weighted quantile of the source's hashes at the fraction, not the fraction itself, so that a source comes
-within one document of its target. It is found by a histogram of BINS hashes a source, pre-aggregated by task, and then
-among the hashes of one bin.
+A source's rate is target / size. Each document is emitted floor(rate) times, plus one copy by a Bernoulli draw whose
+probability is the fraction: its hash, of 48 bits, is compared with the fraction of 2**48. The hash is of seed, id and
+text digest, so reruns agree and no document's draw depends on another's. So the words taken from a source vary about its
+target, with a standard deviation of sqrt(p (1 - p) sum(size ** 2)) for a fraction p; ``deviations`` gives both.
 
 Defined cases: null or wordless text has size 0; a null source is a source of its own; sources without words have target
-0 and take nothing; rows that repeat an id share a draw; a null id draws as the empty string; other columns are kept by
-``mix_documents``; an empty table gives no rows. The draw depends on id and seed alone, so reruns agree.
+0 and take nothing; rows that repeat id and text share a draw, those with a null id and equal text too; other columns are
+kept by ``mix_documents``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ from .common import stash, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-BINS = 4096
 #: Sources up to which their table is broadcast; beyond, it is joined as any other.
 BROADCAST_ROWS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,9 +34,10 @@ def size_of(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw_of(doc_id, seed: int) -> F.Column:
+def draw_of(doc_id, text, seed: int) -> F.Column:
     """A hash of 48 bits."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("long")
+    known = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.conv(F.substring(F.md5(known.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -57,54 +56,47 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
 
 
 def rates(slim: DataFrame, **how) -> DataFrame:
-    """From rows (source, size, draw): (source, source_size, target, base, upto); a copy more where draw <= upto."""
-    step = 1 << (_BITS - (BINS - 1).bit_length())
-    binned = slim.groupBy("source", F.expr(f"draw div {step}").alias("bin")).agg(F.sum("size").alias("words"))
-    binned = stash(binned, "histogram")
-    goal = stash(targets(binned.groupBy("source").agg(F.sum("words").alias("source_size")), **how), "targets")
-    goal = goal.withColumn("base", F.floor("rate")).withColumn("more", (F.col("rate") - F.col("base")) * F.col("source_size"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    g = goal.withColumnRenamed("source", "g_source")
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = binned.withColumn("upto", F.sum("words").over(upto))
-    run = run.join(g, F.col("source").eqNullSafe(F.col("g_source")))
-    # the bin in which the words wanted are reached, and how many of them it must give
-    cut = run.filter("upto > more").groupBy("source").agg(F.min(F.struct("bin", (F.col("more") - (F.col("upto") - F.col("words"))).alias("rest"))).alias("c")).select("source", "c.bin", "c.rest")
-    cut = stash(cut, "cuts")
-    c = cut.select(F.col("source").alias("c_source"), F.col("bin").alias("c_bin"), "rest")
-    inside = slim.join(_small(c), slim["source"].eqNullSafe(F.col("c_source")) & (F.expr(f"draw div {step}") == F.col("c_bin")))
-    before = Window.partitionBy("source").orderBy("draw").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    fine = inside.groupBy("source", "draw", "rest").agg(F.sum("size").alias("size")).withColumn("sum", F.sum("size").over(before))
-    last = fine.filter("sum - size / 2.0 <= rest").groupBy("source").agg(F.max("draw").alias("draw"))
-    out = goal.join(cut, same(goal, cut), "left").select(goal["*"], cut["bin"])
-    out = out.join(last, same(out, last), "left").select(out["*"], last["draw"])
-    return stash(out.select("source", "source_size", "target", "base", F.greatest(F.coalesce("draw", F.lit(-1)), F.col("bin") * step - 1, F.when(F.col("bin").isNull() & (F.col("more") > 0), F.lit(1 << _BITS)).otherwise(F.lit(-1))).alias("upto")), "rates")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """From rows (source, size): (source, source_size, target, base, chance): each document base times, and once more by chance."""
+    goal = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
+    return stash(goal.select("source", "source_size", "target", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("chance")), "rates")
 
 
 def _copies(rows: DataFrame, rate: DataFrame) -> DataFrame:
     r = rate.withColumnRenamed("source", "r_source")
-    joined = rows.join(_small(r), rows["source"].eqNullSafe(F.col("r_source")))
-    return joined.withColumn("copies", F.col("base") + F.when(F.col("draw") <= F.col("upto"), 1).otherwise(0)).drop("r_source")
+    r = F.broadcast(r) if r.count() <= BROADCAST_ROWS else r
+    joined = rows.join(r, rows["source"].eqNullSafe(F.col("r_source")))
+    once = F.col("draw") < F.col("chance") * F.lit(float(1 << _BITS))
+    return joined.withColumn("copies", F.col("base") + F.when(once, 1).otherwise(0)).drop("r_source")
 
 
 def _slim(docs: DataFrame, seed: int) -> DataFrame:
-    return stash(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size_of(docs["text"]).alias("size"), draw_of(docs["doc_id"], seed).alias("draw")), "sizes")
+    """(doc_id, source, size, draw): written once, so that texts are read once for sizes and draws."""
+    own = [docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source")]
+    return stash(docs.select(*own, size_of(docs["text"]).alias("size"), draw_of(docs["doc_id"], docs["text"], seed).alias("draw")), "sizes")
 
 
 def mix_table(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, copies)."""
     slim = _slim(docs, seed)
-    return _copies(slim, rates(slim, **how)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    out = _copies(slim, rates(slim, **how))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def deviations(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
+    """Rows (source, source_size, target, taken, expected_deviation): a row a source."""
+    slim = _slim(docs, seed)
+    rate = rates(slim, **how)
+    one = F.col("size").cast("double")
+    out = _copies(slim, rate).groupBy("source", "source_size", "target", "chance")
+    out = out.agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.sum(one * one).alias("squares"))
+    return out.select("source", "source_size", "target", "taken", F.expr("sqrt(chance * (1 - chance) * squares)").alias("expected_deviation"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is emitted."""
-    rate = rates(_slim(docs, seed), **how)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), draw_of(docs["doc_id"], seed).alias("draw"))
+    sizes = docs.select(docs["source"].cast("string").alias("source"), size_of(docs["text"]).alias("size"))
+    rate = rates(sizes, **how)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), draw_of(docs["doc_id"], docs["text"], seed).alias("draw"))
     many = _copies(rows, rate).filter("copies > 0").select("row", F.explode(F.expr("array_repeat(1, cast(copies as int))")).alias("copy"))
     return many.select("row.*")
 
@@ -116,7 +108,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH slim AS (
   SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         cast('0x' || substr(md5('0:' || coalesce(cast(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS draw
+         cast('0x' || substr(md5('0:' || coalesce(cast(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 12) AS BIGINT) AS draw
   FROM documents),
 sizes AS (SELECT source, cast(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM slim GROUP BY source),
 caps AS (SELECT source, source_size, cast([5, 2, 1][(n - 1) % 3 + 1] AS DOUBLE) AS w, cast(source_size AS DOUBLE) * 2.0::DOUBLE AS cap FROM sizes),
@@ -130,18 +122,8 @@ goal AS (
   SELECT source, source_size, CASE WHEN l.ord < coalesce(f.ord, l.ord + 1) THEN cap ELSE f.level * w END AS target
   FROM level l CROSS JOIN head f),
 rate AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM goal),
-more AS (SELECT *, floor(rate) AS base, (rate - floor(rate)) * source_size AS more FROM rate),
-draws AS (
-  SELECT source, draw, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY draw // 68719476736 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto_bin,
-         sum(sum(size)) OVER (PARTITION BY source ORDER BY draw) AS upto
-  FROM slim GROUP BY source, draw),
-cut AS (SELECT d.source, min(draw // 68719476736) AS bin FROM draws d JOIN more m ON d.source IS NOT DISTINCT FROM m.source WHERE upto_bin > more GROUP BY d.source),
-last AS (
-  SELECT d.source, max(draw) AS draw
-  FROM draws d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source JOIN more m ON d.source IS NOT DISTINCT FROM m.source
-  WHERE draw // 68719476736 < bin OR (draw // 68719476736 = bin AND upto - size / 2.0 <= more)
-  GROUP BY d.source)
-SELECT s.doc_id, s.size, m.source_size, m.target, cast(base + CASE WHEN s.draw <= l.draw THEN 1 ELSE 0 END AS BIGINT) AS copies,
-       cast(s.size * (base + CASE WHEN s.draw <= l.draw THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM slim s JOIN more m ON s.source IS NOT DISTINCT FROM m.source LEFT JOIN last l ON s.source IS NOT DISTINCT FROM l.source
+copied AS (
+  SELECT s.*, r.source_size, r.target, floor(rate) + CASE WHEN draw < (rate - floor(rate)) * 281474976710656.0::DOUBLE THEN 1 ELSE 0 END AS copies
+  FROM slim s JOIN rate r ON s.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, cast(copies AS BIGINT) AS copies, cast(size * copies AS BIGINT) AS taken FROM copied
 """

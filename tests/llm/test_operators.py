@@ -498,11 +498,29 @@ def test_mixing(spark, docs, rows, empty):
         free -= over
     assert {round(x["target"], 6) for x in found} == {round(x, 6) for x in target.values()}
     assert all(x["taken"] <= 2 * x["size"] for x in found)
+    rate = {s: target[s] / sizes[s] if sizes[s] else 0.0 for s in names}
+
+    def copies(r):  # the draw, in plain Python
+        digest = "" if r[1] is None else hashlib.md5(r[1].encode()).hexdigest()
+        known = f"0:{'' if r[0] is None else r[0]}:{digest}"
+        return int(rate[r[2]]) + (int(hashlib.md5(known.encode()).hexdigest()[:12], 16) < (rate[r[2]] % 1) * 2**48)
+
+    assert Counter((x["doc_id"], x["size"], x["copies"]) for x in found) == Counter((r[0], n, copies(r)) for r, n in zip(rows, size))
+    emitted = Counter(map(tuple, mixing.mix_documents(docs).collect()))
+    assert emitted == sum((Counter({r: copies(r)}) for r in rows), Counter())
+    off = mixing.deviations(docs).collect()
+    assert {x["source"] for x in off} == set(names) and sum(x["taken"] for x in off) == sum(x["taken"] for x in found)
     taken = mixing.mix_documents(docs)
     assert taken.columns == docs.columns and taken.count() == sum(x["copies"] for x in found)
     assert sorted(map(repr, mixing.mix_table(docs).collect())) == sorted(map(repr, found)) and mixing.mix_table(empty).count() == 0
 
 
+def test_mixing_draws_are_near_their_chance(spark):
+    rows = [(i, "a b c", f"s{i % 3}") for i in range(6000)]
+    off = mixing.deviations(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(abs(x["taken"] - x["target"]) <= 4 * x["expected_deviation"] + 3 for x in off) and any(x["expected_deviation"] for x in off)
+
+
 def test_licenses(spark, docs, empty):
     texts = ["This work is licensed under the GNU General Public License, version 3.", "MIT license mit License; Mit\nlicense", "cc by cc-by CC BY-NC 4.0", "Licensed under the Apache License, Version 2.0.", "gnu general public", "x" * 50, None, "", "K cc by", "all rights reserved", "İmit license mit license"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
