@@ -39,10 +39,10 @@ from .labelled import held_out, sample
 from .text import ALNUM, groups, utf8, words
 
 SAMPLE = (6000, 3000)
-K, BLOCK, VISITS = 15, 64, 2
+K, BLOCK, VISITS = 15, 128, 2
 PLAIN, RARE = 1 / 16, 1 << 14
 #: Terms posted as whole rows, queries that are looked up together, and texts whose scores a task keeps.
-DENSE, QUERIES, KNOWN = 384, 64, 50_000
+DENSE, QUERIES, KNOWN = 768, 128, 50_000
 #: A task counts words over so many distinct ones of its texts before it hands them on.
 PART = 4_000_000
 
