@@ -65,21 +65,30 @@ def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> F.Co
     return F.xxhash64(docs[doc_id].cast("long"), docs[text].cast("string"))
 
 
+#: Places in a hash from which its bits in a bitmap are taken.
+_PROBES = (0, 19, 37)
+
+
 def bitmap(keys: DataFrame, column: str, most: int = BITMAP_BITS) -> np.ndarray:
-    """A bitmap of hashes, with 16 bits for each, but ``most`` at most; gathered as numbers of 64 bits."""
-    bits = min(most, 1 << max(16, (16 * max(1, keys.count()) - 1).bit_length()))
-    word = F.shiftright(F.col(column).bitwiseAND(F.lit(bits - 1)), 6)
-    one = F.expr(f"bit_or(shiftleft(1L, cast(`{column}` & 63L as int)))")
-    rows = keys.groupBy(word.alias("word")).agg(one.alias("held")).toArrow()
+    """A bitmap of hashes (a Bloom filter of three probes) with 64 bits for each, but ``most`` at most: up to then about one
+    of 10,000 other hashes passes. Gathered as numbers of 64 bits."""
+    bits = min(most, 1 << max(16, (64 * max(1, keys.count()) - 1).bit_length()))
+    slots = [F.shiftrightunsigned(F.col(column), n).bitwiseAND(F.lit(bits - 1)) for n in _PROBES]
+    slot = keys.select(F.explode(F.array(*slots)).alias("slot"))
+    one = F.expr("bit_or(shiftleft(1L, cast(slot & 63L as int)))")
+    rows = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(one.alias("held")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[rows.column("word").to_numpy()] = rows.column("held").to_numpy()
     return out.view(np.uint8)
 
 
 def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of the (unsigned) hashes may be in a bitmap."""
-    slot = h & np.uint64(8 * len(bits) - 1)
-    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    """Places of the (unsigned) hashes that may be in a bitmap."""
+    at, most = np.arange(len(h)), np.uint64(8 * len(bits) - 1)
+    for n in _PROBES:
+        slot = (h[at] >> np.uint64(n)) & most
+        at = at[(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+    return at
 
 
 def rows_without(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -98,7 +107,9 @@ def rows_without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
             for batch in batches:
                 h = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False).view(np.uint64)
-                yield batch.filter(pa.array(in_bitmap(bits.value, h) == held))
+                mask = np.full(len(h), not held)
+                mask[in_bitmap(bits.value, h)] = held
+                yield batch.filter(pa.array(mask))
 
         return keyed.mapInArrow(run, keyed.schema)
 

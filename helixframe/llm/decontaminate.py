@@ -5,10 +5,9 @@ the ignored ones. Items that are equal word by word are searched once. Their has
 test hashes; the documents' hashes are the training hashes, and the two are joined. Each hit names an item and a diagonal
 (the item's offset in the document).
 
-A bitmap of the test hashes, of LOOK_BITS bits at most, spares most training hashes the shuffle: a document that holds
-none of them is not sent. Of the others the stretches around hits are sent, as far as an item can reach; so a long
-document with one hit does not travel whole. A hash that many documents hold is split by a salt where the table of
-items is too large to be sent to the tasks.
+A bitmap of the test hashes, of LOOK_BITS bits at most, spares most training hashes the shuffle; of the others, a row of
+three numbers each is sent. A hash that many documents hold is split by a salt where the test hashes are too many to be
+sent to the tasks. Documents with a true hit, and no others, then send their words.
 
 Overlaps around hits are verified word by word. Along a diagonal, a run is a best-scoring piece (a match counts 1, a
 mismatch -MISMATCH) with LEAST_RUN matches at least. Runs of one item on neighbouring diagonals (SHIFT words inserted or
@@ -28,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,45 +78,48 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], [x.split()[0] for x in _ITEMS.split(", ")])
 
 
-_STRETCH = "doc_id long, row_key long, row long, first int, words array<long>, seeds array<long>, places array<int>"
-
-
-def _stretches(look, reach: int, short: bool):
-    """Of each document that may hold test hashes, the stretches of words around them: their first word's place, words and hits."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+def _hits(look, short: bool):
+    """Of each document the hashes that may be test hashes: (row_key, seed, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = look.value
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids, keys = batch.column("doc_id"), batch.column("row_key")
+            keys = batch.column("row_key").to_numpy(zero_copy_only=False)
             for lo, hi in groups(offsets):
                 h, at, _, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM)
-                seeds, places = [], []
+                first = np.searchsorted(at, np.arange(hi - lo + 1))
                 for s, n in seeds_of(h, short):
-                    i = np.flatnonzero(in_bitmap(bits, s))
+                    i = in_bitmap(bits, s)
                     i = i[at[i] == at[i + n - 1]]
-                    seeds.append(s[i])
-                    places.append(i)
-                seed, place = np.concatenate(seeds), np.concatenate(places)
-                order = np.argsort(place, kind="stable")
-                seed, place = seed[order], place[order]
-                first = np.searchsorted(at, np.arange(hi - lo + 1))
-                out: list[list] = [[] for _ in types]
-                # a stretch ends where the next hit is in another document, or out of reach of any item
-                cut = np.flatnonzero((np.diff(place) > 2 * reach) | (at[place[1:]] != at[place[:-1]])) + 1 if len(place) else []
-                for part_seed, part in zip(np.split(seed, cut), np.split(place, cut)):
-                    if not len(part):
-                        continue
-                    d = at[part[0]]
-                    a, b = max(first[d], part[0] - reach), min(first[d + 1], part[-1] + reach)
-                    value = (ids[int(lo + d)].as_py(), keys[int(lo + d)].as_py(), row + lo + int(d), a - first[d], h[a:b].view(np.int64), part_seed.view(np.int64), (part - a).astype(np.int32))
-                    for column, x in zip(out, value):
-                        column.append(x)
-                if out[0]:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], [x.split()[0] for x in _STRETCH.split(", ")])
-            row += batch.num_rows
+                    if len(i):
+                        d = at[i]
+                        cells = [keys[lo + d], s[i].view(np.int64), (i - first[d]).astype(np.int32)]
+                        yield pa.record_batch([pa.array(c) for c in cells], ["row_key", "seed", "place"])
+
+    return run
+
+
+_WORDS = "doc_id long, row_key long, words array<long>"
+
+
+def _worded(wanted):
+    """The words of documents whose key may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            at = in_bitmap(bits, batch.column("row_key").to_numpy(zero_copy_only=False).view(np.uint64))
+            if not len(at):
+                continue
+            batch = batch.take(pa.array(at))
+            data, offsets = utf8(batch.column("text"))
+            for lo, hi in groups(offsets):
+                h, row, _, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM)
+                first = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(first), pa.array(h.view(np.int64)))
+                own = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row_key")]
+                yield pa.record_batch([*own, lists], ["doc_id", "row_key", "words"])
 
     return run
 
@@ -178,11 +179,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _FOUND.split(", ")]
     for batch in batches:
         rows = []
-        for i, (first, shift) in enumerate(zip(batch.column("first").to_pylist(), batch.column("diagonals").to_pylist())):
+        for i, shift in enumerate(batch.column("diagonals").to_pylist()):
             x, y = (batch.column(c)[i].values.to_numpy() for c in ("item_words", "words"))
             best = best_chain(x, y, shift)
             if best:
-                rows.append((i, best[0], len(x), first + best[1], best[2]))
+                rows.append((i, best[0], len(x), best[1], best[2]))
         at = pa.array([r[0] for r in rows], pa.int64())
         own = [batch.column(c).take(at) for c in names[:4]]
         yield pa.record_batch([*own, *[pa.array([r[k] for r in rows], pa.int32()) for k in range(1, 5)]], names)
@@ -195,19 +196,25 @@ def _search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stash(texts.filter("text <> ''").distinct().mapInArrow(_items, _ITEMS), "items")
     named = items.select("item", "item_id").distinct()
     known = stash(items.select("item", "words", "seeds", "places").dropDuplicates(["item"]), "known")
-    tests = stash(known.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("seed"), "item", F.col("s.places").alias("at")), "tests")
-    facts = known.agg(F.coalesce(F.max(F.size("words")), F.lit(0)).alias("reach"), F.coalesce(F.min(F.size("words")), F.lit(9)).alias("least")).first()
-    look = spark.sparkContext.broadcast(bitmap(tests.select("seed"), "seed", LOOK_BITS))
+    tests = known.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s"))
+    tests = stash(tests.select(F.col("s.seeds").alias("seed"), "item", F.col("s.places").alias("at")), "tests")
+    short = known.filter(F.size("words") < 5).limit(1).count() > 0
+    look = spark.sparkContext.broadcast(bitmap(tests.select("seed").distinct(), "seed", LOOK_BITS))
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("row_key"), docs["text"].cast("string").alias("text"))
-    held = stash(slim.mapInArrow(_stretches(look, facts["reach"] + SHIFT + 1, facts["least"] < 5), _STRETCH).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
-    hits = held.select("stretch", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("stretch", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"), F.pmod("stretch", F.lit(SALTS)).cast("int").alias("salt"))
+    hits = slim.select("row_key", "text").mapInArrow(_hits(look, short), "row_key long, seed long, place int")
+    hits = hits.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int"))
     salted = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = hits.join(salted, ["seed", "salt"]).groupBy("stretch", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
-    sides = near.join(known.select("item", F.col("words").alias("item_words")), "item").join(held.select("stretch", "doc_id", "row_key", "row", "first", "words"), "stretch")
-    found = sides.mapInArrow(_verified, _FOUND)
-    best = found.groupBy("row", "item").agg(F.max(F.struct("matched_words", (-F.col("first_word")).alias("before"), "span_words", "item_words", "doc_id", "row_key")).alias("b"))
-    out = best.join(named, "item").groupBy("row", "item_id").agg(F.max("b").alias("b"))
+    near = hits.join(salted, ["seed", "salt"]).groupBy("row_key", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
+    near = stash(near, "near")
+    wanted = spark.sparkContext.broadcast(bitmap(near.select("row_key").distinct(), "row_key"))
+    held = slim.mapInArrow(_worded(wanted), _WORDS).withColumn("row", F.monotonically_increasing_id())
+    held = stash(held, "worded")
+    sides = near.join(known.select("item", F.col("words").alias("item_words")), "item").join(held, "row_key")
+    found = sides.mapInArrow(_verified, _FOUND).join(named, "item")
+    # texts that are equal word by word have one id each, or the better of several
+    best = F.max(F.struct("matched_words", (-F.col("first_word")).alias("before"), "span_words", "item_words", "doc_id", "row_key"))
+    out = found.groupBy("row", "item_id").agg(best.alias("b"))
     return out.select("b.doc_id", "b.row_key", "item_id", "b.matched_words", "b.item_words", (-F.col("b.before")).alias("first_word"), "b.span_words")
 
 
