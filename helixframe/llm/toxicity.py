@@ -43,6 +43,8 @@ K, BLOCK, VISITS = 15, 128, 2
 PLAIN, RARE = 1 / 16, 1 << 14
 #: Terms posted as whole rows, queries that are looked up together, and texts whose scores a task keeps.
 DENSE, QUERIES, KNOWN = 768, 128, 50_000
+#: Groups of similar examples.
+GROUPS = 12
 #: A task counts words over so many distinct ones of its texts before it hands them on.
 PART = 4_000_000
 
@@ -62,6 +64,15 @@ def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return h[at], row[at], np.diff(np.append(at, len(h)))
 
 
+def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (hash, row) and counts of many texts, some at a time."""
+    parts = []
+    for lo, hi in groups(offsets):
+        h, row, count = _distinct(*_rows_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+        parts.append((h, (row + lo).astype(np.int32), count.astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64),) * 3
+
+
 def telling_terms(h: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Sorted hashes of all terms that the label tells apart: in 1 % (4 at least) of a class's examples, four times as usual there as in the other, and with a likelihood-ratio statistic above 8."""
     terms, at = np.unique(h, return_inverse=True)
@@ -89,6 +100,30 @@ def spans(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def alike(row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int, usual: np.ndarray) -> np.ndarray:
+    """A group number for each example, by a few rounds of means over the usual terms, so that blocks of one group differ in
+    their bounds from others. Groups decide speed alone."""
+    column = np.full(int(term.max()) + 1 if len(term) else 1, -1)
+    usual = usual[usual < len(column)]
+    column[usual] = np.arange(len(usual))
+    at = column[term]
+    full = at >= 0
+    x = np.zeros((rows, len(usual)), np.float32)
+    x[row[full], at[full]] = weight[full]
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    x = unit(x)
+    means = x[np.linspace(0, max(0, rows - 1), min(GROUPS, rows)).astype(int)]
+    group = np.zeros(rows, np.int64)
+    for _ in range(6):
+        if not means.size:
+            break
+        group = (x @ means.T).argmax(1)
+        sums = np.zeros_like(means)
+        np.add.at(sums, group, x)
+        means = np.where(np.bincount(group, minlength=len(means))[:, None] > 0, unit(sums), means)
+    return group
+
+
 class BlockMax:
     """Inverted index over unit vectors, cut into blocks of similar examples.
 
@@ -99,19 +134,15 @@ class BlockMax:
 
     def __init__(self, v, block: int = BLOCK, dense: int = DENSE):
         row, term, weight, (rows, terms) = v if isinstance(v, tuple) else (*np.nonzero(v), v[np.nonzero(v)], v.shape)
-        # examples whose heaviest terms agree stand together, so that blocks differ in their bounds
-        by = np.lexsort((term, -weight, row))
-        start = np.searchsorted(row[by], np.arange(rows + 1))
-        some = np.flatnonzero(np.diff(start))
-        lead = [term[by[np.minimum(start[some] + i, start[some + 1] - 1)]] for i in (0, 1)]
-        self.rows = some[np.lexsort((some, lead[1], lead[0]))]
+        held = np.bincount(term, minlength=terms)
+        self.rows = np.flatnonzero(np.bincount(row, minlength=rows))
+        usual = np.flatnonzero(held > len(self.rows) // 100)
+        usual = usual[np.argsort(-held[usual], kind="stable")][:dense]
+        self.rows = self.rows[alike(row, term, weight, rows, usual)[self.rows].argsort(kind="stable")]
         place = np.zeros(rows, np.int64)
         place[self.rows] = np.arange(len(self.rows))
         at = place[row]
         self.edges = np.append(np.arange(0, len(self.rows), block), len(self.rows))
-        held = np.bincount(term, minlength=terms)
-        usual = np.flatnonzero(held > len(self.rows) // 100)
-        usual = usual[np.argsort(-held[usual], kind="stable")][:dense]
         self.column = np.full(terms, -1)
         self.column[usual] = np.arange(len(usual))
         column = self.column[term]
@@ -270,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     y = seen["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return totals[1] / sum(totals) if sum(totals) else 0.0
-    h, row, count = _distinct(*_rows_of(*utf8(pa.array(seen["text"], pa.large_string()))))
+    h, row, count = _words_of(*utf8(pa.array(seen["text"], pa.large_string())))
     ids = seen["doc_id"].to_numpy()
     del seen
     if not len(h):
@@ -286,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     weight = PLAIN * idf(weight)
     weight[np.searchsorted(known, telling_terms(h, row, y))] /= PLAIN
     term = np.searchsorted(known, h).astype(np.int32)
-    vectors = row.astype(np.int32), term, unit_rows(row, count, weight[term], len(y))
+    vectors = row, term, unit_rows(row, count, weight[term], len(y))
     return Model(known, weight, PLAIN * idf(max(1.0, total / RARE)), vectors, y, ids, totals)
 
 
