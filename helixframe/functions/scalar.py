@@ -63,15 +63,6 @@ def topology_text(s: Column, p: Column, x: Column) -> Column:
     return F.concat(F.lit("S="), part(s), F.lit(";P="), part(p), F.lit(";X="), part(x))
 
 
-def present(values: Column) -> Column:
-    """Items of a CIF list that are not missing."""
-    return F.filter(values, lambda v: v.isNotNull() & ~v.isin("?", "."))
-
-
-def first_present(values: Column) -> Column:
-    return F.get(present(values), 0)
-
-
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import CONTACT_ERROR, topology_text
+from ..schemas import ATLAS, names
 from .relational import last_wins, routed
 
 
@@ -18,5 +19,7 @@ def build_atlas(mapping: DataFrame, topology: DataFrame, position: str = "pos")
     m = mapping.withColumn("chain_id", F.coalesce("chain_id", F.lit("")))
     hit, failed = routed(m, t.withColumn("chain_id", F.coalesce("chain_id", F.lit(""))), key, CONTACT_ERROR, ["domain_id", *key])
     own = [F.nullif(F.col(c), F.lit("")).alias(c) if c == "chain_id" else F.col(c) for c in mapping.columns]
-    atlas = hit.select(*own, topology_text(F.col("s_fraction"), F.col("p_fraction"), F.col("x_fraction")).alias("topology_representation"), F.col("s_fraction").alias("ps_fraction"), F.col("p_fraction").alias("pp_fraction"), "x_fraction", F.lit(None).cast("string").alias("occupancy_tier"))
-    return atlas, failed.withColumn("chain_id", F.nullif("chain_id", F.lit("")))
+    s, p, x = (F.col(f"{c}_fraction") for c in "spx")
+    more = [topology_text(s, p, x).alias("topology_representation"), s.alias("ps_fraction"), p.alias("pp_fraction"), x]
+    atlas = hit.select(*own, *more, F.lit(None).cast("string").alias("occupancy_tier"))
+    return atlas.select(names(ATLAS)), failed.withColumn("chain_id", F.nullif("chain_id", F.lit("")))

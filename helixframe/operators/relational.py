@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def last_wins(df: DataFrame, key: list[str], position: str) -> DataFrame:
-    """Of rows with one key, the last by position; combined before the shuffle."""
-    rest = [c for c in df.columns if c not in key]
-    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), position).alias("_r"))
-    return best.select(*key, *[F.col("_r")[c].alias(c) for c in rest]).select(df.columns)
+def constants(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """A small table of literals, which plans hold as expressions and not as a scan."""
+    one = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*one)))
+
 
+def _free(name: str, df: DataFrame) -> str:
+    """``name``, or with underscores after it, so that no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
 
-def first_wins(df: DataFrame, key: list[str], position: str) -> DataFrame:
+
+def last_wins(df: DataFrame, key: list[str], position: str) -> DataFrame:
+    """Of rows with one key, the last by position; combined before the shuffle."""
     rest = [c for c in df.columns if c not in key]
-    best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), position).alias("_r"))
-    return best.select(*key, *[F.col("_r")[c].alias(c) for c in rest]).select(df.columns)
+    row = _free("row", df)
+    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), position).alias(row))
+    return best.select(*key, *[F.col(row)[c].alias(c) for c in rest]).select(df.columns)
 
 
 def first_hit(left: DataFrame, right: DataFrame, key: list[str], value: str, position: str) -> DataFrame:
@@ -26,9 +34,10 @@ def first_hit(left: DataFrame, right: DataFrame, key: list[str], value: str, pos
 
 def routed(left: DataFrame, right: DataFrame, key: list[str], error: str, failed: list[str]) -> tuple[DataFrame, DataFrame]:
     """Matched rows, and the failure table of the rest. ``right`` has one row a key."""
-    hit = right.withColumn("_hit", F.lit(True))
-    both = left.join(hit, key, "left")
-    return both.filter("_hit").drop("_hit"), both.filter("_hit is null").select(*failed, F.lit(error).alias("error"))
+    name = _free(_free("hit", right), left)
+    both = left.join(right.withColumn(name, F.lit(True)), key, "left")
+    found = F.col(name).isNotNull()
+    return both.filter(found).drop(name), both.filter(~found).select(*failed, F.lit(error).alias("error"))
 
 
 def distinct_sorted(df: DataFrame, *columns) -> DataFrame:

@@ -15,16 +15,18 @@ CHAIN = ["structure_id", "chain_id"]
 AMINO_ACIDS = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL", "ASX", "GLX", "SEC", "PYL", "XLE", "UNK", "MSE", "SEP", "TPO", "PTR", "CSO", "MLY", "HYP", "KCX", "LLP", "CME", "PCA", "CSD", "OCS", "M3L", "NLE", "CSS", "ALY", "DAL", "SAR")
 
 
-def protein_atoms(atoms: DataFrame) -> DataFrame:
+def protein_atoms(atoms: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
     """Atoms of amino acids in the first model that are not hetero residues."""
-    return atoms.filter((F.col("model_idx") == 0) & (F.col("het_flag") == " ") & F.col("resname").isin(*AMINO_ACIDS))
+    named = F.col("resname").isin(*AMINO_ACIDS, *config.more_residues)
+    return atoms.filter((F.col("model_idx") == 0) & (F.col("het_flag") == " ") & named)
 
 
-def chain_stats(atoms: DataFrame) -> DataFrame:
+def chain_stats(atoms: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
     """(structure, chain) residue counts and range, of protein residues."""
     residue = ["structure_id", "source_path", "file_format", "chain_id", "chain_pos", "res_pos", "resseq"]
-    one = protein_atoms(atoms).select(residue).distinct()
-    out = one.groupBy("structure_id", "source_path", "file_format", "chain_id", "chain_pos").agg(F.count(F.lit(1)).cast("int").alias("residue_count"), F.min("resseq").alias("min_resseq"), F.max("resseq").alias("max_resseq"))
+    one = protein_atoms(atoms, config).select(residue).distinct()
+    by = one.groupBy("structure_id", "source_path", "file_format", "chain_id", "chain_pos")
+    out = by.agg(F.count(F.lit(1)).cast("int").alias("residue_count"), F.min("resseq").alias("min_resseq"), F.max("resseq").alias("max_resseq"))
     return out.withColumn("resolved_residue_count", F.col("residue_count"))
 
 
@@ -32,24 +34,36 @@ def residues(atoms: DataFrame, config: PipelineConfig = PipelineConfig()) -> Dat
     """(structure, chain, pos, seq, x, y, z): the first representative atom that each residue has."""
     point = F.struct("x", "y", "z")
     best = [F.max(F.when(F.col("atom_name") == a, point)) for a in config.representative_atoms]
-    by = protein_atoms(atoms).filter(F.col("atom_name").isin(*config.representative_atoms)).groupBy("structure_id", "source_path", "file_format", "chain_id", F.col("res_pos").alias("pos"), F.col("resseq").alias("seq"))
-    return by.agg(F.coalesce(*best).alias("p")).filter("p is not null").select("structure_id", "source_path", "file_format", "chain_id", "pos", "seq", "p.x", "p.y", "p.z")
+    key = ["structure_id", "source_path", "file_format", "chain_id"]
+    held = protein_atoms(atoms, config).filter(F.col("atom_name").isin(*config.representative_atoms))
+    by = held.groupBy(*key, F.col("res_pos").alias("pos"), F.col("resseq").alias("seq"))
+    return by.agg(F.coalesce(*best).alias("p")).filter("p is not null").select(*key, "pos", "seq", "p.x", "p.y", "p.z")
 
 
 def contacts(points: DataFrame, distance: float = 8.0, separation: int = 4, key: list[str] = CHAIN) -> DataFrame:
     """(key, lo, hi) of residues close in space and apart in sequence.
 
     Squares are single precision and their sum double, so that a pair at the very threshold is decided as by
-    single-precision coordinates.
+    single-precision coordinates. Points are joined by cells of a grid as wide as the distance (and a little more, for
+    rounding): each is sent to its 27 neighbouring cells, so a pair meets once, and a long chain is dealt to many tasks.
     """
-    a, b = points.alias("a"), points.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
+    size = float(distance) * (1 + 1e-5) or 1e-30
+    cell = [F.floor(F.col(c).cast("double") / F.lit(size)).alias(f"{c}_cell") for c in "xyz"]
+    own = points.select(*key, "pos", "seq", "x", "y", "z", *cell)
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    near = own
+    for c in "xyz":
+        near = near.withColumn("step", F.explode(steps)).withColumn(f"{c}_cell", F.col(f"{c}_cell") + F.col("step")).drop("step")
+    a, b = own.alias("a"), near.alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*key, "x_cell", "y_cell", "z_cell"]]
     d = [F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"]
     square = sum((x * x).cast("double") for x in d)
-    near = (F.col("a.pos") < F.col("b.pos")) & (F.abs(F.col("b.seq") - F.col("a.seq")) >= separation) & (square <= F.lit(float(distance)) * F.lit(float(distance)))
+    apart = F.abs(F.col("b.seq") - F.col("a.seq")) >= separation
+    found = (F.col("a.pos") < F.col("b.pos")) & apart & (square <= F.lit(float(distance)) * F.lit(float(distance)))
     for c in on:
-        near = near & c
-    return a.join(b, near).select(*[F.col(f"a.{k}").alias(k) for k in key], F.least("a.seq", "b.seq").alias("lo"), F.greatest("a.seq", "b.seq").alias("hi"))
+        found = found & c
+    ends = F.least("a.seq", "b.seq").alias("lo"), F.greatest("a.seq", "b.seq").alias("hi")
+    return a.join(b, found).select(*[F.col(f"a.{k}").alias(k) for k in key], *ends)
 
 
 def relation(i, j, k, l) -> F.Column:  # noqa: E741
@@ -71,29 +85,41 @@ def contact_relations(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:
     return pairs.withColumn("relation", relation(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))).filter("relation is not null")
 
 
+def inversions(v: np.ndarray) -> int:
+    """Pairs p < q of places with v[p] > v[q], for numbers from 0: by the highest bit in which they differ."""
+    total, order = 0, np.arange(len(v))
+    for bit in range(int(v.max()).bit_length() - 1 if len(v) else -1, -1, -1):
+        group = v[order] >> (bit + 1)
+        one = v[order] >> bit & 1
+        ones = np.cumsum(one)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        before = np.repeat(ones[first] - one[first], np.diff(np.append(first, len(v))))
+        total += int((ones - before)[one == 0].sum())
+        order = order[np.lexsort((order, v[order] >> bit))]
+    return total
+
+
 def count_relations(lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, int]:
-    """Series, parallel and cross pairs. By rectangle sums over the distinct ends while their square is small, else by blocks of contacts."""
-    if not len(lo):
+    """Series, parallel and cross pairs of contacts lo < hi, by sorting: pairs are counted, never made.
+
+    With contacts in order of (lo, hi), nested pairs are inversions of hi. Pairs with a common end have no relation; they
+    are those with equal lo, with equal hi (equal contacts are both), or where one's hi is the other's lo. All else cross.
+    """
+    n = len(lo)
+    if not n:
         return 0, 0, 0
-    series = int((len(lo) - np.searchsorted(np.sort(lo), hi, "right")).sum())
-    ends = np.unique(np.concatenate([lo, hi]))
-    parallel = cross = 0
-    if len(ends) <= 4096:
-        i, j = np.searchsorted(ends, lo), np.searchsorted(ends, hi)
-        m = len(ends)
-        sums = np.zeros((m + 1, m + 1), np.int64)
-        np.add.at(sums, (i + 1, j + 1), 1)
-        sums = sums.cumsum(0).cumsum(1)
-        # contacts whose first end is in (i, j): second end before j, or beyond it
-        parallel = int((sums[j, j] - sums[i + 1, j]).sum())
-        cross = int(((sums[j, m] - sums[i + 1, m]) - (sums[j, j + 1] - sums[i + 1, j + 1])).sum())
-    else:
-        for at in range(0, len(lo), 256):
-            a, b = lo[at : at + 256, None], hi[at : at + 256, None]
-            inside = (lo > a) & (lo < b)
-            parallel += int((inside & (hi < b)).sum())
-            cross += int((inside & (hi > b)).sum())
-    return series, parallel, cross
+    pairs = lambda counts: int((counts.astype(np.int64) * (counts - 1) // 2).sum())
+    order = np.lexsort((hi, lo))
+    lo, hi = lo[order], hi[order]
+    starts = np.sort(lo)
+    after = np.searchsorted(starts, hi, "right")
+    series = int((n - after).sum())
+    touching = int((after - np.searchsorted(starts, hi, "left")).sum())
+    parallel = inversions(np.unique(hi, return_inverse=True)[1])
+    equal = np.flatnonzero((np.diff(lo, prepend=lo[0] - 1) != 0) | (np.diff(hi, prepend=hi[0] - 1) != 0))
+    shared = pairs(np.unique(lo, return_counts=True)[1]) + pairs(np.unique(hi, return_counts=True)[1])
+    shared += touching - pairs(np.diff(np.append(equal, n)))
+    return series, parallel, n * (n - 1) // 2 - series - parallel - shared
 
 
 def relation_counts(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Queries over the driver's tables that exercise each operator, and the SQL they must equal.
+"""Queries over the driver's tables, each of which runs an operator of the library, and the SQL they must equal.
 
 The tables hold no proteins, so they stand in: embeddings are residues (label the chain, vec_id the sequence number, the
-first three components the coordinates), documents are domains, labels their lengths' side, and so on.
+first three components the coordinates), documents are domains, labels what they are joined with, and so on. Queries that
+start from files are in ``rendered``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rendered
+from .config import PipelineConfig
 from .functions import scalar as s
 from .operators import occupancy, relational, topology
 
@@ -23,22 +26,28 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("embedding")
-    return _t(spark, d, "embeddings").select(F.lit("emb").alias("structure_id"), F.col("label").cast("string").alias("chain_id"), F.col("vec_id").cast("int").alias("pos"), F.col("vec_id").cast("int").alias("seq"), F.get(e, 0).alias("x"), F.get(e, 1).alias("y"), F.get(e, 2).alias("z"))
+    place, at = F.col("vec_id").cast("int"), [F.get(F.col("embedding"), i).alias(c) for i, c in enumerate("xyz")]
+    names = [F.lit("emb").alias("structure_id"), F.col("label").cast("string").alias("chain_id")]
+    return _t(spark, d, "embeddings").select(*names, place.alias("pos"), place.alias("seq"), *at)
 
 
 def _contacts(spark: SparkSession, d: str, distance: float = DISTANCE) -> DataFrame:
     return topology.contacts(_points(spark, d), distance, SEPARATION)
 
 
+def _counted(found: DataFrame) -> DataFrame:
+    pairs = [f"{x}_pair_count" for x in ("contact", "series", "parallel", "cross")]
+    return found.select("chain_id", F.col("contact_count").cast("long").alias("contact_count"), *pairs)
+
+
 def psx_counts(spark: SparkSession, d: str) -> DataFrame:
     """J8 J9 C4-C6 by the counting kernel."""
-    return topology.relation_counts(_contacts(spark, d)).select("chain_id", F.col("contact_count").cast("long").alias("contact_count"), "contact_pair_count", "series_pair_count", "parallel_pair_count", "cross_pair_count")
+    return _counted(topology.relation_counts(_contacts(spark, d)))
 
 
 def psx_counts_join(spark: SparkSession, d: str) -> DataFrame:
     """The same by the interval self-join."""
-    return topology.relation_counts_sql(_contacts(spark, d)).select("chain_id", F.col("contact_count").cast("long").alias("contact_count"), "contact_pair_count", "series_pair_count", "parallel_pair_count", "cross_pair_count")
+    return _counted(topology.relation_counts_sql(_contacts(spark, d)))
 
 
 def contact_pairs(spark, d):
@@ -46,7 +55,7 @@ def contact_pairs(spark, d):
 
 
 def contact_relations(spark, d):
-    return topology.contact_relations(_contacts(spark, d, 0.06)).drop("structure_id")
+    return topology.contact_relations(_contacts(spark, d)).drop("structure_id")
 
 
 def psx_fractions(spark, d):
@@ -57,36 +66,10 @@ def psx_fractions(spark, d):
 
 def chain_zero_fill(spark, d):
     points = _points(spark, d).withColumns({"source_path": F.lit("-"), "file_format": F.lit("-")})
-    from .config import PipelineConfig
-
-    out = topology.chain_topology(points, points.select("structure_id", "chain_id", "source_path", "file_format").distinct(), PipelineConfig(contact_distance=0.012))
-    return out.select("chain_id", F.col("eligible_residue_count").cast("long").alias("eligible_residue_count"), F.col("contact_count").cast("long").alias("contact_count"), "contact_pair_count", "s_fraction")
-
-
-def chain_stats(spark, d):
-    return _t(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("residue_count"), F.min("vec_id").alias("min_resseq"), F.max("vec_id").alias("max_resseq"))
-
-
-def ordered_list(spark, d):
-    _t(spark, d, "conversations").createOrReplaceTempView("hf_conversations")
-    return spark.sql("SELECT conv_id, listagg(role, ',') WITHIN GROUP (ORDER BY turn) AS roles, count(DISTINCT role) AS kinds FROM hf_conversations GROUP BY conv_id")
-
-
-def rep_atom_coalesce(spark, d):
-    e = _t(spark, d, "events")
-    pick = [F.max(F.when(F.col("event_type") == k, F.col("value"))) for k in ("click", "error")]
-    return e.groupBy("user_id").agg(F.coalesce(*pick).alias("point"))
-
-
-def length_window(spark, d):
-    j = _t(spark, d, "documents").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    fate = F.when(F.col("quality").isNull(), "no_length").when(F.col("n_chars").between(855, 2678), "kept").otherwise("filtered_out")
-    return j.groupBy(fate.alias("fate")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def fasta_lengths(spark, d):
-    n = F.aggregate(F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x))), F.lit(0), lambda a, b: a + b)
-    return _t(spark, d, "documents").select("doc_id", n.cast("long").alias("length"))
+    chains = points.select("structure_id", "chain_id", "source_path", "file_format").distinct()
+    out = topology.chain_topology(points, chains, PipelineConfig(contact_distance=0.012))
+    counts = [F.col(c).cast("long").alias(c) for c in ("eligible_residue_count", "contact_count", "contact_pair_count")]
+    return out.select("chain_id", *counts, "s_fraction")
 
 
 def first_hit_left_join(spark, d):
@@ -99,10 +82,6 @@ def last_wins_dedup(spark, d):
     return relational.last_wins(e, ["user_id", "event_type"], "p").drop("p")
 
 
-def semi_chain(spark, d):
-    return _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left_semi").select("doc_id", "source", "n_chars")
-
-
 def route_atlas(spark, d):
     hit, _ = relational.routed(_t(spark, d, "documents").select("doc_id", "source"), _t(spark, d, "labels"), ["doc_id"], s.CONTACT_ERROR, ["doc_id"])
     return hit.select("doc_id", "source", F.col("quality").alias("ps"), F.col("toxic").alias("pp"), F.lit("").alias("tier"))
@@ -130,12 +109,6 @@ def hierarchy_regex(spark, d):
     return _t(spark, d, "events").select("event_id", s.matched(F.col("props"), r'"k": ([0-9]+)', 1).cast("int").alias("k"))
 
 
-def prefix_code(spark, d):
-    names = spark.createDataFrame([("E", "economy"), ("L", "large"), ("M", "medium"), ("Z", "absent")], "code string, name string")
-    n = _t(spark, d, "part").groupBy(F.substring("p_type", 1, 1).alias("code")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("brands"))
-    return names.join(n, "code", "left").select("code", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("brands", F.lit(0)).alias("brands"))
-
-
 def suffix_format(spark, d):
     path = F.concat(F.regexp_extract("url", r"^https?://([^/]+)", 1), F.when(F.col("page_id") % 4 == 0, ".CIF").when(F.col("page_id") % 4 == 1, ".pdb.gz").when(F.col("page_id") % 4 == 2, ".mmcif.gz").otherwise(".txt"))
     return _t(spark, d, "pages").select("page_id", s.structure_format(path).alias("format"), s.stem(path).alias("stem"))
@@ -182,19 +155,18 @@ def distinct_sorted(spark, d):
     return relational.distinct_sorted(_t(spark, d, "part"), F.lower("p_type").alias("p_type"), F.upper("p_brand").alias("p_brand"))
 
 
-def pending_plan(spark, d):
-    there = _t(spark, d, "conversations").filter(F.length("text") > 100).select(F.col("conv_id").alias("doc_id"))
-    return _t(spark, d, "documents").select("doc_id", F.upper("source").alias("url")).join(there, "doc_id", "left_anti")
-
-
-def json_header_map(spark, d):
-    m = F.map_from_arrays(F.array(F.lit("uid"), F.lit("f_id")), F.slice(F.array("event_type", F.col("user_id").cast("string"), F.lit("extra")), 1, 2))
-    return _t(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.try_element_at(m, F.lit("f_id")).alias("f_id"), F.coalesce(F.try_element_at(m, F.lit("pdb")), F.lit("")).alias("pdb"))
-
-
 def report_long(spark, d):
     docs = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
-    atlas = docs.select(F.concat(F.translate(F.substring("lang", 1, 1), "defs", "abcd"), F.lit("."), "source").alias("scope_id"), F.col("lang").alias("kingdom"), F.col("quality").cast("string").alias("cath_id"), F.col("toxic").cast("string").alias("ecod_id"), (F.col("n_chars") / 20000).alias("ps_fraction"), F.col("quality").cast("double").alias("pp_fraction"), F.col("toxic").cast("double").alias("x_fraction"))
+    cells = {
+        "scope_id": F.concat(F.translate(F.substring("lang", 1, 1), "defs", "abcd"), F.lit("."), "source"),
+        "kingdom": F.col("lang"),
+        "cath_id": F.col("quality").cast("string"),
+        "ecod_id": F.col("toxic").cast("string"),
+        "ps_fraction": F.col("n_chars") / 20000,
+        "pp_fraction": F.col("quality").cast("double"),
+        "x_fraction": F.col("toxic").cast("double"),
+    }
+    atlas = docs.select(*[c.alias(n) for n, c in cells.items()])
     return occupancy.report(atlas).withColumn("value", F.round("value", 6))
 
 
@@ -229,27 +201,20 @@ _SQL = {
     "psx_counts": f"WITH {_C}, {_RELATIONS}, {_COUNTS} SELECT * FROM n",
     "psx_counts_join": f"WITH {_C}, {_RELATIONS}, {_COUNTS} SELECT * FROM n",
     "contact_pairs": f"WITH {_C} SELECT * FROM c",
-    "contact_relations": f"WITH {_CONTACTS.format(t='0.06')}, {_RELATIONS} SELECT * FROM r",
+    "contact_relations": f"WITH {_C}, {_RELATIONS} SELECT * FROM r",
     "psx_fractions": f"""WITH {_C}, {_RELATIONS}, {_COUNTS},
         f AS (SELECT chain_id, CASE WHEN contact_pair_count > 0 THEN series_pair_count / cast(contact_pair_count AS DOUBLE) END AS s_fraction, CASE WHEN contact_pair_count > 0 THEN parallel_pair_count / cast(contact_pair_count AS DOUBLE) END AS p_fraction, CASE WHEN contact_pair_count > 0 THEN cross_pair_count / cast(contact_pair_count AS DOUBLE) END AS x_fraction FROM n)
         SELECT *, 'S=' || coalesce(format('{{:.6f}}', s_fraction), '') || ';P=' || coalesce(format('{{:.6f}}', p_fraction), '') || ';X=' || coalesce(format('{{:.6f}}', x_fraction), '') AS topology_representation FROM f""",
     "chain_zero_fill": f"""WITH {_CONTACTS.format(t='0.012')}, {_RELATIONS}, {_COUNTS}, e AS (SELECT chain_id, count(*) AS eligible_residue_count FROM p GROUP BY chain_id)
         SELECT e.chain_id, eligible_residue_count, coalesce(contact_count, 0) AS contact_count, coalesce(contact_pair_count, 0) AS contact_pair_count, CASE WHEN contact_pair_count > 0 THEN series_pair_count / cast(contact_pair_count AS DOUBLE) END AS s_fraction FROM e LEFT JOIN n ON e.chain_id = n.chain_id""",
-    "chain_stats": "SELECT label, count(*) AS residue_count, min(vec_id) AS min_resseq, max(vec_id) AS max_resseq FROM embeddings GROUP BY label",
-    "ordered_list": "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, count(DISTINCT role) AS kinds FROM conversations GROUP BY conv_id",
-    "rep_atom_coalesce": "SELECT user_id, coalesce(max(CASE WHEN event_type = 'click' THEN value END), max(CASE WHEN event_type = 'error' THEN value END)) AS point FROM events GROUP BY user_id",
-    "length_window": "SELECT CASE WHEN quality IS NULL THEN 'no_length' WHEN n_chars BETWEEN 855 AND 2678 THEN 'kept' ELSE 'filtered_out' END AS fate, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1",
-    "fasta_lengths": "SELECT doc_id, cast(list_sum(list_transform(string_split(text, chr(10)), lambda x: length(trim(x)))) AS BIGINT) AS length FROM documents",
     "first_hit_left_join": "SELECT d.doc_id AS conv_id, c.role FROM documents d LEFT JOIN (SELECT conv_id, arg_min(role, turn) AS role FROM conversations GROUP BY conv_id) c ON d.doc_id = c.conv_id",
     "last_wins_dedup": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
-    "semi_chain": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "route_atlas": "SELECT d.doc_id, source, quality AS ps, toxic AS pp, '' AS tier FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "anti_failures": f"SELECT doc_id, source, '{s.CONTACT_ERROR}' AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "keyword_class": f"SELECT p_partkey, {_case(KEYWORDS)} AS kingdom FROM (SELECT p_partkey, lower(p_name) AS low FROM part)",
     "kingdom_keywords": f"SELECT doc_id, {_case(_KINGDOMS)} AS kingdom FROM (SELECT doc_id, lower(text) AS low FROM documents)",
     "range_regex": "SELECT page_id, cast(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS INTEGER) AS page, nullif(regexp_extract(url, '^https?://[^/]+/([a-z][a-z])/([0-9]+)', 1), '') AS lang, cast(nullif(regexp_extract(url, '^https?://[^/]+/([a-z][a-z])/([0-9]+)', 2), '') AS INTEGER) AS num FROM pages",
     "hierarchy_regex": """SELECT event_id, cast(nullif(regexp_extract(props, '"k": ([0-9]+)', 1), '') AS INTEGER) AS k FROM events""",
-    "prefix_code": "SELECT v.code, v.name, coalesce(n, 0) AS n, coalesce(brands, 0) AS brands FROM (VALUES ('E', 'economy'), ('L', 'large'), ('M', 'medium'), ('Z', 'absent')) v(code, name) LEFT JOIN (SELECT substr(p_type, 1, 1) AS code, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1) p ON v.code = p.code",
     "suffix_format": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'mmcif' WHEN 1 THEN 'pdb' WHEN 2 THEN 'mmcif' END AS format, regexp_extract(url, '^https?://([^/]+)', 1) AS stem FROM pages",
     "occupancy_tiers": f"SELECT o_custkey, n AS domain_count, {_TIER} AS occupancy_tier FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)",
     "tier_histogram": f"WITH f AS (SELECT p_brand, p_type, p_size, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT {_TIER} AS tier, count(*) AS folds FROM f GROUP BY 1) SELECT v.tier AS occupancy_tier, coalesce(folds, 0) AS folds FROM (VALUES ('common'), ('rare'), ('ultra-rare')) v(tier) LEFT JOIN t ON v.tier = t.tier",
@@ -260,8 +225,6 @@ _SQL = {
     "kingdom_histogram": "SELECT CASE WHEN lang <> 'fr' THEN lang ELSE 'unknown' END AS kingdom, count(*) AS n FROM documents GROUP BY 1",
     "class_histogram": "SELECT class, class_name, count(*) AS domains, count(DISTINCT p_brand) AS folds FROM (SELECT translate(substr(p_type, 1, 1), 'ELMPS', 'abcdz') AS class, p_brand FROM part) JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in s.CLASS_NAMES.items()) + ") v(c, class_name) ON class = c GROUP BY 1, 2",
     "distinct_sorted": "SELECT DISTINCT lower(p_type) AS p_type, upper(p_brand) AS p_brand FROM part",
-    "pending_plan": "SELECT doc_id, upper(source) AS url FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations WHERE length(text) > 100)",
-    "json_header_map": "SELECT event_id, cast(json_extract_string(props, '$.k') AS INTEGER) AS k, cast(user_id AS VARCHAR) AS f_id, '' AS pdb FROM events",
     "report_long": f"""WITH a AS (SELECT translate(substr(lang, 1, 1), 'defs', 'abcd') AS class, translate(substr(lang, 1, 1), 'defs', 'abcd') || '.' || source AS scope_id, lang, quality, toxic, cast(n_chars AS DOUBLE) / 20000 AS ps FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
         f AS (SELECT scope_id, count(*) AS n FROM a GROUP BY 1), t AS (SELECT {_TIER} AS tier, count(*) AS folds FROM f GROUP BY 1),
         m AS (SELECT 'ps_fraction' AS metric, ps AS v FROM a UNION ALL SELECT 'pp_fraction', quality FROM a UNION ALL SELECT 'x_fraction', toxic FROM a),
@@ -276,8 +239,8 @@ _SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in _SQL}
+    return {name: globals()[name] for name in _SQL} | rendered.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | rendered.SQL

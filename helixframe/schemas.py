@@ -1,5 +1,14 @@
 """Explicit schemas of every table; nothing is inferred."""
 
+from __future__ import annotations
+
+
+def names(schema: str) -> list[str]:
+    """The column names of a schema without nested fields."""
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+
 DOMAIN_MAPPING = "domain_id string, structure_id string, chain_id string, residue_start int, residue_end int, domain_length int, kingdom string, scope_id string, cath_id string, ecod_id string"
 STRUCTURE_MANIFEST = "structure_id string, source_path string, file_format string, experimental_method string, resolution string, deposition_date string, release_date string, title string, model_count int, protein_chain_count int, protein_residue_count int, protein_chain_ids string"
 CHAIN_MANIFEST = "structure_id string, chain_id string, source_path string, file_format string, residue_count int, resolved_residue_count int, min_resseq int, max_resseq int"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..functions.scalar import blank_to_null, kingdom, matched, strip
-from ..operators.relational import first_hit, last_wins
-from .tables import lines
+from ..operators.relational import counted, first_hit, last_wins
+from .tables import lines, position
 
 _RANGE = r"^([A-Za-z0-9]):(-?[0-9]+)-(-?[0-9]+)"
 _CHAIN = r"^([A-Za-z0-9]):"
@@ -21,12 +23,18 @@ def _fields(df: DataFrame, least: int) -> DataFrame:
 
 
 def read_scope_cla(spark: SparkSession, path: str) -> DataFrame:
-    """Domains of the classification file; the last row of an sid counts. A region's first segment gives its range."""
+    """Domains of the classification file; the last row of an sid counts. A region's first segment gives its range; a
+    range whose numbers are no integers of 32 bits is null."""
     at = F.col("f")
-    rows = _fields(lines(spark, path), 6).select(at[0].alias("sid"), F.lower(at[1]).alias("structure_id"), at[2].alias("region"), at[3].alias("sccs"), at[4].alias("sunid"), at[5].alias("hierarchy"), "pos")
-    region = F.col("region")
+    names = ["sid", "structure_id", "region", "sccs", "sunid", "hierarchy"]
+    cells = [at[0], F.lower(at[1]), strip(at[2]), at[3], at[4], at[5]]
+    rows = _fields(lines(spark, path), 6).select(*[c.alias(n) for c, n in zip(cells, names)], "pos")
     rows = last_wins(rows, ["sid"], "pos")
-    return rows.select("sid", "structure_id", F.coalesce(matched(region, _RANGE, 1), matched(region, _CHAIN, 1)).alias("chain_id"), matched(region, _RANGE, 2).cast("int").alias("residue_start"), matched(region, _RANGE, 3).cast("int").alias("residue_end"), "sccs", "sunid", "hierarchy", matched(F.col("hierarchy"), r"sp=([0-9]+)", 1).alias("species"), "pos")
+    region = F.col("region")
+    chain = F.coalesce(matched(region, _RANGE, 1), matched(region, _CHAIN, 1)).alias("chain_id")
+    ends = [matched(region, _RANGE, i).try_cast("int").alias(n) for i, n in ((2, "residue_start"), (3, "residue_end"))]
+    species = matched(F.col("hierarchy"), r"sp=([0-9]+)", 1).alias("species")
+    return rows.select("sid", "structure_id", chain, *ends, "sccs", "sunid", "hierarchy", species, "pos")
 
 
 def read_scope_des(spark: SparkSession, path: str) -> DataFrame:
@@ -38,11 +46,14 @@ def read_scope_des(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
     """(sid, domain_length): letters of each record, its lines stripped. One row a record, of any number of lines."""
-    rec = spark.read.option("lineSep", "\n>").text(path).select(F.make_valid_utf8("value").alias("value"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("pos"), (F.col("_metadata.file_block_start") == 0).alias("start"))
+    rec = spark.read.option("lineSep", "\n>").text(path)
+    rec = rec.select(F.make_valid_utf8("value").alias("value"), position().alias("pos"), (F.col("_metadata.file_block_start") == 0).alias("start"))
     # text before the first header is no record: a first row counts only if it begins one
     rec = rec.withColumn("head", F.col("value").startswith(">")).filter("head or pos.i % 8589934592 > 0 or not start")
     parts = F.split(F.regexp_replace("value", "^>", ""), r"\r\n|\n|\r")
-    rec = rec.select(F.get(F.split(strip(F.get(parts, 0)), r"\s+"), 0).alias("sid"), F.aggregate(F.transform(F.slice(parts, 2, 1 << 30), lambda x: F.length(strip(x))), F.lit(0), lambda a, b: a + b).alias("domain_length"), "pos")
+    letters = F.transform(F.slice(parts, 2, 1 << 30), lambda x: F.length(strip(x)))
+    size = F.aggregate(letters, F.lit(0), lambda a, b: a + b).alias("domain_length")
+    rec = rec.select(F.get(F.split(strip(F.get(parts, 0)), r"\s+"), 0).alias("sid"), size, "pos")
     return last_wins(rec.filter("sid <> ''"), ["sid"], "pos").drop("pos")
 
 
@@ -58,28 +69,60 @@ def read_cath(spark: SparkSession, path: str) -> DataFrame:
 def read_ecod(spark: SparkSession, path: str) -> DataFrame:
     """(structure_id, chain_id, ecod_id, pos) by the file's own header; none without a header."""
     text = lines(spark, path)
-    titled = text.withColumn("title", F.regexp_replace(strip(F.col("value")), "^#+", "")).filter(F.col("title").startswith("uid"))
+    # hashes go first, then white space
+    titled = text.withColumn("title", strip(F.regexp_replace("value", "^#+", ""))).filter(F.col("title").startswith("uid"))
     head = titled.orderBy("pos").limit(1).select(F.split("title", "\t", -1).alias("header"), F.col("pos").alias("head_pos"))
     # one row at most
     rows = text.join(F.broadcast(head), F.col("pos") > F.col("head_pos")).filter(~F.col("value").startswith("#"))
     rows = rows.withColumn("f", F.split(strip(F.col("value")), "\t", -1)).filter(F.size("f") >= F.size("header"))
     cell = lambda name: F.get(F.col("f"), F.array_position("header", name).cast("int") - 1)
     some = lambda name: F.when(F.array_contains("header", name), cell(name)).otherwise(F.lit(""))
-    out = rows.select(F.lower(some("pdb")).alias("structure_id"), some("chain").alias("chain_id"), some("f_id").alias("ecod_id"), some("ecod_domain_id").alias("ecod_domain_id"), "pos")
-    return out.filter("structure_id <> ''")
+    cells = {"structure_id": F.lower(some("pdb")), "chain_id": some("chain"), "ecod_id": some("f_id"), "ecod_domain_id": some("ecod_domain_id")}
+    return rows.select(*[c.alias(n) for n, c in cells.items()], "pos").filter("structure_id <> ''")
 
 
 def domain_mapping(scope: DataFrame, species: DataFrame, lengths: DataFrame, cath: DataFrame, ecod: DataFrame, config: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
-    """The mapping, and a row of counters (records, no_length, filtered_out, kept, with_cath, with_ecod)."""
+    """The mapping, and its report as rows (section, key, value): what was read, what fell out, what was kept, and the
+    kingdoms of that."""
     joined = scope.join(lengths, "sid", "left")
-    fits = F.col("domain_length").between(config.min_length, config.max_length)
-    kept = joined.filter(fits)
+    size = F.col("domain_length")
+    fits = size.between(config.min_length, config.max_length)
     key = ["structure_id", "chain_id"]
-    blank = kept.withColumn("chain_id", F.coalesce("chain_id", F.lit("")))
+    blank = joined.filter(fits).withColumn("chain_id", F.coalesce("chain_id", F.lit("")))
     both = first_hit(first_hit(blank, cath, key, "cath_id", "pos"), ecod, key, "ecod_id", "pos")
     named = species.filter("level = 'sp'").select(F.col("sunid").alias("species"), "description")
     both = both.join(named, "species", "left")
-    out = both.select(F.col("sid").alias("domain_id"), "structure_id", blank_to_null(F.col("chain_id")).alias("chain_id"), "residue_start", "residue_end", F.col("domain_length").cast("int").alias("domain_length"), kingdom(F.col("description")).alias("kingdom"), F.col("sccs").alias("scope_id"), blank_to_null(F.col("cath_id")).alias("cath_id"), blank_to_null(F.col("ecod_id")).alias("ecod_id"))
-    counts = joined.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("domain_length").isNull()).alias("no_length"), F.count_if(F.col("domain_length").isNotNull() & ~fits).alias("filtered_out"))
-    more = out.agg(F.count(F.lit(1)).alias("kept"), F.count("cath_id").alias("with_cath"), F.count("ecod_id").alias("with_ecod"))
-    return out, counts.crossJoin(more)  # a row each
+    cells = {
+        "domain_id": F.col("sid"),
+        "structure_id": F.col("structure_id"),
+        "chain_id": blank_to_null(F.col("chain_id")),
+        "residue_start": F.col("residue_start"),
+        "residue_end": F.col("residue_end"),
+        "domain_length": size.cast("int"),
+        "kingdom": kingdom(F.col("description")),
+        "scope_id": F.col("sccs"),
+        "cath_id": blank_to_null(F.col("cath_id")),
+        "ecod_id": blank_to_null(F.col("ecod_id")),
+    }
+    out = both.select(*[c.alias(n) for n, c in cells.items()])
+    return out, _told(scope, species, lengths, cath, ecod, joined, fits, out)
+
+
+def _told(scope, species, lengths, cath, ecod, joined, fits, out) -> DataFrame:
+    size, keys = F.col("domain_length"), F.countDistinct(F.struct("structure_id", "chain_id"))
+    grains = [
+        ("read", joined, {"scope domains": F.count(F.lit(1))}),
+        ("read", species, {"scope descriptions": F.count(F.lit(1))}),
+        ("read", lengths, {"sequences": F.count(F.lit(1))}),
+        ("read", cath, {"cath domains": F.count(F.lit(1)), "cath chains": keys}),
+        ("read", ecod, {"ecod domains": F.count(F.lit(1)), "ecod chains": keys}),
+        ("mapping", joined, {"without length": F.count_if(size.isNull()), "outside window": F.count_if(size.isNotNull() & ~fits)}),
+        ("mapping", out, {"rows": F.count(F.lit(1)), "with cath": F.count("cath_id"), "with ecod": F.count("ecod_id")}),
+    ]
+    parts = []
+    for section, df, counts in grains:
+        cells = [F.struct(F.lit(section).alias("section"), F.lit(k).alias("key"), F.col(f"n{i}").alias("value")) for i, k in enumerate(counts)]
+        parts.append(df.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts.values())]).select(F.inline(F.array(*cells))))
+    kinds = counted(out, F.col("kingdom"), "kingdom", "unknown")
+    parts.append(kinds.select(F.lit("kingdoms").alias("section"), F.col("kingdom").alias("key"), F.col("n").alias("value")))
+    return reduce(DataFrame.unionAll, parts)

@@ -7,15 +7,25 @@ import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import PipelineConfig
 from ..functions.scalar import NO_CHAIN_ERROR, structure_format
 from ..operators.topology import AMINO_ACIDS
+from ..schemas import ATOMS, names
 
 MISSING = (None, "?", ".")
-_META = {"method": ["_exptl.method"], "resolution": ["_refine.ls_d_res_high", "_em_3d_reconstruction.resolution"], "release": ["_pdbx_audit_revision_history.revision_date"], "deposition": ["_pdbx_database_status.recvd_initial_deposition_date"], "title": ["_struct.title"], "id": ["_entry.id"]}
+_META = {
+    "method": ["_exptl.method"],
+    "resolution": ["_refine.ls_d_res_high", "_em_3d_reconstruction.resolution"],
+    "release": ["_pdbx_audit_revision_history.revision_date"],
+    "deposition": ["_pdbx_database_status.recvd_initial_deposition_date"],
+    "title": ["_struct.title"],
+    "id": ["_entry.id"],
+}
 _MONTHS = {m: i + 1 for i, m in enumerate("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split())}
 
 
@@ -89,12 +99,27 @@ def parse_cif(text: str) -> tuple[dict[str, str | None], list[tuple]]:
         return meta, []
     n = len(xs)
     take = lambda default, *names: column(*names) or [default] * n
-    cols = [take("ATOM", "group_pdb"), take("?", "auth_asym_id", "label_asym_id"), take("?", "auth_seq_id", "label_seq_id"), take("?", "pdbx_pdb_ins_code"), take("?", "auth_comp_id", "label_comp_id"), take("?", "label_atom_id"), take(".", "label_alt_id"), take("1", "occupancy"), xs, take("0", "cartn_y"), take("0", "cartn_z"), take("1", "pdbx_pdb_model_num")]
+    cols = [
+        take("ATOM", "group_pdb"),
+        take("?", "auth_asym_id", "label_asym_id"),
+        take("?", "auth_seq_id", "label_seq_id"),
+        take("?", "pdbx_pdb_ins_code"),
+        take("?", "auth_comp_id", "label_comp_id"),
+        take("?", "label_atom_id"),
+        take(".", "label_alt_id"),
+        take("1", "occupancy"),
+        xs,
+        take("0", "cartn_y"),
+        take("0", "cartn_z"),
+        take("1", "pdbx_pdb_model_num"),
+    ]
     if any(len(c) != n for c in cols):
         raise ValueError("CIF atom table is cut short")
     rows = []
     for group, chain, seq, icode, name, atom, alt, occ, x, y, z, model in zip(*cols):
-        rows.append((model, chain, group == "HETATM", int(seq), "" if icode in MISSING else icode, name, atom, "" if alt in MISSING else alt, float(occ) if occ not in MISSING else 1.0, float(x), float(y), float(z)))
+        shown = ["" if v in MISSING else v for v in (icode, alt)]
+        share = float(occ) if occ not in MISSING else 1.0
+        rows.append((model, chain, group == "HETATM", int(seq), shown[0], name, atom, shown[1], share, float(x), float(y), float(z)))
     return meta, rows
 
 
@@ -112,7 +137,11 @@ def parse_pdb(text: str) -> tuple[dict[str, str | None], list[tuple]]:
     for line in text.splitlines():
         kind = line[:6].strip()
         if kind in ("ATOM", "HETATM"):
-            rows.append((model, line[21:22].strip(), kind == "HETATM", int(line[22:26]), line[26:27].strip(), line[17:20].strip(), line[12:16].strip(), line[16:17].strip(), float(line[54:60]) if line[54:60].strip() else 1.0, float(line[30:38]), float(line[38:46]), float(line[46:54])))
+            cell = lambda a, b, line=line: line[a:b].strip()
+            place = [float(line[at : at + 8]) for at in (30, 38, 46)]
+            share = float(line[54:60]) if cell(54, 60) else 1.0
+            named = (cell(26, 27), cell(17, 20), cell(12, 16), cell(16, 17))
+            rows.append((model, cell(21, 22), kind == "HETATM", int(line[22:26]), *named, share, *place))
         elif kind == "MODEL":
             model = line[10:14].strip() or str(len(rows))
         elif kind == "HEADER":
@@ -139,8 +168,9 @@ def _best_atoms(rows: list[tuple]) -> list[tuple]:
     return [rows[i] for i in sorted(best.values())]
 
 
-def parse_structure(path: str, raw: bytes) -> tuple[dict, list[tuple]]:
-    """A row of metadata, and atom rows in the order of schemas.ATOMS after file_format. Gzip by the name's .gz, in lower case."""
+def parse_structure(path: str, raw: bytes, residues: frozenset[str] = frozenset(AMINO_ACIDS)) -> tuple[dict, list[tuple]]:
+    """A row of metadata, and atom rows in the order of schemas.ATOMS after file_format. Gzip by the name's .gz, in lower
+    case. Without any of ``residues`` in the first model the file is no protein's, which is an error."""
     name = PurePosixPath(path).name
     text = (gzip.decompress(raw) if name.endswith(".gz") else raw).decode("utf-8")
     is_cif = re.search(r"\.(cif|mmcif)(\.gz)?$", name.lower()) is not None
@@ -159,40 +189,70 @@ def parse_structure(path: str, raw: bytes) -> tuple[dict, list[tuple]]:
         r = places.setdefault((m, chain, flag, seq, icode), len(places))
         out.append((m, chain, c, flag, seq, icode, resname, r, atom, alt, occ, x, y, z))
     meta["model_count"] = len(models)
-    if not any(r[0] == 0 and r[3] == " " and r[6] in AMINO_ACIDS for r in out):
+    if not any(r[0] == 0 and r[3] == " " and r[6] in residues for r in out):
         raise ValueError(NO_CHAIN_ERROR)
     return meta, out
 
 
-_ATOM = pa.struct([("model_idx", pa.int32()), ("chain_id", pa.string()), ("chain_pos", pa.int32()), ("het_flag", pa.string()), ("resseq", pa.int32()), ("icode", pa.string()), ("resname", pa.string()), ("res_pos", pa.int32()), ("atom_name", pa.string()), ("altloc", pa.string()), ("occupancy", pa.float32()), ("x", pa.float32()), ("y", pa.float32()), ("z", pa.float32())])
-_PARSED = "structure_id string, source_path string, file_format string, experimental_method string, resolution string, deposition_date string, release_date string, title string, model_count int, error string, atoms array<struct<model_idx: int, chain_id: string, chain_pos: int, het_flag: string, resseq: int, icode: string, resname: string, res_pos: int, atom_name: string, altloc: string, occupancy: float, x: float, y: float, z: float>>"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "float": pa.float32()}
+_ATOM_FIELDS = [tuple(f.split()) for f in ATOMS.split(", ")][3:]
+_ATOM = pa.struct([(name, _KINDS[kind]) for name, kind in _ATOM_FIELDS])
+_META_FIELDS = "structure_id string, source_path string, file_format string, experimental_method string, resolution string, deposition_date string, release_date string, title string, model_count int, error string"
+_PARSED = _META_FIELDS + ", atoms array<struct<" + ", ".join(f"{name}: {kind}" for name, kind in _ATOM_FIELDS) + ">>"
+#: Atoms that a batch of parsed files holds at most, but for its last file.
+_BATCH_ATOMS = 200_000
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in _PARSED.split(", atoms")[0].split(", ")] + ["atoms"]
-    for batch in batches:
-        for path, fmt, raw in zip(batch.column("path"), batch.column("format"), batch.column("content")):
-            shown = path.as_py().removeprefix("file:")
-            try:
-                meta, atoms = parse_structure(shown, raw.as_py())
-                row = [meta["structure_id"], shown, fmt.as_py(), meta["method"], meta["resolution"], meta["deposition"], meta["release"], meta["title"], meta["model_count"], None]
-            except Exception as e:  # any file may be broken in any way; it is routed to the failures
-                row, atoms = [None, shown, fmt.as_py(), *[None] * 6, str(e) or type(e).__name__], []
-            types = [pa.string()] * 8 + [pa.int32(), pa.string()]
-            cells = [pa.array([v], t) for v, t in zip(row, types)]
-            keys = [f.name for f in _ATOM]
-            yield pa.record_batch([*cells, pa.array([[dict(zip(keys, a)) for a in atoms]], pa.list_(_ATOM))], names)
+def _batch(rows: list[list], atoms: list[list[tuple]]) -> pa.RecordBatch:
+    """Parsed files as columns; atoms are built by column, too."""
+    ends = np.cumsum([0, *map(len, atoms)]).astype(np.int32)
+    flat = list(zip(*[a for part in atoms for a in part])) or [()] * len(_ATOM_FIELDS)
+    structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, _ATOM)], fields=list(_ATOM))
+    kinds = [_KINDS[f.split()[1]] for f in _META_FIELDS.split(", ")]
+    cells = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+    return pa.record_batch([*cells, pa.ListArray.from_arrays(pa.array(ends), structs)], [*names(_META_FIELDS), "atoms"])
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def _parser(residues: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = []
+        atoms: list[list[tuple]] = []
+        for batch in batches:
+            for path, fmt, raw in zip(batch.column("path"), batch.column("format"), batch.column("content")):
+                shown = local_path(path.as_py())
+                try:
+                    meta, found = parse_structure(shown, raw.as_py(), residues)
+                    told = [meta[k] for k in ("method", "resolution", "deposition", "release", "title", "model_count")]
+                    row = [meta["structure_id"], shown, fmt.as_py(), *told, None]
+                except Exception as e:  # any file may be broken in any way; it is routed to the failures
+                    row, found = [None, shown, fmt.as_py(), *[None] * 6, str(e) or type(e).__name__], []
+                rows.append(row)
+                atoms.append(found)
+                if len(rows) == 256 or sum(map(len, atoms)) > _BATCH_ATOMS:
+                    yield _batch(rows, atoms)
+                    rows, atoms = [], []
+        if rows:
+            yield _batch(rows, atoms)
+
+    return run
+
+
+def local_path(path: str) -> str:
+    """A local file's absolute path without its scheme; a path of any other store stays whole."""
+    return re.sub(r"^file:(//)?(?=/)", "", path)
+
+
+def parse_files(files: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
     """Each file (path, content, format) parsed once: metadata, error, and atoms."""
-    return files.mapInArrow(_parse, _PARSED)
+    return files.mapInArrow(_parser(frozenset([*AMINO_ACIDS, *config.more_residues])), _PARSED)
 
 
-def scan_structures(spark: SparkSession, root: str) -> DataFrame:
+def scan_structures(spark: SparkSession, root: str, config: PipelineConfig = PipelineConfig()) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return parse_files(files.withColumn("format", structure_format(F.col("path"))).filter("format is not null").select("path", "format", "content"))
+    named = files.withColumn("format", structure_format(F.col("path"))).filter("format is not null")
+    return parse_files(named.select("path", "format", "content"), config)
 
 
 def atoms_of(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("error is null").select("structure_id", "source_path", "file_format", F.explode("atoms").alias("a")).select("structure_id", "source_path", "file_format", "a.*")
+    whole = parsed.filter("error is null").select("structure_id", "source_path", "file_format", F.explode("atoms").alias("a"))
+    return whole.select("structure_id", "source_path", "file_format", "a.*")

@@ -1,15 +1,17 @@
-"""What is to be downloaded. Fetching itself is off by default, and verifies certificates."""
+"""What is to be downloaded, and fetching it. Only the steps that are named so fetch anything."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
+from ..operators.relational import constants
 from ..schemas import REGISTRY
+from .tables import put_bytes
 
 # Address, file name and label of each source.
 SOURCES = (
@@ -22,42 +24,57 @@ SOURCES = (
 STRUCTURE_URL = "https://files.rcsb.org/download/{}.cif.gz"
 
 
+_RESULT = "name string, ok boolean, length long, error string"
+
+
 def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SOURCES), REGISTRY)
+    return constants(spark, list(SOURCES), *[f.split()[0] for f in REGISTRY.split(", ")])
 
 
 def pending(ids: DataFrame, files: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
     """(pdb_id, url) of structures without a file of more than the least size. files: (path, length)."""
     wanted = ids.select(F.lower("structure_id").alias("pdb_id")).filter("pdb_id <> ''").distinct()
-    there = files.filter(F.col("length") > config.downloaded_above_bytes).select(F.regexp_extract("path", r"([^/]+)\.cif\.gz$", 1).alias("pdb_id"))
-    url = F.concat(F.lit(STRUCTURE_URL.split("{}")[0]), F.upper("pdb_id"), F.lit(STRUCTURE_URL.split("{}")[1]))
-    return wanted.join(there, "pdb_id", "left_anti").select("pdb_id", url.alias("url")).orderBy("pdb_id")
+    there = files.filter(F.col("length") > config.downloaded_above_bytes)
+    there = there.select(F.regexp_extract("path", r"([^/]+)\.cif\.gz$", 1).alias("pdb_id"))
+    before, after = STRUCTURE_URL.split("{}")
+    url = F.concat(F.lit(before), F.upper("pdb_id"), F.lit(after)).alias("url")
+    return wanted.join(there, "pdb_id", "left_anti").select("pdb_id", url).orderBy("pdb_id")
 
 
-def fetch(plan: DataFrame, folder: str, config: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """Runs a plan: (pdb_id, ok, error). The folder must be shared by all executors."""
-    timeout = config.structure_timeout_s
+def fetch(plan: DataFrame, folder: str, timeout: int, tasks: int) -> DataFrame:
+    """Runs a plan (name, url): rows (name, ok, length, error). Bodies go to files below ``folder``, in any store that all
+    executors reach, piece by piece. Certificates are verified. A failure is a row; a retried task writes its files anew."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import urllib.request
 
-        for part in parts:
+        for batch in batches:
             rows = []
-            for pdb_id, url in zip(part["pdb_id"], part["url"]):
+            for name, url in zip(batch.column("name").to_pylist(), batch.column("url").to_pylist()):
                 try:
-                    with urllib.request.urlopen(url, timeout=timeout) as r:
-                        body = r.read()
-                    os.makedirs(folder, exist_ok=True)
-                    with open(f"{folder}/{pdb_id}.cif.gz.part", "wb") as f:
-                        f.write(body)
-                    os.replace(f"{folder}/{pdb_id}.cif.gz.part", f"{folder}/{pdb_id}.cif.gz")
-                    rows.append((pdb_id, True, ""))
+                    with urllib.request.urlopen(url, timeout=timeout) as body:
+                        size = put_bytes(f"{folder}/{name}", iter(lambda: body.read(1 << 16), b""))
+                    rows.append((name, True, size, ""))
                 except Exception as e:  # each failure is a row
-                    rows.append((pdb_id, False, str(e)))
-            yield pd.DataFrame(rows, columns=["pdb_id", "ok", "error"])
+                    rows.append((name, False, 0, str(e) or type(e).__name__))
+            types = [pa.string(), pa.bool_(), pa.int64(), pa.string()]
+            cells = list(zip(*rows)) or [()] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, types)], ["name", "ok", "length", "error"])
+
+    return plan.select("name", "url").repartition(tasks).mapInArrow(run, _RESULT)
+
+
+def fetch_registry(sources: DataFrame, folder: str, config: PipelineConfig = PipelineConfig()) -> DataFrame:
+    """Fetches rows (url, dest, label): (name, ok, length, error)."""
+    plan = sources.select(F.col("dest").alias("name"), "url")
+    return fetch(plan, folder, config.registry_timeout_s, config.download_workers)
+
 
-    return plan.repartition(config.download_workers).mapInPandas(run, "pdb_id string, ok boolean, error string")
+def fetch_structures(plan: DataFrame, folder: str, config: PipelineConfig = PipelineConfig()) -> DataFrame:
+    """Fetches rows (pdb_id, url): (pdb_id, ok, length, error)."""
+    named = plan.select(F.concat("pdb_id", F.lit(".cif.gz")).alias("name"), "url")
+    found = fetch(named, folder, config.structure_timeout_s, config.download_workers)
+    return found.select(F.regexp_replace("name", r"\.cif\.gz$", "").alias("pdb_id"), "ok", "length", "error")
 
 
 def download_failures(results: DataFrame) -> DataFrame:

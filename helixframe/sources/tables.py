@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+import os
+import re
+import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,20 +19,91 @@ from ..functions.scalar import dict_text, six_decimals, structure_format
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
+def position() -> F.Column:
+    """Of a row of a text source, its place in the input."""
+    at = {"f": F.col("_metadata.file_path"), "b": F.col("_metadata.file_block_start"), "i": F.monotonically_increasing_id()}
+    return F.struct(*[c.alias(n) for n, c in at.items()])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: that of ``spark.checkpoint.dir``, or of ``setCheckpointDir``; a
+    temporary one where neither is set and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = of_context.get() if of_context.isDefined() else spark.conf.get("helixframe.tables", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="helixframe-tables-")
+        spark.conf.set("helixframe.tables", found)
+    return found.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
+
+
+def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store and path of a URI, or of a local path."""
+    return pafs.FileSystem.from_uri(uri if re.match(r"[a-z][a-z0-9+.-]*:", uri) else f"file://{os.path.abspath(uri)}")
+
+
+def put_bytes(uri: str, chunks: Iterable[bytes]) -> int:
+    """Write a file under a name of its own and rename it when it is whole, so that readers never see a part. Its size."""
+    store, path = store_of(uri)
+    folder, _, name = path.rpartition("/")
+    store.create_dir(folder, recursive=True)
+    part, size = f"{folder}/.{name}.{uuid.uuid4().hex}.part", 0
+    try:
+        with store.open_output_stream(part, compression=None) as out:
+            for chunk in chunks:
+                out.write(chunk)
+                size += len(chunk)
+        store.move(part, path)
+    except BaseException:
+        if store.get_file_info(part).type == pafs.FileType.File:
+            store.delete_file(part)
+        raise
+    return size
+
+
+def write_files(rows: DataFrame, folder: str, compress: bool = False) -> DataFrame:
+    """Rows (name, content) as files below a folder, names in .gz compressed if so wished; (name, length) of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes = batch.column("name"), []
+            for name, content in zip(names.to_pylist(), batch.column("content").to_pylist()):
+                body = gzip.compress(content, mtime=0) if compress and name.endswith(".gz") else content
+                sizes.append(put_bytes(f"{folder}/{name}", [body]))
+            yield pa.record_batch([names, pa.array(sizes, pa.int64())], ["name", "length"])
+
+    kept = rows.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"))
+    return kept.mapInArrow(run, "name string, length long")
+
+
+def write_lines(rows: DataFrame, path: str, *order) -> None:
+    """Rows (value) as one text file in a folder, in the order of columns."""
+    rows.coalesce(1).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A headed CSV file with an explicit schema; blank cells are null, cells may hold line ends."""
     return spark.read.options(**_CSV, multiLine=True, enforceSchema=False).schema(schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, line_end: str = "\r\n") -> None:
-    """A folder of one headed CSV file, rewritten, with a header even where there are no rows. Fractions have six decimals, maps and arrays are text."""
+    """A folder of one headed CSV file, rewritten, with a header even where there are no rows. Fractions have six decimals,
+    maps and arrays are text. A table that goes to CSV is one task's work; between steps there is Parquet."""
     columns = []
     for f in df.schema:
         kind, c = f.dataType.simpleString(), F.col(f.name)
         if kind == "double":
             c = six_decimals(c)
         elif kind.startswith("map<"):
-            c = dict_text(F.transform(F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct((-e["value"]).alias("m"), e["key"].alias("k")))), lambda e: F.struct(e["k"].alias("key"), (-e["m"]).alias("n"))))
+            ranked = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct((-e["value"]).alias("m"), e["key"].alias("k"))))
+            c = dict_text(F.transform(ranked, lambda e: F.struct(e["k"].alias("key"), (-e["m"]).alias("n"))))
         elif kind.startswith("array<"):
             c = F.array_join(c, ",")
         columns.append(c.alias(f.name))
@@ -38,28 +118,47 @@ def write_failures(df: DataFrame, path: str) -> bool:
     return True
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """A new version beside the old one, which ``df`` may read, then swapped in by renames."""
-    spark = df.sparkSession
-    new, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(new)
+def _hadoop(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(p(old), True)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(new), p(path))
-    fs.delete(p(old), True)
+    there = jvm.org.apache.hadoop.fs.Path
+    return there(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, there = _hadoop(spark, path)
+    fs.mkdirs(there(path))
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put a folder in another's place by renames; the old one goes when the new one is there."""
+    old = f"{path}.old"
+    fs, there = _hadoop(spark, path)
+    fs.delete(there(old), True)
+    if fs.exists(there(path)):
+        fs.rename(there(path), there(old))
+    fs.rename(there(new), there(path))
+    fs.delete(there(old), True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """A new version of a Parquet table beside the old one, which ``df`` may read, then swapped in."""
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    _swap(df.sparkSession, f"{path}.new", path)
+
+
+def replace_csv(df: DataFrame, path: str) -> None:
+    """The same for a CSV table."""
+    write_csv(df, f"{path}.new")
+    _swap(df.sparkSession, f"{path}.new", path)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, pos): lines in valid UTF-8, with their order in the input."""
-    text = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("pos"))
-    return text.withColumn("value", F.make_valid_utf8("value"))
+    return spark.read.text(path).select(F.make_valid_utf8("value").alias("value"), position().alias("pos"))
 
 
 def structure_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, format) of supported files below a folder, in order of path components; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = found.select("path", "length")
     return found.withColumn("format", structure_format(F.col("path"))).filter("format is not null").orderBy(F.split("path", "/"))

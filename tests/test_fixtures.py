@@ -10,7 +10,7 @@ import pytest
 from helixframe.config import PipelineConfig
 from helixframe.operators import occupancy, topology
 from helixframe.operators.atlas import build_atlas
-from helixframe.plans import pipeline
+from helixframe.plans import steps
 from helixframe.schemas import ATLAS, DOMAIN_MAPPING
 from helixframe.sources import classifications as c
 from helixframe.sources import coordinates, downloads, tables
@@ -34,19 +34,22 @@ def folder(tmp_path):
 
 
 def test_domain_mapping(spark, folder):
-    mapping, counts = pipeline.map_domains(spark, folder)
+    mapping, told = steps.map_domains(spark, folder)
     got = {r["domain_id"]: tuple(r)[1:] for r in mapping.collect()}
     assert got == {"d1aaaa_": ("1aaa", "A", None, None, 60, "bacteria", "a.1.1.1", "1.10.8.10", None), "d1bbba1": ("1bbb", "A", -3, 95, 180, "eukaryotes", "b.2.1.1", None, "2004.1.1.1"), "d1ddd_": ("1ddd", None, None, None, 100, None, "a.1.1.1", None, None)}
-    assert counts.first().asDict() == {"records": 5, "no_length": 1, "filtered_out": 1, "kept": 3, "with_cath": 1, "with_ecod": 1}
+    counts = {(r["section"], r["key"]): r["value"] for r in told.collect()}
+    read = {"scope domains": 5, "scope descriptions": 5, "sequences": 4, "cath domains": 2, "cath chains": 1, "ecod domains": 1, "ecod chains": 1}
+    kept = {"without length": 1, "outside window": 1, "rows": 3, "with cath": 1, "with ecod": 1}
+    kingdoms = {"bacteria": 1, "eukaryotes": 1, "unknown": 1}
+    assert counts == {("read", k): v for k, v in read.items()} | {("mapping", k): v for k, v in kept.items()} | {("kingdoms", k): v for k, v in kingdoms.items()}
     scope = {r["sid"]: (r["chain_id"], r["residue_start"], r["residue_end"]) for r in c.read_scope_cla(spark, f"{folder}/scope_cla.txt").collect()}
     assert scope["d1cccb_"] == ("B", 5, 50) and scope["d1eeea_"] == ("A", None, None)
     path = f"{folder}/out"
     tables.write_csv(mapping, path)
     back = tables.read_csv(spark, path, DOMAIN_MAPPING)
     assert sorted(map(repr, back.collect())) == sorted(map(repr, mapping.collect()))
-    plan = pipeline.plan_downloads
     files = spark.createDataFrame([("file:/x/1aaa.cif.gz", 500), ("file:/x/1bbb.cif.gz", 50)], "path string, length long")
-    assert [r["pdb_id"] for r in downloads.pending(mapping, files).collect()] == ["1bbb", "1ddd"] and plan
+    assert [r["pdb_id"] for r in downloads.pending(mapping, files).collect()] == ["1bbb", "1ddd"]
     assert downloads.registry(spark).count() == 5
 
 
@@ -96,7 +99,7 @@ def test_ingest(spark, tmp_path):
     (root / "X.CIF.GZ").write_bytes(gzip.compress((CIF + ATOMS).encode()))
     (root / "cut.cif.gz").write_bytes(gzip.compress((CIF + ATOMS).encode())[:60])
     (root / "notes.txt").write_text("no")
-    found = pipeline.ingest(spark, str(root), str(tmp_path / "parsed"))
+    found = steps.parse(spark, str(root), str(tmp_path / "parsed"))
     s = {r["structure_id"]: r for r in found["structures"].collect()}
     t = s["1tst"]
     assert (t["experimental_method"], t["resolution"], t["deposition_date"], t["release_date"], t["title"]) == ("X-RAY DIFFRACTION", "3.2", "2000-12-01", "2001-02-03", 'A title, with "quotes"')
@@ -108,7 +111,7 @@ def test_ingest(spark, tmp_path):
     assert set(failed) == {"het.cif", "X.CIF.GZ", "cut.cif.gz"} and failed["het.cif"] == "No protein chains detected in first model."
     points = {(r["structure_id"], r["seq"]): r["x"] for r in topology.residues(found["atoms"]).collect()}
     assert points[("1tst", 1)] == 2.0 and points[("1tst", 2)] == 3.0
-    top = pipeline.topologies(found).collect()
+    top = steps.topologies(spark, found["atoms"], found["chains"]).collect()
     assert len(top) == 2 and all(r["contact_count"] == 0 and r["s_fraction"] is None for r in top)
     q = ingest_new(spark, str(root), str(tmp_path / "stream"), str(tmp_path / "ck"))
     q.awaitTermination()
