@@ -6,9 +6,13 @@ quantisation error of v, |q.c - q'.c'| <= |e(q)||c| + |q'||e(c)| bounds each one
 query's k-th largest lower bound can't be among its nearest. The others are recomputed in double precision, a heap keeps
 k of them, and the heaps of all tiles are merged. So the result is exact.
 
-Defined cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part; vectors of
-different lengths never meet; ties go to the smaller id; rows that repeat an id are each a candidate, save for queries
-with that id; fewer candidates than k: all; an empty table gives no rows; other columns are ignored.
+Scores are summed from the first component to the last. Each candidate is sent once for each block of queries, and each
+query once for each block of candidates, so blocks are as large as a task's memory allows.
+
+Defined cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do rows
+without an id; vectors of different lengths never meet; ties go to the smaller id; rows that repeat an id are each a
+candidate, save for queries with that id, and the query is the smallest of the id's vectors (the shortest first, then by
+components); fewer candidates than k: all; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import stash, table
 
-QUERY_BLOCK, BLOCK = 1024, 4096
+QUERY_BLOCK, BLOCK = 8192, 4096
 
 
 def _quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -34,7 +38,7 @@ def _quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(x, np.float64) for x in column], np.float64)
+    return np.concatenate(column.to_numpy()).astype(np.float64).reshape(len(column), -1)
 
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -56,7 +60,7 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
         live = (about + bound >= floor[:, None]) & ~same
         for i in range(hi - lo):
             at = np.flatnonzero(live[i])
-            score = (c[at] * q[lo + i]).sum(1)
+            score = np.cumsum(c[at] * q[lo + i], 1)[:, -1]
             best = heapq.nsmallest(k, zip(-score, c_ids[at]))
             out += [(int(q_ids[lo + i]), int(x), -float(s)) for s, x in best]
     return out
@@ -69,11 +73,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.filter(fine).withColumn("dim", F.size("v"))
     sizes = v.groupBy("dim").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("id") % every == 0).alias("q"))
-    sizes = sizes.select("dim", F.ceil(F.col("c") / BLOCK).cast("long").alias("cbs"), F.greatest(F.lit(1), F.ceil(F.col("q") / QUERY_BLOCK)).cast("long").alias("qbs"))
+    blocks = [F.ceil(F.col("c") / BLOCK).cast("long").alias("cbs"), F.greatest(F.lit(1), F.ceil(F.col("q") / QUERY_BLOCK)).cast("long").alias("qbs")]
+    sizes = sizes.select("dim", *blocks)
     v = v.join(stash(sizes, "sizes"), "dim")
     h = F.xxhash64("id")
-    query = v.filter(F.col("id") % every == 0).select(F.col("dim").alias("qdim"), F.pmod(h, "qbs").alias("qb"), F.explode(F.expr("sequence(0L, cbs - 1)")).alias("cb"), F.col("id").alias("qid"), F.col("v").alias("qv"))
-    other = v.select("dim", F.explode(F.expr("sequence(0L, qbs - 1)")).alias("qb"), F.pmod(F.xxhash64("id", F.lit(1)), "cbs").alias("cb"), "id", "v")
+    one = v.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "v", "qbs", "cbs")).alias("x")).select("id", "x.*")
+    blocks = F.explode(F.expr("sequence(0L, cbs - 1)")).alias("cb")
+    query = one.select(F.col("dim").alias("qdim"), F.pmod(h, "qbs").alias("qb"), blocks, F.col("id").alias("qid"), F.col("v").alias("qv"))
+    blocks = F.explode(F.expr("sequence(0L, qbs - 1)")).alias("qb")
+    other = v.select("dim", blocks, F.pmod(F.xxhash64("id", "v"), "cbs").alias("cb"), "id", "v")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -81,7 +89,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
         found = tile(a["qid"].to_numpy(), _matrix(a["qv"]), b["id"].to_numpy(), _matrix(b["v"]), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    found = query.dropDuplicates(["qdim", "qb", "cb", "qid"]).groupBy("qdim", "qb", "cb").cogroup(other.groupBy("dim", "qb", "cb")).applyInPandas(run, "query_id long, vec_id long, score double")
+    tiles = query.groupBy("qdim", "qb", "cb").cogroup(other.groupBy("dim", "qb", "cb"))
+    found = tiles.applyInPandas(run, "query_id long, vec_id long, score double")
     # the heaps' merge: Spark limits each task's share of a query to k rows before the shuffle, too
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -89,3 +98,17 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
 
 def op3_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+q AS (SELECT vec_id, arg_min(v, (len(v), v)) AS v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, b: a + b) AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
