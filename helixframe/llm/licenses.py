@@ -1,6 +1,6 @@
 """License scans with a positional rare-token index, in DataFrame functions alone.
 
-Templates are short word sequences with a mandatory key phrase and a label. Their words make the licence vocabulary,
+Templates are openings and whole notices of licences, each with a mandatory key phrase and a label. Their words make the licence vocabulary,
 whose document frequencies are counted over the whole corpus, and the index posts each template under the rarest word of
 its key phrase, with that word's position.
 
@@ -20,6 +20,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Base phrases and their labels.
+#: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Further templates: (template, key phrase, label).
+#: Openings and notices of public licences, as (template, key phrase, label).
 TEMPLATES = (
     ("licensed under the gnu general public license version 3", "gnu general public license version 3", "gpl-3.0"),
     ("licensed under the gnu general public license version 2", "gnu general public license version 2", "gpl-2.0"),
@@ -44,10 +45,86 @@ TEMPLATES = (
     ("creative commons attribution international license", "creative commons attribution", "cc-by"),
     ("released under the isc license", "isc license", "isc"),
     ("released under the bsd license", "bsd license", "bsd"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms", "bsd"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge", "mit"),
     ("dedicated to the public domain", "public domain", "public-domain"),
     ("all rights reserved", "all rights reserved", "all-rights-reserved"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the software the "
+        "software is provided as is without warranty of any kind express or implied including but not limited to the "
+        "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the "
+        "authors or copyright holders be liable for any claim damages or other liability whether in an action of "
+        "contract tort or otherwise arising from out of or in connection with the software or the use or other dealings "
+        "in the software",
+        "permission is hereby granted free of charge",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies the software "
+        "is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+        "permission to use copy modify and or distribute this software for any purpose",
+        "isc",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met",
+        "redistribution and use in source and binary forms",
+        "bsd",
+    ),
+    (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+        "disclaimer",
+        "redistributions of source code must retain the above copyright notice",
+        "bsd",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
+        "the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by "
+        "applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific "
+        "language governing permissions and limitations under the license",
+        "you may not use this file except in compliance with the license",
+        "apache-2.0",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+        "license as published by the free software foundation either version 3 of the license or at your option any later "
+        "version this program is distributed in the hope that it will be useful but without any warranty without even the "
+        "implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for "
+        "more details you should have received a copy of the gnu general public license along with this program",
+        "published by the free software foundation either version 3",
+        "gpl-3.0",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+        "license as published by the free software foundation either version 2 of the license or at your option any later "
+        "version",
+        "published by the free software foundation either version 2",
+        "gpl-2.0",
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+        "distributed with this file you can obtain one at",
+        "subject to the terms of the mozilla public license",
+        "mpl",
+    ),
+    (
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to "
+        "alter it and redistribute it freely subject to the following restrictions",
+        "permission is granted to anyone to use this software for any purpose including commercial applications",
+        "zlib",
+    ),
+    (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use "
+        "compile sell or distribute this software",
+        "free and unencumbered software released into the public domain",
+        "unlicense",
+    ),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,8 +148,9 @@ def _worded(docs: DataFrame) -> DataFrame:
     """(doc_id, words, n_words, found): found are the distinct licence words. The generators keep words from being made twice."""
     vocabulary = sorted({w for t in _templates() for w in t["words"]})
     w = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.explode(F.array(words_of(docs["text"]))).alias("words"))
-    w = w.select("doc_id", "words", F.when(F.col("words")[0] == "", 0).otherwise(F.size("words")).cast("long").alias("n_words"), F.explode(F.array(F.array_intersect("words", F.array(*map(F.lit, vocabulary))))).alias("found"))
-    return w
+    n = F.when(F.col("words")[0] == "", 0).otherwise(F.size("words")).cast("long").alias("n_words")
+    known = F.from_json(F.lit(json.dumps(vocabulary)), "array<string>")
+    return w.select("doc_id", "words", n, F.explode(F.array(F.array_intersect("words", known))).alias("found"))
 
 
 def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
@@ -82,14 +160,18 @@ def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
     return n.pop("", 0), n
 
 
+_INDEX = "array<struct<words: array<string>, idf: array<double>, all: double, key: array<string>, rare: string, at: int, skip: int, label: string, base: boolean>>"
+
+
 def _index(n: int, df: dict[str, int]) -> F.Column:
-    """The templates as an array of literals: words, their IDF, key phrase, posted word and its position."""
+    """The templates as one literal: words, their IDF, key phrase, posted word and its position."""
     idf = lambda w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1
     rows = []
     for t in _templates():
         at = max(range(len(t["key"])), key=lambda i: (idf(t["key"][i]), -i))
-        rows.append(F.struct(F.array(*map(F.lit, t["words"])).alias("words"), F.array(*[F.lit(idf(w)) for w in t["words"]]).alias("idf"), F.lit(sum(map(idf, t["words"]))).alias("all"), F.array(*map(F.lit, t["key"])).alias("key"), F.lit(t["key"][at]).alias("rare"), F.lit(at).alias("at"), F.lit(t["skip"]).alias("skip"), F.lit(t["label"]).alias("label"), F.lit(t["base"]).alias("base")))
-    return F.array(*rows)
+        weights = [idf(w) for w in t["words"]]
+        rows.append(t | {"idf": weights, "all": sum(weights), "rare": t["key"][at], "at": at})
+    return F.from_json(F.lit(json.dumps(rows)), _INDEX)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -101,7 +183,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     def in_place(start, t):
         """IDF of the template's words that stand where they must, of those inside the file."""
-        each = F.zip_with(t["words"], F.sequence(start - t["skip"], start - t["skip"] + F.size(t["words"]) - 1), lambda x, i: F.when((i >= 0) & (i < F.size(words)), F.get(words, i) == x).otherwise(F.lit(False)))
+        first = start - t["skip"]
+        there = F.sequence(first, first + F.size(t["words"]) - 1)
+        same = lambda x, i: F.when((i >= 0) & (i < F.size(words)), F.get(words, i) == x).otherwise(F.lit(False))
+        each = F.zip_with(t["words"], there, same)
         return F.aggregate(F.zip_with(each, t["idf"], lambda ok, v: F.when(ok, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, b: a + b) / t["all"]
 
     def places(t):
@@ -115,7 +200,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     base = F.filter(p, lambda x: x["base"])
     labels = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda y: y["label"]))), ",")
     starts = F.transform(base, lambda x: x["start"])
-    return w.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(p).alias("labels"), F.coalesce(F.array_max(F.transform(p, lambda x: x["score"])), F.lit(0.0)).alias("score"))
+    cells = {
+        "n_base": F.size(base).cast("long"),
+        "first_word": F.array_min(starts),
+        "last_word": F.array_max(starts),
+        "base_labels": labels(base),
+        "labels": labels(p),
+        "score": F.coalesce(F.array_max(F.transform(p, lambda x: x["score"])), F.lit(0.0)),
+    }
+    return w.select("doc_id", "n_words", *[c.alias(n) for n, c in cells.items()])
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
