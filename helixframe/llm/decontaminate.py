@@ -224,7 +224,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def of_no_leak(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found: rows are told apart by id and text, so those without an id, or that share one, are judged by their own text."""
+    """The rows of ``docs`` in which no benchmark item is found: rows are told apart by id and text, so those without an id,
+    or that share one, are judged by their own text."""
     return rows_without(docs, stash(_search(docs, benchmark).select("row_key").distinct(), "leaks"))
 
 

@@ -15,7 +15,8 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> tuple[pd.DataFrame, tuple[int, int]]:
-    """At most ``most`` texts labelled 0 and 1 (columns text, y), of any length, by hash of id, and how many rows have each label. Held-out rows, null ids and other labels are left out; an id that is labelled twice takes the larger label."""
+    """At most ``most`` texts labelled 0 and 1 (columns text, y), of any length, by hash of id, and how many rows have each
+    label. Held-out rows, null ids and other labels are left out; an id that is labelled twice takes the larger label."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
     known = stash(known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")), "labels")
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -49,7 +49,8 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
     below = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     rest = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy()
-    s = s.withColumn("at", F.row_number().over(by_cap)).withColumn("level", (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / F.sum("w").over(rest))
+    left = F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(below), F.lit(0.0))
+    s = s.withColumn("at", F.row_number().over(by_cap)).withColumn("level", left / F.sum("w").over(rest))
     s = s.withColumn("first", F.min(F.when(F.col("level") * F.col("w") < F.col("cap"), F.struct("at", "level"))).over(everything))
     s = s.withColumn("target", F.when(F.col("at") < F.coalesce("first.at", F.col("at") + 1), F.col("cap")).otherwise(F.col("first.level") * F.col("w")))
     return s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
@@ -96,7 +97,8 @@ def mix_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is emitted."""
     sizes = docs.select(docs["source"].cast("string").alias("source"), size_of(docs["text"]).alias("size"))
     rate = rates(sizes, **how)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), draw_of(docs["doc_id"], docs["text"], seed).alias("draw"))
+    own = [docs["source"].cast("string").alias("source"), draw_of(docs["doc_id"], docs["text"], seed).alias("draw")]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *own)
     many = _copies(rows, rate).filter("copies > 0").select("row", F.explode(F.expr("array_repeat(1, cast(copies as int))")).alias("copy"))
     return many.select("row.*")
 

@@ -56,7 +56,14 @@ class Net:
 
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
-        self.p = {"K": r.normal(0, DIM**-0.5, (DIM, FILTERS)), "c": np.zeros(FILTERS), "A": r.normal(0, (2 * FILTERS) ** -0.5, (2 * FILTERS, HIDDEN)), "a": np.zeros(HIDDEN), "B": r.normal(0, HIDDEN**-0.5, HIDDEN), "b": np.zeros(1)}
+        self.p = {
+            "K": r.normal(0, DIM**-0.5, (DIM, FILTERS)),
+            "c": np.zeros(FILTERS),
+            "A": r.normal(0, (2 * FILTERS) ** -0.5, (2 * FILTERS, HIDDEN)),
+            "a": np.zeros(HIDDEN),
+            "B": r.normal(0, HIDDEN**-0.5, HIDDEN),
+            "b": np.zeros(1),
+        }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.shift = 0.0
 

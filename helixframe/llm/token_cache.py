@@ -104,13 +104,15 @@ def cached(spark: SparkSession, cache: str, version: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens, over_limit). ``cache`` is a folder of a store that all executors share."""
     spark, version = docs.sparkSession, version_of(path)
-    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     slim = stash(texts.select("doc_id", "digest", text_bytes(texts).alias("n_bytes")), "digests")
     lacking = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).join(cached(spark, cache, version), "digest", "left_anti")
     lacking = stash(lacking.select("digest", "first"), "misses")
     # a document stands for its digest; an id that repeats, or is null, may stand for it more than once
     ask = texts.join(lacking, (texts["digest"] == lacking["digest"]) & texts["doc_id"].eqNullSafe(lacking["first"]), "left_semi")
-    ask.select("digest", "text").mapInArrow(_encoder(path, version), "digest string, version string, n_tokens long").write.mode("append").parquet(cache)
+    encoded = ask.select("digest", "text").mapInArrow(_encoder(path, version), "digest string, version string, n_tokens long")
+    encoded.write.mode("append").parquet(cache)
     return slim.join(cached(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

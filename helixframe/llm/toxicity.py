@@ -74,7 +74,8 @@ def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def telling_terms(h: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sorted hashes of all terms that the label tells apart: in 1 % (4 at least) of a class's examples, four times as usual there as in the other, and with a likelihood-ratio statistic above 8."""
+    """Sorted hashes of all terms that the label tells apart: in 1 % (4 at least) of a class's examples, four times as usual
+    there as in the other, and with a likelihood-ratio statistic above 8."""
     terms, at = np.unique(h, return_inverse=True)
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     a = np.bincount(at, weights=y[row], minlength=len(terms))
@@ -162,7 +163,8 @@ class BlockMax:
         self.start = np.searchsorted(term[run], np.arange(terms + 1))
 
     def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each of ``n`` query vectors (given as the examples' are), the example numbers and cosines of the ``k`` nearest with a positive cosine; ties go to the earlier example."""
+        """Of each of ``n`` query vectors (given as the examples' are), the example numbers and cosines of the ``k`` nearest
+        with a positive cosine; ties go to the earlier example."""
         blocks, size = len(self.edges) - 1, len(self.rows)
         if not blocks:
             return [(np.empty(0, np.int64), np.empty(0))] * n
@@ -208,10 +210,12 @@ class BlockMax:
 
 
 class Model:
-    """``known``: sorted hashes of the words of examples, and of all that are not rare; ``weight`` of each, and ``rare`` of any other. ``examples``: (row, term, weight) of the y's unit vectors."""
+    """``known``: sorted hashes of the words of examples, and of all that are not rare; ``weight`` of each, and ``rare`` of
+    any other. ``examples``: (row, term, weight) of the y's unit vectors; ``totals``: labelled rows of both kinds."""
 
-    def __init__(self, known: np.ndarray, weight: np.ndarray, rare: float, examples: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, ids: np.ndarray, totals: tuple[int, int], k: int = K):
-        self.known, self.weight, self.rare, self.examples, self.y, self.ids, self.k = known, weight, rare, examples, y, ids, k
+    def __init__(self, known, weight, rare: float, examples: tuple, y, ids, totals: tuple[int, int], k: int = K):
+        self.known, self.weight, self.rare = known, weight, rare
+        self.examples, self.y, self.ids, self.k = examples, y, ids, k
         ones, zeros = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
         self.stands = np.where(y == 1, totals[1] / ones, totals[0] / zeros)
         self.prior = totals[1] / max(1, sum(totals))
@@ -290,7 +294,8 @@ def _scorer(shared):
                 for lo, hi in groups(offsets):
                     score[lo:hi], more = model.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], known)
                     evidence += more
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "evidence"])
+            cells = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array(evidence, pa.list_(pa.int64()))]
+            yield pa.record_batch(cells, ["doc_id", "held_out", "score", "evidence"])
 
     return run
 
