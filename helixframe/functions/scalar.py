@@ -6,11 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Keywords of each kingdom, matched as substrings, archaea before bacteria before eukaryotes.
-ARCHAEA = ("archaea", "archaeon", "methanobacterium", "halobacterium", "sulfolobus", "pyrococcus", "thermococcus", "methanococcus")
-BACTERIA = ("escherichia", "bacillus", "staphylococcus", "streptococcus", "salmonella", "mycobacterium", "pseudomonas", "helicobacter", "clostridium", "vibrio", "neisseria", "campylobacter", "bacteria", "thermus", "thermotoga", "aquifex")
-EUKARYOTES = ("human", "mouse", "rat", "homo sapiens", "mus musculus", "saccharomyces", "drosophila", "caenorhabditis", "arabidopsis", "xenopus", "danio", "gallus", "bos", "sus", "oryctolagus", "eukaryot", "fungal", "fungi", "plant", "mammal")
+ARCHAEA = (
+    "archaea", "archaeon", "methanobacterium", "halobacterium", "sulfolobus", "pyrococcus", "thermococcus",
+    "methanococcus",
+)
+BACTERIA = (
+    "escherichia", "bacillus", "staphylococcus", "streptococcus", "salmonella", "mycobacterium",
+    "pseudomonas", "helicobacter", "clostridium", "vibrio", "neisseria", "campylobacter", "bacteria",
+    "thermus", "thermotoga", "aquifex",
+)
+EUKARYOTES = (
+    "human", "mouse", "rat", "homo sapiens", "mus musculus", "saccharomyces", "drosophila", "caenorhabditis",
+    "arabidopsis", "xenopus", "danio", "gallus", "bos", "sus", "oryctolagus", "eukaryot", "fungal", "fungi",
+    "plant", "mammal",
+)
 # Names of the structural classes.
-CLASS_NAMES = {"a": "all-alpha", "b": "all-beta", "c": "alpha/beta (a/b)", "d": "alpha+beta (a+b)", "e": "multi-domain", "f": "membrane/cell surface", "g": "small proteins"}
+CLASS_NAMES = {
+    "a": "all-alpha",
+    "b": "all-beta",
+    "c": "alpha/beta (a/b)",
+    "d": "alpha+beta (a+b)",
+    "e": "multi-domain",
+    "f": "membrane/cell surface",
+    "g": "small proteins",
+}
 TIERS = ("common", "rare", "ultra-rare")
 CONTACT_ERROR = "Missing chain topology summary for domain join."
 NO_CHAIN_ERROR = "No protein chains detected in first model."

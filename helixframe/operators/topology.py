@@ -12,7 +12,11 @@ from ..functions.scalar import fraction
 
 CHAIN = ["structure_id", "chain_id"]
 # The standard residues, and common modified or ambiguous ones that count as amino acids.
-AMINO_ACIDS = ("ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL", "ASX", "GLX", "SEC", "PYL", "XLE", "UNK", "MSE", "SEP", "TPO", "PTR", "CSO", "MLY", "HYP", "KCX", "LLP", "CME", "PCA", "CSD", "OCS", "M3L", "NLE", "CSS", "ALY", "DAL", "SAR")
+AMINO_ACIDS = (
+    "ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO",
+    "SER", "THR", "TRP", "TYR", "VAL", "ASX", "GLX", "SEC", "PYL", "XLE", "UNK", "MSE", "SEP", "TPO", "PTR",
+    "CSO", "MLY", "HYP", "KCX", "LLP", "CME", "PCA", "CSD", "OCS", "M3L", "NLE", "CSS", "ALY", "DAL", "SAR",
+)
 
 
 def protein_atoms(atoms: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
@@ -81,8 +85,9 @@ def contact_relations(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:
     for k in key:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     # equal contacts share their ends, so they are no pair, and the strict order loses none
-    pairs = a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in key], *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("lo", "hi")])
-    return pairs.withColumn("relation", relation(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))).filter("relation is not null")
+    ends = [(f"{s}.{c}", f"{s}_{c}") for s in "ab" for c in ("lo", "hi")]
+    pairs = a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in key], *[F.col(c).alias(n) for c, n in ends])
+    return pairs.withColumn("relation", relation(*[F.col(n) for _, n in ends])).filter("relation is not null")
 
 
 def inversions(v: np.ndarray) -> int:
@@ -132,16 +137,19 @@ def relation_counts(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:
         lo, hi = part.column("lo").to_numpy(), part.column("hi").to_numpy()
         s, p, x = count_relations(lo, hi)
         own = {k: part.column(k).slice(0, 1) for k in key}
-        return pa.table(own | {"contact_count": pa.array([len(lo)], pa.int32()), "contact_pair_count": [s + p + x], "series_pair_count": [s], "parallel_pair_count": [p], "cross_pair_count": [x]})
+        told = {f"{k}_pair_count": [v] for k, v in (("contact", s + p + x), ("series", s), ("parallel", p), ("cross", x))}
+        return pa.table(own | {"contact_count": pa.array([len(lo)], pa.int32())} | told)
 
-    kinds = ", ".join(f"{k} {found.schema[k].dataType.simpleString()}" for k in key)
-    return found.select(*key, "lo", "hi").groupBy(*key).applyInArrow(run, f"{kinds}, contact_count int, contact_pair_count bigint, series_pair_count bigint, parallel_pair_count bigint, cross_pair_count bigint")
+    kinds = [f"{k} {found.schema[k].dataType.simpleString()}" for k in key] + ["contact_count int"]
+    kinds += [f"{k}_pair_count bigint" for k in ("contact", "series", "parallel", "cross")]
+    return found.select(*key, "lo", "hi").groupBy(*key).applyInArrow(run, ", ".join(kinds))
 
 
 def relation_counts_sql(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:
     """The same counts by the pair-level join, for short chains and as a check."""
     n = found.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("contact_count"))
-    by = contact_relations(found, key).groupBy(*key).agg(F.count(F.lit(1)).alias("contact_pair_count"), *[F.count_if(F.col("relation") == r).alias(f"{r}_pair_count") for r in ("series", "parallel", "cross")])
+    counts = [F.count_if(F.col("relation") == r).alias(f"{r}_pair_count") for r in ("series", "parallel", "cross")]
+    by = contact_relations(found, key).groupBy(*key).agg(F.count(F.lit(1)).alias("contact_pair_count"), *counts)
     return n.join(by, key, "left").na.fill(0)
 
 
@@ -153,7 +161,8 @@ def chain_topology(points: DataFrame, chains: DataFrame, config: PipelineConfig
     sizes = wanted.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("eligible_residue_count"))
     counts = relation_counts(contacts(wanted, config.contact_distance, config.min_separation, key), key)
     out = chains.select(names).distinct().join(sizes, key, "left").join(counts, key, "left")
-    numbers = ["eligible_residue_count", "contact_count", "contact_pair_count", "series_pair_count", "parallel_pair_count", "cross_pair_count"]
+    kinds = {"s": "series", "p": "parallel", "x": "cross"}
+    numbers = ["eligible_residue_count", "contact_count", "contact_pair_count", *[f"{k}_pair_count" for k in kinds.values()]]
     out = out.na.fill(0, numbers)
-    total = F.col("contact_pair_count")
-    return out.select("structure_id", "chain_id", "source_path", "file_format", *numbers, *[fraction(F.col(f"{r}_pair_count"), total).alias(f"{r[0] if r != 'cross' else 'x'}_fraction") for r in ("series", "parallel", "cross")])
+    shares = [fraction(F.col(f"{k}_pair_count"), F.col("contact_pair_count")).alias(f"{c}_fraction") for c, k in kinds.items()]
+    return out.select("structure_id", "chain_id", "source_path", "file_format", *numbers, *shares)

@@ -102,7 +102,9 @@ def kingdom_keywords(spark, d):
 
 def range_regex(spark, d):
     u = F.col("url")
-    return _t(spark, d, "pages").select("page_id", s.matched(u, r"page=([0-9]+)", 1).cast("int").alias("page"), s.matched(u, r"^https?://[^/]+/([a-z][a-z])/([0-9]+)", 1).alias("lang"), s.matched(u, r"^https?://[^/]+/([a-z][a-z])/([0-9]+)", 2).cast("int").alias("num"))
+    page, path = r"page=([0-9]+)", r"^https?://[^/]+/([a-z][a-z])/([0-9]+)"
+    found = [s.matched(u, page, 1).cast("int").alias("page"), s.matched(u, path, 1).alias("lang")]
+    return _t(spark, d, "pages").select("page_id", *found, s.matched(u, path, 2).cast("int").alias("num"))
 
 
 def hierarchy_regex(spark, d):
@@ -110,7 +112,9 @@ def hierarchy_regex(spark, d):
 
 
 def suffix_format(spark, d):
-    path = F.concat(F.regexp_extract("url", r"^https?://([^/]+)", 1), F.when(F.col("page_id") % 4 == 0, ".CIF").when(F.col("page_id") % 4 == 1, ".pdb.gz").when(F.col("page_id") % 4 == 2, ".mmcif.gz").otherwise(".txt"))
+    n = F.col("page_id") % 4
+    suffix = F.when(n == 0, ".CIF").when(n == 1, ".pdb.gz").when(n == 2, ".mmcif.gz").otherwise(".txt")
+    path = F.concat(F.regexp_extract("url", r"^https?://([^/]+)", 1), suffix)
     return _t(spark, d, "pages").select("page_id", s.structure_format(path).alias("format"), s.stem(path).alias("stem"))
 
 
@@ -173,7 +177,8 @@ def report_long(spark, d):
 _CONTACTS = """
 p AS (SELECT cast(label AS VARCHAR) AS chain_id, cast(vec_id AS INTEGER) AS seq, embedding[1] AS x, embedding[2] AS y, embedding[3] AS z FROM embeddings),
 c AS (SELECT a.chain_id, a.seq AS lo, b.seq AS hi FROM p a JOIN p b ON a.chain_id = b.chain_id AND a.seq < b.seq AND b.seq - a.seq >= 4
-  AND cast((a.x - b.x) * (a.x - b.x) AS DOUBLE) + cast((a.y - b.y) * (a.y - b.y) AS DOUBLE) + cast((a.z - b.z) * (a.z - b.z) AS DOUBLE) <= cast({t} AS DOUBLE) * cast({t} AS DOUBLE))"""
+  AND cast((a.x - b.x) * (a.x - b.x) AS DOUBLE) + cast((a.y - b.y) * (a.y - b.y) AS DOUBLE) + cast((a.z - b.z) * (a.z - b.z) AS DOUBLE) <= cast({t} AS
+    DOUBLE) * cast({t} AS DOUBLE))"""
 _RELATIONS = """
 r AS (SELECT a.chain_id, a.lo AS a_lo, a.hi AS a_hi, b.lo AS b_lo, b.hi AS b_hi,
   CASE WHEN a.hi < b.lo OR b.hi < a.lo THEN 'series' WHEN (a.lo < b.lo AND b.hi < a.hi) OR (b.lo < a.lo AND a.hi < b.hi) THEN 'parallel' ELSE 'cross' END AS relation
@@ -197,43 +202,65 @@ def _case(classes) -> str:
 
 _KINGDOMS = {"archaea": s.ARCHAEA, "bacteria": s.BACTERIA, "eukaryotes": s.EUKARYOTES}
 
+_CLASSES = ", ".join(f"('{k}', '{v}')" for k, v in s.CLASS_NAMES.items())
+
 _SQL = {
     "psx_counts": f"WITH {_C}, {_RELATIONS}, {_COUNTS} SELECT * FROM n",
     "psx_counts_join": f"WITH {_C}, {_RELATIONS}, {_COUNTS} SELECT * FROM n",
     "contact_pairs": f"WITH {_C} SELECT * FROM c",
     "contact_relations": f"WITH {_C}, {_RELATIONS} SELECT * FROM r",
     "psx_fractions": f"""WITH {_C}, {_RELATIONS}, {_COUNTS},
-        f AS (SELECT chain_id, CASE WHEN contact_pair_count > 0 THEN series_pair_count / cast(contact_pair_count AS DOUBLE) END AS s_fraction, CASE WHEN contact_pair_count > 0 THEN parallel_pair_count / cast(contact_pair_count AS DOUBLE) END AS p_fraction, CASE WHEN contact_pair_count > 0 THEN cross_pair_count / cast(contact_pair_count AS DOUBLE) END AS x_fraction FROM n)
-        SELECT *, 'S=' || coalesce(format('{{:.6f}}', s_fraction), '') || ';P=' || coalesce(format('{{:.6f}}', p_fraction), '') || ';X=' || coalesce(format('{{:.6f}}', x_fraction), '') AS topology_representation FROM f""",
-    "chain_zero_fill": f"""WITH {_CONTACTS.format(t='0.012')}, {_RELATIONS}, {_COUNTS}, e AS (SELECT chain_id, count(*) AS eligible_residue_count FROM p GROUP BY chain_id)
-        SELECT e.chain_id, eligible_residue_count, coalesce(contact_count, 0) AS contact_count, coalesce(contact_pair_count, 0) AS contact_pair_count, CASE WHEN contact_pair_count > 0 THEN series_pair_count / cast(contact_pair_count AS DOUBLE) END AS s_fraction FROM e LEFT JOIN n ON e.chain_id = n.chain_id""",
-    "first_hit_left_join": "SELECT d.doc_id AS conv_id, c.role FROM documents d LEFT JOIN (SELECT conv_id, arg_min(role, turn) AS role FROM conversations GROUP BY conv_id) c ON d.doc_id = c.conv_id",
+        f AS (SELECT chain_id, CASE WHEN contact_pair_count > 0 THEN series_pair_count / cast(contact_pair_count AS DOUBLE) END AS s_fraction, CASE WHEN
+        contact_pair_count > 0 THEN parallel_pair_count / cast(contact_pair_count AS DOUBLE) END AS p_fraction, CASE WHEN contact_pair_count > 0 THEN
+        cross_pair_count / cast(contact_pair_count AS DOUBLE) END AS x_fraction FROM n)
+        SELECT *, 'S=' || coalesce(format('{{:.6f}}', s_fraction), '') || ';P=' || coalesce(format('{{:.6f}}', p_fraction), '') || ';X=' ||
+        coalesce(format('{{:.6f}}', x_fraction), '') AS topology_representation FROM f""",
+    "chain_zero_fill": f"""WITH {_CONTACTS.format(t='0.012')}, {_RELATIONS}, {_COUNTS}, e AS (SELECT chain_id, count(*) AS eligible_residue_count FROM p
+    GROUP BY chain_id)
+        SELECT e.chain_id, eligible_residue_count, coalesce(contact_count, 0) AS contact_count, coalesce(contact_pair_count, 0) AS contact_pair_count, CASE
+        WHEN contact_pair_count > 0 THEN series_pair_count / cast(contact_pair_count AS DOUBLE) END AS s_fraction FROM e LEFT JOIN n ON e.chain_id =
+        n.chain_id""",
+    "first_hit_left_join": """SELECT d.doc_id AS conv_id, c.role FROM documents d LEFT JOIN (SELECT conv_id, arg_min(role, turn) AS role FROM conversations GROUP BY conv_id) c ON
+        d.doc_id = c.conv_id""",
     "last_wins_dedup": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
     "route_atlas": "SELECT d.doc_id, source, quality AS ps, toxic AS pp, '' AS tier FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "anti_failures": f"SELECT doc_id, source, '{s.CONTACT_ERROR}' AS error FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "keyword_class": f"SELECT p_partkey, {_case(KEYWORDS)} AS kingdom FROM (SELECT p_partkey, lower(p_name) AS low FROM part)",
     "kingdom_keywords": f"SELECT doc_id, {_case(_KINGDOMS)} AS kingdom FROM (SELECT doc_id, lower(text) AS low FROM documents)",
-    "range_regex": "SELECT page_id, cast(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS INTEGER) AS page, nullif(regexp_extract(url, '^https?://[^/]+/([a-z][a-z])/([0-9]+)', 1), '') AS lang, cast(nullif(regexp_extract(url, '^https?://[^/]+/([a-z][a-z])/([0-9]+)', 2), '') AS INTEGER) AS num FROM pages",
+    "range_regex": """SELECT page_id, cast(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS INTEGER) AS page, nullif(regexp_extract(url,
+        '^https?://[^/]+/([a-z][a-z])/([0-9]+)', 1), '') AS lang, cast(nullif(regexp_extract(url, '^https?://[^/]+/([a-z][a-z])/([0-9]+)', 2), '') AS
+        INTEGER) AS num FROM pages""",
     "hierarchy_regex": """SELECT event_id, cast(nullif(regexp_extract(props, '"k": ([0-9]+)', 1), '') AS INTEGER) AS k FROM events""",
-    "suffix_format": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'mmcif' WHEN 1 THEN 'pdb' WHEN 2 THEN 'mmcif' END AS format, regexp_extract(url, '^https?://([^/]+)', 1) AS stem FROM pages",
+    "suffix_format": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'mmcif' WHEN 1 THEN 'pdb' WHEN 2 THEN 'mmcif' END AS format, regexp_extract(url, '^https?://([^/]+)', 1)
+        AS stem FROM pages""",
     "occupancy_tiers": f"SELECT o_custkey, n AS domain_count, {_TIER} AS occupancy_tier FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)",
-    "tier_histogram": f"WITH f AS (SELECT p_brand, p_type, p_size, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT {_TIER} AS tier, count(*) AS folds FROM f GROUP BY 1) SELECT v.tier AS occupancy_tier, coalesce(folds, 0) AS folds FROM (VALUES ('common'), ('rare'), ('ultra-rare')) v(tier) LEFT JOIN t ON v.tier = t.tier",
+    "tier_histogram": f"""WITH f AS (SELECT p_brand, p_type, p_size, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT {_TIER} AS tier, count(*) AS folds FROM f GROUP BY 1)
+        SELECT v.tier AS occupancy_tier, coalesce(folds, 0) AS folds FROM (VALUES ('common'), ('rare'), ('ultra-rare')) v(tier) LEFT JOIN t ON v.tier
+        = t.tier""",
     "tier_backfill": f"SELECT o_orderkey, o_custkey, {_TIER} AS occupancy_tier FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)",
-    "group_map": "SELECT c_nationkey, '{' || string_agg('''' || seg || ''': ' || n, ', ' ORDER BY n DESC, seg) || '}' AS kingdoms FROM (SELECT c_nationkey, coalesce(nullif(c_mktsegment, ''), 'unknown') AS seg, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1",
-    "numeric_summary": "SELECT 'value' AS metric, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max FROM (SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events)",
-    "coverage": "SELECT c AS \"column\", n AS filled, total, round(100.0::DOUBLE * n / total, 6) AS percent FROM (SELECT count(*) AS total, count(quality) AS q, count(lang) AS l FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id) CROSS JOIN LATERAL (VALUES ('quality', q), ('lang', l)) v(c, n)",
+    "group_map": """SELECT c_nationkey, '{' || string_agg('''' || seg || ''': ' || n, ', ' ORDER BY n DESC, seg) || '}' AS kingdoms FROM (SELECT c_nationkey,
+        coalesce(nullif(c_mktsegment, ''), 'unknown') AS seg, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1""",
+    "numeric_summary": """SELECT 'value' AS metric, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max
+        FROM (SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events)""",
+    "coverage": """SELECT c AS \"column\", n AS filled, total, round(100.0::DOUBLE * n / total, 6) AS percent FROM (SELECT count(*) AS total, count(quality) AS q,
+        count(lang) AS l FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id) CROSS JOIN LATERAL (VALUES ('quality', q), ('lang', l)) v(c, n)""",
     "kingdom_histogram": "SELECT CASE WHEN lang <> 'fr' THEN lang ELSE 'unknown' END AS kingdom, count(*) AS n FROM documents GROUP BY 1",
-    "class_histogram": "SELECT class, class_name, count(*) AS domains, count(DISTINCT p_brand) AS folds FROM (SELECT translate(substr(p_type, 1, 1), 'ELMPS', 'abcdz') AS class, p_brand FROM part) JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in s.CLASS_NAMES.items()) + ") v(c, class_name) ON class = c GROUP BY 1, 2",
+    "class_histogram": f"""SELECT class, class_name, count(*) AS domains, count(DISTINCT p_brand) AS folds
+        FROM (SELECT translate(substr(p_type, 1, 1), 'ELMPS', 'abcdz') AS class, p_brand FROM part)
+        JOIN (VALUES {_CLASSES}) v(c, class_name) ON class = c GROUP BY 1, 2""",
     "distinct_sorted": "SELECT DISTINCT lower(p_type) AS p_type, upper(p_brand) AS p_brand FROM part",
-    "report_long": f"""WITH a AS (SELECT translate(substr(lang, 1, 1), 'defs', 'abcd') AS class, translate(substr(lang, 1, 1), 'defs', 'abcd') || '.' || source AS scope_id, lang, quality, toxic, cast(n_chars AS DOUBLE) / 20000 AS ps FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+    "report_long": f"""WITH a AS (SELECT translate(substr(lang, 1, 1), 'defs', 'abcd') AS class, translate(substr(lang, 1, 1), 'defs', 'abcd') || '.' ||
+    source AS scope_id, lang, quality, toxic, cast(n_chars AS DOUBLE) / 20000 AS ps FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
         f AS (SELECT scope_id, count(*) AS n FROM a GROUP BY 1), t AS (SELECT {_TIER} AS tier, count(*) AS folds FROM f GROUP BY 1),
         m AS (SELECT 'ps_fraction' AS metric, ps AS v FROM a UNION ALL SELECT 'pp_fraction', quality FROM a UNION ALL SELECT 'x_fraction', toxic FROM a),
         g AS (SELECT metric, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max FROM m WHERE v IS NOT NULL GROUP BY 1),
         u AS (SELECT 'totals' AS section, 'domains' AS key, cast(count(*) AS DOUBLE) AS value FROM a UNION ALL SELECT 'totals', 'folds', count(DISTINCT scope_id) FROM a
         UNION ALL SELECT 'tiers', v.tier, coalesce(folds, 0) FROM (VALUES ('common'), ('rare'), ('ultra-rare')) v(tier) LEFT JOIN t ON v.tier = t.tier
-        UNION ALL SELECT 'kingdoms', lang, count(*) FROM a GROUP BY lang UNION ALL SELECT 'class domains', class, count(*) FROM a GROUP BY class UNION ALL SELECT 'class folds', class, count(DISTINCT scope_id) FROM a GROUP BY class
+        UNION ALL SELECT 'kingdoms', lang, count(*) FROM a GROUP BY lang UNION ALL SELECT 'class domains', class, count(*) FROM a GROUP BY class UNION ALL
+        SELECT 'class folds', class, count(DISTINCT scope_id) FROM a GROUP BY class
         UNION ALL SELECT 'coverage', 'cath_id', 100.0 * count(quality) / count(*) FROM a UNION ALL SELECT 'coverage', 'ecod_id', 100.0 * count(toxic) / count(*) FROM a
-        UNION ALL SELECT 'fraction mean', metric, mean FROM g UNION ALL SELECT 'fraction std', metric, std FROM g UNION ALL SELECT 'fraction min', metric, min FROM g UNION ALL SELECT 'fraction max', metric, max FROM g)
+        UNION ALL SELECT 'fraction mean', metric, mean FROM g UNION ALL SELECT 'fraction std', metric, std FROM g UNION ALL SELECT 'fraction min', metric, min
+        FROM g UNION ALL SELECT 'fraction max', metric, max FROM g)
         SELECT section, key, round(value, 6) AS value FROM u""",
 }
 

@@ -85,6 +85,10 @@ def _ecod(spark: SparkSession, d: str, path: str) -> None:
 _RENDER = {"scope_cla.txt": _scope_cla, "scope_des.txt": _scope_des, "scope_astral_40.fa": _fasta, "cath_domain_list.txt": _cath, "ecod_domains.txt": _ecod}
 
 
+def _put(files: DataFrame, folder: str, compress: bool = False) -> None:
+    tables.write_files(files, folder, compress).write.format("noop").mode("overwrite").save()
+
+
 def _file(spark: SparkSession, d: str, name: str) -> str:
     path = f"{tables.fresh_dir(spark, 'rendered')}/{name}"
     _RENDER[name](spark, d, path)
@@ -166,13 +170,14 @@ def _structures(spark: SparkSession, d: str) -> str:
         IF(v % 7 = 0, 'A', ' '), x, y, z, 1.0D, 0.0D)"""
     rows = rows.selectExpr("s", "model", "label", "v", "atom", f"IF(s % 3 = 2 AND s <> 11, {pdb}, {cif}) as line")
     # models of a PDB file stand between MODEL and ENDMDL lines
-    by = rows.groupBy("s", "model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "v", "atom", "line"))), lambda a: a["line"]), "\n").alias("body"))
+    joined = lambda *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda a: a[order[-1]]), "\n")
+    by = rows.groupBy("s", "model").agg(joined("label", "v", "atom", "line").alias("body"))
     by = by.selectExpr("s", "model", "IF(s % 3 = 2 AND s <> 11, 'MODEL        ' || model || '\n' || body || '\nENDMDL', body) as body")
-    files = by.groupBy("s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("model", "body"))), lambda a: a["body"]), "\n").alias("body"))
+    files = by.groupBy("s").agg(joined("model", "body").alias("body"))
     name = f"IF(s = 11, 'broken.cif', {_FILE_NAME})"
     files = files.selectExpr(f"{name} as name", f"IF(s % 3 = 2 AND s <> 11, {_HEAD_PDB}, {_HEAD_CIF}) || body || '\n' as content")
     notes = spark.range(1).selectExpr("'notes.txt' as name", "'no structure' as content")
-    tables.write_files(files.union(notes), folder, compress=True).write.format("noop").mode("overwrite").save()
+    _put(files.union(notes), folder, True)
     return folder
 
 
@@ -273,7 +278,7 @@ def pending_downloads(spark: SparkSession, d: str) -> DataFrame:
     ids = _parts(spark, d).selectExpr("pdb as structure_id")
     there = ids.distinct().selectExpr("lower(structure_id) || '.cif.gz' as name", "cast(substr(structure_id, 2) as int) as n").filter("n % 3 <> 0")
     files = there.selectExpr("name", "repeat('x', IF(n % 3 = 1, 500, 50)) as content")
-    tables.write_files(files, folder).write.format("noop").mode("overwrite").save()
+    _put(files, folder)
     return steps.plan_downloads(spark, ids, folder)
 
 
@@ -292,8 +297,9 @@ def registry_fetch(spark: SparkSession, d: str) -> DataFrame:
         folder = tables.fresh_dir(spark, "rendered")
         rows = _table(spark, d, "region").selectExpr("r_regionkey as k", "r_name as content")
         files = rows.filter(f"k >= {missing}").selectExpr("'r' || k as name", "content")
-        tables.write_files(files, f"{folder}/in").write.format("noop").mode("overwrite").save()
-        sources = rows.select(F.concat(F.lit(_uri(f"{folder}/in/r")), F.col("k")).alias("url"), F.concat(F.lit("out"), F.col("k")).alias("dest"), F.col("content").alias("label"))
+        _put(files, f"{folder}/in")
+        url = F.concat(F.lit(_uri(f"{folder}/in/r")), F.col("k")).alias("url")
+        sources = rows.select(url, F.concat(F.lit("out"), F.col("k")).alias("dest"), F.col("content").alias("label"))
         step = steps.download_classifications(spark, f"{folder}/out", sources)
         got = spark.read.format("binaryFile").load(f"{folder}/out").agg(F.sum("length").cast("double").alias("value"))
         told.append(step.report.withColumn("run", F.lit(name)).withColumn("code", F.lit(step.code)))
@@ -307,7 +313,7 @@ def structure_fetch(spark: SparkSession, d: str) -> DataFrame:
     ids = _parts(spark, d).filter("k < 60").selectExpr("'d' || k as domain_id", "pdb as structure_id", "cast(k as int) as n")
     mapping = ids.select(*[F.col(c) if c in ids.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in DOMAIN_MAPPING.split(", "))])
     tables.write_csv(mapping, f"{folder}/mapping.csv")
-    tables.write_files(ids.filter("n % 3 = 0").selectExpr("lower(structure_id) as name", "repeat('x', 200) as content"), f"{folder}/in").write.format("noop").mode("overwrite").save()
+    _put(ids.filter("n % 3 = 0").selectExpr("lower(structure_id) as name", "repeat('x', 200) as content"), f"{folder}/in")
     plan = ids.selectExpr("lower(structure_id) as pdb_id").withColumn("url", F.concat(F.lit(_uri(f"{folder}/in/")), F.col("pdb_id")))
     step = steps.download_structures(spark, f"{folder}/mapping.csv", f"{folder}/out", plan)
     failed = tables.read_csv(spark, f"{folder}/out/download_failures.csv", DOWNLOAD_FAILURES)
@@ -327,7 +333,14 @@ def step_codes(spark: SparkSession, d: str) -> DataFrame:
     tables.write_csv(none, f"{folder}/empty.csv")
     kept = tables.read_csv(spark, f"{folder}/some", DOWNLOAD_FAILURES).count()
     blank = tables.read_csv(spark, f"{folder}/empty.csv", DOWNLOAD_FAILURES)
-    rows = {"ingest without files": code, "failures of none written": int(wrote[0]), "failures of some written": int(wrote[1]), "failures read back": kept, "rows of an empty table": blank.count(), "columns of an empty table": len(blank.columns)}
+    rows = {
+        "ingest without files": code,
+        "failures of none written": int(wrote[0]),
+        "failures of some written": int(wrote[1]),
+        "failures read back": kept,
+        "rows of an empty table": blank.count(),
+        "columns of an empty table": len(blank.columns),
+    }
     each = [F.struct(F.lit(k).alias("what"), F.lit(v).cast("long").alias("value")) for k, v in rows.items()]
     return spark.range(1).select(F.inline(F.array(*each)))
 
@@ -353,41 +366,60 @@ _SCOPE = """scope AS (SELECT k, 'd' || k AS sid, lower(pdb) AS structure_id, CAS
 _DES = f"""des AS (SELECT cast(k AS VARCHAR) AS sunid, CASE WHEN k % 4 = 3 THEN 'dm' ELSE 'sp' END AS level, 'a.1' AS sccs, {_DESCRIPTION} AS description
     FROM (SELECT s_suppkey AS k FROM supplier) WHERE k % 6 <> 4)"""
 _LENGTHS = "lengths AS (SELECT 'd' || k AS sid, cast(40 + z + 3 * (k % 50) AS INTEGER) AS domain_length FROM p WHERE k % 9 <> 8)"
-_CATH_SQL = "cath AS (SELECT k, lower(pdb) AS structure_id, chain AS chain_id, '1.10.' || z AS cath_id, lower(pdb) || chain || '01' AS domain_id FROM p WHERE k % 3 = 0 AND k % 33 <> 0)"
-_ECOD_SQL = "ecod AS (SELECT k, lower(pdb) AS structure_id, chain AS chain_id, '2004.' || z || '.1' AS ecod_id, 'e' || k AS ecod_domain_id FROM p WHERE k % 4 = 1 AND k % 28 <> 5 AND k % 20 <> 1)"
+_CATH_SQL = """cath AS (SELECT k, lower(pdb) AS structure_id, chain AS chain_id, '1.10.' || z AS cath_id, lower(pdb) || chain || '01' AS domain_id
+    FROM p WHERE k % 3 = 0 AND k % 33 <> 0)"""
+_ECOD_SQL = """ecod AS (SELECT k, lower(pdb) AS structure_id, chain AS chain_id, '2004.' || z || '.1' AS ecod_id, 'e' || k AS ecod_domain_id
+    FROM p WHERE k % 4 = 1 AND k % 28 <> 5 AND k % 20 <> 1)"""
 _MAPPING = """both_ AS (SELECT s.*, l.domain_length FROM scope s LEFT JOIN lengths l ON s.sid = l.sid),
 mapping AS (SELECT b.sid AS domain_id, b.structure_id, b.chain_id, residue_start, residue_end, domain_length,
-    CASE cast(species AS INTEGER) % 6 WHEN 0 THEN 'bacteria' WHEN 1 THEN 'eukaryotes' WHEN 2 THEN 'archaea' WHEN 5 THEN 'archaea' END AS kingdom_, d.sunid AS known, b.sccs AS scope_id, c.cath_id, e.ecod_id
-    FROM both_ b LEFT JOIN (SELECT structure_id, chain_id, arg_min(cath_id, k) AS cath_id FROM cath GROUP BY ALL) c ON b.structure_id = c.structure_id AND b.chain_id = c.chain_id
+    CASE cast(species AS INTEGER) % 6 WHEN 0 THEN 'bacteria' WHEN 1 THEN 'eukaryotes' WHEN 2 THEN 'archaea' WHEN 5 THEN 'archaea' END AS kingdom_, d.sunid
+    AS known, b.sccs AS scope_id, c.cath_id, e.ecod_id
+    FROM both_ b LEFT JOIN (SELECT structure_id, chain_id, arg_min(cath_id, k) AS cath_id FROM cath GROUP BY ALL) c ON b.structure_id = c.structure_id AND
+    b.chain_id = c.chain_id
     LEFT JOIN (SELECT structure_id, chain_id, arg_min(ecod_id, k) AS ecod_id FROM ecod GROUP BY ALL) e ON b.structure_id = e.structure_id AND b.chain_id = e.chain_id
     LEFT JOIN (SELECT sunid FROM des WHERE level = 'sp') d ON b.species = d.sunid WHERE domain_length BETWEEN 60 AND 180),
 named AS (SELECT * EXCLUDE (kingdom_, known), CASE WHEN known IS NOT NULL THEN kingdom_ END AS kingdom FROM mapping)"""
 _ALL = ", ".join([_P, _SCOPE, _DES, _LENGTHS, _CATH_SQL, _ECOD_SQL, _MAPPING])
 
-_E = f"""e AS (SELECT {_VECTOR.format(div='//', at='embedding', a=1, b=2, c=3)}, chr(cast(65 + label % 3 AS INTEGER)) AS chain_id, 's' || lpad(cast(vec_id % 12 AS VARCHAR), 3, '0') AS structure_id FROM embeddings),
+_E = f"""e AS (SELECT {_VECTOR.format(div='//', at='embedding', a=1, b=2, c=3)}, chr(cast(65 + label % 3 AS INTEGER)) AS chain_id, 's' ||
+    lpad(cast(vec_id % 12 AS VARCHAR), 3, '0') AS structure_id FROM embeddings),
 f AS (SELECT DISTINCT s, {_duck(_FILE_NAME)} AS file, CASE WHEN s % 3 = 2 THEN 'pdb' ELSE 'mmcif' END AS file_format FROM e WHERE s < 11),
 r AS (SELECT * FROM e WHERE r IN (0, 1, 3) AND s < 10)"""
-_TOP = """q AS (SELECT structure_id, chain_id, cast(seq AS BIGINT) AS seq, cast((mx + CASE WHEN r = 0 THEN 0 ELSE 1000 END) / 1000.0::DOUBLE AS FLOAT) AS x, cast(my / 1000.0::DOUBLE AS FLOAT) AS y, cast(mz / 1000.0::DOUBLE AS FLOAT) AS z FROM r),
+_TOP = """q AS (SELECT structure_id, chain_id, cast(seq AS BIGINT) AS seq, cast((mx + CASE WHEN r = 0 THEN 0 ELSE 1000 END) / 1000.0::DOUBLE AS FLOAT)
+    AS x, cast(my / 1000.0::DOUBLE AS FLOAT) AS y, cast(mz / 1000.0::DOUBLE AS FLOAT) AS z FROM r),
 c AS (SELECT a.structure_id, a.chain_id, a.seq AS lo, b.seq AS hi FROM q a JOIN q b ON a.structure_id = b.structure_id AND a.chain_id = b.chain_id AND b.seq - a.seq >= 4
     AND cast((a.x - b.x) * (a.x - b.x) AS DOUBLE) + cast((a.y - b.y) * (a.y - b.y) AS DOUBLE) + cast((a.z - b.z) * (a.z - b.z) AS DOUBLE) <= 324.0::DOUBLE),
-w AS (SELECT a.structure_id, a.chain_id, CASE WHEN a.hi < b.lo OR b.hi < a.lo THEN 's' WHEN (a.lo < b.lo AND b.hi < a.hi) OR (b.lo < a.lo AND a.hi < b.hi) THEN 'p' ELSE 'x' END AS k
-    FROM c a JOIN c b ON a.structure_id = b.structure_id AND a.chain_id = b.chain_id AND (a.lo < b.lo OR (a.lo = b.lo AND a.hi < b.hi)) AND a.lo <> b.lo AND a.lo <> b.hi AND a.hi <> b.lo AND a.hi <> b.hi),
-n AS (SELECT structure_id, chain_id, count(*) AS pairs, count(*) FILTER (WHERE k = 's') AS s, count(*) FILTER (WHERE k = 'p') AS p, count(*) FILTER (WHERE k = 'x') AS x FROM w GROUP BY ALL),
+w AS (SELECT a.structure_id, a.chain_id, CASE WHEN a.hi < b.lo OR b.hi < a.lo THEN 's' WHEN (a.lo < b.lo AND b.hi < a.hi) OR (b.lo < a.lo AND a.hi <
+    b.hi) THEN 'p' ELSE 'x' END AS k
+    FROM c a JOIN c b ON a.structure_id = b.structure_id AND a.chain_id = b.chain_id AND (a.lo < b.lo OR (a.lo = b.lo AND a.hi < b.hi)) AND a.lo <> b.lo
+    AND a.lo <> b.hi AND a.hi <> b.lo AND a.hi <> b.hi),
+n AS (SELECT structure_id, chain_id, count(*) AS pairs, count(*) FILTER (WHERE k = 's') AS s, count(*) FILTER (WHERE k = 'p') AS p, count(*) FILTER
+    (WHERE k = 'x') AS x FROM w GROUP BY ALL),
 m AS (SELECT structure_id, chain_id, count(*) AS contacts FROM c GROUP BY ALL),
 g AS (SELECT structure_id, chain_id, s, count(*) AS residues FROM q JOIN (SELECT DISTINCT structure_id, s FROM r) USING (structure_id) GROUP BY ALL),
 topology AS (SELECT g.structure_id, g.chain_id, CASE WHEN g.s % 3 = 2 THEN 'pdb' ELSE 'mmcif' END AS file_format, residues AS eligible_residue_count,
-    coalesce(contacts, 0) AS contact_count, coalesce(pairs, 0) AS contact_pair_count, coalesce(n.s, 0) AS series_pair_count, coalesce(n.p, 0) AS parallel_pair_count, coalesce(n.x, 0) AS cross_pair_count,
-    cast(format('{:.6f}', n.s / cast(pairs AS DOUBLE)) AS DOUBLE) AS s_fraction, cast(format('{:.6f}', n.p / cast(pairs AS DOUBLE)) AS DOUBLE) AS p_fraction, cast(format('{:.6f}', n.x / cast(pairs AS DOUBLE)) AS DOUBLE) AS x_fraction
+    coalesce(contacts, 0) AS contact_count, coalesce(pairs, 0) AS contact_pair_count, coalesce(n.s, 0) AS series_pair_count, coalesce(n.p, 0) AS
+    parallel_pair_count, coalesce(n.x, 0) AS cross_pair_count,
+    cast(format('{:.6f}', n.s / cast(pairs AS DOUBLE)) AS DOUBLE) AS s_fraction, cast(format('{:.6f}', n.p / cast(pairs AS DOUBLE)) AS DOUBLE) AS
+    p_fraction, cast(format('{:.6f}', n.x / cast(pairs AS DOUBLE)) AS DOUBLE) AS x_fraction
     FROM g LEFT JOIN m USING (structure_id, chain_id) LEFT JOIN n USING (structure_id, chain_id))"""
-_ATLAS_SQL = """d AS (SELECT k, 'd' || k AS domain_id, 's' || lpad(cast(k % 13 AS VARCHAR), 3, '0') AS structure_id, CASE WHEN k % 29 <> 0 THEN chr(cast(65 + k % 4 AS INTEGER)) END AS chain_id,
+_ATLAS_SQL = """d AS (SELECT k, 'd' || k AS domain_id, 's' || lpad(cast(k % 13 AS VARCHAR), 3, '0') AS structure_id, CASE WHEN k % 29 <> 0 THEN
+    chr(cast(65 + k % 4 AS INTEGER)) END AS chain_id,
     cast(CASE WHEN k % 3 <> 0 THEN -k END AS INTEGER) AS residue_start, cast(k AS INTEGER) AS residue_end, cast(z AS INTEGER) AS domain_length,
     CASE k % 3 WHEN 0 THEN 'bacteria' WHEN 1 THEN 'archaea' END AS kingdom, CASE WHEN k % 31 <> 0 THEN sccs END AS scope_id,
     CASE WHEN k % 2 <> 0 THEN '1.' || z END AS cath_id, CASE WHEN k % 5 <> 0 THEN 'f, "' || z || '"' END AS ecod_id FROM pp),
-atlas AS (SELECT d.* EXCLUDE (k), 'S=' || coalesce(format('{:.6f}', s_fraction), '') || ';P=' || coalesce(format('{:.6f}', p_fraction), '') || ';X=' || coalesce(format('{:.6f}', x_fraction), '') AS topology_representation,
+atlas AS (SELECT d.* EXCLUDE (k), 'S=' || coalesce(format('{:.6f}', s_fraction), '') || ';P=' || coalesce(format('{:.6f}', p_fraction), '') || ';X='
+    || coalesce(format('{:.6f}', x_fraction), '') AS topology_representation,
     s_fraction AS ps_fraction, p_fraction AS pp_fraction, x_fraction FROM d JOIN topology t ON d.structure_id = t.structure_id AND d.chain_id = t.chain_id),
-folds AS (SELECT scope_id, count(*) AS domain_count, CASE WHEN count(*) >= 10 THEN 'common' WHEN count(*) >= 3 THEN 'rare' ELSE 'ultra-rare' END AS occupancy_tier FROM atlas WHERE scope_id IS NOT NULL GROUP BY 1)"""
+folds AS (SELECT scope_id, count(*) AS domain_count, CASE WHEN count(*) >= 10 THEN 'common' WHEN count(*) >= 3 THEN 'rare' ELSE 'ultra-rare' END AS
+    occupancy_tier FROM atlas WHERE scope_id IS NOT NULL GROUP BY 1)"""
 _FULL = ", ".join([_E, _TOP, _P.replace("p AS (", "pp AS (", 1), _ATLAS_SQL])
-_METRICS = "(SELECT 'ps_fraction' AS metric, ps_fraction AS v FROM atlas UNION ALL SELECT 'pp_fraction', pp_fraction FROM atlas UNION ALL SELECT 'x_fraction', x_fraction FROM atlas)"
+_METRICS = """(SELECT 'ps_fraction' AS metric, ps_fraction AS v
+    FROM atlas
+    UNION ALL SELECT 'pp_fraction', pp_fraction
+    FROM atlas
+    UNION ALL SELECT 'x_fraction', x_fraction
+    FROM atlas)"""
 
 SQL = {
     "scope_domains": f"WITH {_P}, {_SCOPE} SELECT * EXCLUDE (k) FROM scope",
@@ -396,47 +428,70 @@ SQL = {
     "cath_domains": f"WITH {_P}, {_CATH_SQL} SELECT * EXCLUDE (k) FROM cath",
     "ecod_domains": f"WITH {_P}, {_ECOD_SQL} SELECT * EXCLUDE (k) FROM ecod",
     "domain_mapping": f"WITH {_ALL} SELECT * FROM named",
-    "mapping_report": f"""WITH {_ALL} SELECT 'read' AS section, 'scope domains' AS key, count(*) AS value FROM scope UNION ALL SELECT 'read', 'scope descriptions', count(*) FROM des
-        UNION ALL SELECT 'read', 'sequences', count(*) FROM lengths UNION ALL SELECT 'read', 'cath domains', count(*) FROM cath UNION ALL SELECT 'read', 'cath chains', count(DISTINCT structure_id || chain_id) FROM cath
+    "mapping_report": f"""WITH {_ALL} SELECT 'read' AS section, 'scope domains' AS key, count(*) AS value FROM scope UNION ALL SELECT 'read',
+    'scope descriptions', count(*) FROM des
+        UNION ALL SELECT 'read', 'sequences', count(*) FROM lengths UNION ALL SELECT 'read', 'cath domains', count(*) FROM cath UNION ALL SELECT 'read',
+        'cath chains', count(DISTINCT structure_id || chain_id) FROM cath
         UNION ALL SELECT 'read', 'ecod domains', count(*) FROM ecod UNION ALL SELECT 'read', 'ecod chains', count(DISTINCT structure_id || chain_id) FROM ecod
-        UNION ALL SELECT 'mapping', 'without length', count(*) FROM both_ WHERE domain_length IS NULL UNION ALL SELECT 'mapping', 'outside window', count(*) FROM both_ WHERE domain_length NOT BETWEEN 60 AND 180
-        UNION ALL SELECT 'mapping', 'rows', count(*) FROM named UNION ALL SELECT 'mapping', 'with cath', count(cath_id) FROM named UNION ALL SELECT 'mapping', 'with ecod', count(ecod_id) FROM named
+        UNION ALL SELECT 'mapping', 'without length', count(*) FROM both_ WHERE domain_length IS NULL UNION ALL SELECT 'mapping', 'outside window', count(*)
+        FROM both_ WHERE domain_length NOT BETWEEN 60 AND 180
+        UNION ALL SELECT 'mapping', 'rows', count(*) FROM named UNION ALL SELECT 'mapping', 'with cath', count(cath_id) FROM named UNION ALL SELECT 'mapping',
+        'with ecod', count(ecod_id) FROM named
         UNION ALL SELECT 'kingdoms', coalesce(kingdom, 'unknown'), count(*) FROM named GROUP BY 2""",
     "structure_files": f"""WITH {_E}, l AS (SELECT file, file_format AS format FROM f UNION ALL SELECT DISTINCT 'broken.cif', 'mmcif' FROM e WHERE s = 11)
         SELECT file, format, cast(row_number() OVER (ORDER BY string_split(file, '/')) AS INTEGER) AS place FROM l""",
-    "structure_manifest": f"""WITH {_E} SELECT structure_id, regexp_replace(file, '^sub/', '') AS file, file_format, CASE WHEN file_format = 'pdb' THEN 'x-ray diffraction' ELSE 'X-RAY DIFFRACTION' END AS experimental_method,
-        CASE WHEN file_format = 'pdb' THEN '1.9' ELSE '3.' END || s AS resolution, CASE WHEN file_format = 'pdb' THEN '1999-02-01' ELSE '2000-12-01' END AS deposition_date, CASE WHEN file_format <> 'pdb' THEN '2001-02-03' END AS release_date,
-        CASE WHEN file_format = 'pdb' THEN 'a title' ELSE 'A title' END AS title, cast(CASE WHEN s % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS model_count, cast(count(DISTINCT label) AS INTEGER) AS protein_chain_count,
-        cast(count(*) AS INTEGER) AS protein_residue_count, string_agg(DISTINCT chain_id, ',' ORDER BY chain_id) AS protein_chain_ids FROM r JOIN f USING (s) GROUP BY structure_id, s, file, file_format""",
-    "chain_manifest": f"""WITH {_E} SELECT structure_id, chain_id, regexp_replace(file, '^sub/', '') AS file, file_format, cast(count(*) AS INTEGER) AS residue_count, cast(count(*) AS INTEGER) AS resolved_residue_count,
+    "structure_manifest": f"""WITH {_E} SELECT structure_id, regexp_replace(file, '^sub/', '') AS file, file_format, CASE WHEN file_format = 'pdb' THEN
+    'x-ray diffraction' ELSE 'X-RAY DIFFRACTION' END AS experimental_method,
+        CASE WHEN file_format = 'pdb' THEN '1.9' ELSE '3.' END || s AS resolution, CASE WHEN file_format = 'pdb' THEN '1999-02-01' ELSE '2000-12-01' END AS
+        deposition_date, CASE WHEN file_format <> 'pdb' THEN '2001-02-03' END AS release_date,
+        CASE WHEN file_format = 'pdb' THEN 'a title' ELSE 'A title' END AS title, cast(CASE WHEN s % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS model_count,
+        cast(count(DISTINCT label) AS INTEGER) AS protein_chain_count,
+        cast(count(*) AS INTEGER) AS protein_residue_count, string_agg(DISTINCT chain_id, ',' ORDER BY chain_id) AS protein_chain_ids FROM r JOIN f USING (s)
+        GROUP BY structure_id, s, file, file_format""",
+    "chain_manifest": f"""WITH {_E} SELECT structure_id, chain_id, regexp_replace(file, '^sub/', '') AS file, file_format, cast(count(*) AS INTEGER) AS
+    residue_count, cast(count(*) AS INTEGER) AS resolved_residue_count,
         cast(min(seq) AS INTEGER) AS min_resseq, cast(max(seq) AS INTEGER) AS max_resseq FROM r JOIN f USING (s) GROUP BY ALL""",
-    "ingest_failures": f"""WITH {_E} SELECT DISTINCT CASE WHEN s = 11 THEN 'broken.cif' ELSE 'f010.mmcif.gz' END AS file, CASE WHEN s = 11 THEN 'could not convert string to float: ''oops''' ELSE 'No protein chains detected in first model.' END AS error FROM e WHERE s >= 10""",
-    "ingest_report": f"""WITH {_E} SELECT 'ingest' AS section, 'structures' AS key, cast(count(DISTINCT s) AS DOUBLE) AS value FROM r UNION ALL SELECT 'ingest', 'chains', count(DISTINCT (s, label)) FROM r
+    "ingest_failures": f"""WITH {_E} SELECT DISTINCT CASE WHEN s = 11 THEN 'broken.cif' ELSE 'f010.mmcif.gz' END AS file, CASE WHEN s = 11 THEN
+    'could not convert string to float: ''oops''' ELSE 'No protein chains detected in first model.' END AS error FROM e WHERE s >= 10""",
+    "ingest_report": f"""WITH {_E} SELECT 'ingest' AS section, 'structures' AS key, cast(count(DISTINCT s) AS DOUBLE) AS value FROM r UNION ALL SELECT
+    'ingest', 'chains', count(DISTINCT (s, label)) FROM r
         UNION ALL SELECT 'ingest', 'failures', count(DISTINCT s) FROM e WHERE s >= 10""",
-    "chain_residues": f"WITH {_E}, {_TOP} SELECT structure_id, chain_id, cast(seq AS INTEGER) AS seq, cast(x AS DOUBLE) AS x, cast(y AS DOUBLE) AS y, cast(z AS DOUBLE) AS z FROM q",
+    "chain_residues": f"""WITH {_E}, {_TOP} SELECT structure_id, chain_id, cast(seq AS INTEGER) AS seq, cast(x AS DOUBLE) AS x, cast(y AS DOUBLE) AS y, cast(z AS DOUBLE) AS z
+        FROM q""",
     "chain_topology": f"WITH {_E}, {_TOP} SELECT * FROM topology",
     "atlas_table": f"WITH {_FULL} SELECT a.*, occupancy_tier FROM atlas a LEFT JOIN folds f ON a.scope_id = f.scope_id",
-    "atlas_failures": f"WITH {_FULL} SELECT domain_id, structure_id, chain_id, 'Missing chain topology summary for domain join.' AS error FROM d WHERE NOT EXISTS (SELECT 1 FROM topology t WHERE t.structure_id = d.structure_id AND t.chain_id = d.chain_id)",
+    "atlas_failures": f"""WITH {_FULL} SELECT domain_id, structure_id, chain_id, 'Missing chain topology summary for domain join.' AS error FROM d WHERE NOT EXISTS (SELECT 1
+        FROM topology t WHERE t.structure_id = d.structure_id AND t.chain_id = d.chain_id)""",
     "occupancy_table": f"""WITH {_FULL}, k AS (SELECT scope_id, coalesce(kingdom, 'unknown') AS kind, count(*) AS n FROM atlas WHERE scope_id IS NOT NULL GROUP BY ALL)
-        SELECT f.*, '{{' || t.kingdoms || '}}' AS kingdoms FROM folds f JOIN (SELECT scope_id, string_agg('''' || kind || ''': ' || n, ', ' ORDER BY n DESC, kind) AS kingdoms FROM k GROUP BY 1) t ON f.scope_id = t.scope_id""",
-    "occupancy_report": f"""WITH {_FULL}, gg AS (SELECT metric, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max FROM {_METRICS} WHERE v IS NOT NULL GROUP BY 1),
+        SELECT f.*, '{{' || t.kingdoms || '}}' AS kingdoms FROM folds f JOIN (SELECT scope_id, string_agg('''' || kind || ''': ' || n, ', ' ORDER BY n DESC,
+        kind) AS kingdoms FROM k GROUP BY 1) t ON f.scope_id = t.scope_id""",
+    "occupancy_report": f"""WITH {_FULL}, gg AS (SELECT metric, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max FROM {_METRICS} WHERE
+    v IS NOT NULL GROUP BY 1),
         u AS (SELECT 'totals' AS section, 'domains' AS key, cast(count(*) AS DOUBLE) AS value FROM atlas UNION ALL SELECT 'totals', 'folds', count(*) FROM folds
         UNION ALL SELECT 'tiers', v.t, count(f.scope_id) FROM (VALUES ('common'), ('rare'), ('ultra-rare')) v(t) LEFT JOIN folds f ON f.occupancy_tier = v.t GROUP BY 2
         UNION ALL SELECT 'kingdoms', coalesce(kingdom, 'unknown'), count(*) FROM atlas GROUP BY 2
-        UNION ALL SELECT 'class domains', substr(scope_id, 1, 1), sum(domain_count) FROM folds GROUP BY 2 UNION ALL SELECT 'class folds', substr(scope_id, 1, 1), count(*) FROM folds GROUP BY 2
-        UNION ALL SELECT 'coverage', 'cath_id', 100.0::DOUBLE * count(cath_id) / count(*) FROM atlas UNION ALL SELECT 'coverage', 'ecod_id', 100.0::DOUBLE * count(ecod_id) / count(*) FROM atlas
-        UNION ALL SELECT 'fraction mean', metric, mean FROM gg UNION ALL SELECT 'fraction std', metric, std FROM gg UNION ALL SELECT 'fraction min', metric, min FROM gg UNION ALL SELECT 'fraction max', metric, max FROM gg)
+        UNION ALL SELECT 'class domains', substr(scope_id, 1, 1), sum(domain_count) FROM folds GROUP BY 2 UNION ALL SELECT 'class folds', substr(scope_id, 1,
+        1), count(*) FROM folds GROUP BY 2
+        UNION ALL SELECT 'coverage', 'cath_id', 100.0::DOUBLE * count(cath_id) / count(*) FROM atlas UNION ALL SELECT 'coverage', 'ecod_id', 100.0::DOUBLE *
+        count(ecod_id) / count(*) FROM atlas
+        UNION ALL SELECT 'fraction mean', metric, mean FROM gg UNION ALL SELECT 'fraction std', metric, std FROM gg UNION ALL SELECT 'fraction min', metric,
+        min FROM gg UNION ALL SELECT 'fraction max', metric, max FROM gg)
         SELECT section, key, round(value, 6) AS value FROM u""",
     "pending_downloads": f"WITH {_P} SELECT DISTINCT lower(pdb) AS pdb_id, 'https://files.rcsb.org/download/' || pdb || '.cif.gz' AS url FROM p WHERE (k % 300) % 3 <> 1",
     "source_registry": "SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{n}', '{x}')" for u, n, x in downloads.SOURCES) + ") v(url, dest, label)",
     "registry_fetch": """SELECT run, code, section, key, value FROM (SELECT 'most' AS run, 2 AS missing, 0 AS code UNION ALL SELECT 'one', 4, 1),
-        LATERAL (SELECT 'downloads' AS section, 'completed' AS key, cast(count(*) AS DOUBLE) AS value FROM region WHERE r_regionkey >= missing UNION ALL SELECT 'downloads', 'failed', cast(missing AS DOUBLE)
+        LATERAL (SELECT 'downloads' AS section, 'completed' AS key, cast(count(*) AS DOUBLE) AS value FROM region WHERE r_regionkey >= missing UNION ALL
+        SELECT 'downloads', 'failed', cast(missing AS DOUBLE)
         UNION ALL SELECT 'bytes', 'written', sum(strlen(r_name)) FROM region WHERE r_regionkey >= missing)""",
-    "structure_fetch": f"""WITH {_P}, i AS (SELECT lower(pdb) AS id, k FROM p WHERE k < 60) SELECT 'structures' AS section, 'needed' AS key, cast(count(*) AS DOUBLE) AS value FROM i
-        UNION ALL SELECT 'structures', 'there before', 0 UNION ALL SELECT 'structures', 'downloaded', count(*) FROM i WHERE k % 3 = 0 UNION ALL SELECT 'structures', 'failures', count(*) FROM i WHERE k % 3 <> 0
+    "structure_fetch": f"""WITH {_P}, i AS (SELECT lower(pdb) AS id, k FROM p WHERE k < 60) SELECT 'structures' AS section, 'needed' AS key, cast(count(*)
+    AS DOUBLE) AS value FROM i
+        UNION ALL SELECT 'structures', 'there before', 0 UNION ALL SELECT 'structures', 'downloaded', count(*) FROM i WHERE k % 3 = 0 UNION ALL SELECT
+        'structures', 'failures', count(*) FROM i WHERE k % 3 <> 0
         UNION ALL SELECT 'failed', id, 1 FROM i WHERE k % 3 <> 0""",
-    "step_codes": """SELECT * FROM (VALUES ('ingest without files', 1::BIGINT), ('failures of none written', 0), ('failures of some written', 1), ('failures read back', 5), ('rows of an empty table', 0), ('columns of an empty table', 2)) v(what, value)""",
-    "tier_bounds": "SELECT o_custkey, count(*) AS domain_count, CASE WHEN count(*) >= 20 THEN 'common' WHEN count(*) >= 12 THEN 'rare' ELSE 'ultra-rare' END AS occupancy_tier FROM orders GROUP BY 1",
+    "step_codes": """SELECT * FROM (VALUES ('ingest without files', 1::BIGINT), ('failures of none written', 0), ('failures of some written', 1),
+    ('failures read back', 5), ('rows of an empty table', 0), ('columns of an empty table', 2)) v(what, value)""",
+    "tier_bounds": """SELECT o_custkey, count(*) AS domain_count, CASE WHEN count(*) >= 20 THEN 'common' WHEN count(*) >= 12 THEN 'rare' ELSE 'ultra-rare' END AS
+        occupancy_tier FROM orders GROUP BY 1""",
 }
 
 
