@@ -35,7 +35,8 @@ def tier_counts(folds: DataFrame) -> DataFrame:
 def key_counts(df: DataFrame, key: str, value, alias: str = "kingdoms") -> DataFrame:
     """(key, entries): counts of each value of a key, most frequent first, as structs (key, n)."""
     n = df.filter(F.col(key).isNotNull()).groupBy(key, value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    entries = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("v").alias("k")))), lambda e: F.struct(e["k"].alias("key"), (-e["m"]).alias("n")))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("v").alias("k"))))
+    entries = F.transform(ranked, lambda e: F.struct(e["k"].alias("key"), (-e["m"]).alias("n")))
     return n.groupBy(key).agg(entries.alias(alias))
 
 
@@ -46,7 +47,9 @@ def unknown(c) -> F.Column:
 def occupancy_summary(atlas: DataFrame, config: PipelineConfig = CONFIG) -> DataFrame:
     """A row a fold: its domains, tier, and domains by kingdom, the most frequent fold first."""
     kinds = key_counts(atlas, "scope_id", unknown(F.col("kingdom")))
-    return fold_counts(atlas, config=config).join(kinds, "scope_id").select("scope_id", "domain_count", "occupancy_tier", F.map_from_entries("kingdoms").alias("kingdoms")).orderBy(F.desc("domain_count"), "scope_id")
+    both = fold_counts(atlas, config=config).join(kinds, "scope_id")
+    both = both.select("scope_id", "domain_count", "occupancy_tier", F.map_from_entries("kingdoms").alias("kingdoms"))
+    return both.orderBy(F.desc("domain_count"), "scope_id")
 
 
 def class_counts(df: DataFrame, code, distinct: str) -> DataFrame:
@@ -59,15 +62,19 @@ def class_counts(df: DataFrame, code, distinct: str) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, sample deviation, least and greatest of the numbers in each column; a single number has no deviation."""
     v = [F.expr(f"try_cast(`{c}` as double)") for c in columns]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), x.alias("v")) for c, x in zip(columns, v)])).alias("s")).select("s.*").filter("v is not null and not isnan(v)")
-    return long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    each = [F.struct(F.lit(c).alias("metric"), x.alias("v")) for c, x in zip(columns, v)]
+    long = df.select(F.inline(F.array(*each))).filter("v is not null and not isnan(v)")
+    kinds = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    return long.groupBy("metric").agg(*[of("v").alias(n) for n, of in kinds.items()])
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows whose cell is filled, and their percentage. Blank and null cells are not filled."""
     filled = [F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").alias(c) for c in columns]
     one = df.agg(F.count(F.lit(1)).alias("total"), *filled)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled"), F.col("total")) for c in columns])).alias("s")).select("s.column", "s.filled", "s.total", F.when(F.col("s.total") > 0, 100.0 * F.col("s.filled") / F.col("s.total")).alias("percent"))
+    each = [F.struct(F.lit(c).alias("column"), F.col(c).alias("filled"), F.col("total")) for c in columns]
+    percent = F.when(F.col("total") > 0, 100.0 * F.col("filled") / F.col("total")).alias("percent")
+    return one.select(F.inline(F.array(*each))).select("column", "filled", "total", percent)
 
 
 def _by_row(atlas: DataFrame) -> DataFrame:

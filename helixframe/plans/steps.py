@@ -93,7 +93,15 @@ def parsed_tables(spark: SparkSession, parsed_path: str, config: PipelineConfig
     }
 
 
-def ingest_structures(spark: SparkSession, input_dir: str, structure_output: str, chain_output: str, failures_output: str, parsed_path: str, config: PipelineConfig = PipelineConfig()) -> Step:
+def ingest_structures(
+    spark: SparkSession,
+    input_dir: str,
+    structure_output: str,
+    chain_output: str,
+    failures_output: str,
+    parsed_path: str,
+    config: PipelineConfig = PipelineConfig(),
+) -> Step:
     """A failure where there is no file to read; files that can't be parsed go to the failures, and the others on."""
     try:
         found = parse(spark, input_dir, parsed_path, config)
@@ -133,8 +141,8 @@ def build_atlas_table(spark: SparkSession, chain_topology: str, domain_mapping:
     full, failed = build_atlas(mapping, chains)
     tables.write_csv(full, output)
     tables.write_csv(failed.select(names(JOIN_FAILURES)), failures_output)
-    counts = {k: tables.read_csv(spark, path, schema).count() for k, path, schema in (("atlas_rows", output, ATLAS), ("join_failures", failures_output, JOIN_FAILURES))}
-    return Step(0, _told(spark, "atlas", **counts))
+    rows, lost = tables.read_csv(spark, output, ATLAS).count(), tables.read_csv(spark, failures_output, JOIN_FAILURES).count()
+    return Step(0, _told(spark, "atlas", atlas_rows=rows, join_failures=lost))
 
 
 def summarise_occupancy(spark: SparkSession, atlas_path: str, output: str, config: PipelineConfig = PipelineConfig()) -> Step:

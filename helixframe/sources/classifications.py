@@ -63,7 +63,8 @@ def read_cath(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     data = F.when(F.ltrim("value").startswith("["), F.from_json("value", entry)).otherwise(F.from_json("value", f"struct<data: {entry}>")["data"])
     rows = whole.select(F.posexplode(data).alias("pos", "e")).select("pos", "e.*").filter("domain_id <> '' and pdb_code <> ''")
-    return rows.select(F.lower("pdb_code").alias("structure_id"), F.substring("domain_id", 5, 1).alias("chain_id"), F.col("superfamily_id").alias("cath_id"), "domain_id", "pos")
+    key = [F.lower("pdb_code").alias("structure_id"), F.substring("domain_id", 5, 1).alias("chain_id")]
+    return rows.select(*key, F.col("superfamily_id").alias("cath_id"), "domain_id", "pos")
 
 
 def read_ecod(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +82,14 @@ def read_ecod(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[c.alias(n) for n, c in cells.items()], "pos").filter("structure_id <> ''")
 
 
-def domain_mapping(scope: DataFrame, species: DataFrame, lengths: DataFrame, cath: DataFrame, ecod: DataFrame, config: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
+def domain_mapping(
+    scope: DataFrame,
+    species: DataFrame,
+    lengths: DataFrame,
+    cath: DataFrame,
+    ecod: DataFrame,
+    config: PipelineConfig = PipelineConfig(),
+) -> tuple[DataFrame, DataFrame]:
     """The mapping, and its report as rows (section, key, value): what was read, what fell out, what was kept, and the
     kingdoms of that."""
     joined = scope.join(lengths, "sid", "left")

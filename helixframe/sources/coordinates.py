@@ -197,7 +197,10 @@ def parse_structure(path: str, raw: bytes, residues: frozenset[str] = frozenset(
 _KINDS = {"string": pa.string(), "int": pa.int32(), "float": pa.float32()}
 _ATOM_FIELDS = [tuple(f.split()) for f in ATOMS.split(", ")][3:]
 _ATOM = pa.struct([(name, _KINDS[kind]) for name, kind in _ATOM_FIELDS])
-_META_FIELDS = "structure_id string, source_path string, file_format string, experimental_method string, resolution string, deposition_date string, release_date string, title string, model_count int, error string"
+_META_FIELDS = (
+    "structure_id string, source_path string, file_format string, experimental_method string, resolution string, "
+    "deposition_date string, release_date string, title string, model_count int, error string"
+)
 _PARSED = _META_FIELDS + ", atoms array<struct<" + ", ".join(f"{name}: {kind}" for name, kind in _ATOM_FIELDS) + ">>"
 #: Atoms that a batch of parsed files holds at most, but for its last file.
 _BATCH_ATOMS = 200_000
