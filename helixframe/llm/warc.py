@@ -31,6 +31,8 @@ from .common import fresh_dir, stash, table
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST = 100
+#: Repeated digests up to which they are sent to all tasks (about 100 bytes each).
+FEW_DIGESTS = 200_000
 SPLIT = 4 << 20
 _CHUNK = 1 << 20
 _DATE = "2024-01-01T00:00:00Z"
@@ -42,21 +44,39 @@ def _open_dir(uri: str):
 
 def decisions(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows (page_id, url, payload, digest, refers_to): refers_to is the response's page_id where the payload is a repeat."""
-    p = pages.select(pages[page_id].cast("long").alias("page_id"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("url"), F.coalesce(pages[html].cast("string"), F.lit("")).cast("binary").alias("payload"))
+    some = lambda c: F.coalesce(pages[c].cast("string"), F.lit(""))
+    p = pages.select(pages[page_id].cast("long").alias("page_id"), some(url).alias("url"), some(html).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    long = p.filter(F.length("payload") >= LEAST)
-    again = long.groupBy("digest").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "low")
-    out = p.join(again, "digest", "left")
-    return out.select("page_id", "url", "payload", "digest", F.when(F.col("low").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("low"))), F.col("low")).alias("refers_to"))
+    long = F.length("payload") >= LEAST
+    by = p.filter(long).groupBy("digest").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    again = stash(by.filter("n > 1").select("digest", "low"), "repeats")
+    # sent to the tasks while they are few, so that no payload is shuffled; short payloads have no part in the join
+    again = F.broadcast(again) if again.count() <= FEW_DIGESTS else again
+    out = p.join(again.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & long, "left")
+    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("low"))
+    return out.select("page_id", "url", "payload", "digest", F.when(F.col("low").isNotNull() & later, F.col("low")).alias("refers_to"))
 
 
 def _record(page: int | None, url: str, payload: bytes, digest: str, refers: int | None) -> bytes:
     ident = "" if page is None else str(page)
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{ident}:{digest}")
     clean = re.sub(r"[\r\n]", " ", url)
-    head = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", _DATE), ("WARC-Target-URI", clean), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-Id", ident), ("X-Payload-Length", str(len(payload)))]
+    head = [
+        ("WARC-Type", "response" if refers is None else "revisit"),
+        ("WARC-Record-ID", f"<urn:uuid:{name}>"),
+        ("WARC-Date", _DATE),
+        ("WARC-Target-URI", clean),
+        ("WARC-Payload-Digest", f"sha256:{digest}"),
+        ("X-Page-Id", ident),
+        ("X-Payload-Length", str(len(payload))),
+    ]
     if refers is not None:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers}:{digest}')}>"), ("X-Refers-To-Page", str(refers))]
+        first = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{refers}:{digest}")
+        head += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", f"<urn:uuid:{first}>"),
+            ("X-Refers-To-Page", str(refers)),
+        ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http + (payload if refers is None else b"")
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
@@ -149,11 +169,7 @@ def _reader(uri: str):
                         return file.read(max(0, min(n, size - offset)))
 
                     for record in _members(read, start, end, size):
-                        got = parse(record)
-                        f = got["fields"]
-                        kind = f["warc-type"]
-                        payload = got["payload"] if kind == "response" else None
-                        rows.append((int(f["x-page-id"]) if f["x-page-id"] else None, f["warc-target-uri"], kind, len(payload) if kind == "response" else int(f["x-payload-length"]), hashlib.sha256(payload).hexdigest() if kind == "response" else f["warc-payload-digest"].removeprefix("sha256:"), int(f["x-refers-to-page"]) if kind == "revisit" else None, payload))
+                        rows.append(_row(parse(record)))
                         if len(rows) == 256:
                             yield _rows(rows)
                             rows = []
@@ -163,7 +179,20 @@ def _reader(uri: str):
     return run
 
 
-_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+def _row(got: dict) -> tuple:
+    """Of a parsed record, a row of _OUT: a response's size and digest are those of its payload, a revisit's are told."""
+    f = got["fields"]
+    page = int(f["x-page-id"]) if f["x-page-id"] else None
+    if f["warc-type"] == "response":
+        payload = got["payload"]
+        return page, f["warc-target-uri"], "response", len(payload), hashlib.sha256(payload).hexdigest(), None, payload
+    digest = f["warc-payload-digest"].removeprefix("sha256:")
+    return page, f["warc-target-uri"], "revisit", int(f["x-payload-length"]), digest, int(f["x-refers-to-page"]), None
+
+
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+_FIELDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+_OUT = pa.schema([(name, _KINDS[kind]) for name, kind in (f.split() for f in _FIELDS.split(", "))])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -175,7 +204,7 @@ def read_archive(manifest: DataFrame, uri: str, split: int = SPLIT) -> DataFrame
     starts = manifest.filter("size > 0").select("name", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
     ranges = starts.select("name", "size", "start", F.least(F.col("start") + split, F.col("size")).alias("end"))
     n = max(1, ranges.count())
-    return ranges.repartition(n, "name", "start").mapInArrow(_reader(uri), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return ranges.repartition(n, "name", "start").mapInArrow(_reader(uri), _FIELDS)
 
 
 def round_trip(pages: DataFrame, uri: str | None = None, split: int = SPLIT) -> DataFrame:
