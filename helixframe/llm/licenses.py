@@ -212,4 +212,35 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
+
+
+def _values() -> str:
+    words = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]"
+    rows = enumerate(_templates())
+    return ",\n    ".join(f"({i}, {words(t['words'])}, {words(t['key'])}, {t['skip']}, '{t['label']}', {t['base']})" for i, t in rows)
+
+
+#: Every place of every key phrase, looked for word by word.
+OP10_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT * FROM (VALUES {_values()}) t(tid, words, key, skip, label, base)),
+held AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS word FROM w) GROUP BY word),
+every AS (SELECT tid, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM t),
+idf AS (SELECT tid, list(ln(cast((SELECT count(*) FROM w) + 1 AS DOUBLE) / (coalesce(df, 0) + 1)) + 1 ORDER BY k) AS idf FROM every e LEFT JOIN held h ON e.word = h.word GROUP BY tid),
+able AS (SELECT w.r, w.w, t.*, idf.idf FROM w JOIN t ON list_has_all(w.w, t.key) JOIN idf ON t.tid = idf.tid),
+place AS (SELECT * FROM (SELECT *, unnest(range(1, len(w) - len(key) + 2)) AS p FROM able) WHERE w[p:p + len(key) - 1] = key),
+scored AS (
+  SELECT r, label, base, p - 1 AS start, list_reduce(list_transform(range(1, len(words) + 1), lambda k:
+    CASE WHEN p - skip + k - 1 BETWEEN 1 AND len(w) AND w[p - skip + k - 1] = words[k] THEN idf[k] ELSE 0.0::DOUBLE END), lambda a, b: a + b)
+    / list_reduce(idf, lambda a, b: a + b) AS score FROM place),
+told AS (
+  SELECT r, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM scored GROUP BY r)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, round(coalesce(score, 0.0::DOUBLE), 9) AS score
+FROM w LEFT JOIN told ON w.r = told.r
+"""

@@ -26,4 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.OP5_SQL, "op9_source_mixing": mixing.OP9_SQL}
+    return {
+        "op3_block_knn": ann.OP3_SQL,
+        "op5_warc": warc.OP5_SQL,
+        "op8_jaccard_join": jaccard_join.OP8_SQL,
+        "op9_source_mixing": mixing.OP9_SQL,
+        "op10_license_scan": licenses.OP10_SQL,
+    }

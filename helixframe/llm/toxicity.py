@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import discard, fresh_dir, stash, table
 from .labelled import held_out, sample
 from .text import ALNUM, groups, utf8, words
 
@@ -311,10 +311,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     del seen
     if not len(h):
         return totals[1] / sum(totals)
-    counts = stash(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_counter, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    work = fresh_dir(docs.sparkSession, "words")
+    counts = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_counter, "h long, n long")
+    counts = stash(counts.groupBy("h").agg(F.sum("n").alias("n")), "counts", work)
     total = counts.filter("h is null").first()["n"]
     usual = counts.filter(F.col("h").isNotNull() & (F.col("n") * RARE > total)).toArrow()
     words_, n = usual.column("h").to_numpy().view(np.uint64), usual.column("n").to_numpy()
+    discard(docs.sparkSession, work)
     known = np.union1d(words_, h)
     weight = np.full(len(known), max(1.0, total / RARE))
     weight[np.searchsorted(known, words_)] = n

@@ -110,12 +110,13 @@ def test_loose_copies_of_one_text(spark, monkeypatch):
     assert 1 < len(set(low)) < len(texts)
     monkeypatch.setattr(jaccard_join, "SMALL", 2)
     monkeypatch.setattr(jaccard_join, "WIDER", 2)
+    monkeypatch.setattr(jaccard_join, "LARGEST", 4)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == dict(enumerate(low))
 
 
 def plain_leaks(docs, items):
-    """The definition of an overlap, word by word: every pair of places is compared under every mask, without a hash or an index."""
+    """The definition of an overlap, word by word: places of document and item that agree under a mask, without a hash."""
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII))
     out = []
     for d, text in docs:
@@ -124,14 +125,13 @@ def plain_leaks(docs, items):
             x = split(item)
             if len(x) < 4:
                 continue
-            masks = decontaminate.MASKS if len(x) > 4 else ("1111",)
-            diagonals = {
-                q - p
-                for m in masks
-                for p in range(len(x) - len(m) + 1)
-                for q in range(len(y) - len(m) + 1)
-                if all(x[p + k] == y[q + k] for k, bit in enumerate(m) if bit == "1")
-            }
+            diagonals = set()
+            for m in decontaminate.MASKS if len(x) > 4 else ("1111",):
+                picked = lambda w, at: tuple(w[at + k] for k, bit in enumerate(m) if bit == "1")  # noqa: B023, E731
+                there = defaultdict(list)
+                for p in range(len(x) - len(m) + 1):
+                    there[picked(x, p)].append(p)
+                diagonals |= {q - p for q in range(len(y) - len(m) + 1) for p in there.get(picked(y, q), ())}
             pieces = []
             for g in diagonals:
                 places = [k for k in range(len(x)) if 0 <= k + g < len(y)]
@@ -350,6 +350,29 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_with_repeated_ids(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    v = r.normal(size=(120, 4)).astype(np.float32)
+    data = [(i % 70, v[i].tolist()) for i in range(120)] + [(20, [1.0, 2.0]), (21, [3.0, 4.0]), (21, [3.0, 4.0])]
+    want = defaultdict(list)
+    for q in sorted({i for i, _ in data if i % 20 == 0}):
+        own = min((x for i, x in data if i == q), key=lambda x: (len(x), x))
+        for i, x in data:
+            if i != q and len(x) == len(own):
+                want[q].append((-sum(a * b for a, b in zip(own, x)), i))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    for size in (8192, 7):
+        monkeypatch.setattr(ann, "QUERY_BLOCK", size)
+        monkeypatch.setattr(ann, "BLOCK", 3 * size)
+        got = defaultdict(list)
+        for x in ann.nearest(df, 5).orderBy("query_id", "rank").collect():
+            got[x["query_id"]].append((x["vec_id"], x["score"]))
+        assert set(got) == set(want)
+        for q, found in got.items():
+            best = sorted(want[q])[:5]
+            assert [i for _, i in best] == [i for i, _ in found] and np.allclose([-a for a, _ in best], [b for _, b in found], atol=1e-12)
+
+
 def test_quality(spark, empty, docs):
     r = random.Random(4)
     good = [(i, prose(r.randrange(20, 90), r) + ".", 1) for i in range(150)]
@@ -369,6 +392,45 @@ def test_quality(spark, empty, docs):
     assert net.score(np.frombuffer(tail, np.uint8), np.array([0, len(tail)]))[0] != whole[2]  # the end counts
 
 
+def test_network_equals_its_definition():
+    net = quality.Net()
+    r = np.random.default_rng(4)
+    net.p = {k: r.normal(0, 0.3, v.shape).astype(np.float32) for k, v in net.p.items()}
+    texts = [b"", b"x", b"hello world", bytes(r.integers(0, 256, 700, dtype=np.uint8)), b"abc " * 900]
+
+    def plain(text):
+        """Every filter at every third byte, the largest in each chunk of windows, and the largest and mean of these."""
+        p = {k: v.astype(np.float64) for k, v in net.p.items()}
+        n = max(1, -(-max(len(text) - 8, 0) // 3) + 1)
+        padded = text + bytes(3 * n + 16)
+        out = []
+        for i in range(n):
+            window = np.concatenate([quality.BYTES[b] for b in padded[3 * i : 3 * i + 8]]).astype(np.float64)
+            out.append([sum(window[j] * p["K"][j, f] for j in range(quality.DIM)) for f in range(quality.FILTERS)])
+        chunks, lo = [], 0
+        while True:
+            chunks.append([max(o[f] for o in out[lo : lo + 192]) + p["c"][f] for f in range(quality.FILTERS)])
+            if lo + 192 >= n:
+                break
+            lo += 128
+        x = [max(c[f] for c in chunks) for f in range(quality.FILTERS)] + [sum(c[f] for c in chunks) / len(chunks) for f in range(quality.FILTERS)]
+        hidden = [max(0.0, sum(x[i] * p["A"][i, j] for i in range(len(x))) + p["a"][j]) for j in range(quality.HIDDEN)]
+        return 1 / (1 + math.exp(-sum(h * b for h, b in zip(hidden, p["B"])) - p["b"][0]))
+
+    found = net.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(found, [plain(t) for t in texts], atol=1e-4)
+
+
+def test_extra_columns_change_nothing(spark, docs):
+    slim, labels = docs.select("doc_id", "text"), spark.createDataFrame([(i, i % 2, i % 2) for i in range(70)], "doc_id long, quality int, toxic int")
+    for of in (lambda d: quality.quality_scores(d, labels), lambda d: toxicity.toxicity_scores(d, labels), licenses.scan_licenses):
+        assert sorted(map(repr, of(docs).collect())) == sorted(map(repr, of(slim).collect()))
+    # null ids are scored and not held out, repeated rows score alike
+    found = [x for x in quality.quality_scores(docs, labels).collect()]
+    assert sum(x["doc_id"] is None and not x["held_out"] for x in found) == 2
+    assert len({x["score"] for x in found if x["doc_id"] == 5}) == 1
+
+
 def test_warc(spark):
     html = ["<p>" + "é" * 100 + "</p>", "<p>short</p>", None, "", "".join(R.choices("abc \n", k=300_000))]
     pages = [(i, f"http://x/{i}", html[i % 5]) for i in range(23)] + [(3, "http://x/3", html[0]), (None, None, html[0])]
@@ -460,7 +522,9 @@ def test_toxicity_over_all_words(spark):
         assert math.isclose(x["score"], (toxic + prior) / (sum(w) + 1), abs_tol=1e-6)
 
 
-def test_token_cache(spark, docs, rows, empty, tmp_path):
+@pytest.mark.parametrize("few", [token_cache.FEW, 0])
+def test_token_cache(spark, docs, rows, empty, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(token_cache, "FEW", few)
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
@@ -473,10 +537,29 @@ def test_token_cache(spark, docs, rows, empty, tmp_path):
         found = token_cache.token_counts(every, path, cache).collect()
         assert Counter((x["doc_id"], x["n_bytes"], x["n_tokens"]) for x in found) == want and all(x["over_limit"] == (x["n_tokens"] > 1024) for x in found)
     held = spark.read.parquet(cache)
+    assert held.count() <= len({(r["doc_id"], r["text"] or "") for r in every.collect()}) + 2  # the second run hit for every text
     assert held.select("digest").distinct().count() == len({r["text"] or "" for r in every.collect()})
     assert token_cache.token_counts(empty, path, str(tmp_path / "none")).count() == 0
 
 
+def test_both_engines_count_alike():
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    whole, fast, special = token_cache._engines(path)
+    assert fast is not None
+    known = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and token_cache._COMPARED.fullmatch(chr(c))]
+    around = ("{}", "a{}b", " {}", "{0}{0} {0}", "1{}2", "'{}", "{}s'{}", "a {}a", "\n{} ", " {} {}", "{}  ", "A{}\t{}Z", "!{}!", "{}'s {}'LL")
+    texts = [t.replace("{0}", c).replace("{}", c) for c in known for t in around]
+    r = random.Random(17)
+    texts += ["".join(r.choices(known, k=r.randrange(1, 80))) for _ in range(3000)]
+    texts += ["".join(r.choices([" ", "  ", "\n", "a", "Z", "é", "1", "'", "'s", ".", "\t", "¡"], k=40)) for _ in range(3000)]
+    strings = [x.content for x in whole.get_added_tokens_decoder().values()]
+    texts += [f"{a}{x}{b}" for x in strings for a in ("", " ", "a", "\n", x) for b in ("", " ", "b", "1", "'s", x)]
+    assert strings and all(token_cache._COMPARED.fullmatch(t) for t in texts)
+    want = [len(e.ids) for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert token_cache.count_tokens(texts, path) == want
+
+
 def test_mixing(spark, docs, rows, empty):
     found = mixing.mix_table(docs).collect()
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
@@ -532,6 +615,39 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_labels_and_scores(spark):
+    r = random.Random(23)
+    phrases = [(t.split(), k.split(), label) for t, k, label in licenses.TEMPLATES] + [(k.split(), k.split(), label) for k, label in licenses.BASE.items()]
+    bag = sorted({w for t, _, _ in phrases for w in t})
+    texts = [None, "", "license", "public domain public domain"]
+    for _ in range(150):
+        w = r.choices(VOCAB[:30] + bag, k=r.randrange(0, 30))
+        for _ in range(r.randrange(0, 4)):
+            t, _, _ = r.choice(phrases)
+            lo, hi = sorted(r.sample(range(len(t) + 1), 2))
+            part = t[lo:hi] if r.random() < 0.4 else t
+            w[(at := r.randrange(len(w) + 1)) : at] = [x if r.random() < 0.95 else "other" for x in part]
+        texts.append(" ".join(w))
+    words = [(t or "").split() for t in texts]
+    held = Counter(x for w in words for x in set(w))
+    idf = lambda x: math.log((len(texts) + 1) / (held[x] + 1)) + 1
+    found = {x["doc_id"]: x for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    some = 0
+    for i, w in enumerate(words):
+        labels, best = set(), 0.0
+        for t, key, label in phrases:
+            skip = next(k for k in range(len(t)) if t[k : k + len(key)] == key)
+            for p in range(len(w) - len(key) + 1):
+                if w[p : p + len(key)] == key:
+                    labels.add(label)
+                    place = [p - skip + k for k in range(len(t))]
+                    inside = sum(idf(x) for x, k in zip(t, place) if 0 <= k < len(w) and w[k] == x)
+                    best = max(best, inside / sum(map(idf, t)))
+        some += bool(labels)
+        assert found[i]["labels"] == ",".join(sorted(labels)) and math.isclose(found[i]["score"], best, abs_tol=1e-9)
+    assert some > 60
+
+
 def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, "x") for i in range(100)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(0, 1), (None, 1), (1, None)], "doc_id long, quality int")
