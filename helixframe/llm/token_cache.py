@@ -2,7 +2,9 @@
 
 Each text's digest (SHA-256 of the normalised content) is joined with the cache's rows of the tokenizer's version (a
 digest of its vocabulary file). Digests that the cache lacks are misses: one document of each is encoded, whatever the
-number of its copies, and the counts are appended to the cache as Parquet. Counts are then joined back by digest.
+number of its copies, and the counts are appended to the cache as Parquet. Counts are then joined back by digest. While
+the misses are few, tasks know them by a bitmap, which lets one in 10,000 copies be encoded again; else texts are joined
+with them.
 
 The normalisation is the tokenizer's own, which is none for a byte-level vocabulary, so that counts are exact.
 
@@ -23,14 +25,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, stash, table, text_bytes
+from .common import bitmap, fresh_dir, in_bitmap, stash, table, text_bytes
 
+#: Misses up to which a bitmap of them is sent to the tasks, so that no text is shuffled (16 MB at most).
+FEW = 2_000_000
 #: Texts that hold any other character are counted by ``tokenizers`` itself.
 _COMPARED = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏ‐-‧€]*")
 #: How byte-level vocabularies of this family split a text (fixed pattern of the public tokenizer).
@@ -79,13 +84,19 @@ def version_of(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
-def _encoder(path: str, version: str):
+def _encoder(path: str, version: str, wanted=None):
+    """Counts of texts; of those alone whose key ``wanted``, a bitmap, has, if it is given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted is not None:
+                keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+                batch = batch.take(pa.array(in_bitmap(wanted.value, keys)))
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 n = count_tokens(part.column("text").to_pylist(), path)
-                yield pa.record_batch([part.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
+                cells = [part.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())]
+                yield pa.record_batch(cells, ["digest", "version", "n_tokens"])
 
     return run
 
@@ -110,8 +121,16 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 1024, doc_
     lacking = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).join(cached(spark, cache, version), "digest", "left_anti")
     lacking = stash(lacking.select("digest", "first"), "misses")
     # a document stands for its digest; an id that repeats, or is null, may stand for it more than once
-    ask = texts.join(lacking, (texts["digest"] == lacking["digest"]) & texts["doc_id"].eqNullSafe(lacking["first"]), "left_semi")
-    encoded = ask.select("digest", "text").mapInArrow(_encoder(path, version), "digest string, version string, n_tokens long")
+    kinds = "digest string, version string, n_tokens long"
+    if lacking.count() <= FEW:
+        key = F.xxhash64("digest", "first").alias("key")
+        wanted = spark.sparkContext.broadcast(bitmap(lacking.select(key), "key"))
+        ask = texts.select("digest", "text", F.xxhash64("digest", "doc_id").alias("key"))
+        encoded = ask.mapInArrow(_encoder(path, version, wanted), kinds)
+    else:
+        stands = (texts["digest"] == lacking["digest"]) & texts["doc_id"].eqNullSafe(lacking["first"])
+        ask = texts.join(lacking, stands, "left_semi").select("digest", "text")
+        encoded = ask.mapInArrow(_encoder(path, version), kinds)
     encoded.write.mode("append").parquet(cache)
     return slim.join(cached(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
