@@ -43,6 +43,8 @@ K, BLOCK, VISITS = 15, 128, 2
 PLAIN, RARE = 1 / 16, 1 << 14
 #: Terms posted as whole rows, queries that are looked up together, and texts whose scores a task keeps.
 DENSE, QUERIES, KNOWN = 768, 128, 50_000
+#: Bytes of texts that are scored together.
+LOOKED_UP = 1 << 20
 #: Groups of similar examples.
 GROUPS = 12
 #: A task counts words over so many distinct ones of its texts before it hands them on.
@@ -291,7 +293,7 @@ def _scorer(shared):
             else:
                 data, offsets = utf8(batch.column("text"))
                 score, evidence = np.empty(batch.num_rows), []
-                for lo, hi in groups(offsets):
+                for lo, hi in groups(offsets, LOOKED_UP):
                     score[lo:hi], more = model.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], known)
                     evidence += more
             cells = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array(evidence, pa.list_(pa.int64()))]
