@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, exact_dedup, jaccard_join, licenses, mixing, quality, sharding, token_cache, toxicity, warc
+from . import ann, decontaminate, exact_dedup, jaccard_join, licenses, mixing, quality, ranked_search, sharding, token_cache, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mixing.op9_source_mixing,
         licenses.op10_license_scan,
         exact_dedup.op12_content_sort_dedup,
+        ranked_search.op13_tput_search,
     )
     return {f.__name__: f for f in found}
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_source_mixing": mixing.OP9_SQL,
         "op10_license_scan": licenses.OP10_SQL,
         "op12_content_sort_dedup": exact_dedup.OP12_SQL,
+        "op13_tput_search": ranked_search.OP13_SQL,
     }
