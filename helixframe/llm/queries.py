@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, exact_dedup, jaccard_join, licenses, mixing, quality, ranked_search, sharding, token_cache, toxicity, warc
+from . import ann, decontaminate, exact_dedup, jaccard_join, licenses, mixing, prefix_trie, quality, ranked_search, sharding, token_cache, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         jaccard_join.op8_jaccard_join,
         mixing.op9_source_mixing,
         licenses.op10_license_scan,
+        prefix_trie.op11_conversation_prefix_trie,
         exact_dedup.op12_content_sort_dedup,
         ranked_search.op13_tput_search,
     )
@@ -34,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_jaccard_join": jaccard_join.OP8_SQL,
         "op9_source_mixing": mixing.OP9_SQL,
         "op10_license_scan": licenses.OP10_SQL,
+        "op11_conversation_prefix_trie": prefix_trie.OP11_SQL,
         "op12_content_sort_dedup": exact_dedup.OP12_SQL,
         "op13_tput_search": ranked_search.OP13_SQL,
     }
