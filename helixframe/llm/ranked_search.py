@@ -10,9 +10,14 @@ For each item, then (three-phase uniform threshold):
 1. the ``k`` largest gains of each list are fetched; the k-th largest sum of these is ``least``, a lower bound on the
    k-th score;
 2. every list of an item of ``m`` terms is cut at gain * m >= least. A document below the cut in all lists scores under
-   ``least``. Sums of what was found give a higher lower bound; sums plus the cut for every list in which a document was
-   not found give its upper bound, and documents whose upper bound is below the lower one go;
-3. the candidates that remain are looked up in the documents' own postings, and ranked by their exact scores.
+   ``least``. A list is sent once, down to the lowest cut of its items, to tasks that each hold a range of documents.
+   There, sums of what was found give a higher lower bound; sums plus the cut, or the list's largest gain, for every list
+   in which a document was not found give its upper bound, and documents whose upper bound is below the lower one go;
+3. the candidates that remain are looked up in the postings, and ranked by their exact scores.
+
+How much the cut leaves out is the collection's: where an item has many words that most documents hold, nearly all
+postings pass it, and the second phase scores nearly everything; it then costs a shuffle of the postings, not one of
+items times postings.
 
 Ties with the k-th score are kept by every cut, so the result is that of scoring everything, up to 64-bit hashes of terms.
 
@@ -28,6 +33,7 @@ each ranked, and null ids come after others of equal score. Empty tables give no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,8 @@ from .text import ALNUM, groups, release, utf8, words
 K = 50
 #: Postings of a list, on average, that a block of it holds.
 BLOCK = 100_000
+#: Documents of a range, and (item, term) pairs whose lists a task looks up at once; more are done in blocks of items.
+BUCKET, PAIRS = 8_192, 1 << 20
 _POSTINGS = "doc long, doc_id long, n long, term long, tf long"
 
 
@@ -115,35 +123,82 @@ def _least(sums: DataFrame, k: int) -> DataFrame:
     return top.groupBy("item").agg(F.greatest(F.max(F.when(F.col("at") == k, F.col("sum"))), F.lit(1)).alias("least"))
 
 
-def candidates(index: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
+def _bounds(near: DataFrame, wanted: dict[int, tuple[np.ndarray, np.ndarray, int]], k: int) -> DataFrame:
+    """(item, doc, sum, most): of fetched postings (bucket, doc, term, gain), for the items {item: (terms, largest gains, cut)}.
+    Sums are of gains above the cut, and ``most`` adds what the other lists can still hold. Of each bucket: the documents
+    whose ``most`` reaches its k-th sum."""
+    held = near.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(part: pa.Table) -> pa.Table:
+        term, gain = part.column("term").to_numpy(), part.column("gain").to_numpy()
+        doc, at = np.unique(part.column("doc").to_numpy(), return_inverse=True)
+        order = np.lexsort((-gain, term))
+        term, gain, at = term[order], gain[order], at[order]
+        names, first = np.unique(term, return_index=True)
+        last = np.append(first[1:], len(term))
+        out = [[], [], [], []]
+        for item, (terms, caps, cut) in held.value.items():
+            place = np.searchsorted(names, terms)
+            there = place < len(names)
+            there[there] = names[place[there]] == terms[there]
+            sums, rest = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+            bound = np.minimum(caps, cut)
+            for j in np.flatnonzero(there):
+                lo, hi = first[place[j]], last[place[j]]
+                hi = lo + int(np.searchsorted(-gain[lo:hi], -cut, "left"))  # gains above the cut
+                sums[at[lo:hi]] += gain[lo:hi]  # a list holds a document once
+                rest[at[lo:hi]] -= bound[j]
+            some = np.flatnonzero(sums)
+            if len(some):
+                s = sums[some]
+                most = s + rest[some] + int(bound.sum())
+                if len(some) > k:
+                    keep = most >= np.partition(s, len(s) - k)[len(s) - k]
+                    some, s, most = some[keep], s[keep], most[keep]
+                for column, x in zip(out, (np.full(len(some), item), doc[some], s, most)):
+                    column.append(x)
+        return pa.table([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in out], ["item", "doc", "sum", "most"])
+
+    return near.groupBy("bucket").applyInArrow(run, "item long, doc long, sum long, most long")
+
+
+def candidates(index: DataFrame, wanted: DataFrame, k: int = K, pairs: int = PAIRS) -> DataFrame:
     """(item, doc): the first two phases."""
     # 1: row_number below a bound is cut in each task before the shuffle
     by_gain = Window.partitionBy("term").orderBy(F.desc("gain"))
-    asked = wanted.select("term").distinct()
-    heads = index.join(asked, "term", "left_semi").withColumn("at", F.row_number().over(by_gain)).filter(F.col("at") <= k)
+    heads = index.withColumn("at", F.row_number().over(by_gain)).filter(F.col("at") <= k)
+    heads = stash(heads.select("term", "doc", "gain", "at"), "heads")
     some = wanted.join(heads, "term").groupBy("item", "doc").agg(F.sum("gain").alias("sum"))
     m = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("m"))
-    cut = stash(_least(some, k).join(m, "item"), "cut")
-    # 2
-    fetched = wanted.join(cut, "item").join(index, "term").filter(F.col("gain") * F.col("m") >= F.col("least"))
-    seen = fetched.groupBy("item", "doc").agg(F.sum("gain").alias("sum"), F.count(F.lit(1)).alias("lists"))
-    seen = stash(seen, "seen")
-    higher = _least(seen, k).withColumnRenamed("least", "higher")
-    most = F.col("sum") * F.col("m") + (F.col("m") - F.col("lists")) * F.col("least")
-    near = seen.join(cut, "item").join(higher, "item").filter(most >= F.col("higher") * F.col("m"))
-    return near.select("item", "doc")
-
-
-def rank_documents(docs: DataFrame, items: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+    cut = _least(some, k).join(m, "item").select("item", "least", F.expr("(least - 1) div m").alias("cut"))
+    lists = wanted.join(cut, "item").join(heads.filter("at = 1").select("term", F.col("gain").alias("cap")), "term")
+    blocks = 1 + wanted.count() // pairs
+    lists = stash(lists.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))), "lists")
+    # 2: a list is fetched once, down to the lowest cut of its items, and dealt by ranges of documents
+    found = []
+    for b in range(blocks):
+        # about ``pairs`` rows
+        rows = lists.filter(F.col("block") == b).select("item", "term", "cap", "cut").toPandas()
+        asked = {int(i): (x["term"].to_numpy(), x["cap"].to_numpy(), int(x["cut"].iloc[0])) for i, x in rows.groupby("item")}
+        lowest = lists.filter(F.col("block") == b).groupBy("term").agg(F.min("cut").alias("cut"))
+        fetched = index.join(lowest, "term").filter("gain > cut").select("doc", "term", "gain")
+        bucket = F.struct(F.shiftright("doc", 33).alias("part"), F.expr(f"(doc & {(1 << 33) - 1}) div {BUCKET}").alias("range"))
+        found.append(stash(_bounds(fetched.withColumn("bucket", F.xxhash64(bucket)), asked, k), "bounds"))
+    near = reduce(DataFrame.unionByName, found)
+    near = near.join(_least(near, k).withColumnRenamed("least", "higher"), "item")
+    return near.filter("most >= higher").select("item", "doc")
+
+
+def rank_documents(docs: DataFrame, items: DataFrame, k: int = K, block: int = BLOCK, pairs: int = PAIRS) -> DataFrame:
     """(item, item_id, rank, doc, doc_id, score): the k best documents of each row of ``items``. ``doc`` and ``item`` are
     places of rows."""
     wanted = stash(item_terms(items), "items")
     index, _ = build_index(docs, wanted.select("term").distinct(), block)
-    near = stash(candidates(index, wanted.select("item", "term"), k), "candidates")
+    near = stash(candidates(index, wanted.select("item", "term"), k, pairs), "candidates")
     # 3: candidates' postings alone are shuffled, where they are few by a broadcast of their documents
     lists = index.join(near.select("doc").distinct(), "doc", "left_semi")
-    pairs = near.join(lists, "doc").join(wanted, ["item", "term"])
-    exact = pairs.groupBy("item", "item_id", "doc", "doc_id").agg(F.sum("gain").alias("score")).filter("score > 0")
+    exact = near.join(lists, "doc").join(wanted, ["item", "term"])
+    exact = exact.groupBy("item", "item_id", "doc", "doc_id").agg(F.sum("gain").alias("score")).filter("score > 0")
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "doc")
     ranked = exact.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("item", "item_id", F.col("rank").cast("int").alias("rank"), "doc", "doc_id", "score")

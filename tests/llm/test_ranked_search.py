@@ -49,10 +49,11 @@ def tables(spark):
     return docs, items, spark.createDataFrame(more(docs), "doc_id long, text string, n long, tf long, doc long, term string"), spark.createDataFrame(more(items), "item_id long, text string, item long, k long, doc_id long, term string")
 
 
-@pytest.mark.parametrize("k, block", [(50, 100_000), (3, 7), (1, 1), (10_000, 50)])
-def test_equals_scoring_everything(tables, k, block):
+@pytest.mark.parametrize("k, block, pairs", [(50, 100_000, 1 << 20), (3, 7, 40), (1, 1, 100), (10_000, 50, 1 << 20)])
+def test_equals_scoring_everything(tables, k, block, pairs, monkeypatch):
+    monkeypatch.setattr(ranked_search, "BUCKET", 50)
     docs, items, d, i = tables
-    found = ranked_search.rank_documents(d, i, k, block).collect()
+    found = ranked_search.rank_documents(d, i, k, block, pairs).collect()
     assert sorted(((x["item_id"], x["rank"], x["doc_id"], x["score"]) for x in found), key=repr) == brute(docs, items, k)
 
 
