@@ -11,6 +11,8 @@ from ..config import PipelineConfig
 from ..functions.scalar import fraction
 
 CHAIN = ["structure_id", "chain_id"]
+#: Residue numbers that a tile of a chain spans, in counting relations.
+TILE = 2_048
 # The standard residues, and common modified or ambiguous ones that count as amino acids.
 AMINO_ACIDS = (
     "ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO",
@@ -49,21 +51,19 @@ def contacts(points: DataFrame, distance: float = 8.0, separation: int = 4, key:
 
     Squares are single precision and their sum double, so that a pair at the very threshold is decided as by
     single-precision coordinates. Points are joined by cells of a grid as wide as the distance (and a little more, for
-    rounding): each is sent to its 27 neighbouring cells, so a pair meets once, and a long chain is dealt to many tasks.
+    rounding): each is sent to its own cell and the 13 neighbours on one side of it, so a pair meets once, and a long
+    chain is dealt to many tasks.
     """
     size = float(distance) * (1 + 1e-5) or 1e-30
-    cell = [F.floor(F.col(c).cast("double") / F.lit(size)).alias(f"{c}_cell") for c in "xyz"]
-    own = points.select(*key, "pos", "seq", "x", "y", "z", *cell)
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = own
-    for c in "xyz":
-        near = near.withColumn("step", F.explode(steps)).withColumn(f"{c}_cell", F.col(f"{c}_cell") + F.col("step")).drop("step")
+    own = points.select(*key, "pos", "seq", *"xyz", *[F.floor(F.col(c).cast("double") / F.lit(size)).alias(f"{c}_cell") for c in "xyz"])
+    side = [(i, j, k) for i in (0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    near = own.withColumn("cell", F.explode(F.array(*[F.struct(*[(F.col(f"{c}_cell") + n).alias(c) for c, n in zip("xyz", at)], F.lit(any(at)).alias("other")) for at in side])))
     a, b = own.alias("a"), near.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*key, "x_cell", "y_cell", "z_cell"]]
-    d = [F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"]
-    square = sum((x * x).cast("double") for x in d)
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [F.col(f"a.{c}_cell") == F.col(f"b.cell.{c}") for c in "xyz"]
+    square = sum((x * x).cast("double") for x in (F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"))
     apart = F.abs(F.col("b.seq") - F.col("a.seq")) >= separation
-    found = (F.col("a.pos") < F.col("b.pos")) & apart & (square <= F.lit(float(distance)) * F.lit(float(distance)))
+    once = F.when(F.col("b.cell.other"), F.col("a.pos") != F.col("b.pos")).otherwise(F.col("a.pos") < F.col("b.pos"))
+    found = once & apart & (square <= F.lit(float(distance)) * F.lit(float(distance)))
     for c in on:
         found = found & c
     ends = F.least("a.seq", "b.seq").alias("lo"), F.greatest("a.seq", "b.seq").alias("hi")
@@ -79,8 +79,7 @@ def relation(i, j, k, l) -> F.Column:  # noqa: E741
 
 def contact_relations(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:
     """Every unordered pair of a chain's contacts with four distinct ends, and its relation."""
-    numbered = found.withColumn("n", F.monotonically_increasing_id())
-    a, b = numbered.alias("a"), numbered.alias("b")
+    a, b = found.alias("a"), found.alias("b")
     on = (F.col("a.lo") < F.col("b.lo")) | ((F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") < F.col("b.hi")))
     for k in key:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
@@ -104,45 +103,100 @@ def inversions(v: np.ndarray) -> int:
     return total
 
 
-def count_relations(lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, int]:
-    """Series, parallel and cross pairs of contacts lo < hi, by sorting: pairs are counted, never made.
+def _pairs(counts: np.ndarray) -> int:
+    return int((counts.astype(np.int64) * (counts - 1) // 2).sum())
+
+
+def _tile_counts(lo: np.ndarray, hi: np.ndarray, kind: np.ndarray, width: int) -> dict[str, int]:
+    """What one tile of residues tells of a chain's pairs. ``kind`` says which end of a contact is in it: the lower (0), the
+    upper (1), or both (2).
 
-    With contacts in order of (lo, hi), nested pairs are inversions of hi. Pairs with a common end have no relation; they
-    are those with equal lo, with equal hi (equal contacts are both), or where one's hi is the other's lo. All else cross.
+    Nested pairs whose lower ends share the tile are inversions of hi in order of (lo, hi); those of other lower tiles whose
+    upper ends share it are inversions of hi in order of (tile of lo, hi). Series pairs that meet here have one upper end and
+    one lower end in the tile. Pairs with a common end meet in its tile; equal contacts share both.
     """
+    below, above = kind != 1, kind != 0
+    order = np.lexsort((hi[below], lo[below]))
+    low, high = lo[below][order], hi[below][order]
+    ends = hi[above]
+    order = np.lexsort((ends, lo[above] // width))
+    after = np.searchsorted(low, ends, "right")
+    first = np.flatnonzero((np.diff(low, prepend=0) != 0) | (np.diff(high, prepend=0) != 0) | (np.arange(len(low)) == 0))
+    shared = _pairs(np.unique(low, return_counts=True)[1]) + _pairs(np.unique(ends, return_counts=True)[1])
+    shared += int((after - np.searchsorted(low, ends, "left")).sum()) - _pairs(np.diff(np.append(first, len(low))))
+    rank = lambda v: np.unique(v, return_inverse=True)[1]
+    return {
+        "lower": len(low),
+        "upper": len(ends),
+        "series": int((len(low) - after).sum()),
+        "parallel": inversions(rank(high)) + inversions(rank(ends[order])),
+        "shared": shared,
+    }
+
+
+def _between_tiles(tile: np.ndarray, lower: np.ndarray, upper: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int]:
+    """Series and nested pairs that share no tile, from each tile's counts in order, and its contacts by tile of the upper end."""
+    above = lower.sum() - np.cumsum(lower)
+    series = int((upper * above).sum())
+    place = {int(t): i for i, t in enumerate(tile)}
+    seen, nested = np.zeros(len(tile), np.int64), 0
+    for ends, counts in reversed(cells):  # from the highest lower tile
+        if len(ends):
+            at = np.array([place[int(e)] for e in ends])
+            inside = np.cumsum(seen) - seen
+            nested += int((counts * inside[at]).sum())
+            seen[at] += counts
+    return series, nested
+
+
+def count_relations(lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, int]:
+    """Series, parallel and cross pairs of contacts lo < hi, by sorting: pairs are counted, never made."""
     n = len(lo)
     if not n:
         return 0, 0, 0
-    pairs = lambda counts: int((counts.astype(np.int64) * (counts - 1) // 2).sum())
-    order = np.lexsort((hi, lo))
-    lo, hi = lo[order], hi[order]
-    starts = np.sort(lo)
-    after = np.searchsorted(starts, hi, "right")
-    series = int((n - after).sum())
-    touching = int((after - np.searchsorted(starts, hi, "left")).sum())
-    parallel = inversions(np.unique(hi, return_inverse=True)[1])
-    equal = np.flatnonzero((np.diff(lo, prepend=lo[0] - 1) != 0) | (np.diff(hi, prepend=hi[0] - 1) != 0))
-    shared = pairs(np.unique(lo, return_counts=True)[1]) + pairs(np.unique(hi, return_counts=True)[1])
-    shared += touching - pairs(np.diff(np.append(equal, n)))
-    return series, parallel, n * (n - 1) // 2 - series - parallel - shared
-
-
-def relation_counts(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:
-    """(key, contact_count, contact_pair_count, series, parallel and cross counts), by a counting kernel a chain.
-
-    A chain's contacts are bounded by its residues, so a chain is one group; pairs are counted, never made.
-    """
+    width = int(hi.max()) - int(lo.min()) + 1
+    low = int(lo.min())
+    told = _tile_counts(lo.astype(np.int64) - low, hi.astype(np.int64) - low, np.full(n, 2), width)
+    return told["series"], told["parallel"], n * (n - 1) // 2 - told["series"] - told["parallel"] - told["shared"]
 
-    def run(part: pa.Table) -> pa.Table:
-        lo, hi = part.column("lo").to_numpy(), part.column("hi").to_numpy()
-        s, p, x = count_relations(lo, hi)
-        own = {k: part.column(k).slice(0, 1) for k in key}
-        told = {f"{k}_pair_count": [v] for k, v in (("contact", s + p + x), ("series", s), ("parallel", p), ("cross", x))}
-        return pa.table(own | {"contact_count": pa.array([len(lo)], pa.int32())} | told)
 
-    kinds = [f"{k} {found.schema[k].dataType.simpleString()}" for k in key] + ["contact_count int"]
-    kinds += [f"{k}_pair_count bigint" for k in ("contact", "series", "parallel", "cross")]
-    return found.select(*key, "lo", "hi").groupBy(*key).applyInArrow(run, ", ".join(kinds))
+def relation_counts(found: DataFrame, key: list[str] = CHAIN, tile: int = TILE) -> DataFrame:
+    """(key, contact_count, contact_pair_count, series, parallel and cross counts); pairs are counted, never made.
+
+    A chain's residues are cut into tiles, and a contact goes to the tile of each of its ends. A task counts the pairs that
+    share a tile, of its own tiles; the rest are told by how many contacts join each two tiles. So a chain is no one group:
+    a tile's contacts are bounded by its residues, and the last step has a row a tile.
+    """
+    spans = found.select(*key, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    of = lambda end: F.floor(F.col(end) / F.lit(tile))
+    each = F.when(of("lo") == of("hi"), F.array(F.struct(of("lo").alias("tile"), F.lit(2).alias("kind"))))
+    each = each.otherwise(F.array(*[F.struct(of(c).alias("tile"), F.lit(k).alias("kind")) for k, c in enumerate(("lo", "hi"))]))
+    spans = spans.withColumn("at", F.explode(each)).select(*key, "at.tile", "at.kind", "lo", "hi")
+    kinds = ", ".join(f"{k} {found.schema[k].dataType.simpleString()}" for k in key)
+
+    lists = lambda v: pa.array([v], pa.list_(pa.int64()))
+
+    def count(part: pa.Table) -> pa.Table:
+        lo, hi, kind = (part.column(c).to_numpy() for c in ("lo", "hi", "kind"))
+        told = _tile_counts(lo, hi, kind, tile)
+        ends, counts = np.unique(hi[kind != 1] // tile, return_counts=True)
+        own = {k: part.column(k).slice(0, 1) for k in [*key, "tile"]}
+        return pa.table(own | {k: [v] for k, v in told.items()} | {"ends": lists(ends), "counts": lists(counts)})
+
+    def add(part: pa.Table) -> pa.Table:
+        part = part.sort_by("tile")
+        column = lambda c: part.column(c).to_numpy()
+        cells = [(np.array(e), np.array(c)) for e, c in zip(part.column("ends").to_pylist(), part.column("counts").to_pylist())]
+        series, nested = _between_tiles(column("tile"), column("lower"), column("upper"), cells)
+        n, s, p = int(column("lower").sum()), series + int(column("series").sum()), nested + int(column("parallel").sum())
+        x = n * (n - 1) // 2 - s - p - int(column("shared").sum())
+        own = {k: part.column(k).slice(0, 1) for k in key} | {"contact_count": pa.array([n], pa.int32())}
+        return pa.table(own | {f"{k}_pair_count": [v] for k, v in (("contact", s + p + x), ("series", s), ("parallel", p), ("cross", x))})
+
+    tiles = f"{kinds}, tile long, lower long, upper long, series long, parallel long, shared long, ends array<long>, counts array<long>"
+    tiled = spans.groupBy(*key, "tile").applyInArrow(count, tiles)
+    out = f"{kinds}, contact_count int, " + ", ".join(f"{k}_pair_count bigint" for k in ("contact", "series", "parallel", "cross"))
+    return tiled.groupBy(*key).applyInArrow(add, out)
 
 
 def relation_counts_sql(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:

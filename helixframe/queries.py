@@ -50,6 +50,12 @@ def psx_counts_join(spark: SparkSession, d: str) -> DataFrame:
     return _counted(topology.relation_counts_sql(_contacts(spark, d)))
 
 
+def long_chain_counts(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors as one chain, its residues in tiles of 64: pairs within tiles, and between them."""
+    one = _points(spark, d).withColumn("chain_id", F.lit("all"))
+    return _counted(topology.relation_counts(topology.contacts(one, DISTANCE, SEPARATION), tile=64))
+
+
 def contact_pairs(spark, d):
     return _contacts(spark, d).select("chain_id", "lo", "hi")
 
@@ -207,6 +213,7 @@ _CLASSES = ", ".join(f"('{k}', '{v}')" for k, v in s.CLASS_NAMES.items())
 _SQL = {
     "psx_counts": f"WITH {_C}, {_RELATIONS}, {_COUNTS} SELECT * FROM n",
     "psx_counts_join": f"WITH {_C}, {_RELATIONS}, {_COUNTS} SELECT * FROM n",
+    "long_chain_counts": f"WITH {_CONTACTS.format(t='0.1').replace('cast(label AS VARCHAR)', "'all'")}, {_RELATIONS}, {_COUNTS} SELECT * FROM n",
     "contact_pairs": f"WITH {_C} SELECT * FROM c",
     "contact_relations": f"WITH {_C}, {_RELATIONS} SELECT * FROM r",
     "psx_fractions": f"""WITH {_C}, {_RELATIONS}, {_COUNTS},
