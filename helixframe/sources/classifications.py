@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PipelineConfig
 from ..functions.scalar import blank_to_null, kingdom, matched, strip
 from ..operators.relational import counted, first_hit, last_wins
+from .json_arrays import read_json_array
 from .tables import lines, position
 
 _RANGE = r"^([A-Za-z0-9]):(-?[0-9]+)-(-?[0-9]+)"
@@ -58,11 +59,10 @@ def read_fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cath(spark: SparkSession, path: str) -> DataFrame:
-    """(structure_id, chain_id, cath_id, pos) of a JSON object with ``data``, or of a bare list. Entries without ids are dropped."""
-    entry = "array<struct<domain_id: string, pdb_code: string, superfamily_id: string, atom_length: string>>"
-    whole = spark.read.text(path, wholetext=True)
-    data = F.when(F.ltrim("value").startswith("["), F.from_json("value", entry)).otherwise(F.from_json("value", f"struct<data: {entry}>")["data"])
-    rows = whole.select(F.posexplode(data).alias("pos", "e")).select("pos", "e.*").filter("domain_id <> '' and pdb_code <> ''")
+    """(structure_id, chain_id, cath_id, pos) of a JSON object with ``data``, or of a bare list, in splits. Entries without ids are dropped."""
+    entry = "struct<domain_id: string, pdb_code: string, superfamily_id: string, atom_length: string>"
+    rows = read_json_array(spark, path, "data").select(F.struct("file", "pos").alias("pos"), F.from_json("value", entry).alias("e"))
+    rows = rows.select("pos", "e.*").filter("domain_id <> '' and pdb_code <> ''")
     key = [F.lower("pdb_code").alias("structure_id"), F.substring("domain_id", 5, 1).alias("chain_id")]
     return rows.select(*key, F.col("superfamily_id").alias("cath_id"), "domain_id", "pos")
 
