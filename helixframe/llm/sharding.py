@@ -5,9 +5,10 @@ five-word shingles under several hash functions, so that near copies share hubs,
 shares no hub is unlinked. Labels are shards. Linked nodes start at a hash of their first hub, others at a hash of their
 own.
 
-In each round, hubs count the weight of each label among their nodes and name the NAMED heaviest, and nodes ask for the
-one with the most votes of their hubs; a node of a label above its capacity (the mean of the shards) asks for the best other one, if it knows any. The
-flows between labels are held to quotas: what two shards exchange is granted, and above that as much as the target has
+In each round, hubs count the weight of each label among their nodes, and nodes ask for the label with the most votes of
+all their hubs together; a node of a label above its capacity (the mean of the shards) asks for the best other one, if its
+hubs know any. All votes count. They are added up once for each distinct set of hubs, of which near copies share few, and
+a node needs the two best labels of its set alone. The flows between labels are held to quotas: what two shards exchange is granted, and above that as much as the target has
 room for; of an overfull label no more than its excess. A hash decides which movers are granted. Only the table of flows,
 shards squared at most, reaches the driver. Rounds go on while they lower the weight of cut links (of pairs that a hub
 links, by hub) by TOLERANCE of all links at least; the best labels count.
@@ -38,8 +39,6 @@ from .text import SPACED, combine, groups, mix, utf8, words
 
 HUBS = 3
 TOLERANCE = 0.002
-#: Labels that a hub names to its nodes, those with the most votes.
-NAMED = 3
 _SALTS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)) for i in range(HUBS)]
 _FACTS = "doc_id long, uid long, size long, crc long, node long, " + ", ".join(f"hub{k} long" for k in range(HUBS))
 
@@ -100,15 +99,20 @@ def _granted(flows: list, load: dict[int, int], capacity: float) -> list[tuple[i
     return out
 
 
-def hub_links(facts: DataFrame, within: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, w, hub0, ...) and links (node, w, hub) through hubs that several nodes share, written below ``within``."""
+def hub_links(facts: DataFrame, within: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, w, hub0, ..., set), links (node, w, hub) through hubs that several nodes share, and (set, hub) of each
+    distinct set of such hubs, HUBS at most; written below ``within``. Unlinked nodes have no set."""
     nodes = facts.groupBy("node").agg(F.count(F.lit(1)).alias("w"), *[F.min(f"hub{k}").alias(f"hub{k}") for k in range(HUBS)])
     nodes = stash(nodes, "nodes", within)
     hubs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"hub{k}").alias("hub")) for k in range(HUBS)])
     each = nodes.select("node", "w", F.explode(hubs).alias("x")).filter("x.hub is not null")
     each = each.select("node", "w", F.xxhash64("x.k", "x.hub").alias("hub"))
     shared = each.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub")
-    return nodes, stash(each.join(shared, "hub"), "hubs", within)
+    links = stash(each.join(shared, "hub"), "hubs", within)
+    sets = links.groupBy("node").agg(F.sort_array(F.collect_set("hub")).alias("hubs")).withColumn("set", F.xxhash64("hubs"))
+    sets = stash(sets, "sets", within)
+    nodes = stash(nodes.join(sets.select("node", "set"), "node", "left"), "nodes", within)
+    return nodes, links, stash(sets.select("set", "hubs").distinct().select("set", F.explode("hubs").alias("hub")), "triples", within)
 
 
 def cut_weight(votes: DataFrame) -> tuple[float, float]:
@@ -126,19 +130,27 @@ def _votes(links: DataFrame, labels: DataFrame, within: str) -> tuple[DataFrame,
     return at, stash(at.groupBy("hub", "label").agg(F.sum("w").alias("votes"), F.sum(w * w).alias("own")), "votes", within)
 
 
+def _best_two(told) -> F.Column:
+    """Of votes (label, votes), in which labels may repeat: the labels of the two largest sums, the smaller label first in a tie."""
+    labels = F.array_distinct(F.transform(told, lambda x: x["label"]))
+    none = F.lit(0).cast("long")
+    of = lambda label: F.aggregate(F.filter(told, lambda x: x["label"] == label), none, lambda a, x: a + x["votes"])
+    sums = F.transform(labels, lambda x: F.struct(of(x).alias("votes"), (-x).alias("after")))
+    return F.transform(F.slice(F.sort_array(sums, asc=False), 1, 2), lambda x: (-x["after"]).alias("label"))
+
+
 def propagate(facts: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[tuple[float, float]]]:
     """(node, hub0, last, label) from rows (node, hub0, ...), and the weights of cut and of all links before each round and
     after the last. ``last`` is 0 for nodes that stand for several rows, 1 for other linked ones, 2 for all else."""
     spark = facts.sparkSession
     work = fresh_dir(spark, "propagation")
-    nodes, links = hub_links(facts, work)
+    nodes, links, sets = hub_links(facts, work)
     total = nodes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     capacity = total / shards
-    every = nodes.join(links.select("node").distinct().withColumn("linked", F.lit(True)), "node", "left")
-    start = F.when(F.col("linked"), F.xxhash64("hub0")).otherwise(F.xxhash64("node"))
-    known = [F.coalesce("linked", F.lit(False)).alias("linked"), F.pmod(start, F.lit(shards)).cast("int").alias("label")]
-    every = stash(every.select("node", "w", "hub0", *known), "labels", work)
-    labels = best = every.filter("linked").select("node", "w", "label")
+    start = F.when(F.col("set").isNotNull(), F.xxhash64("hub0")).otherwise(F.xxhash64("node"))
+    known = [F.col("set").isNotNull().alias("linked"), F.pmod(start, F.lit(shards)).cast("int").alias("label")]
+    every = stash(nodes.select("node", "w", "hub0", "set", *known), "labels", work)
+    labels = best = every.filter("linked").select("node", "w", "set", "label")
     cuts: list[tuple[float, float]] = []
     while True:
         at, votes = _votes(links, labels, work)
@@ -151,19 +163,15 @@ def propagate(facts: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tu
             break
         load = {r["label"]: r["w"] for r in labels.groupBy("label").agg(F.sum("w").alias("w")).collect()}
         over = [a for a, w in load.items() if w > capacity]
-        # a hub's votes have a row a shard at most
-        ranked = F.sort_array(F.collect_list(F.struct("votes", (-F.col("label")).alias("after"))), asc=False)
-        # written, so that a hub with a large share of the links can be split in the join
-        named = stash(votes.groupBy("hub").agg(F.slice(ranked, 1, NAMED).alias("top")), "named", work)
-        heard = at.select("node", F.col("label").alias("own_label"), "hub").join(named, "hub")
-        heard = heard.select("node", "own_label", F.explode("top").alias("x"))
-        heard = heard.select("node", "own_label", (-F.col("x.after")).alias("label"), F.col("x.votes").alias("votes"))
-        heard = heard.groupBy("node", "own_label", "label").agg(F.sum("votes").alias("votes"))
-        rank = F.struct("votes", -F.col("label"))
-        other = F.col("label") != F.col("own_label")
-        wish = heard.groupBy("node").agg(F.max_by("label", rank).alias("want"), F.max_by(F.when(other, F.col("label")), F.when(other, rank)).alias("other"))
-        asked = labels.join(wish, "node").withColumn("forced", F.col("label").isin(over) & (F.col("want") == F.col("label")) & F.col("other").isNotNull())
-        asked = stash(asked.select("node", "w", "label", "forced", F.when(F.col("forced"), F.col("other")).otherwise(F.col("want")).alias("want")), "wishes", work)
+        # a hub has a vote a shard at most, a set the votes of HUBS hubs; written, so that a large hub can be split in the join
+        told = stash(votes.groupBy("hub").agg(F.collect_list(F.struct("label", "votes")).alias("told")), "told", work)
+        heard = sets.join(told, "hub").groupBy("set").agg(F.flatten(F.collect_list("told")).alias("told"))
+        wish = stash(heard.select("set", _best_two(F.col("told")).alias("best")), "heard", work)
+        want, second = F.get("best", F.lit(0)), F.get("best", F.lit(1))
+        own = F.col("label")
+        asked = labels.join(wish, "set").withColumns({"want": want, "other": F.when(want == own, second).otherwise(want)})
+        asked = asked.withColumn("forced", own.isin(over) & (F.col("want") == own) & F.col("other").isNotNull())
+        asked = stash(asked.select("node", "w", "set", "label", "forced", F.when(F.col("forced"), F.col("other")).otherwise(F.col("want")).alias("want")), "wishes", work)
         flows = asked.filter("label <> want").groupBy("label", "want", "forced").agg(F.sum("w").alias("w")).collect()
         if not flows:
             break
@@ -172,7 +180,7 @@ def propagate(facts: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tu
         # shards squared rows at most, twice
         moved = asked.join(F.broadcast(table_), ["label", "want", "forced"], "left")
         moves = luck < F.coalesce("part", F.lit(0.0))
-        labels = stash(moved.select("node", "w", F.when(moves, F.col("want")).otherwise(F.col("label")).alias("label")), "labels", work)
+        labels = stash(moved.select("node", "w", "set", F.when(moves, F.col("want")).otherwise(F.col("label")).alias("label")), "labels", work)
     to = best.select("node", F.col("label").alias("to"))
     last = F.when(F.col("w") > 1, 0).when(F.col("linked"), 1).otherwise(2).alias("last")
     out = every.join(to, "node", "left")
