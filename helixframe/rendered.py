@@ -17,7 +17,8 @@ from .config import PipelineConfig
 from .operators import occupancy, topology
 from .plans import steps
 from .schemas import ATLAS, CHAIN_MANIFEST, CHAIN_TOPOLOGY, DOMAIN_MAPPING, DOWNLOAD_FAILURES, JOIN_FAILURES, OCCUPANCY, STRUCTURE_MANIFEST
-from .sources import classifications, coordinates, downloads, tables
+from .sources import classifications, downloads, tables
+from .sources.structure_source import read_structures
 
 #: Of a part: names shared by the rendering and the SQL. ``k`` is its key, ``z`` its size.
 _PDB = "'P' || lpad(cast(k % 300 as string), 3, '0')"
@@ -216,8 +217,13 @@ def ingest_report(spark: SparkSession, d: str) -> DataFrame:
     return steps.ingest_structures(spark, folder, *names).report
 
 
+def structure_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What stands outside the coordinates, of each file; no atom is parsed for it."""
+    return _named(read_structures(spark, _structures(spark, d), "metadata").filter("file_format in ('mmcif', 'pdb')"))
+
+
 def chain_residues(spark: SparkSession, d: str) -> DataFrame:
-    found = topology.residues(coordinates.atoms_of(coordinates.scan_structures(spark, _structures(spark, d))))
+    found = read_structures(spark, _structures(spark, d), "residues", bytes_per_partition=100_000)
     return found.select("structure_id", "chain_id", "seq", *[F.col(c).cast("double").alias(c) for c in "xyz"])
 
 
@@ -455,6 +461,12 @@ SQL = {
     "ingest_report": f"""WITH {_E} SELECT 'ingest' AS section, 'structures' AS key, cast(count(DISTINCT s) AS DOUBLE) AS value FROM r UNION ALL SELECT
     'ingest', 'chains', count(DISTINCT (s, label)) FROM r
         UNION ALL SELECT 'ingest', 'failures', count(DISTINCT s) FROM e WHERE s >= 10""",
+    "structure_metadata": f"""WITH {_E}, h AS (SELECT DISTINCT s, structure_id, CASE WHEN s = 11 THEN 'broken.cif' ELSE {_duck(_FILE_NAME)} END AS file,
+        CASE WHEN s % 3 = 2 AND s <> 11 THEN 'pdb' ELSE 'mmcif' END AS file_format FROM e)
+        SELECT structure_id, regexp_replace(file, '^sub/', '') AS file, file_format, CASE WHEN file_format = 'pdb' THEN 'x-ray diffraction' ELSE
+        'X-RAY DIFFRACTION' END AS experimental_method, CASE WHEN file_format = 'pdb' THEN '1.9' ELSE '3.' END || s AS resolution,
+        CASE WHEN file_format = 'pdb' THEN '1999-02-01' ELSE '2000-12-01' END AS deposition_date, CASE WHEN file_format <> 'pdb' THEN '2001-02-03' END AS
+        release_date, CASE WHEN file_format = 'pdb' THEN 'a title' ELSE 'A title' END AS title, cast(0 AS INTEGER) AS atoms_parsed, cast(NULL AS VARCHAR) AS error FROM h""",
     "chain_residues": f"""WITH {_E}, {_TOP} SELECT structure_id, chain_id, cast(seq AS INTEGER) AS seq, cast(x AS DOUBLE) AS x, cast(y AS DOUBLE) AS y, cast(z AS DOUBLE) AS z
         FROM q""",
     "chain_topology": f"WITH {_E}, {_TOP} SELECT * FROM topology",

@@ -84,8 +84,7 @@ def cif_items(text: str) -> dict[str, list[str]]:
     return out
 
 
-def parse_cif(text: str) -> tuple[dict[str, str | None], list[tuple]]:
-    items = cif_items(text)
+def _cif_meta(items: dict[str, list[str]]) -> dict[str, str | None]:
     meta = {}
     for key, sources in _META.items():
         found = [v for s in sources for v in items.get(s, []) if v not in MISSING]
@@ -93,6 +92,12 @@ def parse_cif(text: str) -> tuple[dict[str, str | None], list[tuple]]:
             meta[key] = ";".join(found) or None
         else:
             meta[key] = found[0] if found else None
+    return meta
+
+
+def parse_cif(text: str) -> tuple[dict[str, str | None], list[tuple]]:
+    items = cif_items(text)
+    meta = _cif_meta(items)
     column = lambda *names: next((items[f"_atom_site.{n}"] for n in names if f"_atom_site.{n}" in items), None)
     xs = column("cartn_x")
     if xs is None:
@@ -168,6 +173,22 @@ def _best_atoms(rows: list[tuple]) -> list[tuple]:
     return [rows[i] for i in sorted(best.values())]
 
 
+def _structure_id(path: str, own: str | None) -> str:
+    plain = PurePosixPath(path).name.removesuffix(".gz")
+    stem = plain[: plain.rfind(".")] if plain.rfind(".") > 0 else plain
+    return (own or stem).lower()
+
+
+def metadata_of(path: str, kind: str, text: str) -> dict[str, str | None]:
+    """What stands outside the coordinates; of a PDB file its other lines alone are read."""
+    if kind == "mmcif":
+        meta = _cif_meta(cif_items(text))
+    else:
+        meta, _ = parse_pdb("\n".join(x for x in text.splitlines() if not x.startswith(("ATOM", "HETATM"))))
+    meta["structure_id"] = _structure_id(path, meta.pop("id"))
+    return meta
+
+
 def parse_structure(path: str, raw: bytes, residues: frozenset[str] = frozenset(AMINO_ACIDS)) -> tuple[dict, list[tuple]]:
     """A row of metadata, and atom rows in the order of schemas.ATOMS after file_format. Gzip by the name's .gz, in lower
     case. Without any of ``residues`` in the first model the file is no protein's, which is an error."""
@@ -175,9 +196,7 @@ def parse_structure(path: str, raw: bytes, residues: frozenset[str] = frozenset(
     text = (gzip.decompress(raw) if name.endswith(".gz") else raw).decode("utf-8")
     is_cif = re.search(r"\.(cif|mmcif)(\.gz)?$", name.lower()) is not None
     meta, rows = (parse_cif if is_cif else parse_pdb)(text)
-    plain = name.removesuffix(".gz")
-    stem = plain[: plain.rfind(".")] if plain.rfind(".") > 0 else plain
-    meta["structure_id"] = (meta.pop("id") or stem).lower()
+    meta["structure_id"] = _structure_id(path, meta.pop("id"))
     models: dict[str, int] = {}
     chains: dict[tuple, int] = {}
     places: dict[tuple, int] = {}

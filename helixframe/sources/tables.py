@@ -44,8 +44,16 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
 
 
+#: Schemes of Hadoop's stores by their names in pyarrow. Databricks mounts its own as a local folder.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
+
+
 def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The store and path of a URI, or of a local path."""
+    """The store and path of a URI as Spark writes it, or of a local path."""
+    if m := re.match(r"dbfs:/*", uri):
+        uri = f"/dbfs/{uri[m.end() :]}"
+    elif (m := re.match(r"([a-z][a-z0-9+.-]*)://", uri)) and m[1] in _SCHEMES:
+        uri = f"{_SCHEMES[m[1]]}{uri[m.end(1) :]}"
     return pafs.FileSystem.from_uri(uri if re.match(r"[a-z][a-z0-9+.-]*:", uri) else f"file://{os.path.abspath(uri)}")
 
 
