@@ -9,6 +9,10 @@ It is trained on the driver by Adam, on at most SAMPLE labelled texts a class, o
 labels among all labelled rows then corrects the probability for the sample's balance. Scoring is one pass over the
 documents without any shuffle.
 
+A score is of its text alone. Before scoring, weights and byte vectors are rounded to multiples of 2**-GRID, and features
+and hidden values to multiples of 2**-COARSE, so that every sum has few enough digits to be exact: neither the order of
+additions, nor the texts scored beside it, nor the machine can change it.
+
 Defined cases: null and empty texts are scored as a padded empty text; repeated rows return repeated rows; null ids are
 kept and not held out; without labels of both kinds all scores are the labels' mean, or 0.5 without any; lang, source
 and other columns are ignored; an empty table gives no rows.
@@ -32,6 +36,9 @@ CHUNK, STEP = 192, 128
 SAMPLE = (1200, 1200)
 EPOCHS, BATCH, RATE = 14, 32, 0.01
 THRESHOLD = 0.3
+#: Binary places of weights, and of what later layers take in. Products have GRID + COARSE places, or 2 * GRID for filters,
+#: and sums of them stay below 2**17 (of outputs of filters 2**21), so 53 digits hold them.
+GRID, COARSE = 16, 20
 
 
 def _byte_vectors() -> np.ndarray:
@@ -47,7 +54,12 @@ def _byte_vectors() -> np.ndarray:
     return v
 
 
-BYTES = _byte_vectors()
+def on_grid(x: np.ndarray, places: int) -> np.ndarray:
+    return np.round(x.astype(np.float64) * (1 << places)) / (1 << places)
+
+
+#: On the grid, and few enough digits for training too.
+BYTES = on_grid(_byte_vectors(), GRID).astype(np.float32)
 DIM = WIDTH * BYTES.shape[1]
 
 
@@ -81,7 +93,7 @@ class Net:
     def respond(self, padded: np.ndarray) -> np.ndarray:
         """Filter outputs of every window."""
         m = (len(padded) - WIDTH) // STRIDE + 1
-        out = np.empty((m, FILTERS), np.float32)
+        out = np.empty((m, FILTERS), self.p["K"].dtype)
         for lo in range(0, m, 1 << 15):
             hi = min(m, lo + (1 << 15))
             out[lo:hi] = self.gather(padded, np.arange(lo, hi)) @ self.p["K"]
@@ -91,6 +103,12 @@ class Net:
     def gather(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         return BYTES[padded[(at * STRIDE)[:, None] + np.arange(WIDTH)]].reshape(len(at), DIM)
 
+    def rounded(self) -> Net:
+        """A network of the same weights, rounded, as numbers whose sums are exact."""
+        out = Net()
+        out.p, out.shift = {k: on_grid(v, GRID) for k, v in self.p.items()}, self.shift
+        return out
+
     @staticmethod
     def chunks(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each overlapping chunk, and each text's first chunk."""
@@ -102,21 +120,20 @@ class Net:
         return lo, np.minimum(lo + CHUNK, np.repeat(spans[1], count)), first
 
     def features(self, out: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.concatenate([out, np.full((1, FILTERS), -np.inf, np.float32)])
+        out = np.concatenate([out, np.full((1, FILTERS), -np.inf, out.dtype)])
         top = np.maximum.reduceat(out, np.stack([lo, hi], 1).ravel(), axis=0)[::2] + self.p["c"]
         each = np.diff(first)
         mean = np.add.reduceat(top, first[:-1], axis=0) / each[:, None]
         return np.concatenate([np.maximum.reduceat(top, first[:-1], axis=0), mean], 1), top
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.p["A"] + self.p["a"], 0) @ self.p["B"] + self.p["b"]
-
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Of a ``rounded`` network."""
         if len(offsets) < 2:
             return np.empty(0)
         padded, spans = self.windows(data, offsets)
         x, _ = self.features(self.respond(padded), *self.chunks(spans))
-        z = self.logits(x).astype(np.float64) + self.shift
+        h = on_grid(np.maximum(on_grid(x, COARSE) @ self.p["A"] + self.p["a"], 0), COARSE)
+        z = h @ self.p["B"] + self.p["b"] + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def step(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -134,7 +151,8 @@ class Net:
         text = np.repeat(np.arange(len(y)), each)
         dtop = dx[text, FILTERS:] / each[text, None]
         is_top = top == x[text, :FILTERS]
-        dtop += np.where(is_top, dx[text, :FILTERS], 0)
+        # overlapping chunks often share their largest window: they share its gradient, too
+        dtop += is_top * (dx[:, :FILTERS] / np.add.reduceat(is_top, first[:-1], axis=0, dtype=np.int64))[text]
         at = np.stack([s + out[s:e].argmax(0) for s, e in zip(lo, hi)])
         dK = np.zeros_like(self.p["K"])
         for f in range(FILTERS):
@@ -166,7 +184,7 @@ def train(texts: list[str], y: np.ndarray, totals: tuple[int, int], seed: int =
                 p -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     ones, zeros = int(y.sum()), int(len(y) - y.sum())
     net.shift = float(np.log(totals[1] / totals[0]) - np.log(ones / zeros))
-    return net
+    return net.rounded()
 
 
 def _scorer(shared):
