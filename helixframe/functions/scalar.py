@@ -20,6 +20,7 @@ EUKARYOTES = (
     "arabidopsis", "xenopus", "danio", "gallus", "bos", "sus", "oryctolagus", "eukaryot", "fungal", "fungi",
     "plant", "mammal",
 )
+KINGDOMS = {"archaea": ARCHAEA, "bacteria": BACTERIA, "eukaryotes": EUKARYOTES}
 # Names of the structural classes.
 CLASS_NAMES = {
     "a": "all-alpha",
@@ -31,6 +32,7 @@ CLASS_NAMES = {
     "g": "small proteins",
 }
 TIERS = ("common", "rare", "ultra-rare")
+# Texts of the failures.
 CONTACT_ERROR = "Missing chain topology summary for domain join."
 NO_CHAIN_ERROR = "No protein chains detected in first model."
 
@@ -49,19 +51,25 @@ def matched(c: Column, pattern: str, group: int) -> Column:
     return blank_to_null(F.regexp_extract(c, pattern, group))
 
 
+def any_of(keywords: tuple[str, ...]) -> str:
+    """A pattern that finds any of some texts in one pass: those of one first letter are tried together, where it stands."""
+    first: dict[str, list[str]] = {}
+    for k in keywords:
+        first.setdefault(k[0], []).append(k[1:])
+    quoted = lambda x: f"\\Q{x}\\E" if x else ""
+    return "|".join(f"{quoted(c)}(?:{'|'.join(map(quoted, rest))})" for c, rest in first.items())
+
+
 def priority_class(text: Column, classes: dict[str, tuple[str, ...]]) -> Column:
-    """The first class one of whose keywords is in the text, in any case; null if none."""
+    """The first class one of whose keywords is in the text, in any case; null if none. A pass over the text a class."""
     low, out = F.lower(text), F.lit(None).cast("string")
     for name, keywords in reversed(classes.items()):
-        hit = F.lit(False)
-        for k in keywords:
-            hit = hit | F.contains(low, F.lit(k))
-        out = F.when(hit, F.lit(name)).otherwise(out)
+        out = F.when(low.rlike(any_of(keywords)), F.lit(name)).otherwise(out)
     return out
 
 
 def kingdom(text: Column) -> Column:
-    return priority_class(text, {"archaea": ARCHAEA, "bacteria": BACTERIA, "eukaryotes": EUKARYOTES})
+    return priority_class(text, KINGDOMS)
 
 
 def occupancy_tier(count: Column, common: int = 10, rare: int = 3) -> Column:
@@ -73,8 +81,8 @@ def fraction(part: Column, total: Column) -> Column:
 
 
 def six_decimals(c: Column) -> Column:
-    """Six decimals, rounded half to even on the binary value; null stays null. For fractions, so below 1000."""
-    return F.format_number(c, 6)
+    """Six decimals, rounded half to even on the binary value; null stays null."""
+    return F.replace(F.format_number(c, 6), F.lit(","), F.lit(""))
 
 
 def topology_text(s: Column, p: Column, x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,23 @@ def last_wins(df: DataFrame, key: list[str], position: str) -> DataFrame:
     return best.select(*key, *[F.col(row)[c].alias(c) for c in rest]).select(df.columns)
 
 
-def first_hit(left: DataFrame, right: DataFrame, key: list[str], value: str, position: str) -> DataFrame:
-    """Left rows with the value of the first right row of their key, or null."""
-    return left.join(right.groupBy(*key).agg(F.min_by(value, position).alias(value)), key, "left")
+def first_hit(left: DataFrame, right: DataFrame, key: list[str], value: str, position: str, seen: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Left rows with the value of the first right row of their key, or null. ``seen`` is given the right rows, one a key."""
+    return left.join(seen(right.groupBy(*key).agg(F.min_by(value, position).alias(value))), key, "left")
 
 
-def routed(left: DataFrame, right: DataFrame, key: list[str], error: str, failed: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Matched rows, and the failure table of the rest. ``right`` has one row a key."""
+def tagged(left: DataFrame, right: DataFrame, key: list[str], route: str) -> DataFrame:
+    """Left rows with those of the right, which has one a key, and ``route``: hit or miss. One join for both."""
     name = _free(_free("hit", right), left)
     both = left.join(right.withColumn(name, F.lit(True)), key, "left")
-    found = F.col(name).isNotNull()
-    return both.filter(found).drop(name), both.filter(~found).select(*failed, F.lit(error).alias("error"))
+    return both.withColumn(route, F.when(F.col(name), "hit").otherwise("miss")).drop(name)
+
+
+def routed(left: DataFrame, right: DataFrame, key: list[str], error: str, failed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Matched rows, and the failure table of the rest. ``right`` has one row a key."""
+    route = _free(_free("route", right), left)
+    both = tagged(left, right, key, route)
+    return both.filter(F.col(route) == "hit").drop(route), both.filter(F.col(route) == "miss").select(*failed, F.lit(error).alias("error"))
 
 
 def distinct_sorted(df: DataFrame, *columns) -> DataFrame:

@@ -1,8 +1,8 @@
 """The steps, each from its inputs to its tables: what a command line runs.
 
 A step reads and writes the tables of its inputs' and outputs' paths, and gives an exit code and a report, rows (section,
-key, value). Between steps there are CSV tables, as users have them; parsed structures are kept in Parquet beside the
-manifests, so that files are parsed once.
+key, value). Tables are Parquet in versions (see ``sources.tables``), put out as CSV too where a path ends so; parsed
+structures are kept beside the manifests, so that files are parsed once. What a report counts is counted by the write.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..operators import manifests, occupancy, topology
-from ..operators.atlas import build_atlas
+from ..operators.atlas import build_atlas, route_atlas
 from ..operators.relational import constants, distinct_sorted
 from ..schemas import ATLAS, CHAIN_MANIFEST, CHAIN_TOPOLOGY, DOMAIN_MAPPING, FAILURES, JOIN_FAILURES, OCCUPANCY, STRUCTURE_MANIFEST, names
 from ..sources import classifications as c
@@ -41,19 +41,33 @@ def download_classifications(spark: SparkSession, output_dir: str, sources: Data
 
 
 def build_domain_mapping(spark: SparkSession, classifications_dir: str, output: str, config: PipelineConfig = PipelineConfig()) -> Step:
-    mapping, told = map_domains(spark, classifications_dir, config)
-    tables.write_csv(mapping.select(names(DOMAIN_MAPPING)), output)
-    return Step(0, told)
+    mapping, seen = watched_mapping(spark, classifications_dir, config)
+    tables.put(mapping.select(names(DOMAIN_MAPPING)), output)
+    return Step(0, _report(spark, seen))
 
 
-def map_domains(spark: SparkSession, folder: str, config: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
-    """Mapping and report of the five classification files in a folder."""
+def watched_mapping(spark: SparkSession, folder: str, config: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, tables.Watched]:
+    """The mapping of the five classification files in a folder, and what is counted while it is made."""
     scope, species = c.read_scope_cla(spark, f"{folder}/scope_cla.txt"), c.read_scope_des(spark, f"{folder}/scope_des.txt")
     lengths = c.read_fasta_lengths(spark, f"{folder}/scope_astral_40.fa")
     cath, ecod = c.read_cath(spark, f"{folder}/cath_domain_list.txt"), c.read_ecod(spark, f"{folder}/ecod_domains.txt")
     return c.domain_mapping(scope, species, lengths, cath, ecod, config)
 
 
+def _report(spark: SparkSession, seen: tables.Watched) -> DataFrame:
+    """Kingdoms that no domain has are left out."""
+    rows = [(s, k, int(v)) for s, k, v in seen.told() if v or s != "kingdoms"]
+    return spark.createDataFrame(rows, "section string, key string, value long")
+
+
+def map_domains(spark: SparkSession, folder: str, config: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
+    """Mapping and report, the mapping written to the shared folder."""
+    mapping, seen = watched_mapping(spark, folder, config)
+    work = tables.fresh_dir(spark, "mapping")
+    mapping.write.parquet(work)
+    return spark.read.schema(mapping.schema).parquet(work), _report(spark, seen)
+
+
 def plan_downloads(spark: SparkSession, mapping: DataFrame, folder: str, config: PipelineConfig = PipelineConfig()) -> DataFrame:
     """(pdb_id, url) of the mapping's structures that the folder lacks."""
     return downloads.pending(mapping, tables.structure_files(spark, folder).select("path", "length"), config)
@@ -61,7 +75,7 @@ def plan_downloads(spark: SparkSession, mapping: DataFrame, folder: str, config:
 
 def download_structures(spark: SparkSession, domain_mapping: str, output_dir: str, plan: DataFrame | None = None, config: PipelineConfig = PipelineConfig()) -> Step:
     """Fetches what is pending; failures go to a table, and are no failure of the step."""
-    mapping = tables.read_csv(spark, domain_mapping, DOMAIN_MAPPING)
+    mapping = tables.get(spark, domain_mapping, DOMAIN_MAPPING)
     wanted = distinct_sorted(mapping, F.lower("structure_id").alias("pdb_id")).filter("pdb_id <> ''")
     tables.make_dir(spark, output_dir)
     todo = plan_downloads(spark, mapping, output_dir, config) if plan is None else plan
@@ -108,10 +122,12 @@ def ingest_structures(
     except FileNotFoundError:
         return Step(1, _told(spark, "ingest", structures=0, chains=0, failures=0))
     order = F.split("source_path", "/")
-    tables.write_csv(found["structures"].orderBy(order).select(names(STRUCTURE_MANIFEST)), structure_output)
-    tables.write_csv(found["chains"].select(names(CHAIN_MANIFEST)), chain_output)
-    tables.write_csv(found["failures"].orderBy(order).select(names(FAILURES)), failures_output)
-    counts = {k: found[k].count() for k in ("structures", "chains", "failures")}
+    written = {
+        "structures": tables.put(found["structures"].orderBy(order).select(names(STRUCTURE_MANIFEST)), structure_output),
+        "chains": tables.put(found["chains"].select(names(CHAIN_MANIFEST)), chain_output),
+        "failures": tables.put(found["failures"].orderBy(order).select(names(FAILURES)), failures_output),
+    }
+    counts = {k: v["rows"] for k, v in written.items()}
     return Step(0, _told(spark, "ingest", **counts))
 
 
@@ -123,10 +139,10 @@ def topologies(spark: SparkSession, atoms: DataFrame, chains: DataFrame, config:
 
 
 def compute_topology(spark: SparkSession, chain_manifest: str, parsed_path: str, output: str, config: PipelineConfig = PipelineConfig()) -> Step:
-    chains = tables.read_csv(spark, chain_manifest, CHAIN_MANIFEST)
+    chains = tables.get(spark, chain_manifest, CHAIN_MANIFEST)
     out = topologies(spark, coordinates.atoms_of(spark.read.parquet(parsed_path)), chains, config)
-    tables.write_csv(out.orderBy("structure_id", "source_path", "chain_id").select(names(CHAIN_TOPOLOGY)), output)
-    return Step(0, _told(spark, "topology", chains=tables.read_csv(spark, output, CHAIN_TOPOLOGY).count()))
+    written = tables.put(out.orderBy("structure_id", "source_path", "chain_id").select(names(CHAIN_TOPOLOGY)), output)
+    return Step(0, _told(spark, "topology", chains=written["rows"]))
 
 
 def atlas(mapping: DataFrame, chains: DataFrame, config: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
@@ -136,21 +152,27 @@ def atlas(mapping: DataFrame, chains: DataFrame, config: PipelineConfig = Pipeli
 
 
 def build_atlas_table(spark: SparkSession, chain_topology: str, domain_mapping: str, output: str, failures_output: str) -> Step:
-    """The atlas without tiers, which the occupancy step fills in."""
-    chains, mapping = tables.read_csv(spark, chain_topology, CHAIN_TOPOLOGY), tables.read_csv(spark, domain_mapping, DOMAIN_MAPPING)
-    full, failed = build_atlas(mapping, chains)
-    tables.write_csv(full, output)
-    tables.write_csv(failed.select(names(JOIN_FAILURES)), failures_output)
-    rows, lost = tables.read_csv(spark, output, ATLAS).count(), tables.read_csv(spark, failures_output, JOIN_FAILURES).count()
-    return Step(0, _told(spark, "atlas", atlas_rows=rows, join_failures=lost))
+    """The atlas without tiers, which the occupancy step fills in. Domains are joined once, and written once by their route."""
+    chains, mapping = tables.get(spark, chain_topology, CHAIN_TOPOLOGY), tables.get(spark, domain_mapping, DOMAIN_MAPPING)
+    columns = {"hit": names(ATLAS), "miss": names(JOIN_FAILURES)}
+    found, counts = tables.routes(route_atlas(mapping, chains), "route", ["hit", "miss"], columns)
+    tables.put(found["hit"], output)
+    tables.put(found["miss"], failures_output)
+    return Step(0, _told(spark, "atlas", atlas_rows=counts["hit"], join_failures=counts["miss"]))
 
 
 def summarise_occupancy(spark: SparkSession, atlas_path: str, output: str, config: PipelineConfig = PipelineConfig()) -> Step:
-    """The summary by fold; the atlas is rewritten with its tiers, by way of a new version beside it."""
-    full = tables.read_csv(spark, atlas_path, ATLAS)
-    work = tables.fresh_dir(spark, "atlas")
-    occupancy.with_tiers(full, config=config).write.parquet(work)
-    tiered = spark.read.parquet(work)
-    tables.write_csv(occupancy.occupancy_summary(tiered, config).select(names(OCCUPANCY)), output)
-    tables.replace_csv(tiered.select(names(ATLAS)), atlas_path)
+    """The summary by fold; the atlas gets its tiers in a new version, made of the old one."""
+    full = tables.get(spark, atlas_path, ATLAS)
+    tables.put(occupancy.with_tiers(full, config=config).select(names(ATLAS)), atlas_path)
+    tiered = tables.get(spark, atlas_path, ATLAS)
+    tables.put(occupancy.occupancy_summary(tiered, config).select(names(OCCUPANCY)), output)
     return Step(0, occupancy.report(tiered, config))
+
+
+def export_table(spark: SparkSession, table: str, output: str) -> Step:
+    """A table as one CSV file of that name."""
+    found = tables.current(spark, table)
+    rows = spark.read.parquet(found) if found else spark.read.parquet(table)
+    tables.export_csv(rows, output)
+    return Step(0, _told(spark, "export", rows=rows.count()))

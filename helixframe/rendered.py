@@ -126,12 +126,13 @@ def domain_mapping(spark: SparkSession, d: str) -> DataFrame:
     """The step's table, as it reads back."""
     folder = _folder(spark, d)
     steps.build_domain_mapping(spark, folder, f"{folder}/domain_mapping.csv")
+    # the CSV parts that users get
     return tables.read_csv(spark, f"{folder}/domain_mapping.csv", DOMAIN_MAPPING)
 
 
 def mapping_report(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, d)
-    return steps.build_domain_mapping(spark, folder, f"{folder}/domain_mapping.csv").report
+    return steps.build_domain_mapping(spark, folder, f"{folder}/domain_mapping").report
 
 
 #: Of a vector: structure s, residue number, kind of residue r (0 and 1 and 3 are residues of protein), thousandths of coordinates.
@@ -184,7 +185,7 @@ def _structures(spark: SparkSession, d: str) -> str:
 def _ingested(spark: SparkSession, d: str) -> str:
     folder = _structures(spark, d)
     out = f"{folder}-tables"
-    steps.ingest_structures(spark, folder, f"{out}/structures.csv", f"{out}/chains.csv", f"{out}/failures.csv", f"{out}/parsed")
+    steps.ingest_structures(spark, folder, f"{out}/structures", f"{out}/chains", f"{out}/failures", f"{out}/parsed")
     return out
 
 
@@ -200,20 +201,20 @@ def structure_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structure_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return _named(tables.read_csv(spark, f"{_ingested(spark, d)}/structures.csv", STRUCTURE_MANIFEST))
+    return _named(tables.get(spark, f"{_ingested(spark, d)}/structures", STRUCTURE_MANIFEST))
 
 
 def chain_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return _named(tables.read_csv(spark, f"{_ingested(spark, d)}/chains.csv", CHAIN_MANIFEST))
+    return _named(tables.get(spark, f"{_ingested(spark, d)}/chains", CHAIN_MANIFEST))
 
 
 def ingest_failures(spark: SparkSession, d: str) -> DataFrame:
-    return _named(tables.read_csv(spark, f"{_ingested(spark, d)}/failures.csv", "source_path string, error string"))
+    return _named(tables.get(spark, f"{_ingested(spark, d)}/failures", "source_path string, error string"))
 
 
 def ingest_report(spark: SparkSession, d: str) -> DataFrame:
     folder = _structures(spark, d)
-    names = [f"{folder}-tables/{x}" for x in ("structures.csv", "chains.csv", "failures.csv", "parsed")]
+    names = [f"{folder}-tables/{x}" for x in ("structures", "chains", "failures", "parsed")]
     return steps.ingest_structures(spark, folder, *names).report
 
 
@@ -228,13 +229,13 @@ def chain_residues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _topology(spark: SparkSession, d: str, out: str) -> None:
-    steps.compute_topology(spark, f"{out}/chains.csv", f"{out}/parsed", f"{out}/topology.csv", PipelineConfig(contact_distance=18.0))
+    steps.compute_topology(spark, f"{out}/chains", f"{out}/parsed", f"{out}/topology", PipelineConfig(contact_distance=18.0))
 
 
 def chain_topology(spark: SparkSession, d: str) -> DataFrame:
     out = _ingested(spark, d)
     _topology(spark, d, out)
-    found = _named(tables.read_csv(spark, f"{out}/topology.csv", CHAIN_TOPOLOGY))
+    found = _named(tables.get(spark, f"{out}/topology", CHAIN_TOPOLOGY))
     return found.drop("file").select(*[F.col(c).cast("long").alias(c) if c.endswith("count") else c for c in found.columns if c != "file"])
 
 
@@ -248,32 +249,32 @@ def _atlas(spark: SparkSession, d: str) -> str:
         "cast(k as int) as residue_end", "cast(z as int) as domain_length", "element_at(array('bacteria', 'archaea', NULL), cast(k % 3 + 1 as int)) as kingdom",
         "IF(k % 31 = 0, NULL, sccs) as scope_id", "IF(k % 2 = 0, NULL, '1.' || z) as cath_id", "IF(k % 5 = 0, NULL, 'f, \"' || z || '\"') as ecod_id",
     )
-    tables.write_csv(rows, f"{out}/mapping.csv")
-    steps.build_atlas_table(spark, f"{out}/topology.csv", f"{out}/mapping.csv", f"{out}/atlas.csv", f"{out}/atlas_failures.csv")
+    tables.put(rows, f"{out}/mapping")
+    steps.build_atlas_table(spark, f"{out}/topology", f"{out}/mapping", f"{out}/atlas", f"{out}/atlas_failures")
     return out
 
 
 def atlas_table(spark: SparkSession, d: str) -> DataFrame:
     """The atlas after the occupancy step has filled in its tiers, in place."""
     out = _atlas(spark, d)
-    steps.summarise_occupancy(spark, f"{out}/atlas.csv", f"{out}/occupancy.csv")
-    return tables.read_csv(spark, f"{out}/atlas.csv", ATLAS)
+    steps.summarise_occupancy(spark, f"{out}/atlas", f"{out}/occupancy")
+    return tables.get(spark, f"{out}/atlas", ATLAS)
 
 
 def atlas_failures(spark: SparkSession, d: str) -> DataFrame:
-    return tables.read_csv(spark, f"{_atlas(spark, d)}/atlas_failures.csv", JOIN_FAILURES)
+    return tables.get(spark, f"{_atlas(spark, d)}/atlas_failures", JOIN_FAILURES)
 
 
 def occupancy_table(spark: SparkSession, d: str) -> DataFrame:
     """The summary as it reads back, its map as text."""
     out = _atlas(spark, d)
-    steps.summarise_occupancy(spark, f"{out}/atlas.csv", f"{out}/occupancy.csv")
-    return tables.read_csv(spark, f"{out}/occupancy.csv", OCCUPANCY.replace("map<string,bigint>", "string"))
+    steps.summarise_occupancy(spark, f"{out}/atlas", f"{out}/occupancy")
+    return tables.get(spark, f"{out}/occupancy", OCCUPANCY)
 
 
 def occupancy_report(spark: SparkSession, d: str) -> DataFrame:
     out = _atlas(spark, d)
-    told = steps.summarise_occupancy(spark, f"{out}/atlas.csv", f"{out}/occupancy.csv").report
+    told = steps.summarise_occupancy(spark, f"{out}/atlas", f"{out}/occupancy").report
     return told.withColumn("value", F.round("value", 6))
 
 
@@ -315,13 +316,13 @@ def registry_fetch(spark: SparkSession, d: str) -> DataFrame:
 def structure_fetch(spark: SparkSession, d: str) -> DataFrame:
     """The download step over local addresses, a third of which are there: its report, and the failures that it wrote."""
     folder = tables.fresh_dir(spark, "rendered")
-    ids = _parts(spark, d).filter("k < 60").selectExpr("'d' || k as domain_id", "pdb as structure_id", "cast(k as int) as n")
+    ids = _parts(spark, d).selectExpr("'d' || k as domain_id", "'P' || k as structure_id", "cast(k as int) as n")
     mapping = ids.select(*[F.col(c) if c in ids.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in DOMAIN_MAPPING.split(", "))])
-    tables.write_csv(mapping, f"{folder}/mapping.csv")
+    tables.put(mapping, f"{folder}/mapping")
     _put(ids.filter("n % 3 = 0").selectExpr("lower(structure_id) as name", "repeat('x', 200) as content"), f"{folder}/in")
     plan = ids.selectExpr("lower(structure_id) as pdb_id").withColumn("url", F.concat(F.lit(_uri(f"{folder}/in/")), F.col("pdb_id")))
-    step = steps.download_structures(spark, f"{folder}/mapping.csv", f"{folder}/out", plan)
-    failed = tables.read_csv(spark, f"{folder}/out/download_failures.csv", DOWNLOAD_FAILURES)
+    step = steps.download_structures(spark, f"{folder}/mapping", f"{folder}/out", plan)
+    failed = tables.get(spark, f"{folder}/out/download_failures.csv", DOWNLOAD_FAILURES)
     failed = failed.select(F.lit("failed").alias("section"), F.col("pdb_id").alias("key"), F.col("error").isNotNull().cast("double").alias("value"))
     return step.report.unionByName(failed)
 
@@ -336,7 +337,7 @@ def step_codes(spark: SparkSession, d: str) -> DataFrame:
     some = _table(spark, d, "region").selectExpr("r_name as pdb_id", "r_name as error")
     wrote = [tables.write_failures(x, f"{folder}/{n}") for n, x in (("none", none), ("some", some))]
     tables.write_csv(none, f"{folder}/empty.csv")
-    kept = tables.read_csv(spark, f"{folder}/some", DOWNLOAD_FAILURES).count()
+    kept = tables.get(spark, f"{folder}/some", DOWNLOAD_FAILURES).count()
     blank = tables.read_csv(spark, f"{folder}/empty.csv", DOWNLOAD_FAILURES)
     rows = {
         "ingest without files": code,
@@ -494,7 +495,7 @@ SQL = {
         LATERAL (SELECT 'downloads' AS section, 'completed' AS key, cast(count(*) AS DOUBLE) AS value FROM region WHERE r_regionkey >= missing UNION ALL
         SELECT 'downloads', 'failed', cast(missing AS DOUBLE)
         UNION ALL SELECT 'bytes', 'written', sum(strlen(r_name)) FROM region WHERE r_regionkey >= missing)""",
-    "structure_fetch": f"""WITH {_P}, i AS (SELECT lower(pdb) AS id, k FROM p WHERE k < 60) SELECT 'structures' AS section, 'needed' AS key, cast(count(*)
+    "structure_fetch": f"""WITH {_P}, i AS (SELECT 'p' || k AS id, k FROM p) SELECT 'structures' AS section, 'needed' AS key, cast(count(*)
     AS DOUBLE) AS value FROM i
         UNION ALL SELECT 'structures', 'there before', 0 UNION ALL SELECT 'structures', 'downloaded', count(*) FROM i WHERE k % 3 = 0 UNION ALL SELECT
         'structures', 'failures', count(*) FROM i WHERE k % 3 <> 0

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
-from ..functions.scalar import blank_to_null, kingdom, matched, strip
-from ..operators.relational import counted, first_hit, last_wins
+from ..functions.scalar import KINGDOMS, blank_to_null, kingdom, matched, strip
+from ..operators.relational import first_hit, last_wins
 from .json_arrays import read_json_array
-from .tables import lines, position
+from .tables import Watched, lines, position
 
 _RANGE = r"^([A-Za-z0-9]):(-?[0-9]+)-(-?[0-9]+)"
 _CHAIN = r"^([A-Za-z0-9]):"
@@ -89,15 +87,22 @@ def domain_mapping(
     cath: DataFrame,
     ecod: DataFrame,
     config: PipelineConfig = PipelineConfig(),
-) -> tuple[DataFrame, DataFrame]:
-    """The mapping, and its report as rows (section, key, value): what was read, what fell out, what was kept, and the
-    kingdoms of that."""
-    joined = scope.join(lengths, "sid", "left")
+) -> tuple[DataFrame, Watched]:
+    """The mapping, and what is counted while it is made: what was read, what fell out, what was kept, and the kingdoms of that."""
+    seen, n = Watched(), F.count(F.lit(1))
+    scope = seen.watch(scope, "read", **{"scope domains": n})
+    species = seen.watch(species, "read", **{"scope descriptions": n})
+    lengths = seen.watch(lengths, "read", **{"sequences": n})
+    cath = seen.watch(cath, "read", **{"cath domains": n})
+    ecod = seen.watch(ecod, "read", **{"ecod domains": n})
     size = F.col("domain_length")
     fits = size.between(config.min_length, config.max_length)
+    fell = {"without length": F.count_if(size.isNull()), "outside window": F.count_if(size.isNotNull() & ~fits)}
+    joined = seen.watch(scope.join(lengths, "sid", "left"), "mapping", **fell)
     key = ["structure_id", "chain_id"]
-    blank = joined.filter(fits).withColumn("chain_id", F.coalesce("chain_id", F.lit("")))
-    both = first_hit(first_hit(blank, cath, key, "cath_id", "pos"), ecod, key, "ecod_id", "pos")
+    both = joined.filter(fits).withColumn("chain_id", F.coalesce("chain_id", F.lit("")))
+    for name, right in (("cath", cath), ("ecod", ecod)):
+        both = first_hit(both, right, key, f"{name}_id", "pos", lambda x, name=name: seen.watch(x, "read", **{f"{name} chains": n}))
     named = species.filter("level = 'sp'").select(F.col("sunid").alias("species"), "description")
     both = both.join(named, "species", "left")
     cells = {
@@ -113,24 +118,6 @@ def domain_mapping(
         "ecod_id": blank_to_null(F.col("ecod_id")),
     }
     out = both.select(*[c.alias(n) for n, c in cells.items()])
-    return out, _told(scope, species, lengths, cath, ecod, joined, fits, out)
-
-
-def _told(scope, species, lengths, cath, ecod, joined, fits, out) -> DataFrame:
-    size, keys = F.col("domain_length"), F.countDistinct(F.struct("structure_id", "chain_id"))
-    grains = [
-        ("read", joined, {"scope domains": F.count(F.lit(1))}),
-        ("read", species, {"scope descriptions": F.count(F.lit(1))}),
-        ("read", lengths, {"sequences": F.count(F.lit(1))}),
-        ("read", cath, {"cath domains": F.count(F.lit(1)), "cath chains": keys}),
-        ("read", ecod, {"ecod domains": F.count(F.lit(1)), "ecod chains": keys}),
-        ("mapping", joined, {"without length": F.count_if(size.isNull()), "outside window": F.count_if(size.isNotNull() & ~fits)}),
-        ("mapping", out, {"rows": F.count(F.lit(1)), "with cath": F.count("cath_id"), "with ecod": F.count("ecod_id")}),
-    ]
-    parts = []
-    for section, df, counts in grains:
-        cells = [F.struct(F.lit(section).alias("section"), F.lit(k).alias("key"), F.col(f"n{i}").alias("value")) for i, k in enumerate(counts)]
-        parts.append(df.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts.values())]).select(F.inline(F.array(*cells))))
-    kinds = counted(out, F.col("kingdom"), "kingdom", "unknown")
-    parts.append(kinds.select(F.lit("kingdoms").alias("section"), F.col("kingdom").alias("key"), F.col("n").alias("value")))
-    return reduce(DataFrame.unionAll, parts)
+    out = seen.watch(out, "mapping", **{"rows": n, "with cath": F.count("cath_id"), "with ecod": F.count("ecod_id")})
+    kinds = F.coalesce("kingdom", F.lit("unknown"))
+    return seen.watch(out, "kingdoms", **{k: F.count_if(kinds == k) for k in (*KINGDOMS, "unknown")}), seen

@@ -3,7 +3,8 @@
 A text source cuts the file at closing braces, each piece to the split it starts in. Whether a brace is inside a string, how
 deep it is, and whether it is in the wanted array depends on all that comes before; so a first scan tells what each split
 would do to these from either start (inside a string or not), the splits of a file are put in a row, and a second scan
-starts each split as the one before it ends. A record that goes on in later splits is put together from its parts.
+starts each split as the one before it ends, and writes what it finds. A record that goes on in later splits is put
+together from its parts.
 
 The array is the document itself, or a field of an object that is the document. Its records are the objects that stand
 right in it. A file whose braces or quotes do not match gives no records, but for a last brace that is missing.
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import fresh_dir
+
 _OPEN, _CLOSE, _QUOTE, _SLASH = (ord(c) for c in '{}"\\')
 _STEP = np.zeros(256, np.int8)
 _STEP[[ord("{"), ord("[")]], _STEP[[ord("}"), ord("]")]] = 1, -1
@@ -174,7 +177,10 @@ def read_json_array(spark: SparkSession, path: str, field: str = "data") -> Data
     starts = told.groupBy("file").applyInArrow(_starts, "file string, start long, inside boolean, depth long, within boolean, base long")
     # a row a split
     state = {(r["file"], r["start"]): (r["inside"], r["depth"], r["within"], r["base"]) for r in starts.collect()}
-    parts = pieces.mapInArrow(_records(name, state), "file string, start long, n long, begins boolean, ends boolean, body binary")
+    kinds = "file string, start long, n long, begins boolean, ends boolean, body binary"
+    work = fresh_dir(spark, "records")
+    pieces.mapInArrow(_records(name, state), kinds).write.parquet(work)
+    parts = spark.read.schema(kinds).parquet(work)
     pos = F.struct("start", "n").alias("pos")
     whole = parts.filter("begins and ends").select("file", pos, F.col("body").cast("string").alias("value"))
     # of each split its last, and of the next ones what goes on: two parts a split at most

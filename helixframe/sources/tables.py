@@ -1,4 +1,10 @@
-"""CSV tables in and out, and listings of files."""
+"""Tables of the steps, CSV in and out, and listings of files.
+
+A table of a step is Parquet in versions: a folder each, and a pointer to the present one that is replaced by one rename. So
+a write that fails leaves the old version whole, and readers of it go on. A table whose path ends in .csv is also put out
+as CSV parts at that path, for users; the next step reads the Parquet, which stands in a folder there that CSV readers
+pass over. A CSV table without it, as users make them, is read as it is.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dict_text, six_decimals, structure_format
@@ -97,32 +103,159 @@ def write_lines(rows: DataFrame, path: str, *order) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A headed CSV file with an explicit schema; blank cells are null, cells may hold line ends."""
+    """Headed CSV files with an explicit schema; blank cells are null, cells may hold line ends."""
     return spark.read.options(**_CSV, multiLine=True, enforceSchema=False).schema(schema).csv(path)
 
 
-def write_csv(df: DataFrame, path: str, line_end: str = "\r\n") -> None:
-    """A folder of one headed CSV file, rewritten, with a header even where there are no rows. Fractions have six decimals,
-    maps and arrays are text. A table that goes to CSV is one task's work; between steps there is Parquet."""
+def as_written(df: DataFrame) -> DataFrame:
+    """Fractions with six decimals, maps and arrays as text, blank text as null: cells as they come back from a table."""
     columns = []
     for f in df.schema:
         kind, c = f.dataType.simpleString(), F.col(f.name)
         if kind == "double":
-            c = six_decimals(c)
+            c = six_decimals(c).cast("double")
         elif kind.startswith("map<"):
             ranked = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct((-e["value"]).alias("m"), e["key"].alias("k"))))
             c = dict_text(F.transform(ranked, lambda e: F.struct(e["k"].alias("key"), (-e["m"]).alias("n"))))
         elif kind.startswith("array<"):
             c = F.array_join(c, ",")
+        elif kind == "string":
+            c = F.nullif(c, F.lit(""))
         columns.append(c.alias(f.name))
-    df.select(columns).coalesce(1).write.mode("overwrite").options(**_CSV, emptyValue="", nullValue="", lineSep=line_end).csv(path)
+    return df.select(columns)
+
+
+def write_csv(df: DataFrame, path: str, line_end: str = "\r\n") -> None:
+    """A folder of headed CSV parts, rewritten; one with a header alone where there are no rows."""
+    shown = as_written(df)
+    shown = shown.select(*[six_decimals(F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in shown.dtypes])
+    shown.write.mode("overwrite").options(**_CSV, emptyValue="", nullValue="", lineSep=line_end).csv(path)
+
+
+def export_csv(df: DataFrame, file: str) -> None:
+    """One CSV file of that name, by one task: for tables that people open."""
+    folder = f"{file}.{uuid.uuid4().hex}"
+    write_csv(df.coalesce(1), folder)
+    fs, there = _hadoop(df.sparkSession, file)
+    (part,) = [x.getPath() for x in fs.globStatus(there(f"{folder}/part-*"))]
+    fs.delete(there(file), True)
+    fs.rename(part, there(file))
+    fs.delete(there(folder), True)
+
+
+def _store(path: str) -> str:
+    """The folder of a table's versions."""
+    return f"{path}/_table" if path.endswith(".csv") else path
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of a table's present version; none where there is no pointer."""
+    fs, there = _hadoop(spark, path)
+    pointer = there(f"{_store(path)}/_CURRENT")
+    if not fs.exists(pointer):
+        return None
+    source = fs.open(pointer)
+    try:
+        size = fs.getFileStatus(pointer).getLen()
+        return f"{_store(path)}/{bytes(source.readNBytes(size)).decode()}"
+    finally:
+        source.close()
+
+
+def _switch(spark: SparkSession, path: str, version: str, before: str | None) -> None:
+    """Point at another version: a new pointer is renamed over the old one. The version before it stays for those who read
+    it; older ones go, and what writes that failed have left. A table has one writer at a time."""
+    fs, there = _hadoop(spark, path)
+    jvm, store = spark.sparkContext._jvm, _store(path)
+    new = there(f"{store}/_{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(new).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(new), fs.makeQualified(there(f"{store}/_CURRENT")), options)
+    kept = {version, (before or "").rpartition("/")[2]}
+    for x in fs.listStatus(there(store)):
+        if (name := x.getPath().getName()).startswith("v") and name not in kept:
+            fs.delete(x.getPath(), True)
+
+
+def put(df: DataFrame, path: str, **counts) -> dict[str, int]:
+    """A new version of a table, which ``df`` may read: its rows, and further sums, as the write itself counts them."""
+    spark, seen = df.sparkSession, Observation()
+    before = current(spark, path)
+    n = int(before.rpartition("/v")[2].split("-")[0]) + 1 if before else 0
+    version = f"v{n:09d}-{uuid.uuid4().hex}"
+    shown = as_written(df).observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counts.items()])
+    shown.write.parquet(f"{_store(path)}/{version}")
+    _switch(spark, path, version, before)
+    if path.endswith(".csv"):
+        _put_parts(spark, path, f"{_store(path)}/{version}")
+    return seen.get
+
+
+def _put_parts(spark: SparkSession, path: str, version: str) -> None:
+    """CSV parts of a version in place of those at ``path``."""
+    fs, there = _hadoop(spark, path)
+    new = f"{path}/_new"
+    write_csv(spark.read.parquet(version), new)
+    for old in fs.globStatus(there(f"{path}/part-*")):
+        fs.delete(old.getPath(), False)
+    for part in fs.globStatus(there(f"{new}/part-*")):
+        fs.rename(part.getPath(), there(f"{path}/{part.getPath().getName()}"))
+    fs.delete(there(new), True)
+
+
+def get(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The present version of a table, or a CSV table that no step has written."""
+    found = current(spark, path)
+    plain = schema.replace("map<string,bigint>", "string")
+    return spark.read.schema(plain).parquet(found) if found else read_csv(spark, path, plain)
+
+
+def publish(spark: SparkSession, view: str, path: str, schema: str) -> None:
+    """A view of the present version; a view that was made of an earlier one goes on with that until then."""
+    get(spark, path, schema).createOrReplaceTempView(view)
+
+
+def routes(df: DataFrame, route: str, names: list[str], schema: dict[str, list[str]]) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """One write of ``df`` by the values of a column, and each of ``names`` as a table that reads its own files alone; and
+    how many rows each has, as the write counts them."""
+    spark, seen = df.sparkSession, Observation()
+    work = fresh_dir(spark, "routes")
+    df.observe(seen, *[F.count_if(F.col(route) == n).alias(n) for n in names]).write.partitionBy(route).parquet(work)
+    kinds = df.schema
+    return {n: spark.read.schema(kinds).parquet(work).filter(F.col(route) == n).select(schema[n]) for n in names}, seen.get
+
+
+class Watched:
+    """Counts that are taken of tables while others are made of them."""
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[str, Observation, dict, DataFrame]] = []
+
+    def watch(self, df: DataFrame, section: str, **counts) -> DataFrame:
+        seen = Observation()
+        self._seen.append((section, seen, counts, df))
+        return df.observe(seen, *[c.alias(k) for k, c in counts.items()])
+
+    def told(self) -> list[tuple[str, str, int]]:
+        """(section, key, value), once the tables are made. What the plan left out, as where a join had no rows, is counted by itself."""
+        out = []
+        for section, seen, counts, df in self._seen:
+            found = seen.get
+            if not found:
+                found = df.agg(*[c.alias(k) for k, c in counts.items()]).first().asDict()
+            out += [(section, k, found[k]) for k in counts]
+        return out
 
 
 def write_failures(df: DataFrame, path: str) -> bool:
     """Writes only where there are rows; says whether it did."""
     if df.isEmpty():
         return False
-    write_csv(df, path)
+    put(df, path)
     return True
 
 
@@ -154,12 +287,6 @@ def replace_table(df: DataFrame, path: str) -> None:
     _swap(df.sparkSession, f"{path}.new", path)
 
 
-def replace_csv(df: DataFrame, path: str) -> None:
-    """The same for a CSV table."""
-    write_csv(df, f"{path}.new")
-    _swap(df.sparkSession, f"{path}.new", path)
-
-
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, pos): lines in valid UTF-8, with their order in the input."""
     return spark.read.text(path).select(F.make_valid_utf8("value").alias("value"), position().alias("pos"))
