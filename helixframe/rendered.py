@@ -19,6 +19,7 @@ from .plans import steps
 from .schemas import ATLAS, CHAIN_MANIFEST, CHAIN_TOPOLOGY, DOMAIN_MAPPING, DOWNLOAD_FAILURES, JOIN_FAILURES, OCCUPANCY, STRUCTURE_MANIFEST
 from .sources import classifications, downloads, tables
 from .sources.structure_source import read_structures
+from .streaming.ingest import ingest_versions, versions
 
 #: Of a part: names shared by the rendering and the SQL. ``k`` is its key, ``z`` its size.
 _PDB = "'P' || lpad(cast(k % 300 as string), 3, '0')"
@@ -151,12 +152,12 @@ _HEAD_PDB = """rpad('HEADER    HYDROLASE', 50, ' ') || '01-FEB-99   S' || lpad(c
 EXPDTA    X-RAY DIFFRACTION\nREMARK   2 RESOLUTION.    1.9' || s || ' ANGSTROMS.\n'"""
 
 
-def _structures(spark: SparkSession, d: str) -> str:
+def _structures(spark: SparkSession, d: str, folder: str | None = None, where: str = "true") -> str:
     """A folder of structure files. Structure 10 holds no protein, and an atom of structure 11 has no number for a place."""
-    folder = f"{tables.fresh_dir(spark, 'rendered')}/structures"
+    folder = folder or f"{tables.fresh_dir(spark, 'rendered')}/structures"
     _table(spark, d, "embeddings").createOrReplaceTempView("helixframe_vectors")
     vectors = spark.sql(f"SELECT {_VECTOR.format(div='div', at='embedding', a=0, b=1, c=2)} FROM helixframe_vectors")
-    rows = vectors.selectExpr("*", "explode(IF(s % 2 = 0, array(1, 2), array(1))) as model")
+    rows = vectors.filter(where).selectExpr("*", "explode(IF(s % 2 = 0, array(1, 2), array(1))) as model")
     rows = rows.selectExpr("*", "explode(IF(r in (1, 3), array('N', 'CA', 'CB'), array('CA'))) as atom")
     rows = rows.selectExpr(
         "s", "model", "label", "v", "atom", "chr(65 + label) as chain", "seq",
@@ -223,6 +224,16 @@ def structure_metadata(spark: SparkSession, d: str) -> DataFrame:
     return _named(read_structures(spark, _structures(spark, d), "metadata").filter("file_format in ('mmcif', 'pdb')"))
 
 
+def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Chains after three drops of files, with a run of the stream after each. The last brings new versions of structures 0
+    and 4, without some of their chains, and one of structure 7, which holds no protein any more."""
+    work = tables.fresh_dir(spark, "rendered")
+    for n, where in enumerate(("s < 6", "s >= 6", "s in (0, 4) and label = 1 or s = 7 and r in (2, 4)")):
+        _structures(spark, d, f"{work}/structures/drop{n}", where)
+        ingest_versions(spark, f"{work}/structures", f"{work}/state", f"{work}/checkpoint").awaitTermination()
+    return _named(versions(spark, f"{work}/state", "chains"))
+
+
 def chain_residues(spark: SparkSession, d: str) -> DataFrame:
     found = read_structures(spark, _structures(spark, d), "residues", bytes_per_partition=100_000)
     return found.select("structure_id", "chain_id", "seq", *[F.col(c).cast("double").alias(c) for c in "xyz"])
@@ -457,6 +468,9 @@ SQL = {
     "chain_manifest": f"""WITH {_E} SELECT structure_id, chain_id, regexp_replace(file, '^sub/', '') AS file, file_format, cast(count(*) AS INTEGER) AS
     residue_count, cast(count(*) AS INTEGER) AS resolved_residue_count,
         cast(min(seq) AS INTEGER) AS min_resseq, cast(max(seq) AS INTEGER) AS max_resseq FROM r JOIN f USING (s) GROUP BY ALL""",
+    "incremental_ingest": f"""WITH {_E} SELECT structure_id, chain_id, regexp_replace(file, '^sub/', '') AS file, file_format, cast(count(*) AS INTEGER) AS
+    residue_count, cast(count(*) AS INTEGER) AS resolved_residue_count,
+        cast(min(seq) AS INTEGER) AS min_resseq, cast(max(seq) AS INTEGER) AS max_resseq FROM r JOIN f USING (s) WHERE (s NOT IN (0, 4) OR label = 1) AND s <> 7 GROUP BY ALL""",
     "ingest_failures": f"""WITH {_E} SELECT DISTINCT CASE WHEN s = 11 THEN 'broken.cif' ELSE 'f010.mmcif.gz' END AS file, CASE WHEN s = 11 THEN
     'could not convert string to float: ''oops''' ELSE 'No protein chains detected in first model.' END AS error FROM e WHERE s >= 10""",
     "ingest_report": f"""WITH {_E} SELECT 'ingest' AS section, 'structures' AS key, cast(count(DISTINCT s) AS DOUBLE) AS value FROM r UNION ALL SELECT
