@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import http.client
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PipelineConfig
 from ..operators.relational import constants
 from ..schemas import REGISTRY
-from .tables import put_bytes
+from .tables import put_bytes, store_of
 
 # Address, file name and label of each source.
 SOURCES = (
@@ -23,7 +28,8 @@ SOURCES = (
 )
 STRUCTURE_URL = "https://files.rcsb.org/download/{}.cif.gz"
 
-
+#: Bytes that are committed together.
+_PIECE = 8 << 20
 _RESULT = "name string, ok boolean, length long, error string"
 
 
@@ -41,27 +47,119 @@ def pending(ids: DataFrame, files: DataFrame, config: PipelineConfig = PipelineC
     return wanted.join(there, "pdb_id", "left_anti").select("pdb_id", url).orderBy("pdb_id")
 
 
-def fetch(plan: DataFrame, folder: str, timeout: int, tasks: int) -> DataFrame:
+class _Cut(Exception):
+    """A body that ended before its length."""
+
+
+def _pieces(url: str, folder: str, timeout: int) -> int:
+    """Fetch what is missing of a body into pieces in ``folder``, each named by its offset and committed by a rename, so that
+    an attempt goes on where the last one, here or in another task, broke off. The body's size. Where the server gives no
+    ranges, or has another version by now, the pieces are dropped and the body is fetched from its start."""
+    store, inner = store_of(folder)
+    selector = pafs.FileSelector(inner, allow_not_found=True)
+    held = sorted((i for i in store.get_file_info(selector) if i.base_name.isdigit()), key=lambda i: int(i.base_name))
+    at = 0
+    for i in held:
+        if int(i.base_name) != at:
+            break
+        at += i.size
+    tag_file = f"{inner}/tag"
+    tag = ""
+    if at and store.get_file_info(tag_file).type == pafs.FileType.File:
+        with store.open_input_stream(tag_file, compression=None) as f:
+            tag = f.read().decode()
+    ask = urllib.request.Request(url, headers={"Range": f"bytes={at}-"} | ({"If-Range": tag} if tag else {}) if at and tag else {})
+    try:
+        body = urllib.request.urlopen(ask, timeout=timeout)
+    except urllib.error.HTTPError as e:
+        if e.code == 416 and at:  # nothing is missing, or the body is another
+            if e.headers.get("Content-Range", "").rpartition("/")[2] == str(at):
+                return at
+            store.delete_dir_contents(inner, missing_dir_ok=True)
+        raise
+    with body:
+        if at and getattr(body, "status", None) != 206:
+            store.delete_dir_contents(inner, missing_dir_ok=True)
+            at = 0
+        now = body.headers.get("ETag") or body.headers.get("Last-Modified") or ""
+        if now and not at and not now.startswith("W/"):
+            put_bytes(f"{folder}/tag", [now.encode()])
+        length = body.headers.get("Content-Length")
+        whole = at + int(length) if length else None
+        while True:
+            part, cut = [], None
+            size = 0
+            try:
+                while size < _PIECE and (chunk := body.read1(1 << 16) if hasattr(body, "read1") else body.read(1 << 16)):
+                    part.append(chunk)
+                    size += len(chunk)
+            except (OSError, http.client.HTTPException) as e:
+                cut = e
+            if size:
+                put_bytes(f"{folder}/{at}", part)
+                at += size
+            if cut:
+                raise cut
+            if size < _PIECE:
+                break
+        if whole is not None and at < whole:
+            raise _Cut(f"{at} of {whole} bytes")
+    return at
+
+
+def _join(folder: str, target: str) -> int:
+    """The pieces as one file, and without them; none make an empty file."""
+    store, inner = store_of(folder)
+    found = sorted((i for i in store.get_file_info(pafs.FileSelector(inner, allow_not_found=True)) if i.base_name.isdigit()), key=lambda i: int(i.base_name))
+
+    def chunks() -> Iterator[bytes]:
+        for i in found:
+            with store.open_input_stream(i.path, compression=None) as f:
+                while chunk := f.read(1 << 20):
+                    yield chunk
+
+    size = put_bytes(target, chunks())
+    if store.get_file_info(inner).type == pafs.FileType.Directory:
+        store.delete_dir(inner)
+    return size
+
+
+def _lasting(e: Exception) -> bool:
+    """Whether another attempt would end the same way."""
+    return isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code not in (408, 416, 425, 429) or isinstance(e, urllib.error.URLError) and not isinstance(e, urllib.error.HTTPError) and isinstance(e.reason, (FileNotFoundError, str))
+
+
+def fetch(plan: DataFrame, folder: str, timeout: int, tasks: int, attempts: int = 4, wait_s: float = 0.5) -> DataFrame:
     """Runs a plan (name, url): rows (name, ok, length, error). Bodies go to files below ``folder``, in any store that all
-    executors reach, piece by piece. Certificates are verified. A failure is a row; a retried task writes its files anew."""
+    executors reach. Certificates are verified. A failure is a row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import urllib.request
+    What has come of a body is committed in pieces below ``folder``/.pieces, so attempts, retried tasks and later runs ask
+    for the rest alone, by range. Attempts wait twice as long each time. ``tasks`` is how many files a host is asked for at
+    once: its addresses are dealt to so many groups, each in one task.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, url in zip(batch.column("name").to_pylist(), batch.column("url").to_pylist()):
-                try:
-                    with urllib.request.urlopen(url, timeout=timeout) as body:
-                        size = put_bytes(f"{folder}/{name}", iter(lambda: body.read(1 << 16), b""))
-                    rows.append((name, True, size, ""))
-                except Exception as e:  # each failure is a row
-                    rows.append((name, False, 0, str(e) or type(e).__name__))
+                pieces = f"{folder}/.pieces/{name}"
+                for attempt in range(attempts):
+                    try:
+                        _pieces(url, pieces, timeout)
+                        rows.append((name, True, _join(pieces, f"{folder}/{name}"), ""))
+                        break
+                    except Exception as e:  # each failure is a row
+                        if attempt + 1 == attempts or _lasting(e):
+                            rows.append((name, False, 0, str(e) or type(e).__name__))
+                            break
+                        time.sleep(wait_s * 2**attempt)
             types = [pa.string(), pa.bool_(), pa.int64(), pa.string()]
             cells = list(zip(*rows)) or [()] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, types)], ["name", "ok", "length", "error"])
 
-    return plan.select("name", "url").repartition(tasks).mapInArrow(run, _RESULT)
+    host = F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit(""))
+    dealt = plan.select("name", "url", host.alias("host"), F.pmod(F.xxhash64("name"), F.lit(tasks)).alias("slot"))
+    return dealt.repartition(tasks, "host", "slot").select("name", "url").mapInArrow(run, _RESULT)
 
 
 def fetch_registry(sources: DataFrame, folder: str, config: PipelineConfig = PipelineConfig()) -> DataFrame:
