@@ -21,27 +21,37 @@ AMINO_ACIDS = (
 )
 
 
-def protein_atoms(atoms: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """Atoms of amino acids in the first model that are not hetero residues."""
-    named = F.col("resname").isin(*AMINO_ACIDS, *config.more_residues)
-    return atoms.filter((F.col("model_idx") == 0) & (F.col("het_flag") == " ") & named)
+#: Residue names up to which their table is sent to all tasks; a dictionary of components has some thousand.
+_FEW_NAMES = 100_000
 
 
-def chain_stats(atoms: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
+def protein_atoms(atoms: DataFrame, config: PipelineConfig = PipelineConfig(), known: DataFrame | None = None) -> DataFrame:
+    """Atoms of amino acids in the first model that are not hetero residues. Amino acids are those of ``known`` (resname),
+    as ``sources.components`` reads them, and of ``more_residues``; where none are given, the usual ones."""
+    first = atoms.filter((F.col("model_idx") == 0) & (F.col("het_flag") == " "))
+    if known is None:
+        return first.filter(F.col("resname").isin(*AMINO_ACIDS, *config.more_residues))
+    more = F.explode(F.array(*map(F.lit, config.more_residues)).cast("array<string>"))
+    names = known.select("resname").union(known.sparkSession.range(1).select(more.alias("resname"))).distinct()
+    names = F.broadcast(names) if names.limit(_FEW_NAMES + 1).count() <= _FEW_NAMES else names
+    return first.join(names, "resname", "left_semi").select(atoms.columns)
+
+
+def chain_stats(atoms: DataFrame, config: PipelineConfig = PipelineConfig(), known: DataFrame | None = None) -> DataFrame:
     """(structure, chain) residue counts and range, of protein residues."""
     residue = ["structure_id", "source_path", "file_format", "chain_id", "chain_pos", "res_pos", "resseq"]
-    one = protein_atoms(atoms, config).select(residue).distinct()
+    one = protein_atoms(atoms, config, known).select(residue).distinct()
     by = one.groupBy("structure_id", "source_path", "file_format", "chain_id", "chain_pos")
     out = by.agg(F.count(F.lit(1)).cast("int").alias("residue_count"), F.min("resseq").alias("min_resseq"), F.max("resseq").alias("max_resseq"))
     return out.withColumn("resolved_residue_count", F.col("residue_count"))
 
 
-def residues(atoms: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
+def residues(atoms: DataFrame, config: PipelineConfig = PipelineConfig(), known: DataFrame | None = None) -> DataFrame:
     """(structure, chain, pos, seq, x, y, z): the first representative atom that each residue has."""
     point = F.struct("x", "y", "z")
     best = [F.max(F.when(F.col("atom_name") == a, point)) for a in config.representative_atoms]
     key = ["structure_id", "source_path", "file_format", "chain_id"]
-    held = protein_atoms(atoms, config).filter(F.col("atom_name").isin(*config.representative_atoms))
+    held = protein_atoms(atoms, config, known).filter(F.col("atom_name").isin(*config.representative_atoms))
     by = held.groupBy(*key, F.col("res_pos").alias("pos"), F.col("resseq").alias("seq"))
     return by.agg(F.coalesce(*best).alias("p")).filter("p is not null").select(*key, "pos", "seq", "p.x", "p.y", "p.z")
 

@@ -7,7 +7,7 @@ structures are kept beside the manifests, so that files are parsed once. What a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from ..operators.atlas import build_atlas, route_atlas
 from ..operators.relational import constants, distinct_sorted
 from ..schemas import ATLAS, CHAIN_MANIFEST, CHAIN_TOPOLOGY, DOMAIN_MAPPING, FAILURES, JOIN_FAILURES, OCCUPANCY, STRUCTURE_MANIFEST, names
 from ..sources import classifications as c
-from ..sources import coordinates, downloads, tables
+from ..sources import components, coordinates, downloads, tables
 
 
 @dataclass(frozen=True)
@@ -68,6 +68,12 @@ def map_domains(spark: SparkSession, folder: str, config: PipelineConfig = Pipel
     return spark.read.schema(mapping.schema).parquet(work), _report(spark, seen)
 
 
+def with_components(spark: SparkSession, path: str, config: PipelineConfig = PipelineConfig()) -> PipelineConfig:
+    """A configuration whose amino acids are also those of a dictionary of components, of some thousand names."""
+    found = components.amino_acids(components.read_components(spark, path))
+    return replace(config, more_residues=tuple(sorted({*config.more_residues, *(r["resname"] for r in found.collect())})))
+
+
 def plan_downloads(spark: SparkSession, mapping: DataFrame, folder: str, config: PipelineConfig = PipelineConfig()) -> DataFrame:
     """(pdb_id, url) of the mapping's structures that the folder lacks."""
     return downloads.pending(mapping, tables.structure_files(spark, folder).select("path", "length"), config)

@@ -17,7 +17,7 @@ from .config import PipelineConfig
 from .operators import occupancy, topology
 from .plans import steps
 from .schemas import ATLAS, CHAIN_MANIFEST, CHAIN_TOPOLOGY, DOMAIN_MAPPING, DOWNLOAD_FAILURES, JOIN_FAILURES, OCCUPANCY, STRUCTURE_MANIFEST
-from .sources import classifications, downloads, tables
+from .sources import classifications, components, downloads, tables
 from .sources.structure_source import read_structures
 from .streaming.ingest import ingest_versions, versions
 
@@ -224,6 +224,27 @@ def structure_metadata(spark: SparkSession, d: str) -> DataFrame:
     return _named(read_structures(spark, _structures(spark, d), "metadata").filter("file_format in ('mmcif', 'pdb')"))
 
 
+_KIND = """element_at(array('L-PEPTIDE LINKING', 'NON-POLYMER', 'D-PEPTIDE LINKING', 'RNA LINKING', 'PEPTIDE-LIKE', 'L-PEPTIDE COOH CARBOXY TERMINUS', 'saccharide'),
+    cast(k % 7 + 1 as int))"""
+
+
+def component_residues(spark: SparkSession, d: str) -> DataFrame:
+    """Residues by chain where a dictionary of components, a block a part, tells amino acids: suppliers of line items stand
+    in for structures, their parts for residues, an order's line number for the chain."""
+    path = f"{tables.fresh_dir(spark, 'rendered')}/components.cif"
+    quoted = f"IF(k % 2 = 0, '\"' || {_KIND} || '\"', '\\'' || {_KIND} || '\\'')"
+    block = f"'data_Q' || k || '\n#\n_chem_comp.id   Q' || k || '\n_chem_comp.name \"NO PEPTIDE\"\n_chem_comp.type   ' || {quoted} || '\n_chem_comp.formula ?\n#'"
+    tables.write_lines(_parts(spark, d).selectExpr("k", f"{block} as value"), path, "k")
+    atom = {
+        "structure_id": "'s' || l_suppkey", "source_path": "'-'", "file_format": "'mmcif'", "model_idx": "0", "chain_id": "cast(l_linenumber as string)", "chain_pos": "cast(l_linenumber as int)",
+        "het_flag": "' '", "resseq": "cast(l_orderkey as int)", "resname": "'Q' || l_partkey", "res_pos": "cast(l_orderkey as int)",
+    }
+    atoms = _table(spark, d, "lineitem").selectExpr(*[f"{v} as {k}" for k, v in atom.items()])
+    known = components.amino_acids(components.read_components(spark, path))
+    found = topology.chain_stats(atoms, known=known)
+    return found.select("structure_id", "chain_id", "residue_count", "min_resseq", "max_resseq")
+
+
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Chains after three drops of files, with a run of the stream after each. The last brings new versions of structures 0
     and 4, without some of their chains, and one of structure 7, which holds no protein any more."""
@@ -468,6 +489,9 @@ SQL = {
     "chain_manifest": f"""WITH {_E} SELECT structure_id, chain_id, regexp_replace(file, '^sub/', '') AS file, file_format, cast(count(*) AS INTEGER) AS
     residue_count, cast(count(*) AS INTEGER) AS resolved_residue_count,
         cast(min(seq) AS INTEGER) AS min_resseq, cast(max(seq) AS INTEGER) AS max_resseq FROM r JOIN f USING (s) GROUP BY ALL""",
+    "component_residues": """SELECT 's' || l_suppkey AS structure_id, cast(l_linenumber AS VARCHAR) AS chain_id, cast(count(DISTINCT l_orderkey) AS INTEGER) AS residue_count,
+        cast(min(l_orderkey) AS INTEGER) AS min_resseq, cast(max(l_orderkey) AS INTEGER) AS max_resseq FROM lineitem JOIN part ON l_partkey = p_partkey
+        WHERE p_partkey % 7 IN (0, 2, 5) GROUP BY l_suppkey, l_linenumber""",
     "incremental_ingest": f"""WITH {_E} SELECT structure_id, chain_id, regexp_replace(file, '^sub/', '') AS file, file_format, cast(count(*) AS INTEGER) AS
     residue_count, cast(count(*) AS INTEGER) AS resolved_residue_count,
         cast(min(seq) AS INTEGER) AS min_resseq, cast(max(seq) AS INTEGER) AS max_resseq FROM r JOIN f USING (s) WHERE (s NOT IN (0, 4) OR label = 1) AND s <> 7 GROUP BY ALL""",
