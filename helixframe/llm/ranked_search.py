@@ -10,7 +10,7 @@ For each item, then (three-phase uniform threshold):
 1. the ``k`` largest gains of each list are fetched; the k-th largest sum of these is ``least``, a lower bound on the
    k-th score;
 2. every list of an item of ``m`` terms is cut at gain * m >= least. A document below the cut in all lists scores under
-   ``least``. A list is sent once, down to the lowest cut of its items, to tasks that each hold a range of documents.
+   ``least``. A list is sent once, down to the lowest cut of its items, to tasks that each hold some documents.
    There, sums of what was found give a higher lower bound; sums plus the cut, or the list's largest gain, for every list
    in which a document was not found give its upper bound, and documents whose upper bound is below the lower one go;
 3. the candidates that remain are looked up in the postings, and ranked by their exact scores.
@@ -46,7 +46,7 @@ from .text import ALNUM, groups, release, utf8, words
 K = 50
 #: Postings of a list, on average, that a block of it holds.
 BLOCK = 100_000
-#: Documents of a range, and (item, term) pairs whose lists a task looks up at once; more are done in blocks of items.
+#: Documents whose bounds a task adds up, on average, and (item, term) pairs whose lists a task looks up at once; more are done in blocks of items.
 BUCKET, PAIRS = 8_192, 1 << 20
 _POSTINGS = "doc long, doc_id long, n long, term long, tf long"
 
@@ -96,9 +96,9 @@ def _postings(docs: DataFrame, asked: np.ndarray) -> DataFrame:
     return docs.select(*own).mapInArrow(run, _POSTINGS)
 
 
-def build_index(docs: DataFrame, asked: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(term, doc, doc_id, gain), written by term and falling gain, from documents and the terms (term) asked for; and the
-    same postings in order of documents."""
+def build_index(docs: DataFrame, asked: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """(term, doc, doc_id, gain), written by term and falling gain, from documents and the terms (term) asked for; and how
+    many documents have terms."""
     spark = docs.sparkSession
     found = stash(_postings(docs, bitmap(asked, "term")), "postings")
     sums = found.filter("term is null").agg(F.sum("tf").alias("N"), F.sum("n").alias("L")).first()
@@ -113,7 +113,7 @@ def build_index(docs: DataFrame, asked: DataFrame, block: int = BLOCK) -> tuple[
     scored = held.join(df.filter("w > 0"), "term").select("term", "doc", "doc_id", gain.alias("gain"), F.pmod(F.xxhash64("doc"), "blocks").alias("block"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by_term = scored.repartition(parts, "term", "block").sortWithinPartitions("term", F.desc("gain"))
-    return stash(by_term.select("term", "doc", "doc_id", "gain"), "by-term"), found
+    return stash(by_term.select("term", "doc", "doc_id", "gain"), "by-term"), n_docs
 
 
 def _least(sums: DataFrame, k: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _bounds(near: DataFrame, wanted: dict[int, tuple[np.ndarray, np.ndarray, int
     return near.groupBy("bucket").applyInArrow(run, "item long, doc long, sum long, most long")
 
 
-def candidates(index: DataFrame, wanted: DataFrame, k: int = K, pairs: int = PAIRS) -> DataFrame:
+def candidates(index: DataFrame, wanted: DataFrame, n_docs: int, k: int = K, pairs: int = PAIRS) -> DataFrame:
     """(item, doc): the first two phases."""
     # 1: row_number below a bound is cut in each task before the shuffle
     by_gain = Window.partitionBy("term").orderBy(F.desc("gain"))
@@ -174,7 +174,7 @@ def candidates(index: DataFrame, wanted: DataFrame, k: int = K, pairs: int = PAI
     lists = wanted.join(cut, "item").join(heads.filter("at = 1").select("term", F.col("gain").alias("cap")), "term")
     blocks = 1 + wanted.count() // pairs
     lists = stash(lists.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks))), "lists")
-    # 2: a list is fetched once, down to the lowest cut of its items, and dealt by ranges of documents
+    # 2: a list is fetched once, down to the lowest cut of its items, and dealt by documents
     found = []
     for b in range(blocks):
         # about ``pairs`` rows
@@ -182,8 +182,8 @@ def candidates(index: DataFrame, wanted: DataFrame, k: int = K, pairs: int = PAI
         asked = {int(i): (x["term"].to_numpy(), x["cap"].to_numpy(), int(x["cut"].iloc[0])) for i, x in rows.groupby("item")}
         lowest = lists.filter(F.col("block") == b).groupBy("term").agg(F.min("cut").alias("cut"))
         fetched = index.join(lowest, "term").filter("gain > cut").select("doc", "term", "gain")
-        bucket = F.struct(F.shiftright("doc", 33).alias("part"), F.expr(f"(doc & {(1 << 33) - 1}) div {BUCKET}").alias("range"))
-        found.append(stash(_bounds(fetched.withColumn("bucket", F.xxhash64(bucket)), asked, k), "bounds"))
+        bucket = F.pmod(F.xxhash64("doc"), F.lit(1 + n_docs // BUCKET))
+        found.append(stash(_bounds(fetched.withColumn("bucket", bucket), asked, k), "bounds"))
     near = reduce(DataFrame.unionByName, found)
     near = near.join(_least(near, k).withColumnRenamed("least", "higher"), "item")
     return near.filter("most >= higher").select("item", "doc")
@@ -193,8 +193,8 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = K, block: int = B
     """(item, item_id, rank, doc, doc_id, score): the k best documents of each row of ``items``. ``doc`` and ``item`` are
     places of rows."""
     wanted = stash(item_terms(items), "items")
-    index, _ = build_index(docs, wanted.select("term").distinct(), block)
-    near = stash(candidates(index, wanted.select("item", "term"), k, pairs), "candidates")
+    index, n_docs = build_index(docs, wanted.select("term").distinct(), block)
+    near = stash(candidates(index, wanted.select("item", "term"), n_docs, k, pairs), "candidates")
     # 3: candidates' postings alone are shuffled, where they are few by a broadcast of their documents
     lists = index.join(near.select("doc").distinct(), "doc", "left_semi")
     exact = near.join(lists, "doc").join(wanted, ["item", "term"])

@@ -60,8 +60,8 @@ def test_equals_scoring_everything(tables, k, block, pairs, monkeypatch):
 def test_phases_prune(tables):
     docs, items, d, i = tables
     wanted = ranked_search.item_terms(i)
-    index, _ = ranked_search.build_index(d, wanted.select("term").distinct())
-    near = ranked_search.candidates(index, wanted.select("item", "term"), 3).count()
+    index, n_docs = ranked_search.build_index(d, wanted.select("term").distinct())
+    near = ranked_search.candidates(index, wanted.select("item", "term"), n_docs, 3).count()
     assert 3 * 25 <= near < wanted.join(index, "term").select("item", "doc").distinct().count() / 2
 
 
