@@ -32,6 +32,7 @@ _PATHS = {
         "failures_output": "atlas_join_failures.csv",
     },
     "summarise-occupancy": {"atlas_path": "domain_atlas_table.csv", "output": "occupancy_summary.csv"},
+    "export-table": {"table": None, "output": None},
 }
 #: Parameters that each step takes besides.
 _PARAMETERS = {
@@ -42,11 +43,19 @@ _PARAMETERS = {
     "compute-topology": ("contact_distance", "min_separation", "representative_atoms", "more_residues"),
     "build-atlas-table": (),
     "summarise-occupancy": ("common_from", "rare_from"),
+    "export-table": (),
+}
+#: Further names of arguments, which other scripts for these steps use.
+_ALIASES = {
+    "contact_distance": ("--distance-threshold",),
+    "min_separation": ("--min-sequence-separation",),
+    "download_workers": ("--max-workers",),
+    "atlas_path": ("--atlas",),
 }
 
 
-def _option(name: str) -> str:
-    return "--" + name.replace("_", "-")
+def _options(name: str) -> tuple[str, ...]:
+    return "--" + name.replace("_", "-"), *_ALIASES.get(name, ())
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,12 +66,12 @@ def parser() -> argparse.ArgumentParser:
         p = todo.add_parser(step)
         p.add_argument("--tables", default=_DEFAULTS.output, help="folder of the tables that are not named")
         for name, default in paths.items():
-            p.add_argument(_option(name), required=default is None)
+            p.add_argument(*_options(name), dest=name, required=default is None)
         for name in _PARAMETERS[step]:
             if kinds[name] is tuple:
-                p.add_argument(_option(name), nargs="*", default=getattr(_DEFAULTS, name))
+                p.add_argument(*_options(name), dest=name, nargs="*", default=getattr(_DEFAULTS, name))
             else:
-                p.add_argument(_option(name), type=kinds[name], default=getattr(_DEFAULTS, name))
+                p.add_argument(*_options(name), dest=name, type=kinds[name], default=getattr(_DEFAULTS, name))
     return out
 
 
