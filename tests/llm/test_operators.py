@@ -126,7 +126,7 @@ def plain_leaks(docs, items):
             if len(x) < 4:
                 continue
             diagonals = set()
-            for m in decontaminate.MASKS if len(x) > 4 else ("1111",):
+            for m in decontaminate.masks_of(len(x)):
                 picked = lambda w, at: tuple(w[at + k] for k, bit in enumerate(m) if bit == "1")  # noqa: B023, E731
                 there = defaultdict(list)
                 for p in range(len(x) - len(m) + 1):
