@@ -1,8 +1,8 @@
 """Nearest neighbours by inner product, as a block matrix join.
 
 Queries and candidates are dealt into blocks of bounded size, and each pair of blocks is a tile. In a tile, the product
-of vectors quantised to int8 (integers below 2**24, so exact in float32) estimates all inner products; with e(v) the
-quantisation error of v, |q.c - q'.c'| <= |e(q)||c| + |q'||e(c)| bounds each one. Pairs whose upper bound is below the
+of vectors quantised to int8 estimates all inner products: sums of EXACT products of codes are integers below 2**24, so
+exact in float32, and longer vectors are summed in slices of so many components. With e(v) the quantisation error of v, |q.c - q'.c'| <= |e(q)||c| + |q'||e(c)| bounds each one. Pairs whose upper bound is below the
 query's k-th largest lower bound can't be among its nearest. The others are recomputed in double precision, a heap keeps
 k of them, and the heaps of all tiles are merged. So the result is exact.
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 QUERY_BLOCK, BLOCK = 8192, 4096
+#: Components whose products of codes, 127 * 127 each at most, sum to less than 2**24.
+EXACT = 1040
 
 
 def _quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -37,6 +39,14 @@ def _quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return code.astype(np.float32), scale, np.linalg.norm(v, axis=1), np.linalg.norm(v - code * scale[:, None], axis=1)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of codes, exactly."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(0, a.shape[1], EXACT):
+        out += a[:, j : j + EXACT] @ b[:, j : j + EXACT].T
+    return out
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.concatenate(column.to_numpy()).astype(np.float64).reshape(len(column), -1)
 
@@ -51,7 +61,7 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     q_len = np.linalg.norm(qc * qs[:, None], axis=1)
     for lo in range(0, len(q), 256):
         hi = min(lo + 256, len(q))
-        about = (qc[lo:hi] @ cc.T).astype(np.float64) * qs[lo:hi, None] * cs
+        about = _products(qc[lo:hi], cc) * qs[lo:hi, None] * cs
         bound = (qe[lo:hi, None] * cn + q_len[lo:hi, None] * ce) * (1 + 1e-9) + 1e-12 * qn[lo:hi, None] * cn
         same = q_ids[lo:hi, None] == c_ids
         lower = np.where(same, -np.inf, about - bound)
