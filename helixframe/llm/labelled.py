@@ -24,7 +24,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]
     parts = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y]) for y in (0, 1)]
     chosen = stash(parts[0].union(parts[1]), "sample", work)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    # the sample has sum(most) rows at most
-    found = texts.join(F.broadcast(chosen), "doc_id").toArrow().to_pandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    # the sample has sum(most) rows at most; of an id that occurs again, one text is fetched, the least
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = found.toArrow().to_pandas().sort_values("doc_id")
     discard(docs.sparkSession, work)
     return found[["doc_id", "text", "y"]].reset_index(drop=True), (totals.get(0, 0), totals.get(1, 0))

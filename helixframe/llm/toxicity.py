@@ -1,9 +1,9 @@
-"""Toxicity by nearest labelled examples, under exact TF-IDF cosine over all words.
+"""Toxicity by nearest labelled examples, by the exact cosine of weighted TF-IDF vectors over all words.
 
 Every word of a text counts, in documents and examples. Its weight is (1 + log of its frequency) x IDF, the IDF being over
 all documents; words that the label does not tell apart (see ``telling_terms``) weigh PLAIN of that, as topic words would
-else govern the cosine of long texts. A word in fewer than one in RARE documents has the IDF of one in RARE, which bounds
-the table of counts; words that no example holds count in a document's length as any other.
+else govern the cosine of long texts. The IDF of a word in n of N documents is log((N + 1) / (max(n, N / RARE, 1) + 1)) + 1:
+a word in fewer than one in RARE documents weighs as one in RARE does, which bounds the table of counts; words that no example holds count in a document's length as any other.
 
 The examples' inverted index is cut into blocks of similar examples and posts, for each term and block, the largest weight
 in the block. A query sums these bounds by block. The VISITS blocks with the highest bounds are added up first and give a
