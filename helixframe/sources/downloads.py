@@ -133,7 +133,7 @@ def fetch(plan: DataFrame, folder: str, timeout: int, tasks: int, attempts: int
     """Runs a plan (name, url): rows (name, ok, length, error). Bodies go to files below ``folder``, in any store that all
     executors reach. Certificates are verified. A failure is a row.
 
-    What has come of a body is committed in pieces below ``folder``/.pieces, so attempts, retried tasks and later runs ask
+    What has come of a body is committed in pieces in a folder beside its file, so attempts, retried tasks and later runs ask
     for the rest alone, by range. Attempts wait twice as long each time. ``tasks`` is how many files a host is asked for at
     once: its addresses are dealt to so many groups, each in one task.
     """
@@ -142,7 +142,7 @@ def fetch(plan: DataFrame, folder: str, timeout: int, tasks: int, attempts: int
         for batch in batches:
             rows = []
             for name, url in zip(batch.column("name").to_pylist(), batch.column("url").to_pylist()):
-                pieces = f"{folder}/.pieces/{name}"
+                pieces = f"{folder}/.{name}.pieces"
                 for attempt in range(attempts):
                     try:
                         _pieces(url, pieces, timeout)

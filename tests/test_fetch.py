@@ -85,7 +85,7 @@ def server():
 
 
 def whole(tmp_path, names):
-    return all((tmp_path / n).read_bytes() == BODIES[n] for n in names) and not [p for p in tmp_path.glob(".pieces/*")]
+    return all((tmp_path / n).read_bytes() == BODIES[n] for n in names) and not [p for p in tmp_path.glob(".*.pieces")]
 
 
 def test_broken_bodies_are_fetched_once(spark, tmp_path, server, monkeypatch):
