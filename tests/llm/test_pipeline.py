@@ -112,7 +112,7 @@ def test_stages_take_odd_rows(spark, name, stage):
 
 def test_oracles(spark):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in entry.llm.oracle_sql().items():
         want = c.execute(sql).df()
