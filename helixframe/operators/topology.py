@@ -67,7 +67,8 @@ def contacts(points: DataFrame, distance: float = 8.0, separation: int = 4, key:
     size = float(distance) * (1 + 1e-5) or 1e-30
     own = points.select(*key, "pos", "seq", *"xyz", *[F.floor(F.col(c).cast("double") / F.lit(size)).alias(f"{c}_cell") for c in "xyz"])
     side = [(i, j, k) for i in (0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
-    near = own.withColumn("cell", F.explode(F.array(*[F.struct(*[(F.col(f"{c}_cell") + n).alias(c) for c, n in zip("xyz", at)], F.lit(any(at)).alias("other")) for at in side])))
+    cell = lambda at: F.struct(*[(F.col(f"{c}_cell") + n).alias(c) for c, n in zip("xyz", at)], F.lit(any(at)).alias("other"))
+    near = own.withColumn("cell", F.explode(F.array(*map(cell, side))))
     a, b = own.alias("a"), near.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [F.col(f"a.{c}_cell") == F.col(f"b.cell.{c}") for c in "xyz"]
     square = sum((x * x).cast("double") for x in (F.col(f"a.{c}") - F.col(f"b.{c}") for c in "xyz"))

@@ -126,7 +126,9 @@ def _join(folder: str, target: str) -> int:
 
 def _lasting(e: Exception) -> bool:
     """Whether another attempt would end the same way."""
-    return isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code not in (408, 416, 425, 429) or isinstance(e, urllib.error.URLError) and not isinstance(e, urllib.error.HTTPError) and isinstance(e.reason, (FileNotFoundError, str))
+    if isinstance(e, urllib.error.HTTPError):
+        return e.code < 500 and e.code not in (408, 416, 425, 429)
+    return isinstance(e, urllib.error.URLError) and isinstance(e.reason, (FileNotFoundError, str))
 
 
 def fetch(plan: DataFrame, folder: str, timeout: int, tasks: int, attempts: int = 4, wait_s: float = 0.5) -> DataFrame:

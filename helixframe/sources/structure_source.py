@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..config import PipelineConfig
 from ..operators.topology import AMINO_ACIDS
 from ..schemas import ATOMS, names
-from .coordinates import _META_FIELDS, cif_items, local_path, metadata_of, parse_structure
+from .coordinates import _META_FIELDS, local_path, metadata_of, parse_structure
 from .tables import store_of
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "float": pa.float32(), "long": pa.int64()}
