@@ -152,6 +152,11 @@ _HEAD_PDB = """rpad('HEADER    HYDROLASE', 50, ' ') || '01-FEB-99   S' || lpad(c
 EXPDTA    X-RAY DIFFRACTION\nREMARK   2 RESOLUTION.    1.9' || s || ' ANGSTROMS.\n'"""
 
 
+#: A residue number in four columns: in hybrid-36 above 9999, as a PDB file has no wider place for it.
+_SEQ = """CASE WHEN seq < 10000 THEN printf('%4d', seq) WHEN seq < 1223056 THEN conv(cast(seq + 456560 as string), 10, 36)
+    ELSE lower(conv(cast(seq - 756496 as string), 10, 36)) END"""
+
+
 def _structures(spark: SparkSession, d: str, folder: str | None = None, where: str = "true") -> str:
     """A folder of structure files. Structure 10 holds no protein, and an atom of structure 11 has no number for a place."""
     folder = folder or f"{tables.fresh_dir(spark, 'rendered')}/structures"
@@ -168,7 +173,7 @@ def _structures(spark: SparkSession, d: str, folder: str | None = None, where: s
     )
     three = "printf('%.3f', x) || ' ' || printf('%.3f', y) || ' ' || printf('%.3f', z)"
     cif = f"concat_ws(' ', kind, atom, '.', name, chain, cast(seq as string), IF(v % 7 = 0, 'A', '?'), IF(s = 11, 'oops 0 0', {three}), '1.0', cast(model as string))"
-    pdb = """printf('%-6s%5d %-4s %3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f', kind, 1, ' ' || atom, name, chain, seq,
+    pdb = f"""printf('%-6s%5d %-4s %3s %1s%4s%1s   %8.3f%8.3f%8.3f%6.2f%6.2f', kind, 1, ' ' || atom, name, chain, {_SEQ},
         IF(v % 7 = 0, 'A', ' '), x, y, z, 1.0D, 0.0D)"""
     rows = rows.selectExpr("s", "model", "label", "v", "atom", f"IF(s % 3 = 2 AND s <> 11, {pdb}, {cif}) as line")
     # models of a PDB file stand between MODEL and ENDMDL lines
