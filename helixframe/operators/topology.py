@@ -13,6 +13,8 @@ from ..functions.scalar import fraction
 CHAIN = ["structure_id", "chain_id"]
 #: Residue numbers that a tile of a chain spans, in counting relations.
 TILE = 2_048
+#: Residue numbers that a tile spans where contacts are found and counted in blocks of two tiles, and cells compared at once.
+BLOCK, CELLS = 16_384, 1 << 18
 # The standard residues, and common modified or ambiguous ones that count as amino acids.
 AMINO_ACIDS = (
     "ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO",
@@ -148,7 +150,7 @@ def _tile_counts(lo: np.ndarray, hi: np.ndarray, kind: np.ndarray, width: int) -
 def _between_tiles(tile: np.ndarray, lower: np.ndarray, upper: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int]:
     """Series and nested pairs that share no tile, from each tile's counts in order, and its contacts by tile of the upper end."""
     above = lower.sum() - np.cumsum(lower)
-    series = int((upper * above).sum())
+    series = sum(int(u) * int(a) for u, a in zip(upper, above))
     place = {int(t): i for i, t in enumerate(tile)}
     seen, nested = np.zeros(len(tile), np.int64), 0
     for ends, counts in reversed(cells):  # from the highest lower tile
@@ -194,22 +196,131 @@ def relation_counts(found: DataFrame, key: list[str] = CHAIN, tile: int = TILE)
         own = {k: part.column(k).slice(0, 1) for k in [*key, "tile"]}
         return pa.table(own | {k: [v] for k, v in told.items()} | {"ends": lists(ends), "counts": lists(counts)})
 
+    tiled = spans.groupBy(*key, "tile").applyInArrow(count, f"{kinds}, {_TILED}")
+    return _added(tiled, key, kinds).withColumn("contact_count", F.col("contact_count").cast("int"))
+
+
+_TILED = "tile long, lower long, upper long, series long, parallel long, shared long, ends array<long>, counts array<long>"
+
+
+def _added(tiled: DataFrame, key: list[str], kinds: str) -> DataFrame:
+    """Counts by chain, of what its tiles tell."""
+
     def add(part: pa.Table) -> pa.Table:
         part = part.sort_by("tile")
         column = lambda c: part.column(c).to_numpy()
         cells = [(np.array(e), np.array(c)) for e, c in zip(part.column("ends").to_pylist(), part.column("counts").to_pylist())]
         series, nested = _between_tiles(column("tile"), column("lower"), column("upper"), cells)
-        n, s, p = int(column("lower").sum()), series + int(column("series").sum()), nested + int(column("parallel").sum())
-        x = n * (n - 1) // 2 - s - p - int(column("shared").sum())
-        own = {k: part.column(k).slice(0, 1) for k in key} | {"contact_count": pa.array([n], pa.int32())}
-        return pa.table(own | {f"{k}_pair_count": [v] for k, v in (("contact", s + p + x), ("series", s), ("parallel", p), ("cross", x))})
-
-    tiles = f"{kinds}, tile long, lower long, upper long, series long, parallel long, shared long, ends array<long>, counts array<long>"
-    tiled = spans.groupBy(*key, "tile").applyInArrow(count, tiles)
-    out = f"{kinds}, contact_count int, " + ", ".join(f"{k}_pair_count bigint" for k in ("contact", "series", "parallel", "cross"))
+        told = {c: sum(part.column(c).to_pylist()) for c in ("lower", "series", "parallel", "shared")}
+        n, s, p = told["lower"], series + told["series"], nested + told["parallel"]
+        x = n * (n - 1) // 2 - s - p - told["shared"]
+        counts = {"contact_count": n} | {f"{k}_pair_count": v for k, v in (("contact", s + p + x), ("series", s), ("parallel", p), ("cross", x))}
+        return pa.table({k: part.column(k).slice(0, 1) for k in key} | {k: pa.array([v], pa.int64()) for k, v in counts.items()})
+
+    out = f"{kinds}, contact_count bigint, " + ", ".join(f"{k}_pair_count bigint" for k in ("contact", "series", "parallel", "cross"))
     return tiled.groupBy(*key).applyInArrow(add, out)
 
 
+def _block_counts(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], square: float, separation: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Contacts of residues of a tile with those of the same or a later one, each (seq, x, y, z) by seq: how many each residue
+    number of either has, how many pairs are nested, and how many are of equal contacts. None is kept beyond its rows."""
+    starts = [np.flatnonzero(np.diff(t[0], prepend=t[0][0] - 1)) for t in (a, b)]
+    ends, several = np.append(starts[0], len(a[0])), len(starts[1]) < len(b[0])
+    row, col, nested, equal = np.zeros(len(starts[0]), np.int64), np.zeros(len(starts[1]), np.int64), 0, 0
+    step = max(1, CELLS // len(b[0]))
+    for r in range(0, len(row), step):
+        at = slice(ends[r], ends[min(r + step, len(row))])
+        total = 0.0
+        for x, y in zip(a[1:], b[1:]):
+            d = x[at, None] - y[None, :]
+            d *= d
+            total = total + d.astype(np.float64)
+        met = total <= square
+        if b[0][0] - a[0][at.stop - 1] < separation:
+            met &= b[0][None, :] - a[0][at, None] >= separation
+        if not met.any():
+            continue
+        if several or at.stop - at.start > min(step, len(row) - r):
+            met = np.add.reduceat(np.add.reduceat(met.astype(np.int64), starts[0][r : r + step] - at.start, axis=0), starts[1], axis=1)
+            equal += _pairs(met)
+        count = met.astype(np.int64)
+        # of each cell, contacts of smaller lower and larger upper ends
+        before = np.cumsum(count, axis=0) - count + col
+        outside = before.sum(axis=1, keepdims=True) - np.cumsum(before, axis=1)
+        nested += int(outside[met].sum()) if met.dtype == bool else int((outside * met).sum())
+        row[r : r + step] = count.sum(axis=1)
+        col += count.sum(axis=0)
+    return row, col, nested, equal
+
+
+def _tile_of_blocks(rows: list[tuple[int, np.ndarray]], cols: list[tuple[int, np.ndarray]], n: int, equal: int) -> dict[str, int]:
+    """What ``_tile_counts`` tells, of a tile's counts by residue number: those of contacts from it, by the tile they go to, and
+    of contacts to it, by the tile they come from. Pairs of one block are not among them."""
+    after = lambda v: v.sum() - np.cumsum(v)
+    nested, low, high = 0, np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for _, v in sorted(rows, key=lambda x: -x[0]):  # those that go further enclose
+        nested += int(v @ (np.cumsum(low) - low))
+        low = low + v
+    for _, v in sorted(cols, key=lambda x: x[0]):  # those that come from before enclose
+        nested += int(v @ after(high))
+        high = high + v
+    shared = _pairs(low) + _pairs(high) + int(low @ high) - equal
+    return {"lower": int(low.sum()), "upper": int(high.sum()), "series": int(high @ after(low)), "parallel": nested, "shared": shared}
+
+
+def near_counts(points: DataFrame, distance: float = 8.0, separation: int = 4, key: list[str] = CHAIN, tile: int = BLOCK) -> DataFrame:
+    """``relation_counts`` of the contacts of points, for chains with very many: contacts are found and counted in blocks of
+    two tiles of residues, and neither shuffled nor kept. A block tells how many contacts each of its residue numbers has.
+
+    Every two residues are compared, in bounded memory and dealt to tasks by block. What is shuffled is each tile once for
+    each tile of its chain, and two numbers a residue and block. Residues at least one number apart can meet.
+    """
+    if separation < 1:
+        raise ValueError("separation is 1 at least")
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in key)
+    of = F.floor(F.col("seq") / F.lit(tile)).cast("long").alias("tile")
+    held = points.filter("seq is not null").select(*key, of, F.col("seq").cast("long").alias("seq"), *"xyz")
+    types = ["<i8", *["<f8" if points.schema[c].dataType.simpleString() == "double" else "<f4" for c in "xyz"]]
+    columns = ["seq", *"xyz"]
+
+    def pack(part: pa.Table) -> pa.Table:
+        order = np.argsort(part.column("seq").to_numpy(), kind="stable")
+        cells = {c: pa.array([part.column(c).to_numpy()[order].astype(t).tobytes()], pa.binary()) for c, t in zip(columns, types)}
+        return pa.table({k: part.column(k).slice(0, 1) for k in [*key, "tile"]} | cells)
+
+    def block(part: pa.Table) -> pa.Table:
+        at = {t: i for i, t in enumerate(part.column("tile").to_pylist())}
+        low, high = part.column("low")[0].as_py(), part.column("high")[0].as_py()
+        a, b = ([np.frombuffer(part.column(c)[at[t]].as_buffer(), k) for c, k in zip(columns, types)] for t in (low, high))
+        row, col, nested, equal = _block_counts(a, b, float(distance) * float(distance), separation)
+        rows = 2 if row.any() else 0
+        own = {k: pa.chunked_array([part.column(k).slice(0, 1).combine_chunks()] * 2).slice(0, rows) for k in key}
+        cells = {"tile": [low, high], "other": [high, low], "upper": [False, True], "counts": [row.tobytes(), col.tobytes()], "nested": [nested, 0], "equal": [equal, 0]}
+        return pa.table(own | {k: pa.array(v[:rows]) for k, v in cells.items()}).cast(blocks)
+
+    def meet(part: pa.Table) -> pa.Table:
+        found = [(o, u, np.frombuffer(c, np.int64)) for o, u, c in zip(*(part.column(c).to_pylist() for c in ("other", "upper", "counts")))]
+        rows, cols = ([(o, c) for o, u, c in found if u == side] for side in (False, True))
+        told = _tile_of_blocks(rows, cols, len(found[0][2]), sum(part.column("equal").to_pylist()))
+        told["parallel"] += sum(part.column("nested").to_pylist())
+        rows = sorted((o, int(c.sum())) for o, c in rows)
+        ends = {c: pa.array([[r[i] for r in rows]], pa.list_(pa.int64())) for i, c in enumerate(("ends", "counts"))}
+        return pa.table({k: part.column(k).slice(0, 1) for k in [*key, "tile"]} | {k: [v] for k, v in told.items()} | ends)
+
+    tiles = held.select(*key, "tile").distinct()
+    others = tiles.join(tiles.withColumnRenamed("tile", "other"), key).groupBy(*key, "tile").agg(F.collect_list("other").alias("others"))
+    packed = held.groupBy(*key, "tile").applyInArrow(pack, f"{kinds}, tile long, " + ", ".join(f"{c} binary" for c in columns))
+    sent = packed.join(others, [*key, "tile"]).withColumn("other", F.explode("others")).drop("others")
+    sent = sent.select(*key, "tile", *columns, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    # a block is little to read and much to do, so its tasks are not put together by size
+    parts = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = f"{kinds}, tile long, other long, upper boolean, counts binary, nested long, equal long"
+    arrow = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32()}
+    blocks = pa.schema([(n, arrow[t]) for n, t in (f.split() for f in told.split(", "))])
+    found = sent.repartition(parts, *key, "low", "high").groupBy(*key, "low", "high").applyInArrow(block, told)
+    return _added(found.groupBy(*key, "tile").applyInArrow(meet, f"{kinds}, {_TILED}"), key, kinds)
+
+
 def relation_counts_sql(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:
     """The same counts by the pair-level join, for short chains and as a check."""
     n = found.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("contact_count"))
