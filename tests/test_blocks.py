@@ -56,3 +56,12 @@ def test_a_block_against_its_definition(monkeypatch, cells):
         same = int(((lo[:, None] == lo) & (hi[:, None] == hi)).sum() - len(lo)) // 2
         assert (nested, equal) == (int(((lo[:, None] < lo) & (hi < hi[:, None])).sum()), same) and len(lo)
         assert row.tolist() == [int((lo == s).sum()) for s in np.unique(a[0])] and col.tolist() == [int((hi == s).sum()) for s in np.unique(b[0])]
+
+
+def test_pairs_of_one_chain_are_dealt_to_many_tasks(spark):
+    found = spark.range(400).selectExpr("'s' AS structure_id", "'A' AS chain_id", "cast(id as int) AS lo", "cast(id + 5 + id % 7 as int) AS hi")
+    pairs = topology.contact_relations(found)
+    sizes = [n for n in pairs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    rows = [(r["lo"], r["hi"]) for r in found.collect()]
+    want = sum(len({*x, *y}) == 4 for i, x in enumerate(rows) for y in rows[:i])
+    assert sum(sizes) == want and len(sizes) > 1 and max(sizes) < 0.8 * want
