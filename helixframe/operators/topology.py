@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -167,7 +169,7 @@ def _between_tiles(tile: np.ndarray, lower: np.ndarray, upper: np.ndarray, cells
         if len(ends):
             at = np.array([place[int(e)] for e in ends])
             inside = np.cumsum(seen) - seen
-            nested += int((counts * inside[at]).sum())
+            nested += int(counts.astype(object) @ inside[at].astype(object))  # of Python's numbers, as it may exceed a bigint
             seen[at] += counts
     return series, nested
 
@@ -213,8 +215,9 @@ def relation_counts(found: DataFrame, key: list[str] = CHAIN, tile: int = TILE)
 _TILED = "tile long, lower long, upper long, series long, parallel long, shared long, ends array<long>, counts array<long>"
 
 
-def _added(tiled: DataFrame, key: list[str], kinds: str) -> DataFrame:
-    """Counts by chain, of what its tiles tell."""
+def _added(tiled: DataFrame, key: list[str], kinds: str, wide: bool = False) -> DataFrame:
+    """Counts by chain, of what its tiles tell: bigint, or decimals of 38 digits if ``wide``."""
+    number, whole = ("decimal(38,0)", pa.decimal128(38, 0)) if wide else ("bigint", pa.int64())
 
     def add(part: pa.Table) -> pa.Table:
         part = part.sort_by("tile")
@@ -225,9 +228,9 @@ def _added(tiled: DataFrame, key: list[str], kinds: str) -> DataFrame:
         n, s, p = told["lower"], series + told["series"], nested + told["parallel"]
         x = n * (n - 1) // 2 - s - p - told["shared"]
         counts = {"contact_count": n} | {f"{k}_pair_count": v for k, v in (("contact", s + p + x), ("series", s), ("parallel", p), ("cross", x))}
-        return pa.table({k: part.column(k).slice(0, 1) for k in key} | {k: pa.array([v], pa.int64()) for k, v in counts.items()})
+        return pa.table({k: part.column(k).slice(0, 1) for k in key} | {k: pa.array([Decimal(v) if wide else v], whole) for k, v in counts.items()})
 
-    out = f"{kinds}, contact_count bigint, " + ", ".join(f"{k}_pair_count bigint" for k in ("contact", "series", "parallel", "cross"))
+    out = f"{kinds}, contact_count {number}, " + ", ".join(f"{k}_pair_count {number}" for k in ("contact", "series", "parallel", "cross"))
     return tiled.groupBy(*key).applyInArrow(add, out)
 
 
@@ -278,12 +281,13 @@ def _tile_of_blocks(rows: list[tuple[int, np.ndarray]], cols: list[tuple[int, np
     return {"lower": int(low.sum()), "upper": int(high.sum()), "series": int(high @ after(low)), "parallel": nested, "shared": shared}
 
 
-def near_counts(points: DataFrame, distance: float = 8.0, separation: int = 4, key: list[str] = CHAIN, tile: int = BLOCK) -> DataFrame:
+def near_counts(points: DataFrame, distance: float = 8.0, separation: int = 4, key: list[str] = CHAIN, tile: int = BLOCK, wide: bool = False) -> DataFrame:
     """``relation_counts`` of the contacts of points, for chains with very many: contacts are found and counted in blocks of
     two tiles of residues, and neither shuffled nor kept. A block tells how many contacts each of its residue numbers has.
 
     Every two residues are compared, in bounded memory and dealt to tasks by block. What is shuffled is each tile once for
     each tile of its chain, and two numbers a residue and block. Residues at least one number apart can meet.
+    Counts are bigint, or decimals of 38 digits if ``wide``.
     """
     if separation < 1:
         raise ValueError("separation is 1 at least")
@@ -328,7 +332,16 @@ def near_counts(points: DataFrame, distance: float = 8.0, separation: int = 4, k
     arrow = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32()}
     blocks = pa.schema([(n, arrow[t]) for n, t in (f.split() for f in told.split(", "))])
     found = sent.repartition(parts, *key, "low", "high").groupBy(*key, "low", "high").applyInArrow(block, told)
-    return _added(found.groupBy(*key, "tile").applyInArrow(meet, f"{kinds}, {_TILED}"), key, kinds)
+    return _added(found.groupBy(*key, "tile").applyInArrow(meet, f"{kinds}, {_TILED}"), key, kinds, wide)
+
+
+def narrowed(counts: DataFrame) -> DataFrame:
+    """Wide counts as bigint, the type that SQL counts in, if all fit; else as they are. The counts, a row a chain, are kept, as
+    this looks at them."""
+    kept = counts.persist()
+    wide = [c for c, kind in kept.dtypes if kind == "decimal(38,0)"]
+    most = kept.agg(F.max(F.greatest(*wide))).first()[0]
+    return kept if most is not None and most >= 1 << 63 else kept.withColumns({c: F.col(c).cast("long") for c in wide})
 
 
 def relation_counts_sql(found: DataFrame, key: list[str] = CHAIN) -> DataFrame:
